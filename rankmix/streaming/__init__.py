@@ -1,0 +1 @@
+"""Fusion of score streams."""
