@@ -4,8 +4,9 @@ Per-item ranks (over the C classes of one item) are array expressions inside
 the item row.  Ranks over a whole vector (all items of a model) need a
 global order; ``global_rank`` gets it without funnelling a model through
 one task: range partitioning on (model, order keys), a sort inside each
-partition, the row position inside the partition, and per-partition
-offsets from a (partitions x models)-row count table.
+partition, the row position inside the partition (stamped once and
+checkpointed), and per-partition offsets from a (partitions x models)-row
+count table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rankmix.functions import avg_rank_desc, has_ties, ordinal_rank_desc, rsc_desc
 from rankmix.model import ScoreSet, s_col
-from rankmix.session import default_partitions
+from rankmix.session import default_partitions, ensure_checkpoint_dir
 
 _POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | row position
 
@@ -30,6 +31,11 @@ def global_rank(df: DataFrame, part: str, order: list, name: str = "rank",
     mid = F.monotonically_increasing_id()
     ided = ordered.select("*", F.shiftright(mid, _POS_BITS).alias("_pid"),
                           mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_pos"))
+    # positions must be read from ONE evaluation: the range bounds are
+    # sampled and can differ between evaluations when the input order is not
+    # fixed, so the stamped rows are written once to the checkpoint folder
+    ensure_checkpoint_dir(df.sparkSession)
+    ided = ided.checkpoint(eager=True)
     counts = ided.groupBy("_pid", part).agg(F.count(F.lit(1)).alias("_n"),
                                             F.min("_pos").alias("_start"))
     w = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

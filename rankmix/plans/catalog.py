@@ -32,6 +32,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def round4(c):
+    """floor(x * 1e4 + 0.5) / 1e4: plain IEEE steps, so engines agree bit for bit."""
+    return F.floor(F.col(c) * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)
+
+
 def _ss(spark, sf_dir, schemes=()):
     return L.prepare(ford_wide(spark, sf_dir), BATCH, schemes)
 
@@ -194,8 +199,7 @@ def _reg_long(spark, sf_dir):
 
 
 def reg_ranks(spark, sf_dir):
-    return R.vector_ranks(_reg_long(spark, sf_dir)).select(
-        "item_id", "model", F.round("score", 4).alias("score"), "rank")
+    return R.vector_ranks(_reg_long(spark, sf_dir)).select("item_id", "model", "rank")
 
 
 def reg_rsc(spark, sf_dir):
@@ -219,14 +223,14 @@ def _reg_fused(spark, sf_dir):
 
 def reg_fusion(spark, sf_dir):
     _, fused = _reg_fused(spark, sf_dir)
-    return fused.select("item_id", "kind", "fusion_model", F.round("value", 4).alias("value"))
+    return fused.select("item_id", "kind", "fusion_model", round4("value").alias("value"))
 
 
 def reg_report(spark, sf_dir):
     wide, fused = _reg_fused(spark, sf_dir)
     mean_y = float(wide.agg(F.avg("target")).first()[0])
     rep = R.report(fused, mean_y, FREG_MODELS)
-    return rep.select("model", r6("r2").alias("r2"), F.round("rmse", 4).alias("rmse"))
+    return rep.select("model", r6("r2").alias("r2"), round4("rmse").alias("rmse"))
 
 
 QUERIES = {

@@ -360,7 +360,9 @@ from ranks r join mx on r.model = mx.model"""
 
 FREG = """
 freg AS (
-  select item_id, model, avg(y) over (partition by model, f) as score from (
+  select item_id, model,
+         (cast(sum(cast(round(y * 100) as bigint)) over (partition by model, f) as double)
+          / cast(count(*) over (partition by model, f) as double)) / 100.0 as score from (
    select o_orderkey as item_id, 'P' as model, cast(o_custkey as varchar) as f, o_totalprice as y from orders union all
    select o_orderkey, 'Q', cast(cast(o_orderdate as date) as varchar), o_totalprice from orders union all
    select o_orderkey, 'R', concat(o_orderstatus, o_orderpriority), o_totalprice from orders) t),
@@ -370,7 +372,7 @@ qr AS (select item_id, model, score,
 
 
 def reg_ranks() -> str:
-    return _with(FREG) + "\nselect item_id, model, round(score, 4) as score, rank from qr"
+    return _with(FREG) + "\nselect item_id, model, rank from qr"
 
 
 def reg_rsc() -> str:
@@ -421,7 +423,7 @@ rfv AS (select q.item_id, o.kind, o.fusion_model,
 
 def reg_fusion() -> str:
     return _with(FREG, REG_W, _reg_fused()) + """
-select item_id, kind, fusion_model, round(value, 4) as value from rfv"""
+select item_id, kind, fusion_model, floor(value * 1e4 + 0.5) / 1e4 as value from rfv"""
 
 
 def reg_report() -> str:
@@ -430,7 +432,7 @@ my AS (select avg(y) as m from target)
 select case when rfv.fusion_model in ('P','Q','R') then 'Base_' || rfv.fusion_model
             else rfv.kind || '_' || rfv.fusion_model end as model,
        round(1.0 - sum((t.y - rfv.value) * (t.y - rfv.value)) / sum((t.y - my.m) * (t.y - my.m)), 6) as r2,
-       round(sqrt(sum((t.y - rfv.value) * (t.y - rfv.value)) / count(*)), 4) as rmse
+       floor(sqrt(sum((t.y - rfv.value) * (t.y - rfv.value)) / count(*)) * 1e4 + 0.5) / 1e4 as rmse
 from rfv join target t on rfv.item_id = t.item_id cross join my
 where rfv.kind = 'SC'
 group by rfv.kind, rfv.fusion_model"""

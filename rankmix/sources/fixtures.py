@@ -99,7 +99,11 @@ def freg_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items
     for i in range(len(FREG_MODELS)):
         f = f"f{i}"
-        lookup = items.groupBy(f).agg(F.avg("target").alias(f"v{i}"))
+        # mean of 2-decimal prices from an exact integer sum of cents: the
+        # value is the same whatever the partitioning or summation order
+        cents = F.round(F.col("target") * 100).cast("bigint")
+        lookup = items.groupBy(f).agg(
+            ((F.sum(cents).cast("double") / F.count(F.lit(1)).cast("double")) / F.lit(100.0)).alias(f"v{i}"))
         if i > 0:
             # dates and status x priority: bounded domains -> broadcast
             lookup = F.broadcast(lookup)
