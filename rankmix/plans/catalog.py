@@ -245,3 +245,41 @@ QUERIES = {
     "vote_combinations": vote_combinations, "top_k_pool": top_k_pool, "rank_invert": rank_invert,
     "reg_ranks": reg_ranks, "reg_rsc": reg_rsc, "reg_fusion": reg_fusion, "reg_report": reg_report,
 }
+
+
+# ---------------------------------------------------------------- preparation
+
+def prep_factorize(spark, sf_dir):
+    from rankmix.operators.prep import factorize
+    from rankmix.sources.fixtures import table
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return factorize(cust, "c_mktsegment", "c_custkey", "segment_code").select("c_custkey", "segment_code")
+
+
+def prep_onehot(spark, sf_dir):
+    from rankmix.operators.prep import one_hot
+    from rankmix.sources.fixtures import table
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return one_hot(cust, "c_mktsegment")
+
+
+def prep_impute(spark, sf_dir):
+    """Mean imputation of ``events.value`` after blanking the 'error' events,
+    then the constant scaling ``x / 255``."""
+    from rankmix.operators.prep import impute_mean, scale
+    from rankmix.sources.fixtures import table
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("value")).alias("value"))
+    imp = impute_mean(ev, ["value"])
+    return imp.select("event_id", r6("value").alias("value"), r6(scale("value", 255.0)).alias("scaled"))
+
+
+def prep_split(spark, sf_dir):
+    from rankmix.operators.prep import hash_split
+    from rankmix.sources.fixtures import table
+    cust = table(spark, sf_dir, "customer").select("c_custkey")
+    return hash_split(cust, "c_custkey").select("c_custkey", "is_test")
+
+
+QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
+                "prep_impute": prep_impute, "prep_split": prep_split})

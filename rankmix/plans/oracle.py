@@ -454,3 +454,32 @@ QUERIES = {
 
 def all_sql() -> dict[str, str]:
     return {k: f() for k, f in QUERIES.items()}
+
+
+# ------------------------------------------------------------ preparation
+
+# The TPC-H market segments, sorted (the first is dropped).
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def prep_factorize() -> str:
+    return """WITH f AS (select c_mktsegment, min(c_custkey) as first from customer group by c_mktsegment),
+codes AS (select c_mktsegment, row_number() over (order by first) - 1 as segment_code from f)
+select c.c_custkey, codes.segment_code from customer c left join codes on c.c_mktsegment = codes.c_mktsegment"""
+
+
+def prep_onehot() -> str:
+    cols = ", ".join(f"case when c_mktsegment = '{v}' then 1 else 0 end as \"c_mktsegment_{v}\""
+                     for v in SEGMENTS[1:])
+    return f"select c_custkey, {cols} from customer"
+
+
+def prep_impute() -> str:
+    return """WITH ev AS (select event_id, case when event_type = 'error' then null else value end as v from events),
+m AS (select avg(v) as mv from ev)
+select event_id, round(coalesce(v, m.mv), 6) as value, round(coalesce(v, m.mv) / 255.0, 6) as scaled
+from ev cross join m"""
+
+
+QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
+                "prep_impute": prep_impute})
