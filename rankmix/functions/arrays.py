@@ -9,6 +9,7 @@ higher-order functions are used only where the work is data dependent
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,13 @@ from pyspark.sql import functions as F
 TOL = 1e-9
 
 
+def json_literal(value, ddl: str) -> Column:
+    """A constant of type ``ddl`` (e.g. ``array<int>``) from one JSON string:
+    one literal instead of one expression per element; Catalyst folds the
+    parse once at optimization time."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def lsum(cols: list[Column]) -> Column:
     """Left-to-right sum ``((c0 + c1) + c2) + ...`` (fixed evaluation order)."""
     return reduce(lambda a, b: a + b, cols)
@@ -93,21 +101,60 @@ def ksi_dissimilarity(a: Column, b: Column, n: int) -> Column:
         return F.lit(None).cast("double")
     order = F.transform(
         F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                 lambda p: F.struct(a.getItem(p).alias("v"), p.alias("p")))),
+                                 lambda p: F.struct(F.get(a, p).alias("v"), p.alias("p")))),
         lambda s: s.getField("p"))
-    b_ord = F.transform(order, lambda p: b.getItem(p))
+    b_ord = F.transform(order, lambda p: F.get(b, p))
     ranks = F.transform(
         b_ord,
         lambda v, t: F.lit(1) + F.size(F.filter(
             b_ord, lambda u, q: (u < v) | ((u == v) & (q < t)))))
     steps = F.aggregate(
         F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0),
-        lambda acc, t: acc + F.abs(ranks.getItem(t) - ranks.getItem(t - 1)))
+        lambda acc, t: acc + F.abs(F.get(ranks, t) - F.get(ranks, t - 1)))
     value = F.lit(3.0) * steps / F.lit(float(n * n - 1))
     has_null = F.exists(a, lambda x: x.isNull()) | F.exists(b, lambda x: x.isNull())
     return F.when(~has_null, value)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
+    (inside higher-order functions a repeated sub-expression would be
+    re-evaluated at every use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def cd_of(a: Column, b: Column, n: int) -> Column:
+    """Cognitive diversity of two RSC arrays bound to lambda variables."""
+    sq = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                     lambda acc, z: acc + z)
+    return F.sqrt(sq / F.lit(float(n)))
+
+
+def order_of(a: Column) -> Column:
+    """Positions of ``a`` in ascending order of value, ties by position."""
+    return F.transform(F.array_sort(F.transform(a, lambda v, p: F.struct(v.alias("v"), p.alias("p")))),
+                       lambda s: s.getField("p"))
+
+
+def ksi_of(order_a: Column, a: Column, b: Column, n: int) -> Column:
+    """xi dissimilarity of B given A, with A's ascending ``order_a`` already
+    computed; all arguments are lambda-bound, intermediates via ``let``."""
+    if n < 2:
+        return F.lit(None).cast("double")
+
+    def ranks(x):
+        return F.transform(x, lambda v, t: F.lit(1) + F.size(F.filter(
+            x, lambda u, q: (u < v) | ((u == v) & (q < t)))))
+
+    def steps(r):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0),
+                           lambda acc, t: acc + F.abs(F.get(r, t) - F.get(r, t - 1)))
+
+    total = let(let(F.transform(order_a, lambda p: F.get(b, p)), ranks), steps)
+    has_null = F.exists(a, lambda x: x.isNull()) | F.exists(b, lambda x: x.isNull())
+    return F.when(~has_null, F.lit(3.0) * total / F.lit(float(n * n - 1)))
+
+
 def nan_mean(cols: list[Column]) -> Column:
     """Mean of the non-NULL columns; NULL when all are NULL."""
     total = lsum([F.coalesce(c, F.lit(0.0)) for c in cols])

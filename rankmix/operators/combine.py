@@ -15,7 +15,7 @@ from itertools import combinations as _combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import lsum
+from rankmix.functions import json_literal, lsum
 from rankmix.model import FusedSpec, ScoreSet, r_col, s_col
 from rankmix.operators.weights import Weights
 
@@ -45,7 +45,7 @@ def fused_specs(models, schemes, include_base: bool = True, full_set_only: bool
 
 
 def _meta_array(values, dtype: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{dtype}>")
+    return json_literal(list(values), f"array<{dtype}>")
 
 
 def _coef_literal(kind: str, spec: FusedSpec, weights: Weights | None, n_models: int) -> list:
@@ -74,15 +74,16 @@ def coefficient_frame(ss: ScoreSet, weights: Weights | None, layout) -> tuple[Da
     per_batch = weights is not None and weights.frame is not None
     if not per_batch:
         lit = [_coef_literal(kind, spec, weights, m) for kind, spec in layout]
-        return None, F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in lit])
+        return None, json_literal([[float(x) for x in row] for row in lit], "array<array<double>>")
     schemes = weights.schemes
     sid_of = {sc: k for k, sc in enumerate(schemes)}
     # one row per (batch, output j): a generator, so the per-batch weight
     # expressions below it are evaluated once per batch, not once per j
-    meta = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(0 if kind == SC else 1).alias("kind"),
-                              F.lit(-1 if spec.is_base else sid_of[spec.scheme]).alias("sid"),
-                              F.array(*[F.lit(i in spec.members) for i in range(m)]).alias("mem"))
-                     for j, (kind, spec) in enumerate(layout)])
+    meta = json_literal([{"j": j, "kind": 0 if kind == SC else 1,
+                          "sid": -1 if spec.is_base else sid_of[spec.scheme],
+                          "mem": [i in spec.members for i in range(m)]}
+                         for j, (kind, spec) in enumerate(layout)],
+                        "array<struct<j:int,kind:int,sid:int,mem:array<boolean>>>")
     wcols = [c for c in weights.frame.columns if c != "batch_id"]
     wmat = F.array(*[F.array(*[weights.column(sc, i).cast("double") for i in range(m)])
                      for sc in schemes]).alias("_w")
@@ -173,8 +174,9 @@ def fused_matrices(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec]
     if normalize:
         per = of.groupBy("batch_id", "j").agg(F.min(F.array_min("values")).alias("lo"),
                                               F.max(F.array_max("values")).alias("hi"))
+        # every batch has every output j, so the j-sorted list is indexed by j
         stats = per.groupBy("batch_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("j", F.struct("lo", "hi")))).alias("mm"))
+            F.array_sort(F.collect_list(F.struct("j", "lo", "hi"))).alias("mm"))
         of = of.join(stats.hint("shuffle_hash"), on="batch_id", how="inner")
         mm = F.col("mm")[F.col("j")]
         lo, hi = mm.getField("lo"), mm.getField("hi")

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import lsum
+from rankmix.functions import json_literal, lsum
 from rankmix.session import ensure_checkpoint_dir
 
 # Number of best subsets kept as voters between rounds.
@@ -50,7 +50,7 @@ def majority_vote(wide: DataFrame, n_voters: int, n_labels: int, keep=("item_id"
 
 
 def _subset_rows(wide: DataFrame, n_voters: int, subsets: list[tuple], keep: list[str]) -> DataFrame:
-    mem = F.array(*[F.array(*[F.lit(i in s) for i in range(n_voters)]) for s in subsets])
+    mem = json_literal([[i in s for i in range(n_voters)] for s in subsets], "array<array<boolean>>")
     return wide.select(*keep, *[f"p{i}" for i in range(n_voters)],
                        F.posexplode(mem).alias("combo", "_mem"))
 
@@ -71,7 +71,7 @@ def subset_accuracy(wide: DataFrame, n_voters: int, n_labels: int, subsets: list
     agg = votes.groupBy("combo").agg(
         F.sum(F.when(F.col("vote") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
         F.count(F.lit(1)).alias("total"))
-    labels = F.array(*[F.lit("".join(names[i] for i in s)) for s in subsets])
+    labels = json_literal(["".join(names[i] for i in s) for s in subsets], "array<string>")
     return agg.select("combo", labels[F.col("combo")].alias("members"), "correct", "total",
                       (F.col("correct") / F.col("total")).alias("accuracy"))
 

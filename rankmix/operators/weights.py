@@ -1,14 +1,14 @@
 """Diversity measures and weighting schemes.
 
 Diversity weights depend only on the *first item of each batch*: per batch
-one row is kept (``min_by`` over ``item_id``, a partial aggregate on data
-already clustered by ``batch_id``), the rank-score characteristic of every
-model is taken on that row, and the pairwise matrix is computed as flat
-expressions inside the row (M is metadata, so no self-join and no pair rows).
-
-A scheme is a function ``(score_set, ctx) -> list`` returning, per model,
-either a Python float (same weight everywhere) or a Column over the
-first-item row (per-batch weight).  ``register_scheme`` adds new ones.
+one row is kept (``min(item_id)`` per batch, joined back on data already
+clustered by ``batch_id``), the rank-score characteristic of every model is
+taken on that row, and the M x M pairwise matrix is computed by array
+functions inside that one row (M is metadata: no self-join, no pair rows).
+
+A scheme is a function ``(score_set, ctx)`` returning a list of M floats
+(same weights everywhere) or one Column giving the per-batch ARRAY of M
+weights.  ``register_scheme`` adds new ones.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import cognitive_diversity, ksi_dissimilarity, nan_mean, rsc_desc
+from rankmix.functions import cd_of, ksi_of, order_of, rsc_desc
 from rankmix.model import ScoreSet, s_col
 
 # Scheme names and their accepted spellings.
@@ -68,9 +68,11 @@ def first_items(ss: ScoreSet) -> DataFrame:
     """``(batch_id, s0..)``: the scores of the lowest item id of every batch.
 
     ``min(item_id)`` per batch is a hash aggregate with partial aggregation;
-    joining it back on ``batch_id`` (both sides clustered by it, the
-    one-row-per-batch side is the hash build side) and keeping the matching
-    item needs no sort and no exchange.
+    it is joined back on ``batch_id`` alone (both sides clustered by it, the
+    one-row-per-batch side is the hash build side) and the first item is
+    kept by a filter.  The filter is written as a difference so the
+    optimizer keeps it as a condition instead of a second join key, which
+    would re-shuffle the item rows on (item_id, batch_id).
     """
     if ss.batch_size is None:
         raise ValueError("score set has no batches; call with_batches first")
@@ -78,91 +80,83 @@ def first_items(ss: ScoreSet) -> DataFrame:
     firsts = ss.df.groupBy("batch_id").agg(F.min("item_id").alias("_first"))
     rows = ss.df.select("batch_id", "item_id", *cols).join(
         firsts.hint("shuffle_hash"), on="batch_id", how="inner")
-    return rows.filter(F.col("item_id") == F.col("_first")).select("batch_id", *cols)
+    return rows.filter((F.col("item_id") - F.col("_first")) == 0).select("batch_id", *cols)
 
 
-def _rsc_cols(ss: ScoreSet) -> list[Column]:
-    """RSC arrays of the first-item row, staged as ``rsc{i}`` columns by
-    ``batch_weights`` so each is computed once per batch."""
-    return [F.col(f"rsc{i}") for i in range(ss.n_models)]
+def pairwise_matrix(rsc: Column, n_classes: int, corr: str = "CD", order: Column | None = None) -> Column:
+    """``P[j][i]`` = diversity of model i vs model j (NULL on the diagonal),
+    from the ``M x C`` matrix of RSC rows (``order``: each row's ascending
+    order, needed for xi).  Rows are lambda-bound, so nothing is evaluated
+    twice, and the expression size does not depend on M."""
+    if corr == "CD":
+        return F.transform(rsc, lambda b, j: F.transform(
+            rsc, lambda a, i: F.when(i != j, cd_of(a, b, n_classes))))
+    return F.transform(rsc, lambda b, j: F.transform(
+        F.arrays_zip(order.alias("o"), rsc.alias("a")),
+        lambda oa, i: F.when(i != j, ksi_of(oa.getField("o"), oa.getField("a"), b, n_classes))))
 
 
-def pairwise_values(ss: ScoreSet, corr: str = "CD", rsc: list[Column] | None = None) -> dict:
-    """{(i, j): Column} diversity of model i vs model j for i != j."""
-    rsc = rsc or _rsc_cols(ss)
-    n = ss.n_classes
-    out = {}
-    for i in range(ss.n_models):
-        for j in range(ss.n_models):
-            if i == j:
-                continue
-            if corr == "CD":
-                out[(i, j)] = cognitive_diversity(rsc[i], rsc[j], n)
-            else:
-                out[(i, j)] = ksi_dissimilarity(rsc[i], rsc[j], n)
-    return out
+def strength_of(pw: Column) -> Column:
+    """Per model j the mean of ``P[j][i]`` over i != j, NULLs skipped."""
+    def mean(row):
+        vals = F.filter(row, lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x),
+                            F.size(vals).cast("double"))
+    return F.transform(pw, mean)
 
 
-def strength_cols(ss: ScoreSet, corr: str = "CD") -> list[Column]:
-    """Diversity strength of model j = mean over i != j of d(i, j), NULLs skipped."""
-    m = ss.n_models
-    if m == 1:
-        return [F.lit(None).cast("double")]
-    pw = pairwise_values(ss, corr)
-    return [nan_mean([pw[(i, j)] for i in range(m) if i != j]) for j in range(m)]
+def _staged(ss: ScoreSet) -> DataFrame:
+    """Per batch: the RSC matrix of the first item, then both pairwise
+    matrices — each staged as a column so it is evaluated once per batch."""
+    m, n = ss.n_models, ss.n_classes
+    rsc = F.array(*[rsc_desc(F.col(s_col(i))) for i in range(m)])
+    first = first_items(ss).select("batch_id", rsc.alias("_rsc"))
+    first = first.select("batch_id", "_rsc", F.transform("_rsc", order_of).alias("_ord"))
+    return first.select("batch_id", "_rsc",
+                        pairwise_matrix(F.col("_rsc"), n, "CD").alias("_pw_cd"),
+                        pairwise_matrix(F.col("_rsc"), n, "KSI", F.col("_ord")).alias("_pw_ksi"))
 
 
-def _staged_rsc(first: DataFrame, ss: ScoreSet) -> DataFrame:
-    """Materialise the RSC arrays as columns once (reused by many pairs)."""
-    return first.select("batch_id", *[rsc_desc(F.col(s_col(i))).alias(f"rsc{i}")
-                                      for i in range(ss.n_models)])
+def _pw_col(corr: str) -> str:
+    return "_pw_cd" if corr == "CD" else "_pw_ksi"
 
 
 def strengths(ss: ScoreSet, corr: str = "CD") -> DataFrame:
     """Long ``(batch_id, model, strength)``."""
-    staged = _staged_rsc(first_items(ss), ss)
-    rsc = [F.col(f"rsc{i}") for i in range(ss.n_models)]
-    m = ss.n_models
-    pw = pairwise_values(ss, corr, rsc)
-    cols = [nan_mean([pw[(i, j)] for i in range(m) if i != j]) if m > 1
-            else F.lit(None).cast("double") for j in range(m)]
-    wide = staged.select("batch_id", *[c.alias(f"d{j}") for j, c in enumerate(cols)])
-    return _unpivot_models(wide, ss.models, "d", "strength")
+    st = _staged(ss).select("batch_id", strength_of(F.col(_pw_col(corr))).alias("d"))
+    names = F.array(*[F.lit(m) for m in ss.models])
+    return st.select("batch_id", F.posexplode("d").alias("i", "strength")).select(
+        "batch_id", names[F.col("i")].alias("model"), "strength")
 
 
 def pairwise(ss: ScoreSet, corr: str = "CD") -> DataFrame:
-    """Long ``(batch_id, model_a, model_b, value)``: the off-diagonal matrix."""
-    staged = _staged_rsc(first_items(ss), ss)
-    rsc = [F.col(f"rsc{i}") for i in range(ss.n_models)]
-    pw = pairwise_values(ss, corr, rsc)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(ss.models[i]).alias("model_a"), F.lit(ss.models[j]).alias("model_b"),
-                 v.alias("value")) for (i, j), v in pw.items()]))
-    return staged.select("batch_id", rows.alias("p")).select("batch_id", "p.*")
-
-
-def _unpivot_models(wide: DataFrame, models, prefix: str, name: str) -> DataFrame:
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(f"{prefix}{i}").alias(name))
-        for i, m in enumerate(models)]))
-    return wide.select("batch_id", rows.alias("u")).select("batch_id", "u.model", f"u.{name}")
+    """Long ``(batch_id, model_a, model_b, value)``: the off-diagonal matrix
+    (``value`` = diversity of model_a vs model_b)."""
+    names = F.array(*[F.lit(m) for m in ss.models])
+    st = _staged(ss).select("batch_id", F.posexplode(_pw_col(corr)).alias("j", "row"))
+    out = st.select("batch_id", "j", F.posexplode("row").alias("i", "value"))
+    return out.filter(F.col("i") != F.col("j")).select(
+        "batch_id", names[F.col("i")].alias("model_a"), names[F.col("j")].alias("model_b"), "value")
 
 
 # ---------------------------------------------------------------- schemes
+# A scheme returns per model a float (constant weight) or one Column: the
+# per-batch ARRAY of M weights over the staged columns ``_rsc``, ``_pw_cd``
+# and ``_pw_ksi`` of the first-item row.
 
-def _ac(ss: ScoreSet, ctx: SchemeContext) -> list:
+def _ac(ss: ScoreSet, ctx: SchemeContext):
     return [1.0] * ss.n_models
 
 
-def _wccds(ss: ScoreSet, ctx: SchemeContext) -> list:
-    return strength_cols(ss, "CD")
+def _wccds(ss: ScoreSet, ctx: SchemeContext):
+    return strength_of(F.col("_pw_cd"))
 
 
-def _wckds(ss: ScoreSet, ctx: SchemeContext) -> list:
-    return strength_cols(ss, "KSI")
+def _wckds(ss: ScoreSet, ctx: SchemeContext):
+    return strength_of(F.col("_pw_ksi"))
 
 
-def _wcp(ss: ScoreSet, ctx: SchemeContext) -> list:
+def _wcp(ss: ScoreSet, ctx: SchemeContext):
     if ss.accuracies is None:
         raise ValueError("WCP needs model accuracies (ground truth)")
     return [a * 0.01 for a in ss.accuracies]
@@ -177,7 +171,7 @@ register_scheme(WCP, _wcp)
 @dataclass
 class Weights:
     """Per scheme a list of per-model weights (float literal or Column over
-    the joined per-batch frame ``frame``)."""
+    the per-batch frame ``frame``)."""
 
     schemes: tuple[str, ...]
     per_scheme: dict
@@ -192,31 +186,25 @@ class Weights:
         return None if isinstance(w, Column) else float(w)
 
 
-def weight_col_name(sid: int, i: int) -> str:
-    return f"w{sid}_{i}"
+def weight_col_name(sid: int) -> str:
+    return f"w{sid}"
 
 
 def batch_weights(ss: ScoreSet, schemes) -> Weights:
     """Weights of every selected scheme.  Per-batch schemes are evaluated on
-    the first-item rows in one projection: ``(batch_id, w<scheme>_<model>)``."""
+    the staged first-item rows: ``(batch_id, w<scheme id> ARRAY<DOUBLE>)``."""
     schemes = tuple(canonical_scheme(s) for s in schemes)
     ctx = SchemeContext(ss)
     raw = {s: _REGISTRY[s](ss, ctx) for s in schemes}
-    per_batch = [(sid, s) for sid, s in enumerate(schemes)
-                 if any(isinstance(w, Column) for w in raw[s])]
+    per_batch = [(sid, s) for sid, s in enumerate(schemes) if isinstance(raw[s], Column)]
     frame = None
-    per_scheme = {}
     if per_batch:
-        first = _staged_rsc(first_items(ss), ss)
-        cols = []
-        for sid, s in per_batch:
-            for i, w in enumerate(raw[s]):
-                col = w if isinstance(w, Column) else F.lit(float(w))
-                cols.append(col.alias(weight_col_name(sid, i)))
-        frame = first.select("batch_id", *cols)
+        frame = _staged(ss).select("batch_id", *[raw[s].alias(weight_col_name(sid))
+                                                 for sid, s in per_batch])
+    per_scheme = {}
     for sid, s in enumerate(schemes):
-        if any(isinstance(w, Column) for w in raw[s]):
-            per_scheme[s] = [F.col(weight_col_name(sid, i)) for i in range(ss.n_models)]
+        if isinstance(raw[s], Column):
+            per_scheme[s] = [F.col(weight_col_name(sid))[i] for i in range(ss.n_models)]
         else:
             per_scheme[s] = [float(w) for w in raw[s]]
     return Weights(schemes=schemes, per_scheme=per_scheme, frame=frame)

@@ -49,26 +49,32 @@ def ford_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _share_lookup(items: DataFrame, feature: str, n_classes: int) -> DataFrame:
-    """feature value -> ARRAY of class shares (count of class / count)."""
+def _share_lookups(items: DataFrame, n_models: int, n_classes: int) -> DataFrame:
+    """``(mi, f, shares)``: for every model's feature value the ARRAY of class
+    shares (count of class / count) — all models in one pass and one
+    partially aggregated shuffle."""
+    feats = F.explode(F.array(*[F.struct(F.lit(i).alias("mi"), F.col(f"f{i}").alias("f"))
+                                for i in range(n_models)]))
+    long = items.select("label", feats.alias("x")).select("x.mi", "x.f", "label")
     counts = [F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(f"n{k}")
               for k in range(n_classes)]
-    agg = items.groupBy(feature).agg(F.count(F.lit(1)).alias("t"), *counts)
+    agg = long.groupBy("mi", "f").agg(F.count(F.lit(1)).alias("t"), *counts)
     shares = F.array(*[F.col(f"n{k}").cast("double") / F.col("t").cast("double")
                        for k in range(n_classes)])
-    return agg.select(F.col(feature), shares.alias("shares"))
+    return agg.select("mi", "f", shares.alias("shares"))
 
 
 def ford_wide(spark: SparkSession, sf_dir: str) -> ScoreSet:
     """F-ORD as a score set: one row per order with s0..s4 score arrays."""
     items = ford_items(spark, sf_dir)
+    lookups = _share_lookups(items, len(FORD_MODELS), FORD_CLASSES)
     df = items
     for i in range(len(FORD_MODELS)):
-        f = f"f{i}"
-        # bounded feature domains (see module doc) -> broadcast is safe
-        lookup = F.broadcast(_share_lookup(items, f, FORD_CLASSES)
-                             .withColumnRenamed("shares", s_col(i)))
-        df = df.join(lookup, on=f, how="inner")
+        # bounded feature domains (see module doc) -> broadcast is safe; the
+        # five filters read the same aggregate, whose exchange is reused
+        lookup = F.broadcast(lookups.filter(F.col("mi") == i).select(
+            F.col("f").alias(f"f{i}"), F.col("shares").alias(s_col(i))))
+        df = df.join(lookup, on=f"f{i}", how="inner")
     df = df.select("item_id", "label", *[s_col(i) for i in range(len(FORD_MODELS))])
     return ScoreSet(df=df, models=FORD_MODELS, n_classes=FORD_CLASSES)
 
