@@ -283,3 +283,43 @@ def prep_split(spark, sf_dir):
 
 QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
                 "prep_impute": prep_impute, "prep_split": prep_split})
+
+
+# ---------------------------------------------------------------- scorers, loops
+
+def ml_scorers(spark, sf_dir):
+    """Fit the scorer suite on the 80% training share of ``embeddings`` and
+    report each model's test accuracy (no SQL equivalent: model training)."""
+    from rankmix.operators import scorers as M
+    from rankmix.operators.prep import hash_split
+    from rankmix.sources.fixtures import table
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding",
+                                                    F.col("label").cast("double").alias("label"))
+    emb = hash_split(M.as_features(emb, "embedding"), "item_id")
+    train, test = emb.filter(~F.col("is_test")), emb.filter(F.col("is_test"))
+    n_classes = int(emb.agg(F.max("label")).first()[0]) + 1
+    scores = M.fit_and_score(train, test, M.default_suite(64, n_classes))
+    truth = test.select("item_id", F.col("label").cast("int").alias("label"))
+    return M.accuracy_of(M.predictions(scores), truth).select(
+        "model", "correct", "total", r6("accuracy").alias("accuracy"))
+
+
+def vote_recursive(spark, sf_dir):
+    """Iterated majority voting over the five F-ORD base models' picks."""
+    ss = ford_wide(spark, sf_dir)
+    hist = V.recursive_vote(base_picks_wide(ss), list(ss.models), ss.n_classes)
+    rows = [(h["round"], p + 1, m, int(c)) for h in hist if not h["stopped"]
+            for p, (m, c) in enumerate(zip(h["kept"], h["kept_correct"]))]
+    return spark.createDataFrame(rows, "round int, position int, members string, correct long")
+
+
+def search_rounds(spark, sf_dir):
+    """Expansion-reduction search (AC, WC-CDS, WCP): pooled models per round."""
+    from rankmix.plans.search import search, search_table
+    ss = _ss(spark, sf_dir, SEARCH_SCHEMES)
+    return search_table(spark, search(ss, SEARCH_SCHEMES)).select(
+        "round", "position", "kind", "fusion_model", "correct", r6("accuracy").alias("accuracy"))
+
+
+QUERIES.update({"ml_scorers": ml_scorers, "vote_recursive": vote_recursive,
+                "search_rounds": search_rounds})

@@ -1 +1,5 @@
-"""Fusion of score streams."""
+"""Fusion of score streams (micro-batch, ``foreachBatch``)."""
+
+from rankmix.streaming.fuse_stream import fuse_stream
+
+__all__ = ["fuse_stream"]

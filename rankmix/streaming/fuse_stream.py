@@ -1,0 +1,45 @@
+"""Fusion of a stream of score rows.
+
+A fusion layer needs only the rows of one batch (weights come from the
+batch's first item), so a stream of score rows can be fused micro-batch by
+micro-batch with ``foreachBatch``: each micro-batch is treated as a score
+set, its labels for every output model are written to
+``<out>/epoch=<id>`` with overwrite, so a replayed epoch after a failure
+rewrites the same folder (exactly-once output with the query checkpoint).
+
+Batches are formed from ``item_id``; a batch whose items arrive in
+different micro-batches gets its weights from the first item present in
+each micro-batch.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from rankmix.model import ScoreSet
+from rankmix.operators.combine import RC, SC
+from rankmix.plans import layer as L
+
+
+def fuse_stream(stream: DataFrame, models, n_classes: int, schemes, out_path: str,
+                checkpoint_location: str, batch_size: int = 2048, kinds=(SC, RC),
+                trigger: dict | None = None) -> StreamingQuery:
+    """Start a query writing ``(item_id, kind, fusion_model, pred)`` per epoch.
+
+    ``stream`` carries ``item_id`` and one score array per model (``s0``..).
+    """
+    models = tuple(models)
+
+    def process(batch: DataFrame, epoch_id: int) -> None:
+        ss = ScoreSet(df=batch, models=models, n_classes=n_classes, has_label=False)
+        ss = L.prepare(ss, batch_size, (), materialize=False)
+        labels = L.layer_labels(ss, schemes, kinds)
+        labels.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch_id}"))
+
+    writer = (stream.writeStream.foreachBatch(process)
+              .option("checkpointLocation", checkpoint_location))
+    writer = writer.trigger(**(trigger or {"availableNow": True}))
+    return writer.start()
