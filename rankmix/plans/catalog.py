@@ -323,3 +323,73 @@ def search_rounds(spark, sf_dir):
 
 QUERIES.update({"ml_scorers": ml_scorers, "vote_recursive": vote_recursive,
                 "search_rounds": search_rounds})
+
+
+# ---------------------------------------------------------------- reports
+
+def tie_counts(spark, sf_dir):
+    return K.tie_counts(ford_wide(spark, sf_dir))
+
+
+def diversity_log(spark, sf_dir):
+    out = L.diversity_log(_ss(spark, sf_dir), "CD")
+    return out.select("batch_id", *[r6(m).alias(m) for m in FORD_MODELS])
+
+
+def layer_best(spark, sf_dir):
+    """Best SC and RC output, best base model and the improvement (points);
+    one aggregate with conditional max_by (layer order breaks ties)."""
+    acc = _layer_acc(spark, sf_dir, ALL4)
+    is_base = (F.col("kind") == SC) & F.col("fusion_model").isin(list(FORD_MODELS))
+    key = F.struct(F.col("accuracy"), -F.col("ord"))
+    aggs = []
+    for name, cond in (("sc", F.col("kind") == SC), ("rc", F.col("kind") == RC), ("base", is_base)):
+        aggs.append(F.max_by(F.col("fusion_model"), F.when(cond, key)).alias(f"best_{name}_model"))
+        aggs.append(F.max(F.when(cond, F.col("accuracy"))).alias(f"best_{name}"))
+    one = acc.agg(*aggs)
+    return one.select("best_sc_model", r6("best_sc").alias("best_sc"), "best_rc_model",
+                      r6("best_rc").alias("best_rc"), "best_base_model", r6("best_base").alias("best_base"),
+                      r6(F.greatest("best_sc", "best_rc") - F.col("best_base")).alias("improvement"))
+
+
+def performance_series(spark, sf_dir):
+    """Per scheme the chart series: base models then subsets by size, inside
+    a size ordered by RC (layer order on ties); base rows take RC := SC; the
+    best base SC and the axis floor (lowest SC - 10) ride along."""
+    acc = _layer_acc(spark, sf_dir, ALL4)
+    sc = acc.filter(F.col("kind") == SC).select("fusion_model", "ord", F.col("accuracy").alias("sc"))
+    rc = acc.filter(F.col("kind") == RC).select("fusion_model", F.col("accuracy").alias("rc"))
+    t = sc.join(rc, on="fusion_model")
+    base = t.filter(F.col("fusion_model").isin(list(FORD_MODELS)))
+    rows = []
+    for s in ALL4:
+        fused = t.filter(F.col("fusion_model").endswith("_" + s)).select(
+            F.lit(s).alias("scheme"), F.split("fusion_model", "_").getItem(0).alias("label"),
+            F.length(F.split("fusion_model", "_").getItem(0)).alias("size"), "ord", "sc", "rc")
+        bases = base.select(F.lit(s).alias("scheme"), F.col("fusion_model").alias("label"),
+                            F.lit(1).alias("size"), "ord", "sc", F.col("sc").alias("rc"))
+        rows.append(bases.unionByName(fused))
+    allr = rows[0]
+    for r in rows[1:]:
+        allr = allr.unionByName(r)
+    # schemes x outputs rows (metadata sized): the windows stay tiny
+    w = Window.partitionBy("scheme").orderBy("size", "rc", "ord")
+    everything = Window.partitionBy()
+    out = allr.select("*", F.row_number().over(w).alias("position"),
+                      F.max(F.when(F.col("size") == 1, F.col("sc"))).over(everything).alias("best_base"),
+                      (F.min("sc").over(everything) - 10).alias("floor"))
+    return out.select("scheme", "size", "position", "label", r6("sc").alias("sc"), r6("rc").alias("rc"),
+                      r6("best_base").alias("best_base"), r6("floor").alias("floor"))
+
+
+QUERIES.update({"tie_counts": tie_counts, "diversity_log": diversity_log, "layer_best": layer_best,
+                "performance_series": performance_series})
+
+
+def reg_ksi_strength(spark, sf_dir):
+    """xi diversity strength of the F-REG models over their whole vectors."""
+    st = R.ksi_strength_frame(_reg_long(spark, sf_dir), FREG_MODELS)
+    return st.select("model", r6("strength").alias("strength"))
+
+
+QUERIES.update({"reg_ksi_strength": reg_ksi_strength})

@@ -483,3 +483,71 @@ from ev cross join m"""
 
 QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
                 "prep_impute": prep_impute})
+
+
+# ------------------------------------------------------------ reports
+
+def tie_counts() -> str:
+    return _with(FORD) + """,
+t AS (select item_id, model, count(distinct score) < count(*) as tied from scores group by item_id, model)
+select model, sum(case when tied then 1 else 0 end) as items_with_ties from t group by model"""
+
+
+def diversity_log() -> str:
+    cols = ", ".join(f"round(max(case when model = '{m}' then strength end), 6) as \"{m}\"" for m in MODELS)
+    return _with(FORD, FIRSTS) + f"\nselect batch_id, {cols} from cds group by batch_id"
+
+
+def layer_best() -> str:
+    base_list = ", ".join(f"'{m}'" for m in MODELS)
+    return _layer(ALL4) + f""",
+bs AS (select fusion_model, accuracy from layer where kind = 'SC' order by accuracy desc, j limit 1),
+br AS (select fusion_model, accuracy from layer where kind = 'RC' order by accuracy desc, j limit 1),
+bb AS (select fusion_model, accuracy from layer where kind = 'SC' and fusion_model in ({base_list})
+       order by accuracy desc, j limit 1)
+select bs.fusion_model as best_sc_model, round(bs.accuracy, 6) as best_sc,
+       br.fusion_model as best_rc_model, round(br.accuracy, 6) as best_rc,
+       bb.fusion_model as best_base_model, round(bb.accuracy, 6) as best_base,
+       round(greatest(bs.accuracy, br.accuracy) - bb.accuracy, 6) as improvement
+from bs, br, bb"""
+
+
+def performance_series() -> str:
+    base_list = ", ".join(f"'{m}'" for m in MODELS)
+    parts = []
+    for s in ALL4:
+        parts.append(f"""select '{s}' as scheme, s.fusion_model as label, 1 as size, s.j, s.accuracy as sc, s.accuracy as rc
+  from layer s where s.kind = 'SC' and s.fusion_model in ({base_list})""")
+        parts.append(f"""select '{s}', split_part(s.fusion_model, '_', 1), length(split_part(s.fusion_model, '_', 1)),
+         s.j, s.accuracy, r.accuracy
+  from layer s join layer r on r.fusion_model = s.fusion_model and r.kind = 'RC'
+  where s.kind = 'SC' and s.fusion_model like '%\\_{s}' escape '\\'""")
+    return _layer(ALL4) + ",\nser AS (" + "\n union all ".join(parts) + f"""),
+st AS (select max(accuracy) as best_base from layer where kind = 'SC' and fusion_model in ({base_list})),
+fl AS (select min(accuracy) - 10 as floor from layer where kind = 'SC')
+select scheme, size, row_number() over (partition by scheme order by size, rc, j) as position, label,
+       round(sc, 6) as sc, round(rc, 6) as rc, round(st.best_base, 6) as best_base, round(fl.floor, 6) as floor
+from ser, st, fl"""
+
+
+QUERIES.update({"tie_counts": tie_counts, "diversity_log": diversity_log, "layer_best": layer_best,
+                "performance_series": performance_series})
+
+
+def reg_ksi_strength() -> str:
+    return _with(FREG) + """,
+st AS (select model, min(score) as lo, max(score) as hi from freg group by model),
+rv AS (select f.model, (f.score - st.lo) / nullif(st.hi - st.lo, 0) as v,
+              row_number() over (partition by f.model order by f.score desc, f.item_id desc) as pos
+       from freg f join st on f.model = st.model),
+pr AS (select a.model as ma, b.model as mb, a.pos, a.v as av, b.v as bv
+       from rv a join rv b on a.pos = b.pos and a.model <> b.model),
+kt AS (select *, row_number() over (partition by ma, mb order by av, pos) as t from pr),
+kr AS (select *, row_number() over (partition by ma, mb order by bv, t) as r from kt),
+kl AS (select *, lag(r) over (partition by ma, mb order by t) as prv from kr),
+n AS (select count(*) as n from freg where model = 'P'),
+xi AS (select ma, mb, 3.0 * sum(abs(r - prv)) / (n.n * n.n - 1) as d from kl, n group by ma, mb, n.n)
+select mb as model, round(avg(d), 6) as strength from xi group by mb"""
+
+
+QUERIES.update({"reg_ksi_strength": reg_ksi_strength})

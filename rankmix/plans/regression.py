@@ -8,7 +8,8 @@ Input: one row per item with ``target`` and one prediction column per model
 * rank-score characteristic (K7/K8): the whole vector min-max (or max) scaled
   and sorted best first;
 * weights (F14): AC = 1; WC-CDS = mean cognitive diversity between the
-  models' vector RSCs (aligned by rank: one shuffle on the rank);
+  models' vector RSCs (aligned by rank: one shuffle on the rank); WC-KDS =
+  mean xi dissimilarity of the vector RSCs (distributed global ranks);
 * fusion (F13): per subset and scheme the weighted mean of the vectors (SC)
   and of the ranks with inverse weights (RC); zero when no member has weight;
 * report (C5/C6): R^2 = 1 - SSE/SST and RMSE per output.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rankmix.functions import lsum
 from rankmix.operators.ranks import global_rank
-from rankmix.operators.weights import AC, WCCDS, canonical_scheme
+from rankmix.operators.weights import AC, WCCDS, WCKDS, canonical_scheme
 
 REGRESSION_SCHEMES = (AC, WCCDS)
 
@@ -81,6 +82,43 @@ def cd_strengths(long: DataFrame, models) -> dict:
     return out
 
 
+def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None) -> DataFrame:
+    """xi diversity strength per model from the vector RSCs (X5: whole vectors).
+
+    For every ordered pair (A, B): positions ordered by A's value ascending
+    (ties by position) give the sequence of B's values; its ordinal ranks
+    (ties by sequence order) r_t give S = sum |r_t+1 - r_t| and
+    xi = 3 S / (N^2 - 1).  Both orders are distributed global ranks over all
+    pairs at once (pair id is the partition key of the rank); the steps come
+    from an equi-join of t with t+1.  Strength of B = mean over A != B.
+    """
+    rsc = vector_rsc(long, partitions=partitions).select("model", F.col("rank").alias("pos"), "value")
+    m = len(models)
+    pairs = [(a, b) for a in range(m) for b in range(m) if a != b]
+    # ordered model pairs are metadata (M^2 rows): broadcast
+    pair_df = long.sparkSession.createDataFrame(
+        [(k, models[a], models[b]) for k, (a, b) in enumerate(pairs)], "pair int, ma string, mb string")
+    av = rsc.join(F.broadcast(pair_df), rsc.model == pair_df.ma).select("pair", "pos", F.col("value").alias("av"))
+    bv = rsc.join(F.broadcast(pair_df), rsc.model == pair_df.mb).select("pair", "pos", F.col("value").alias("bv"))
+    both = av.join(bv, on=["pair", "pos"])
+    t = global_rank(both, "pair", ["av", "pos"], "t", partitions)
+    r = global_rank(t.select("pair", "t", "bv"), "pair", ["bv", "t"], "r", partitions)
+    nxt = r.select("pair", (F.col("t") - 1).alias("t"), F.col("r").alias("r_next"))
+    steps = r.join(nxt, on=["pair", "t"]).groupBy("pair").agg(
+        F.sum(F.abs(F.col("r_next") - F.col("r"))).alias("s"))
+    sizes = rsc.groupBy("model").agg(F.max("pos").alias("n"))  # one row per model
+    xi = (steps.join(F.broadcast(pair_df), on="pair")
+          .join(F.broadcast(sizes), F.col("mb") == sizes.model)
+          .select("mb", (F.lit(3.0) * F.col("s") / (F.col("n") * F.col("n") - 1).cast("double")).alias("d")))
+    return xi.groupBy("mb").agg(F.avg("d").alias("strength")).withColumnRenamed("mb", "model")
+
+
+def ksi_strengths(long: DataFrame, models, partitions: int | None = None) -> dict:
+    rows = ksi_strength_frame(long, models, partitions).collect()
+    got = {r["model"]: r["strength"] for r in rows}
+    return {m: got.get(m) for m in models}
+
+
 def regression_weights(long: DataFrame, models, schemes=REGRESSION_SCHEMES) -> dict:
     schemes = [canonical_scheme(s) for s in schemes]
     out = {}
@@ -89,6 +127,8 @@ def regression_weights(long: DataFrame, models, schemes=REGRESSION_SCHEMES) -> d
             out[s] = {m: 1.0 for m in models}
         elif s == WCCDS:
             out[s] = cd_strengths(long, models)
+        elif s == WCKDS:
+            out[s] = ksi_strengths(long, models)
         else:
             raise ValueError(f"scheme {s} is not available for regression (needs accuracies "
                              f"or per-item class scores)")
