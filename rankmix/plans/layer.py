@@ -22,23 +22,24 @@ from rankmix.operators.evaluate import (accuracy, labels_long, per_class_accurac
                                         performance_table, with_base_accuracies)
 from rankmix.operators.weights import (WCP, batch_weights, strengths, validate_schemes)
 from rankmix.session import ensure_checkpoint_dir
-from rankmix.sources.frames import with_batches, with_ranks
+from rankmix.sources.frames import materialize as materialize_set, with_batches, with_ranks
 
 
 def prepare(ss: ScoreSet, batch_size: int = 2048, schemes=(), partitions: int | None = None,
             materialize: bool = True) -> ScoreSet:
     """Batch, rank and (when WCP is asked for) measure the base models.
 
-    With ``materialize`` the batched, ranked rows are written once to the
-    shared checkpoint folder: every later branch of a layer (first items,
-    weights, fan-out, base accuracies) reads them instead of recomputing the
-    input and its shuffle, the hash partitioning on ``batch_id`` is kept,
-    and a lost executor re-reads the files instead of replaying lineage.
+    With ``materialize`` the batched, ranked rows are written once, as a
+    table bucketed by ``batch_id`` in the shared checkpoint folder: every
+    later branch of a layer (first items, weights, fan-out, base accuracies)
+    reads it instead of recomputing the input, the bucketed scan keeps the
+    hash partitioning on ``batch_id`` (no further exchange of item rows), and
+    a lost executor re-reads files instead of replaying lineage.
     """
     ss = with_ranks(with_batches(ss, batch_size, partitions))
     if materialize:
         ensure_checkpoint_dir(ss.df.sparkSession)
-        ss = ss.with_df(ss.df.checkpoint(eager=True))
+        ss = materialize_set(ss, partitions)
     if any(s == WCP for s in validate_schemes(schemes, ss.has_label)) and ss.accuracies is None:
         ss = with_base_accuracies(ss)
     return ss

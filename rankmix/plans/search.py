@@ -9,8 +9,9 @@ matrices contain an invalid value (constant batch, no weight) are dropped.
 
 The driver loop only moves metadata (accuracies of at most a few hundred
 outputs).  The K selected matrices of each round are written to the shared
-checkpoint folder (``DataFrame.checkpoint``), which cuts the lineage to one
-round and lets a lost executor recompute a single round.
+checkpoint folder as a table bucketed by ``batch_id``, which cuts the lineage
+to one round, keeps the next round free of item exchanges, and lets a lost
+executor re-read a single round.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs, outpu
 from rankmix.operators.evaluate import accuracy
 from rankmix.operators.weights import batch_weights, validate_schemes
 from rankmix.session import ensure_checkpoint_dir
+from rankmix.sources.frames import materialize
 
 # Pool size and round limit of the search.
 POOL_K = 4
@@ -73,20 +75,19 @@ def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
             mx = F.lit(top[name])
             vals = F.transform(vals, lambda r, mx=mx: F.lit(1.0) - F.try_divide(r - 1, mx - 1))
         aggs.append(F.first(F.when(sel, vals), ignorenulls=True).alias(s_col(i)))
-    label = [F.first("label").alias("label")] if ss.has_label else []
     # rows are still clustered by batch_id: grouping on (batch_id, item_id) adds no exchange
-    lab = ss.df.select("item_id", "label") if ss.has_label else None
     wide = mats.groupBy("batch_id", "item_id").agg(*aggs)
-    if lab is not None:
-        wide = wide.join(lab, on="item_id")
-    del label
+    if ss.has_label:
+        wide = wide.join(ss.df.select("batch_id", "item_id", "label"), on=["batch_id", "item_id"])
     wide = wide.select("item_id", "batch_id", *(["label"] if ss.has_label else []),
                        *[s_col(i) for i in range(len(keys))],
                        *[ordinal_rank_desc(F.col(s_col(i))).alias(r_col(i)) for i in range(len(keys))])
-    wide = wide.repartition(ss.df.rdd.getNumPartitions(), "batch_id").checkpoint(eager=True)
     names = tuple(f"({k}_{n})" for k, n in keys)
-    return replace(ss, df=wide, models=names, has_ranks=True,
-                   accuracies=tuple(float(a) for _, _, a in chosen))
+    nxt = replace(ss, df=wide.repartition("batch_id"), models=names, has_ranks=True,
+                  accuracies=tuple(float(a) for _, _, a in chosen))
+    # written once, bucketed by batch_id: the next round reads it without
+    # an exchange and its lineage starts here
+    return materialize(nxt)
 
 
 def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS) -> list[dict]:

@@ -88,3 +88,24 @@ def with_ranks(ss: ScoreSet) -> ScoreSet:
     df = ss.df.select("*", *[avg_rank_desc(F.col(s_col(i))).alias(r_col(i))
                              for i in range(ss.n_models)])
     return ss.with_df(df, has_ranks=True)
+
+
+def materialize(ss: ScoreSet, partitions: int | None = None, name: str | None = None) -> ScoreSet:
+    """Write the batched rows once as a table bucketed by ``batch_id`` in the
+    shared checkpoint folder and read it back.
+
+    The bucketed scan reports hash partitioning on ``batch_id``, so every
+    later join or aggregate on ``batch_id`` runs without an exchange, all
+    branches read the same files (no recomputation of the input), and a lost
+    executor re-reads files instead of replaying the lineage.
+    """
+    import uuid
+
+    from rankmix.session import scratch_dir
+    spark = ss.df.sparkSession
+    n = partitions or default_partitions(spark)
+    tag = name or uuid.uuid4().hex[:12]
+    table = f"rankmix_scores_{tag}"
+    (ss.df.write.mode("overwrite").bucketBy(n, "batch_id").format("parquet")
+     .option("path", scratch_dir(spark, table)).saveAsTable(table))
+    return ss.with_df(spark.table(table))
