@@ -59,3 +59,100 @@ def accuracy_of(preds: DataFrame, truth: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("pred") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
         F.count(F.lit(1)).alias("total")).withColumn(
         "accuracy", F.col("correct") / F.col("total") * 100.0)
+
+
+# ------------------------------------------------------------ AdaBoost (SAMME)
+
+def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: int = 50,
+                    max_depth: int = 1, seed: int = 42, name: str = "adaboost",
+                    id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+    """Multi-class AdaBoost (SAMME) built from weighted decision trees.
+
+    Each round fits one tree with ``weightCol`` (distributed), measures the
+    weighted error with one aggregate, and re-weights the rows; the weights
+    column is checkpointed every 10 rounds so lineage stays short.  Test
+    scores are ``sum_t alpha_t [pred_t = k] / sum_t alpha_t`` per class.
+    """
+    import math
+
+    from rankmix.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    cur = train.select(id_col, "features", F.col(label_col).cast("double").alias("label"),
+                       F.lit(1.0).alias("w"))
+    test_rows = test.select(id_col, "features")
+    votes = None
+    total_alpha = 0.0
+    for t in range(rounds):
+        tree = DecisionTreeClassifier(maxDepth=max_depth, weightCol="w", seed=seed + t,
+                                      featuresCol="features", labelCol="label").fit(cur)
+        pred = tree.transform(cur).select(id_col, "features", "label", "w", "prediction")
+        miss = F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(F.lit(0.0))
+        row = pred.agg(F.sum(miss).alias("bad"), F.sum("w").alias("all")).first()
+        err = row["bad"] / row["all"] if row["all"] else 1.0
+        if err >= 1.0 - 1.0 / n_classes:
+            break
+        err = max(err, 1e-12)
+        alpha = math.log((1.0 - err) / err) + math.log(n_classes - 1)
+        total_alpha += alpha
+        scored = tree.transform(test_rows).select(
+            id_col, F.col("prediction").cast("int").alias("p"), F.lit(alpha).alias("a"))
+        votes = scored if votes is None else votes.unionByName(scored)
+        cur = pred.select(id_col, "features", "label",
+                          (F.col("w") * F.exp(F.when(F.col("prediction") != F.col("label"), F.lit(alpha))
+                                              .otherwise(F.lit(0.0)))).alias("w"))
+        if (t + 1) % 10 == 0:
+            cur = cur.checkpoint(eager=True)
+        if err <= 1e-12:
+            break
+    if votes is None:
+        raise ValueError("no useful AdaBoost round (error too high)")
+    agg = votes.groupBy(id_col).agg(*[
+        F.sum(F.when(F.col("p") == k, F.col("a")).otherwise(F.lit(0.0))).alias(f"c{k}")
+        for k in range(n_classes)])
+    arr = F.array(*[F.col(f"c{k}") / F.lit(total_alpha) for k in range(n_classes)])
+    return agg.select(F.col(id_col).alias("item_id"), F.lit(name).alias("model"),
+                      F.posexplode(arr).alias("cls", "score"))
+
+
+# ------------------------------------------------------------ SVM
+
+def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float = 0.01,
+               id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+    """Linear SVM, one-vs-rest; class scores are the softmax of the margins
+    (a probability-like normalisation; the linear kernel only)."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=100), featuresCol="features",
+                    labelCol=label_col).fit(train)
+    raw = ovr.transform(test).select(F.col(id_col).alias("item_id"),
+                                     vector_to_array("rawPrediction").alias("m"))
+    mx = F.array_max("m")
+    ex = F.transform("m", lambda x: F.exp(x - mx))
+    tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
+    probs = F.transform(ex, lambda x: x / tot)
+    return raw.select("item_id", F.lit(name).alias("model"), F.posexplode(probs).alias("cls", "score"))
+
+
+# ------------------------------------------------------------ user models
+
+def score_with(df: DataFrame, load_model, predict, n_classes: int, name: str,
+               feature_cols: list[str], id_col: str = "item_id") -> DataFrame:
+    """Score rows with a model the caller brings (any Python library).
+
+    ``load_model()`` runs once per task (not per row); ``predict(model,
+    pandas.DataFrame) -> numpy array (rows x classes)``.  Arrow batches in,
+    long ``(item_id, model, cls, score)`` rows out (``mapInPandas``).
+    """
+    import pandas as pd
+
+    def run(batches):
+        model = load_model()
+        for pdf in batches:
+            probs = predict(model, pdf[feature_cols])
+            out = pd.DataFrame({"item_id": pdf[id_col].repeat(n_classes).to_numpy(),
+                                "cls": list(range(n_classes)) * len(pdf),
+                                "score": probs.reshape(-1).astype("float64")})
+            out.insert(1, "model", name)
+            yield out
+
+    return df.select(id_col, *feature_cols).mapInPandas(
+        run, "item_id long, model string, cls int, score double")

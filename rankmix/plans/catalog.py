@@ -288,8 +288,9 @@ QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
 # ---------------------------------------------------------------- scorers, loops
 
 def ml_scorers(spark, sf_dir):
-    """Fit the scorer suite on the 80% training share of ``embeddings`` and
-    report each model's test accuracy (no SQL equivalent: model training)."""
+    """Fit the scorer suite (random forest, tree, perceptron, linear SVM,
+    AdaBoost) on the 80% training share of ``embeddings`` and report each
+    model's test accuracy (no SQL equivalent: model training)."""
     from rankmix.operators import scorers as M
     from rankmix.operators.prep import hash_split
     from rankmix.sources.fixtures import table
@@ -298,7 +299,9 @@ def ml_scorers(spark, sf_dir):
     emb = hash_split(M.as_features(emb, "embedding"), "item_id")
     train, test = emb.filter(~F.col("is_test")), emb.filter(F.col("is_test"))
     n_classes = int(emb.agg(F.max("label")).first()[0]) + 1
-    scores = M.fit_and_score(train, test, M.default_suite(64, n_classes))
+    scores = (M.fit_and_score(train, test, M.default_suite(64, n_classes))
+              .unionByName(M.svm_scores(train, test))
+              .unionByName(M.adaboost_scores(train, test, n_classes, rounds=10)))
     truth = test.select("item_id", F.col("label").cast("int").alias("label"))
     return M.accuracy_of(M.predictions(scores), truth).select(
         "model", "correct", "total", r6("accuracy").alias("accuracy"))
