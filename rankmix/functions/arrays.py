@@ -84,38 +84,6 @@ def rsc_desc(arr: Column) -> Column:
     return F.sort_array(minmax_row(arr), asc=False)
 
 
-def cognitive_diversity(a: Column, b: Column, n: int) -> Column:
-    """sqrt(sum_k (a[k]-b[k])^2 / n) over two RSC arrays of length n."""
-    terms = [(a.getItem(k) - b.getItem(k)) * (a.getItem(k) - b.getItem(k)) for k in range(n)]
-    return F.sqrt(lsum(terms) / F.lit(float(n)))
-
-
-def ksi_dissimilarity(a: Column, b: Column, n: int) -> Column:
-    """xi-based dissimilarity of B given A (asymmetric).
-
-    Order the positions by A ascending (ties by position), take B in that
-    order, rank it ordinally (ties by order), sum the absolute rank steps S;
-    the value is 3*S/(n^2-1).  Any NULL input gives NULL.
-    """
-    if n < 2:
-        return F.lit(None).cast("double")
-    order = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                 lambda p: F.struct(F.get(a, p).alias("v"), p.alias("p")))),
-        lambda s: s.getField("p"))
-    b_ord = F.transform(order, lambda p: F.get(b, p))
-    ranks = F.transform(
-        b_ord,
-        lambda v, t: F.lit(1) + F.size(F.filter(
-            b_ord, lambda u, q: (u < v) | ((u == v) & (q < t)))))
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0),
-        lambda acc, t: acc + F.abs(F.get(ranks, t) - F.get(ranks, t - 1)))
-    value = F.lit(3.0) * steps / F.lit(float(n * n - 1))
-    has_null = F.exists(a, lambda x: x.isNull()) | F.exists(b, lambda x: x.isNull())
-    return F.when(~has_null, value)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
     (inside higher-order functions a repeated sub-expression would be
@@ -155,12 +123,5 @@ def ksi_of(order_a: Column, a: Column, b: Column, n: int) -> Column:
     return F.when(~has_null, F.lit(3.0) * total / F.lit(float(n * n - 1)))
 
 
-def nan_mean(cols: list[Column]) -> Column:
-    """Mean of the non-NULL columns; NULL when all are NULL."""
-    total = lsum([F.coalesce(c, F.lit(0.0)) for c in cols])
-    count = lsum([F.when(c.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for c in cols])
-    return F.try_divide(total, count)
-
-
 def has_ties(arr: Column) -> Column:
     return F.size(F.array_distinct(arr)) < F.size(arr)

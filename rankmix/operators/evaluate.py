@@ -121,3 +121,27 @@ def rank_within(acc: DataFrame) -> DataFrame:
     """Row number of every output inside its kind, best first (small table)."""
     w = Window.partitionBy("kind").orderBy(F.col("accuracy").desc(), F.col("ord"))
     return acc.withColumn("position", F.row_number().over(w))
+
+
+def check_score_set(ss: ScoreSet) -> dict:
+    """Input checks (C4) in one aggregate pass: every score array has C
+    entries, no NULL scores, labels inside 0..C-1, unique item ids.
+    Returns the counts of offending rows; raises ValueError if any."""
+    c = ss.n_classes
+    bad_len = [F.sum(F.when(F.size(F.col(f"s{i}")) != c, 1).otherwise(0)).alias(f"len{i}")
+               for i in range(ss.n_models)]
+    bad_null = [F.sum(F.when(F.exists(F.col(f"s{i}"), lambda x: x.isNull()), 1).otherwise(0)).alias(f"nul{i}")
+                for i in range(ss.n_models)]
+    aggs = bad_len + bad_null + [F.count(F.lit(1)).alias("rows"),
+                                 F.approx_count_distinct("item_id").alias("ids")]
+    if ss.has_label:
+        aggs.append(F.sum(F.when((F.col("label") < 0) | (F.col("label") >= c) | F.col("label").isNull(),
+                                 1).otherwise(0)).alias("bad_label"))
+    row = ss.df.agg(*aggs).first().asDict()
+    problems = {k: v for k, v in row.items() if k not in ("rows", "ids") and v}
+    dupes = ss.df.groupBy("item_id").count().filter("count > 1").limit(1).count()
+    if dupes:
+        problems["duplicate_item_ids"] = dupes
+    if problems:
+        raise ValueError(f"invalid score set: {problems}")
+    return row

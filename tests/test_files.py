@@ -35,3 +35,16 @@ def test_prefix_names_and_sink(spark, tmp_path):
     write_scores(long, str(out))
     back = spark.read.parquet(str(out))
     assert back.filter("model = 'beta'").count() == 6
+
+
+def test_check_score_set(spark):
+    import pytest
+    from rankmix.model import ScoreSet
+    from rankmix.operators.evaluate import check_score_set
+    ok = spark.createDataFrame([(0, 1, [0.1, 0.9]), (1, 0, [0.6, 0.4])],
+                               "item_id long, label int, s0 array<double>")
+    assert check_score_set(ScoreSet(df=ok, models=("a",), n_classes=2))["rows"] == 2
+    bad = spark.createDataFrame([(0, 3, [0.1, 0.9]), (0, 0, [0.6])],
+                                "item_id long, label int, s0 array<double>")
+    with pytest.raises(ValueError):
+        check_score_set(ScoreSet(df=bad, models=("a",), n_classes=2))
