@@ -3,8 +3,9 @@
 Everything here returns a ``Column`` evaluated inside the JVM.  Where the
 class count ``C`` is known on the driver the expressions are generated flat
 (``s[0]``, ``s[1]`` ...) so whole-stage codegen compiles them; array
-higher-order functions are used only where the work is data dependent
-(ranking, sorting).
+higher-order functions are used where the work is data dependent (ranking,
+sorting) and for the per-batch diversity matrices, with intermediates bound
+to lambda variables (``let``) so nothing is evaluated twice.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs
 from rankmix.operators.evaluate import (accuracy, labels_long, per_class_accuracy,
                                         performance_table, with_base_accuracies)
 from rankmix.operators.weights import (WCP, batch_weights, strengths, validate_schemes)
-from rankmix.session import ensure_checkpoint_dir
+from rankmix.session import ensure_checkpoint_dir, tune_session
 from rankmix.sources.frames import materialize as materialize_set, with_batches, with_ranks
 
 
@@ -36,6 +36,7 @@ def prepare(ss: ScoreSet, batch_size: int = 2048, schemes=(), partitions: int |
     hash partitioning on ``batch_id`` (no further exchange of item rows), and
     a lost executor re-reads files instead of replaying lineage.
     """
+    tune_session(ss.df.sparkSession)
     ss = with_ranks(with_batches(ss, batch_size, partitions))
     if materialize:
         ensure_checkpoint_dir(ss.df.sparkSession)

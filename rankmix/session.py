@@ -58,3 +58,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def tune_session(spark: SparkSession) -> None:
+    """Runtime SQL settings the fusion plans rely on, applied only where the
+    session still has Spark's defaults (a caller's explicit choice wins)."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        # generated methods above the JIT's 8 KB bytecode limit run interpreted
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
