@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from itertools import combinations as _combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmix.functions import json_literal, lsum
@@ -162,28 +162,22 @@ def fused_matrices(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec]
 
     SC values (base models included) are min-max scaled over the whole batch
     of that output model; RC values are weighted mean ranks, unscaled.  The
-    per-(batch, output) min/max is a grouped aggregate on rows already
-    clustered by ``batch_id`` and is joined back on ``batch_id`` alone as
-    arrays indexed by ``j``, so neither step adds an exchange.
+    per-(batch, output) min/max is a window over ``(batch_id, j)``: the rows
+    are already clustered by ``batch_id``, so it costs an in-partition sort
+    and no exchange, and the fan-out is evaluated once.
     """
     keep = ["item_id", "batch_id"]
     of, layout = output_frame(ss, weights, specs, kinds, keep=keep)
     n = ss.n_classes
-    arr = F.array(*[F.col(f"v{k}") for k in range(n)])
-    of = of.select("item_id", "batch_id", "j", "kind_id", arr.alias("values"))
+    vs = [F.col(f"v{k}") for k in range(n)]
     if normalize:
-        per = of.groupBy("batch_id", "j").agg(F.min(F.array_min("values")).alias("lo"),
-                                              F.max(F.array_max("values")).alias("hi"))
-        # every batch has every output j, so the j-sorted list is indexed by j
-        stats = per.groupBy("batch_id").agg(
-            F.array_sort(F.collect_list(F.struct("j", "lo", "hi"))).alias("mm"))
-        of = of.join(stats.hint("shuffle_hash"), on="batch_id", how="inner")
-        mm = F.col("mm")[F.col("j")]
-        lo, hi = mm.getField("lo"), mm.getField("hi")
-        scaled = F.transform("values", lambda x: F.try_divide(x - lo, hi - lo))
-        of = of.withColumn("values", F.when(F.col("kind_id") == 0, scaled)
-                           .otherwise(F.col("values"))).drop("mm")
+        w = Window.partitionBy("batch_id", "j")
+        lo = F.min(F.least(*vs) if n > 1 else vs[0]).over(w)
+        hi = F.max(F.greatest(*vs) if n > 1 else vs[0]).over(w)
+        of = of.select(*keep, "j", "kind_id", *vs, lo.alias("_lo"), hi.alias("_hi"))
+        lo, hi = F.col("_lo"), F.col("_hi")
+        vs = [F.when(F.col("kind_id") == 0, F.try_divide(v - lo, hi - lo)).otherwise(v) for v in vs]
     names = _meta_array([spec.name for _, spec in layout], "string")
     kinds_a = _meta_array([kind for kind, _ in layout], "string")
     return of.select("item_id", "batch_id", kinds_a[F.col("j")].alias("kind"),
-                     names[F.col("j")].alias("fusion_model"), "values")
+                     names[F.col("j")].alias("fusion_model"), F.array(*vs).alias("values"))

@@ -108,8 +108,11 @@ def layer_report(spark, sf_dir):
 def _matrices(spark, sf_dir, kind):
     ss = _ss(spark, sf_dir, MATRIX_SCHEMES)
     m = L.layer_matrices(ss, MATRIX_SCHEMES, kinds=(kind,))
+    # IEEE rounding (floor(x * 1e6 + 0.5) / 1e6): millions of values, and the
+    # same bits in every engine
     return m.select("item_id", "fusion_model",
-                    *[r6(F.col("values")[k]).alias(f"c{k}") for k in range(ss.n_classes)])
+                    *[(F.floor(F.col("values")[k] * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).alias(f"c{k}")
+                      for k in range(ss.n_classes)])
 
 
 def score_combination(spark, sf_dir):

@@ -234,7 +234,8 @@ where s.kind = 'SC'"""
 
 
 def _matrices(kind: str) -> str:
-    cols = ", ".join(f"round(max(case when cls = {k} then val end), 6) as c{k}" for k in range(N_CLASSES))
+    cols = ", ".join(f"floor(max(case when cls = {k} then val end) * 1e6 + 0.5) / 1e6 as c{k}"
+                     for k in range(N_CLASSES))
     if kind == "SC":
         val = """(fv.v - mm.lo) / nullif(mm.hi - mm.lo, 0)"""
         extra = """,
