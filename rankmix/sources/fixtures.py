@@ -67,7 +67,10 @@ def _share_lookups(items: DataFrame, n_models: int, n_classes: int) -> DataFrame
 def ford_wide(spark: SparkSession, sf_dir: str) -> ScoreSet:
     """F-ORD as a score set: one row per order with s0..s4 score arrays."""
     items = ford_items(spark, sf_dir)
-    lookups = _share_lookups(items, len(FORD_MODELS), FORD_CLASSES)
+    # one row per (model, feature value): bounded by the TPC-H feature domains.
+    # Kept in memory so the five per-model broadcasts read one aggregate
+    # (a per-model filter would otherwise be pushed below it, five times).
+    lookups = _share_lookups(items, len(FORD_MODELS), FORD_CLASSES).persist()
     df = items
     for i in range(len(FORD_MODELS)):
         # bounded feature domains (see module doc) -> broadcast is safe; the
