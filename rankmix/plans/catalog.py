@@ -217,11 +217,14 @@ def reg_rsc(spark, sf_dir):
 
 
 def _reg_fused(spark, sf_dir):
-    wide = freg_wide(spark, sf_dir)
+    from rankmix.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # derived once (three group means per order) and read by every branch
+    wide = freg_wide(spark, sf_dir).checkpoint(eager=True)
     long = R.to_long(wide, FREG_MODELS)
-    weights = R.regression_weights(long, FREG_MODELS, R.REGRESSION_SCHEMES)
-    ranked = R.with_vector_ranks(wide, FREG_MODELS)
-    return wide, R.fuse(ranked, FREG_MODELS, weights)
+    ranked = R.vector_ranks(long)  # one global ordering for ranks and RSCs
+    weights = R.regression_weights(long, FREG_MODELS, R.REGRESSION_SCHEMES, ranked)
+    return wide, R.fuse(R.with_vector_ranks(wide, FREG_MODELS, ranked), FREG_MODELS, weights)
 
 
 def reg_fusion(spark, sf_dir):

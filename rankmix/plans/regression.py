@@ -41,27 +41,30 @@ def vector_ranks(long: DataFrame, partitions: int | None = None) -> DataFrame:
                        "rank", partitions)
 
 
-def vector_rsc(long: DataFrame, scale: str = "minmax", partitions: int | None = None) -> DataFrame:
+def vector_rsc(long: DataFrame, scale: str = "minmax", partitions: int | None = None,
+               ranked: DataFrame | None = None) -> DataFrame:
     """``(model, rank, value)``: scaled scores sorted from best (rank 1) down.
 
     ``scale="minmax"`` gives (x - min)/(max - min); ``"max"`` gives x / max.
+    The descending order (score desc, item_id desc) is the exact reverse of
+    the ascending vector ranks, so ``rank = n + 1 - ascending rank``: pass
+    ``ranked`` (from ``vector_ranks``) to reuse one global ordering.
     """
-    stats = long.groupBy("model").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    ranked = ranked if ranked is not None else vector_ranks(long, partitions)
     # one row per model: metadata sized
-    joined = long.join(F.broadcast(stats), on="model")
+    stats = ranked.groupBy("model").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"),
+                                        F.count(F.lit(1)).alias("_n"))
+    joined = ranked.join(F.broadcast(stats), on="model")
     if scale == "max":
         val = F.try_divide(F.col("score"), F.col("_hi"))
     else:
         val = F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    scored = joined.select("item_id", "model", val.alias("value"))
-    ranked = global_rank(scored, "model", [F.col("value").desc(), F.col("item_id").desc()],
-                         "rank", partitions)
-    return ranked.select("model", "rank", "value")
+    return joined.select("model", (F.col("_n") + 1 - F.col("rank")).alias("rank"), val.alias("value"))
 
 
-def cd_strengths(long: DataFrame, models) -> dict:
+def cd_strengths(long: DataFrame, models, ranked: DataFrame | None = None) -> dict:
     """Diversity strength per model from the vector RSCs (one small action)."""
-    rsc = vector_rsc(long)
+    rsc = vector_rsc(long, ranked=ranked)
     m = len(models)
     wide = rsc.groupBy("rank").pivot("model", list(models)).agg(F.first("value"))
     sq = {}
@@ -82,7 +85,8 @@ def cd_strengths(long: DataFrame, models) -> dict:
     return out
 
 
-def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None) -> DataFrame:
+def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None,
+                       ranked: DataFrame | None = None) -> DataFrame:
     """xi diversity strength per model from the vector RSCs (X5: whole vectors).
 
     For every ordered pair (A, B): positions ordered by A's value ascending
@@ -92,7 +96,8 @@ def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None) -
     pairs at once (pair id is the partition key of the rank); the steps come
     from an equi-join of t with t+1.  Strength of B = mean over A != B.
     """
-    rsc = vector_rsc(long, partitions=partitions).select("model", F.col("rank").alias("pos"), "value")
+    rsc = vector_rsc(long, partitions=partitions, ranked=ranked).select(
+        "model", F.col("rank").alias("pos"), "value")
     m = len(models)
     pairs = [(a, b) for a in range(m) for b in range(m) if a != b]
     # ordered model pairs are metadata (M^2 rows): broadcast
@@ -113,22 +118,24 @@ def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None) -
     return xi.groupBy("mb").agg(F.avg("d").alias("strength")).withColumnRenamed("mb", "model")
 
 
-def ksi_strengths(long: DataFrame, models, partitions: int | None = None) -> dict:
-    rows = ksi_strength_frame(long, models, partitions).collect()
+def ksi_strengths(long: DataFrame, models, partitions: int | None = None,
+                  ranked: DataFrame | None = None) -> dict:
+    rows = ksi_strength_frame(long, models, partitions, ranked).collect()
     got = {r["model"]: r["strength"] for r in rows}
     return {m: got.get(m) for m in models}
 
 
-def regression_weights(long: DataFrame, models, schemes=REGRESSION_SCHEMES) -> dict:
+def regression_weights(long: DataFrame, models, schemes=REGRESSION_SCHEMES,
+                       ranked: DataFrame | None = None) -> dict:
     schemes = [canonical_scheme(s) for s in schemes]
     out = {}
     for s in schemes:
         if s == AC:
             out[s] = {m: 1.0 for m in models}
         elif s == WCCDS:
-            out[s] = cd_strengths(long, models)
+            out[s] = cd_strengths(long, models, ranked)
         elif s == WCKDS:
-            out[s] = ksi_strengths(long, models)
+            out[s] = ksi_strengths(long, models, ranked=ranked)
         else:
             raise ValueError(f"scheme {s} is not available for regression (needs accuracies "
                              f"or per-item class scores)")
@@ -165,9 +172,9 @@ def fuse(wide_ranked: DataFrame, models, weights: dict, kinds=("SC", "RC")) -> D
     return wide_ranked.select(*keep, F.explode(arr).alias("x")).select(*keep, "x.*")
 
 
-def with_vector_ranks(wide: DataFrame, models) -> DataFrame:
+def with_vector_ranks(wide: DataFrame, models, ranked: DataFrame | None = None) -> DataFrame:
     """Attach ``q{i}`` = ascending ordinal rank of ``v{i}`` (one shuffle on item_id)."""
-    ranked = vector_ranks(to_long(wide, models))
+    ranked = ranked if ranked is not None else vector_ranks(to_long(wide, models))
     piv = ranked.groupBy("item_id").agg(*[
         F.max(F.when(F.col("model") == mname, F.col("rank"))).alias(f"q{i}")
         for i, mname in enumerate(models)])
