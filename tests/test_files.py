@@ -48,3 +48,29 @@ def test_check_score_set(spark):
                                 "item_id long, label int, s0 array<double>")
     with pytest.raises(ValueError):
         check_score_set(ScoreSet(df=bad, models=("a",), n_classes=2))
+
+
+def test_score_directory_to_layer(spark, tmp_path):
+    """F-ORD written as one CSV per model, read back by the directory scan,
+    gives the same layer as the in-memory derivation (FIXTURES numbers)."""
+    from rankmix.plans import layer as L
+    from rankmix.sources.fixtures import ford_wide
+    from rankmix.sources.frames import to_long
+    from conftest import SF
+
+    ss = ford_wide(spark, SF)
+    pdf = to_long(ss).toPandas()
+    for m, g in pdf.groupby("model"):
+        wide = g.pivot(index="item_id", columns="cls", values="score").sort_index()
+        wide.to_csv(tmp_path / f"{m}_scores.csv")
+    ss.df.select("item_id", "label").toPandas().set_index("item_id").rename(
+        columns={"label": "0"}).to_csv(tmp_path / "ground_truths.csv")
+    long = read_score_dir(spark, str(tmp_path))
+    truth = read_truth(spark, str(tmp_path / "ground_truths.csv"))
+    back = to_wide(long, truth=truth, partitions=4)
+    assert back.models == ("A", "B", "C", "D", "E") and back.n_classes == 5
+    prepared = L.prepare(back, 2048, ("AC", "WC-CDS", "WCP"))
+    acc = {(r.kind, r.fusion_model): r.correct
+           for r in L.layer_accuracy(prepared, ("AC", "WC-CDS", "WCP")).collect()}
+    assert acc[("SC", "BCDE_AC")] == 540 and acc[("RC", "BDE_AC")] == 513
+    assert acc[("SC", "ABCDE_WCP")] == 534
