@@ -44,3 +44,13 @@ def test_search_round1(spark, ss):
     h = search(ss, ("AC", "WC-CDS", "WCP"), max_rounds=2)
     assert [p[2] for p in h[0]["pooled"]] == [540, 539, 536, 534]
     assert h[1]["pooled"][0][2] == 545
+
+
+def test_partition_count_invariance(spark):
+    schemes = ("AC", "WC-CDS", "WC-KDS", "WCP")
+    got = []
+    for parts in (1, 7):
+        ss = L.prepare(ford_wide(spark, SF), 2048, schemes, partitions=parts)
+        acc = L.layer_accuracy(ss, schemes).select("kind", "fusion_model", "correct").collect()
+        got.append(sorted(tuple(r) for r in acc))
+    assert got[0] == got[1] and len(got[0]) == 218
