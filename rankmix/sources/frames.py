@@ -15,9 +15,9 @@ def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None
             batch_size: int | None = None, partitions: int | None = None) -> ScoreSet:
     """Long ``(item_id, model, cls, score)`` -> one row per item.
 
-    One shuffle: rows are clustered by ``batch_id`` (when ``batch_size`` is
-    given) or by ``item_id``; the per-item grouping then needs no other
-    exchange.  ``models``/``n_classes`` are metadata; when omitted they are
+    One shuffle: rows (and the truth, as a pseudo-model) are clustered by
+    ``batch_id`` (when ``batch_size`` is given) or by ``item_id``; the
+    per-item grouping then needs no other exchange and no join.  ``models``/``n_classes`` are metadata; when omitted they are
     read with one small aggregate (distinct models, max class).
     """
     spark = scores.sparkSession
@@ -29,7 +29,14 @@ def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None
     models = tuple(models)
     idx = {m: i for i, m in enumerate(models)}
     model_idx = F.create_map(*[x for m, i in idx.items() for x in (F.lit(m), F.lit(i))])
-    df = scores.select("item_id", model_idx[F.col("model")].alias("mi"), "cls", "score")
+    df = scores.select("item_id", model_idx[F.col("model")].alias("mi"), "cls",
+                       F.col("score").cast("double").alias("score"))
+    has_label = truth is not None
+    if has_label:
+        # the truth rides along as model -1 through the same shuffle: the
+        # label is picked up by the grouping below, no join on item_id
+        df = df.unionByName(truth.select("item_id", F.lit(-1).alias("mi"), F.lit(-1).alias("cls"),
+                                         F.col("label").cast("double").alias("score")))
     keys = ["item_id"]
     if batch_size is not None:
         df = df.withColumn("batch_id", F.floor(F.col("item_id") / F.lit(batch_size)))
@@ -41,10 +48,14 @@ def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None
     for i in range(len(models)):
         pairs = F.collect_list(F.when(F.col("mi") == i, F.struct("cls", "score")))
         aggs.append(F.transform(F.array_sort(pairs), lambda p: p.getField("score")).alias(s_col(i)))
+    if has_label:
+        aggs.append(F.max(F.when(F.col("mi") == -1, F.col("score"))).cast("int").alias("label"))
     wide = df.groupBy(*keys).agg(*aggs)
-    has_label = truth is not None
+    # items scored by no model (truth only) or, with truth, without a label are dropped
+    keep = F.size(F.col(s_col(0))) > 0
     if has_label:
-        wide = wide.join(truth.select("item_id", "label"), on="item_id", how="inner")
+        keep = keep & F.col("label").isNotNull()
+    wide = wide.filter(keep)
     return ScoreSet(df=wide, models=models, n_classes=n_classes, has_label=has_label,
                     batch_size=batch_size)
 

@@ -67,7 +67,7 @@ def test_score_directory_to_layer(spark, tmp_path):
         columns={"label": "0"}).to_csv(tmp_path / "ground_truths.csv")
     long = read_score_dir(spark, str(tmp_path))
     truth = read_truth(spark, str(tmp_path / "ground_truths.csv"))
-    back = to_wide(long, truth=truth, partitions=4)
+    back = to_wide(long, truth=truth, batch_size=2048, partitions=4)
     assert back.models == ("A", "B", "C", "D", "E") and back.n_classes == 5
     prepared = L.prepare(back, 2048, ("AC", "WC-CDS", "WCP"))
     acc = {(r.kind, r.fusion_model): r.correct
