@@ -402,3 +402,18 @@ def reg_ksi_strength(spark, sf_dir):
 
 
 QUERIES.update({"reg_ksi_strength": reg_ksi_strength})
+
+
+def vote_unsupervised(spark, sf_dir):
+    """V5: without truth, the vote vector of every subset of the five F-ORD
+    base models (one pass, no evaluation)."""
+    ss = ford_wide(spark, sf_dir)
+    wide = base_picks_wide(ss).drop("label")
+    subsets = V.vote_subsets(ss.n_models)
+    names = [("".join(ss.models[i] for i in s)) for s in subsets]
+    from rankmix.functions import json_literal
+    votes = V.subset_votes(wide, ss.n_models, ss.n_classes, subsets, keep=("item_id",))
+    return votes.select("item_id", json_literal(names, "array<string>")[F.col("combo")].alias("members"), "vote")
+
+
+QUERIES.update({"vote_unsupervised": vote_unsupervised})

@@ -552,3 +552,21 @@ select mb as model, round(avg(d), 6) as strength from xi group by mb"""
 
 
 QUERIES.update({"reg_ksi_strength": reg_ksi_strength})
+
+
+def vote_unsupervised() -> str:
+    rows = []
+    combos = [c for k in range(2, len(MODELS) + 1) for c in combinations(range(len(MODELS)), k)]
+    for ci, c in enumerate(combos):
+        for i in c:
+            rows.append(f"({ci}, '{''.join(MODELS[x] for x in c)}', '{MODELS[i]}')")
+    return _with(FORD, BASE_ACC) + ",\ncm(combo, members, model) AS (VALUES " + ", ".join(rows) + """),
+vc AS (select bpk.item_id, cm.combo, cm.members, bpk.pred, count(*) as n
+       from bpk join cm on bpk.model = cm.model group by bpk.item_id, cm.combo, cm.members, bpk.pred),
+vm AS (select item_id, combo, max(n) as mx from vc group by item_id, combo)
+select vc.item_id, vc.members, min(vc.pred) as vote
+from vc join vm on vc.item_id = vm.item_id and vc.combo = vm.combo and vc.n = vm.mx
+group by vc.item_id, vc.members"""
+
+
+QUERIES.update({"vote_unsupervised": vote_unsupervised})
