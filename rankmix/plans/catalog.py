@@ -417,3 +417,13 @@ def vote_unsupervised(spark, sf_dir):
 
 
 QUERIES.update({"vote_unsupervised": vote_unsupervised})
+
+
+def output_validity(spark, sf_dir):
+    """which layer outputs (all four schemes) hold an invalid value."""
+    from rankmix.plans.search import output_validity as validity
+    ss = _ss(spark, sf_dir, ALL4)
+    return validity(ss, batch_weights(ss, ALL4), fused_specs(ss.models, ALL4))
+
+
+QUERIES.update({"output_validity": output_validity})

@@ -570,3 +570,19 @@ group by vc.item_id, vc.members"""
 
 
 QUERIES.update({"vote_unsupervised": vote_unsupervised})
+
+
+def output_validity() -> str:
+    return _with(FORD, BASE_ACC, FIRSTS, weights_cte(ALL4), outs_cte(ALL4), FUSED) + """,
+pb AS (select floor(item_id / {b}) as batch_id, j, max(case when v is null then 1 else 0 end) as nul,
+              min(v) as lo, max(v) as hi, count(*) as n
+       from fv group by floor(item_id / {b}), j),
+full_rows AS (select j, count(*) as n from fv group by j),
+bad AS (select pb.j, max(case when pb.nul = 1 or (outn.kind = 'SC' and pb.hi = pb.lo) then 1 else 0 end) as bad
+        from pb join outn on pb.j = outn.j group by pb.j)
+select outn.kind, outn.fusion_model,
+       coalesce(bad.bad, 1) = 0 and full_rows.n = (select count(*) from truth) * {c} as valid
+from outn left join bad on bad.j = outn.j left join full_rows on full_rows.j = outn.j""".format(b=BATCH, c=N_CLASSES)
+
+
+QUERIES.update({"output_validity": output_validity})

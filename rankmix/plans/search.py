@@ -34,8 +34,12 @@ POOL_K = 4
 MAX_ROUNDS = 15
 
 
-def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
-    """``{(kind, name)}`` of outputs with a NULL value or (SC) a constant batch."""
+def output_validity(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> DataFrame:
+    """``(kind, fusion_model, valid)``: an output is invalid (F12) when any of
+    its values is NULL (no weight, NULL weight) or, for SC, some batch is
+    constant (the min-max scaling divides by zero).  One grouped pass on
+    (batch_id, j) over rows clustered by batch_id, then per output."""
+    from rankmix.operators.combine import layout_frame
     of, layout = output_frame(ss, weights, specs, kinds, keep=["batch_id"])
     n = ss.n_classes
     vals = [F.col(f"v{k}") for k in range(n)]
@@ -45,9 +49,17 @@ def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
         F.max(any_null).alias("nul"), F.min(F.least(*vals) if n > 1 else vals[0]).alias("lo"),
         F.max(F.greatest(*vals) if n > 1 else vals[0]).alias("hi"),
         F.first("kind_id").alias("kind_id"))
-    bad = per.filter((F.col("nul") == 1) | ((F.col("kind_id") == 0) & (F.col("hi") == F.col("lo"))))
-    js = {r["j"] for r in bad.select("j").distinct().collect()}
-    return {(layout[j][0], layout[j][1].name) for j in js}
+    bad = (F.col("nul") == 1) | ((F.col("kind_id") == 0) & (F.col("hi") == F.col("lo")))
+    per_j = per.groupBy("j").agg(F.max(F.when(bad, 1).otherwise(0)).alias("bad"))
+    meta = layout_frame(ss.df.sparkSession, layout).select("j", "kind", "fusion_model")
+    return per_j.join(F.broadcast(meta), on="j").select(
+        "kind", "fusion_model", (F.col("bad") == 0).alias("valid"))
+
+
+def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
+    """``{(kind, name)}`` of invalid outputs (a small collect of metadata)."""
+    rows = output_validity(ss, weights, specs, kinds).filter(~F.col("valid")).collect()
+    return {(r["kind"], r["fusion_model"]) for r in rows}
 
 
 def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
