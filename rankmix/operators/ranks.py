@@ -60,11 +60,14 @@ def item_ranks(ss: ScoreSet, ordinal: bool = False) -> DataFrame:
         F.col("col.r").alias("rank"))
 
 
-def item_rsc(ss: ScoreSet) -> DataFrame:
+def item_rsc(ss: ScoreSet, of_ranks: bool = False) -> DataFrame:
     """Long ``(item_id, model, position, value)``: every item's rank-score
-    characteristic (row min-max scaled, sorted best first; position 1 = best)."""
+    characteristic (row min-max scaled, sorted best first; position 1 = best).
+    ``of_ranks`` applies it to the item's average-rank values instead (the
+    rank-side curve)."""
+    src = [avg_rank_desc(F.col(s_col(i))) if of_ranks else F.col(s_col(i)) for i in range(ss.n_models)]
     rows = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), rsc_desc(F.col(s_col(i))).alias("f"))
+        F.struct(F.lit(m).alias("model"), rsc_desc(src[i]).alias("f"))
         for i, m in enumerate(ss.models)]))
     df = ss.df.select("item_id", rows.alias("x"))
     return df.select("item_id", "x.model", F.posexplode("x.f")).select(

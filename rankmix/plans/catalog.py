@@ -427,3 +427,12 @@ def output_validity(spark, sf_dir):
 
 
 QUERIES.update({"output_validity": output_validity})
+
+
+def rsc_item_ranks(spark, sf_dir):
+    """K9, rank side: the RSC of every item's average-rank values."""
+    return K.item_rsc(ford_wide(spark, sf_dir), of_ranks=True).select(
+        "item_id", "model", "position", r6("value").alias("value"))
+
+
+QUERIES.update({"rsc_item_ranks": rsc_item_ranks})

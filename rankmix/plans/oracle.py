@@ -586,3 +586,18 @@ from outn left join bad on bad.j = outn.j left join full_rows on full_rows.j = o
 
 
 QUERIES.update({"output_validity": output_validity})
+
+
+def rsc_item_ranks() -> str:
+    return _with(FORD) + """,
+nv AS (select item_id, model, cls,
+              (rnk - min(rnk) over (partition by item_id, model))
+              / nullif(max(rnk) over (partition by item_id, model)
+                       - min(rnk) over (partition by item_id, model), 0) as v from ranks)
+select item_id, model,
+       row_number() over (partition by item_id, model order by v desc nulls last, cls) as position,
+       round(v, 6) as value
+from nv"""
+
+
+QUERIES.update({"rsc_item_ranks": rsc_item_ranks})
