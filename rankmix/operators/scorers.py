@@ -117,12 +117,13 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
 # ------------------------------------------------------------ SVM
 
 def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float = 0.01,
-               id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+               max_iter: int = 50, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
     """Linear SVM, one-vs-rest; class scores are the softmax of the margins
     (a probability-like normalisation; the linear kernel only)."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
-    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=100), featuresCol="features",
-                    labelCol=label_col).fit(train)
+    # the per-class fits are independent jobs: run up to 8 at a time
+    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol="features",
+                    labelCol=label_col, parallelism=8).fit(train)
     raw = ovr.transform(test).select(F.col(id_col).alias("item_id"),
                                      vector_to_array("rawPrediction").alias("m"))
     mx = F.array_max("m")
