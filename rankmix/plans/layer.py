@@ -7,8 +7,9 @@ Typical use::
     acc = layer_accuracy(ss, ["AC", "WC-CDS", "WC-KDS", "WCP"])
     report = layer_report(acc)
 
-Everything is lazy except ``prepare`` with ``supervised=True`` (one small
-action: the M base accuracies that the WCP scheme needs).
+Everything is lazy except ``prepare``: it writes the batched rows once (a
+table bucketed by ``batch_id``) and, when WCP is asked for, reads back the M
+base accuracies that the scheme needs.
 """
 
 from __future__ import annotations
@@ -46,9 +47,12 @@ def prepare(ss: ScoreSet, batch_size: int = 2048, schemes=(), partitions: int |
     return ss
 
 
-def layer_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC), full_set_only: bool = False) -> DataFrame:
+def layer_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC), full_set_only: bool = False,
+                   max_size: int | None = None) -> DataFrame:
+    """Accuracy of every output; ``max_size`` bounds the subset size (needed
+    above 12 models, where 2^M subsets would be enumerated)."""
     schemes = validate_schemes(schemes, ss.has_label)
-    specs = fused_specs(ss.models, schemes, full_set_only=full_set_only)
+    specs = fused_specs(ss.models, schemes, full_set_only=full_set_only, max_size=max_size)
     return accuracy(ss, batch_weights(ss, schemes), specs, kinds)
 
 
@@ -57,16 +61,17 @@ def layer_report(acc: DataFrame) -> DataFrame:
     return performance_table(acc).select("fusion_model", "sc", "rc", "ord")
 
 
-def layer_matrices(ss: ScoreSet, schemes, kinds=(SC, RC), normalize: bool = True) -> DataFrame:
+def layer_matrices(ss: ScoreSet, schemes, kinds=(SC, RC), normalize: bool = True,
+                   max_size: int | None = None) -> DataFrame:
     schemes = validate_schemes(schemes, ss.has_label)
-    specs = fused_specs(ss.models, schemes)
+    specs = fused_specs(ss.models, schemes, max_size=max_size)
     return fused_matrices(ss, batch_weights(ss, schemes), specs, kinds, normalize)
 
 
-def layer_labels(ss: ScoreSet, schemes, kinds=(SC, RC)) -> DataFrame:
+def layer_labels(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | None = None) -> DataFrame:
     """``(item_id, kind, fusion_model, pred)`` for every output model."""
     schemes = validate_schemes(schemes, ss.has_label)
-    specs = fused_specs(ss.models, schemes)
+    specs = fused_specs(ss.models, schemes, max_size=max_size)
     return labels_long(ss, batch_weights(ss, schemes), specs, kinds)
 
 
