@@ -436,3 +436,15 @@ def rsc_item_ranks(spark, sf_dir):
 
 
 QUERIES.update({"rsc_item_ranks": rsc_item_ranks})
+
+
+def reg_report_rc(spark, sf_dir):
+    """C6 with the rank combinations: R^2 / RMSE of the RC outputs (base
+    models' rank vectors included, labelled Base_<m>)."""
+    wide, fused = _reg_fused(spark, sf_dir)
+    mean_y = float(wide.agg(F.avg("target")).first()[0])
+    rep = R.report(fused, mean_y, FREG_MODELS, kinds=("RC",))
+    return rep.select("model", r6("r2").alias("r2"), round4("rmse").alias("rmse"))
+
+
+QUERIES.update({"reg_report_rc": reg_report_rc})

@@ -601,3 +601,10 @@ from nv"""
 
 
 QUERIES.update({"rsc_item_ranks": rsc_item_ranks})
+
+
+def reg_report_rc() -> str:
+    return reg_report().replace("where rfv.kind = 'SC'", "where rfv.kind = 'RC'")
+
+
+QUERIES.update({"reg_report_rc": reg_report_rc})
