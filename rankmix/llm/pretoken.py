@@ -366,7 +366,8 @@ class CachedTokenizer:
 
     def lengths_of(self, h, cp, at, ends) -> np.ndarray:
         """Token lengths of the given pre-tokens of ``split``'s result."""
-        return self.cache.length[self._cached(h, cp, at, ends)]
+        entry = self._cached(h, cp, at, ends)
+        return self.cache.length[entry]
 
     # -- texts --------------------------------------------------------
     def _parts(self, texts):

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmix.llm import packing, token_counts
+from rankmix.llm import exact_dedup, line_dedup, mixing, packing, pii, token_counts
 from rankmix.llm.common import documents
+from rankmix.llm.oracle import OP3, OP8, op6
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +16,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end_id=2, capacity=1024)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
+
+
+# Production parameters of the mixture: budget in percent of the corpus, weights by level (others: 1).
+MIX = {"budget_percent": 80, "max_epochs": 2, "seed": 42,
+       "weights": {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
+                   "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}}
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), **MIX)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(documents(spark, sf_dir), min_docs=10, min_chars=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op3_exact_dedup, op6_mix_sources, op8_line_dedup, op9_token_counts, op10_pii)}
+ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8}
