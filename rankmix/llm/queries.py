@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmix.llm import exact_dedup, line_dedup, mixing, packing, pii, token_counts
+from rankmix.llm import (exact_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality,
+                         token_counts)
 from rankmix.llm.common import documents
 from rankmix.llm.oracle import OP3, OP8, op6
 
@@ -20,6 +21,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(documents(spark, sf_dir)).drop("cost")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 # Production parameters of the mixture: budget in percent of the corpus, weights by level (others: 1).
 MIX = {"budget_percent": 80, "max_epochs": 2, "seed": 42,
        "weights": {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
@@ -30,6 +39,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), **MIX)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.quality_rules(documents(spark, sf_dir), labels, alpha=0.05, delta=0.05)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(documents(spark, sf_dir), min_docs=10, min_chars=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,5 +60,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_exact_dedup, op6_mix_sources, op8_line_dedup, op9_token_counts, op10_pii)}
+    op1_best_fit_packing, op3_exact_dedup, op4_language_id, op5_near_dedup, op6_mix_sources, op7_quality_rules,
+     op8_line_dedup, op9_token_counts, op10_pii)}
 ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8}
