@@ -1,16 +1,15 @@
 """Near-duplicates: MinHash signatures, a multi-index Hamming join, exact check.
 
 * Every document gets its set of 5-word shingles and from it a signature of
-  CHUNKS x CHUNK symbols of b = 16 bits (the low bits of that many MinHashes).
-  Symbols of two documents agree with the probability of their sets' similarity.
+  symbols of b = 16 bits (bits of as many MinHashes).  Symbols of two documents
+  agree with the probability of their sets' similarity.
 * Documents with equal sets form a class; one of each joins.
-* Signatures are split into CHUNKS parts.  By the pigeonhole principle two
-  signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 = 15 symbols have a
-  chunk with at most ERRORS = 1 differing symbol.  Enumerating that error --
-  leaving out each symbol of a chunk in turn -- gives CHUNKS * CHUNK keys, and
-  all pairs under the distance share one.  At similarity 0.85 a chunk has at
-  most one error with probability 0.78, so a pair shares no key at all with
-  probability 6e-6.
+* Signatures are split into chunks.  By the pigeonhole principle two signatures
+  that differ in at most 2 * chunks - 1 symbols have a chunk with at most one
+  differing symbol.  Enumerating that error -- leaving out each symbol of a chunk
+  in turn -- gives as many keys as symbols, and all pairs under the distance share
+  one.  ``Shape`` chooses chunks so that even a pair right at the similarity
+  shares no key only once in 100,000 (at 0.85: 8 chunks of 6; at 0.8: 9 of 5).
 * Within a key's bucket not all pairs are made.  Each member is first held
   against the bucket's smallest member; pairs that are confirmed make
   components, and only members of *different* components are then paired, so
@@ -27,6 +26,8 @@ repeated rows repeat.  An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,42 @@ from pyspark.sql import functions as F
 from rankmix.llm.common import slices, string_buffers, written
 from rankmix.llm.words import window_hashes, word_hashes, word_spans
 
-CHUNKS, CHUNK, ERRORS = 8, 6, 1
-SYMBOLS = CHUNKS * CHUNK
+MAX_SYMBOLS = 50
+MISSED = 1e-5
 CHUNK_BYTES = 1 << 20
 PERCENT = 85
-# A pair at the threshold differs in more symbols once in ten million times.
-MAX_DISTANCE = 22
 BROADCAST_IDS = 1_000_000      # ids of at most 16 bytes: 16 MB
 _RNG = np.random.default_rng(20240607)
-MULT = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+MULT = _RNG.integers(0, 1 << 63, MAX_SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _RNG.integers(0, 1 << 63, MAX_SYMBOLS, dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How signatures are cut, and the distance beyond which pairs are left."""
+
+    chunk: int          # symbols of a chunk
+    chunks: int
+    far: int            # a pair at the similarity differs in more symbols once in 10^7 times
+
+    @property
+    def symbols(self) -> int:
+        return self.chunk * self.chunks
+
+    @staticmethod
+    def of(percent: int) -> "Shape":
+        """The longest chunks, so the rarest chance keys, that miss few pairs."""
+        j = percent / 100
+        for chunk in range(8, 1, -1):
+            found = j ** chunk + chunk * j ** (chunk - 1) * (1 - j)
+            chunks = math.ceil(math.log(MISSED) / math.log(1 - found)) if found < 1 else 1
+            if chunk * chunks <= MAX_SYMBOLS:
+                n, tail, far = chunk * chunks, 0.0, chunk * chunks
+                while far and tail + math.comb(n, far) * (1 - j) ** far * j ** (n - far) <= 1e-7:
+                    tail += math.comb(n, far) * (1 - j) ** far * j ** (n - far)
+                    far -= 1
+                return Shape(chunk, chunks, far)
+        raise ValueError(f"no signature of {MAX_SYMBOLS} symbols finds pairs of similarity {percent} %")
 
 
 # ------------------------------------------------------------- sets and signatures
@@ -59,11 +86,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(sets) if sets else h), np.fromiter(map(len, sets), np.int64, len(sets))
 
 
-def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts with shingles) x SYMBOLS symbols of 16 bits."""
+def signatures(h: np.ndarray, n: np.ndarray, symbols: int) -> np.ndarray:
+    """(texts with shingles) x symbols of 16 bits."""
     at = (np.cumsum(n) - n)[n > 0]
-    out = np.empty((len(at), SYMBOLS), np.uint16)
-    for i in range(SYMBOLS):
+    out = np.empty((len(at), symbols), np.uint16)
+    for i in range(symbols):
         low = np.minimum.reduceat(h * MULT[i] + PLUS[i], at)
         out[:, i] = (low >> np.uint64(17)).astype(np.uint16)
     return out
@@ -75,7 +102,7 @@ def _chunks(batch, col):
         yield a, z, *shingle_sets(raw[off[a]:off[z]], off[a:z + 1] - off[a])
 
 
-def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_signatures(docs: DataFrame, shape: Shape, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n, fp, sig)``: set size, 128-bit fingerprint of the whole set,
     signature; both null for empty sets."""
     def run(batches):
@@ -84,7 +111,7 @@ def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for _, _, h, n in _chunks(b, 1):
                 sizes.append(n)
                 if h.size:
-                    sig = iter(signatures(h, n))
+                    sig = iter(signatures(h, n, shape.symbols))
                 cut = np.concatenate([[0], np.cumsum(n)]).tolist()
                 for x, y in zip(cut[:-1], cut[1:]):
                     fps.append(hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None)
@@ -100,14 +127,15 @@ def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ------------------------------------------------------------- candidates
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """``(key, id, n)``: CHUNKS * CHUNK keys of each class's representative."""
+def _keys(reps: DataFrame, shape: Shape) -> DataFrame:
+    """``(key, id, n)``: a key for each symbol left out of its chunk."""
     keys = []
-    for c in range(CHUNKS):
-        for v in range(CHUNK):
-            at = 2 * (c * CHUNK)
-            rest = F.concat(F.substring("sig", at + 1, 2 * v), F.substring("sig", at + 2 * v + 3, 2 * (CHUNK - 1 - v)))
-            keys.append(F.xxhash64(F.lit(c * CHUNK + v), rest))
+    for c in range(shape.chunks):
+        for v in range(shape.chunk):
+            at = 2 * c * shape.chunk
+            rest = F.concat(F.substring("sig", at + 1, 2 * v),
+                            F.substring("sig", at + 2 * v + 3, 2 * (shape.chunk - 1 - v)))
+            keys.append(F.xxhash64(F.lit(c * shape.chunk + v), rest))
     return reps.select(F.explode(F.array(*keys)).alias("key"), "id", "n")
 
 
@@ -115,16 +143,16 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose signatures differ in at most MAX_DISTANCE symbols."""
+def _near_enough(pairs: DataFrame, reps: DataFrame, shape: Shape) -> DataFrame:
+    """Pairs whose signatures differ in at most ``shape.far`` symbols."""
     s = reps.select("id", "sig")
     both = (pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
             .join(s.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b"))
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-            close = pa.array(np.count_nonzero(x != y, axis=1) <= MAX_DISTANCE)
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, shape.symbols) for i in (2, 3))
+            close = pa.array(np.count_nonzero(x != y, axis=1) <= shape.far)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(close), b.column(1).filter(close)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -199,18 +227,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
                     text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sigs = written(document_signatures(docs, id_col, text_col), "near-signatures")
+    shape = Shape.of(percent)
+    sigs = written(document_signatures(docs, shape, id_col, text_col), "near-signatures")
     some = sigs.filter("n > 0")
     # equal fingerprints have equal signatures: any of them serves
     classes = written(some.groupBy("fp", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")),
                       "near-classes")
     reps = classes.filter(F.col("id").isNotNull()).select("id", "n", "sig")
-    keys = _keys(reps)
+    keys = _keys(reps, shape)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("first")).filter("m > 1")
     members = written(keys.join(shared.drop("m"), "key"), "near-members")
     star = (members.filter((F.col("id") != F.col("first.id")) & _sizes_fit(F.col("n"), F.col("first.n"), percent))
             .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
-    star = written(_near_enough(star, reps), "near-star")
+    star = written(_near_enough(star, reps, shape), "near-star")
     links = written(confirmed(star, texts, percent), "near-links")
     found = components(links)
 
@@ -222,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     rest = (x.join(y, "key").filter((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
                                     & _sizes_fit(F.col("na"), F.col("nb"), percent))
             .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
-    rest = written(_near_enough(rest.join(star, ["a", "b"], "left_anti"), reps), "near-rest")
+    rest = written(_near_enough(rest.join(star, ["a", "b"], "left_anti"), reps, shape), "near-rest")
     more = written(confirmed(rest, texts, percent), "near-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmix.llm import (exact_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality,
-                         token_counts)
+                         token_counts, token_files)
 from rankmix.llm.common import documents
 from rankmix.llm.oracle import OP3, OP8, op6
+from rankmix.session import scratch_dir
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end_id=2, capacity=1024)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark, 'rankmix_llm')}/token-files-{uuid.uuid4().hex[:12]}"
+    token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_documents(spark, path)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -60,6 +69,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_exact_dedup, op4_language_id, op5_near_dedup, op6_mix_sources, op7_quality_rules,
+    op1_best_fit_packing, op2_token_files, op3_exact_dedup, op4_language_id, op5_near_dedup, op6_mix_sources, op7_quality_rules,
      op8_line_dedup, op9_token_counts, op10_pii)}
 ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8}
