@@ -104,15 +104,15 @@ class CrossParser:
         tables, self.root, base = [], [], 0
         for _, text in samples:
             nxt = SuffixAutomaton(text).next
-            t = np.full((len(nxt), self.width), -1, np.int32)
+            t = np.full((len(nxt) + 1, self.width), -1, np.int32)   # the last row: between phrases
             for s, out in enumerate(nxt):
                 for c, to in out.items():
                     t[s, self.symbol[c]] = to
-            again = np.where(t[0] >= 0, t[0], 0) + base      # from the root; unknown symbols stay there
+            again = np.where(t[0] >= 0, t[0], len(nxt)) + base      # an unknown symbol is a phrase alone
             t = np.where(t >= 0, t + base, ~again[None, :])
             tables.append(t)
-            self.root.append(base)
-            base += len(nxt)
+            self.root.append(base + len(nxt))
+            base += len(nxt) + 1
         self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.empty(0, np.int32)
         self.root = np.array(self.root, np.int32)
 
@@ -124,7 +124,6 @@ class CrossParser:
         sym = self.symbol[data]
         state = np.repeat(self.root[:, None], len(size), axis=1)
         count = np.zeros(state.shape, np.int32)
-        count[:, size > 0] = 1
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, (size[0] if len(size) else 0) + 1))
         for k, m in enumerate(active.tolist()):
             got = self.table[state[:, :m] * self.width + sym[start[:m] + k]]
