@@ -328,6 +328,9 @@ class CachedTokenizer:
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         bounds = np.concatenate([[0], np.cumsum(n)])
+        if not len(cp):
+            none = np.empty(0, np.int64)
+            return cp, none, none, np.zeros(len(texts), np.int64)
         if self.kind == "word":
             cp = LOWERED[cp]
         cls = CLASSES[cp]
