@@ -9,13 +9,14 @@ The model of a block mixes three predictions of the next id:
 
 * order 2: the id that followed the last two ids when they last stood together;
 * order 1: the id that followed the last id;
-* order 0: the frequencies of the block's ids so far (refreshed whenever the
-  history has doubled), and after it a uniform floor over all ids.
+* order 0: the frequencies of the block's ids so far, and after it a uniform
+  floor over all ids.
 
-Each candidate has a confidence that its hits raise and its misses halve.  The
-share of the code range that an order gets is the learned probability that a
-candidate of that confidence is right; what higher orders leave goes to the
-lower ones.  Probabilities adapt after every id.
+Each candidate has a confidence that its hits raise and its misses halve, after
+every id.  The share of the code range that an order gets is the block's own
+frequency with which a candidate of that confidence was right; what higher
+orders leave goes to the lower ones.  These frequencies and those of order 0
+are brought up to date whenever the block's history has doubled.
 """
 
 from __future__ import annotations
@@ -27,233 +28,268 @@ import numpy as np
 
 BLOCK = 8192
 LANES = 1024                    # blocks coded side by side at most
-TABLE_BITS = 12                 # slots of a block's order-1 and order-2 tables
+TABLE_BITS = 11                 # slots of a block's order-1 and order-2 tables
 FIRST_HISTORY = 256
 TOTAL = 28                      # the code range is divided into 2^28 units
 FLOOR = 1 << 20                 # units kept for the uniform floor
-MAX_CONF = 15
+REST = (1 << TOTAL) - FLOOR
+CONFS = 16
+PRIOR = 8                       # weight of the first guess at a probability, in ids
 MAGIC = b"IDRC"
 U = np.uint64
-LOW32 = U(0xFFFFFFFF)
+LOW32, TOP = U(0xFFFFFFFF), U(1 << 48)
+# Confidence after a miss (first half) or hit (second); 0: the candidate is replaced.
+NEXT = np.array([f >> 1 for f in range(CONFS)] + [min(f + 1, CONFS - 1) for f in range(CONFS)], np.uint32)
+NEXT[1] = 0
+GUESS = np.array([256] + [4096 * i for i in range(1, CONFS)], np.int64)
 
 
 class _Model:
-    """Contexts and probabilities of up to LANES blocks.  ``m`` is always the
-    number of blocks that still have ids, which are the first ones."""
+    """Contexts and probabilities of blocks side by side.  In arrays of two
+    rows the first is order 2, the second order 1.  ``m`` is the number of
+    blocks that still have ids: the first ones."""
 
-    def __init__(self, lanes: int, id_bits: int):
+    def __init__(self, lanes: int, width: int, id_bits: int):
         size = 1 << TABLE_BITS
-        self.id_bits = U(id_bits)
-        self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.cand = [np.zeros(lanes * size, np.uint32) for _ in range(2)]
-        self.conf = [np.zeros(lanes * size, np.uint8) for _ in range(2)]
-        self.lane16 = np.arange(lanes, dtype=np.int64) * (MAX_CONF + 1)
-        start = np.array([256] + [2048 * (i + 1) for i in range(MAX_CONF)], np.int64)
-        self.prob = [np.tile(start, lanes) for _ in range(2)]
-        self.p0 = np.full(lanes, 32768, np.int64)
+        self.id_bits, self.lanes = id_bits, lanes
+        places = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.base, self.base_p = places * size, places * CONFS
+        self.table = np.zeros(2 * lanes * size, np.uint32)          # candidate << 4 | confidence
+        self.tried = np.zeros((2, 2 * lanes * CONFS), np.int64)     # misses, hits by confidence
+        self.found = np.zeros((2, lanes), np.int64)                 # neither candidate: in the history or not
         self.prev = [np.zeros(lanes, np.uint32) for _ in range(2)]
-        self.log_n = -1
+        self.hash = np.empty((2, lanes), np.uint32)
+        self.log = np.empty((width, 2, lanes), np.uint8)            # confidence + 16 if right
+        self.in0 = np.zeros((width, lanes), bool)
+        self.n, self.log_n, self.logged = 0, 0, 0
+        self.learn(0, lanes)
+
+    def learn(self, k: int, m: int) -> None:
+        """Probabilities from the first ``k`` ids of the first ``m`` blocks."""
+        log, in0 = self.log[self.logged:k, :, :m], self.in0[self.logged:k, :m]
+        if k > self.logged:
+            right, conf = log >> 4, log & 15
+            for hit in range(2):
+                at = (self.base_p[None, :, :m] + conf)[right == hit]
+                self.tried[hit] += np.bincount(at, minlength=self.tried.shape[1])
+            if self.n:
+                open_ = ~right.any(axis=1)
+                self.found[1, :m] += (open_ & in0).sum(axis=0)
+                self.found[0, :m] += (open_ & ~in0).sum(axis=0)
+        hits, all_ = self.tried[1], self.tried.sum(axis=0)
+        guess = np.tile(GUESS, 2 * self.lanes)
+        p = ((hits << 16) + PRIOR * guess) // (all_ + PRIOR)
+        self.p = np.clip(p, 32, 65472).astype(np.int32)
+        p0 = ((self.found[1] << 16) + PRIOR * 45000) // (self.found.sum(axis=0) + PRIOR)
+        self.p0 = np.clip(p0, 64, 65000).astype(np.int32)
+        self.n, self.logged = k, k
+        self.log_n = max(k, 1).bit_length() - 1
 
     def predict(self, m: int):
-        """Widths of the orders and of a unit of orders 0 and -1."""
+        """Candidates, and the widths of order 2, order 1, a place in the
+        history and an id of the floor."""
         shift = np.uint32(32 - TABLE_BITS)
-        a, b = self.prev[0][:m], self.prev[1][:m]
-        h1 = (a * np.uint32(2654435769)) >> shift
-        h2 = (a * np.uint32(2246822519) ^ (b + np.uint32(1)) * np.uint32(3266489917))
-        h2 = ((h2 ^ (h2 >> np.uint32(15))) * np.uint32(2654435769)) >> shift
-        self.slot = [self.base[:m] + h1, self.base[:m] + h2]
-        c1, c2 = self.cand[0][self.slot[0]], self.cand[1][self.slot[1]]
-        self.f = [self.conf[0][self.slot[0]], self.conf[1][self.slot[1]]]
-        self.at = [self.lane16[:m] + self.f[0], self.lane16[:m] + self.f[1]]
-        p1, p2 = self.prob[0][self.at[0]], self.prob[1][self.at[1]]
-        self.p = [p1, p2]
-        rest = (1 << TOTAL) - FLOOR
-        w2 = (rest >> 16) * p2
-        left = rest - w2
-        w1 = (left >> 16) * p1
-        self.same = c1 == c2
-        w1[self.same] = 0
+        a, h = self.prev[0][:m] * np.uint32(2654435769), self.hash[:, :m]
+        np.right_shift(a, shift, out=h[1])
+        b = (a ^ (self.prev[1][:m] * np.uint32(3266489917))) * np.uint32(2246822519)
+        np.right_shift(b, shift, out=h[0])
+        self.slot = self.base[:, :m] + h
+        self.entry = self.table.take(self.slot)
+        self.conf = self.entry & np.uint32(15)
+        c = self.entry >> np.uint32(4)
+        p = self.p.take(self.base_p[:, :m] + self.conf)
+        w2 = p[0] * np.int32(REST >> 16)
+        left = np.int32(REST) - w2
+        w1 = (left >> 16) * p[1]
+        w1 *= c[0] != c[1]
         left -= w1
-        if self.log_n >= 0:
-            u0 = ((left >> 16) * self.p0[:m]) >> self.log_n
+        if self.n:
+            u0 = np.maximum(((left >> 16) * self.p0[:m]) >> self.log_n, 1)
             left -= u0 << self.log_n
         else:
             u0 = None
-        self.c = [c1, c2]
-        return w2, w1, u0, (left + FLOOR) >> int(self.id_bits)
+        left += np.int32(FLOOR)
+        left >>= self.id_bits
+        return c, w2, w1, u0, left
+
+    def update(self, k: int, m: int, x: np.ndarray, right: np.ndarray) -> None:
+        state = self.conf + (right.astype(np.uint32) << np.uint32(4))
+        self.log[k, :, :m] = state
+        conf = NEXT.take(state)
+        entry = (self.entry & np.uint32(0xFFFFFFF0)) | conf
+        np.copyto(entry, (x << np.uint32(4)) | np.uint32(1), where=conf == 0)
+        self.table[self.slot] = entry
+        self.prev = [x, self.prev[0]]
+
 
-    def update(self, m: int, x: np.ndarray, hit2, hit1, hit0):
-        """Learn that ``x`` came: by order 2, else 1, else 0, else the floor."""
-        p = self.p[1]
-        self.prob[1][self.at[1]] = np.maximum(p + (((hit2.astype(np.int64) << 16) - p) >> 5), 32)
-        p = self.p[0]
-        step = ((hit1.astype(np.int64) << 16) - p) >> 5
-        step[hit2 | self.same] = 0
-        self.prob[0][self.at[0]] = np.maximum(p + step, 32)
-        if hit0 is not None:
-            p = self.p0[:m]
-            step = ((hit0.astype(np.int64) << 16) - p) >> 6
-            step[hit2 | hit1] = 0
-            self.p0[:m] = np.clip(p + step, 64, 65472)
-        for o in range(2):
-            right = self.c[o] == x
-            f = self.f[o]
-            fresh = ~right & (f <= 1)
-            g = np.where(right, np.minimum(f, MAX_CONF - 1) + np.uint8(1), f >> np.uint8(1))
-            g[fresh] = 1
-            self.conf[o][self.slot[o]] = g
-            i = np.flatnonzero(fresh)
-            self.cand[o][self.slot[o][i]] = x[i]
-        self.prev[1][:m] = self.prev[0][:m]
-        self.prev[0][:m] = x
+def _refreshes(longest: int) -> set[int]:
+    out, n = set(), FIRST_HISTORY
+    while n < longest:
+        out.add(n)
+        n *= 2
+    return out
 
 
-def _history(ids: np.ndarray, id_bits: int):
-    """Order-0 statistics of lanes x n ids: the sorted ids as keys (lane,
-    id), and for each place the start and length of its id's run in the lane."""
+def _history(ids: np.ndarray):
+    """Sorted first ids of each block (blocks x n), and for each place the
+    start and the length of its id's run."""
     lanes, n = ids.shape
-    h = np.sort(ids, axis=1).astype(np.int64)
-    keys = (h + (np.arange(lanes, dtype=np.int64)[:, None] << id_bits)).ravel()
-    new = np.empty(len(keys), bool)
-    new[0], new[1:] = True, keys[1:] != keys[:-1]
-    starts = np.flatnonzero(new)
-    runs = np.cumsum(new) - 1
-    length = np.diff(np.append(starts, len(keys)))[runs]
-    return keys, starts[runs] & (n - 1), length
+    h = np.sort(ids, axis=1)
+    new = np.ones((lanes, n), bool)
+    new[:, 1:] = h[:, 1:] != h[:, :-1]
+    starts = np.flatnonzero(new.ravel())
+    runs = np.cumsum(new.ravel()) - 1
+    length = np.diff(np.append(starts, lanes * n))[runs].astype(np.int32)
+    return h.ravel(), (starts[runs] & (n - 1)).astype(np.int32), length
 
 
-def _refreshes(longest: int):
-    n = FIRST_HISTORY
-    while n < longest:
-        yield n
-        n *= 2
+def _active(sizes: np.ndarray, width: int) -> list[int]:
+    return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, width + 1))).tolist()
 
 
 def _encode_lanes(ids: np.ndarray, sizes: np.ndarray, id_bits: int) -> list[bytes]:
     """Code of each row of ``ids``; rows are sorted by falling size."""
     lanes, width = ids.shape
-    model = _Model(lanes, id_bits)
+    model = _Model(lanes, width, id_bits)
+    column = np.ascontiguousarray(ids.T)
     low, rng = np.zeros(lanes, U), np.full(lanes, ~U(0))
-    out, pos = np.zeros((lanes, 2 * width + 8), np.uint16), np.zeros(lanes, np.int64)
-    active = lanes - np.searchsorted(sizes[::-1], np.arange(1, width + 1))
-    due, n = set(_refreshes(width)), 0
-    start0 = length0 = None
-    for k in range(width):
-        m = int(active[k])
-        if m == 0:
-            break
+    room = 2 * width + 8
+    out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
+    due = _refreshes(width)
+    place0 = many0 = rest0 = uniform = None
+    for k, m in enumerate(_active(sizes, width)):
         if k in due:
+            model.learn(k, m)
             n = k
-            model.log_n = n.bit_length() - 1
-            keys, starts, lengths = _history(ids[:m, :n], id_bits)
-            window = ids[:m, n:min(2 * n, width)].astype(np.int64)
-            want = window + (np.arange(m, dtype=np.int64)[:, None] << id_bits)
-            i = np.searchsorted(keys, want.ravel())
-            i[i == len(keys)] = 0
-            found = keys[i] == want.ravel()
-            start0 = np.ascontiguousarray(starts[i].reshape(want.shape).T)
-            length0 = np.ascontiguousarray(np.where(found, lengths[i], 0).reshape(want.shape).T)
-        x = ids[:m, k]
-        w2, w1, u0, ue = model.predict(m)
-        hit2 = model.c[1] == x
-        hit1 = (model.c[0] == x) & ~hit2 & (w1 > 0)
-        begin, width_of = w2 + w1 + x * ue, ue
-        hit0 = None
-        if u0 is not None:
-            many = length0[k - n, :m]
-            hit0 = (many > 0) & (u0 > 0)
-            begin = begin + (u0 << model.log_n)
-            begin = np.where(hit0, w2 + w1 + start0[k - n, :m] * u0, begin)
-            width_of = np.where(hit0, many * u0, width_of)
-        begin, width_of = np.where(hit1, w2, begin), np.where(hit1, w1, width_of)
-        begin, width_of = np.where(hit2, 0, begin), np.where(hit2, w2, width_of)
-        model.update(m, x, hit2, hit1, hit0)
-        unit = rng[:m] >> U(TOTAL)
+            h, starts, lengths = _history(ids[:m, :n])
+            window = ids[:m, n:min(2 * n, width)]
+            at = np.empty(window.shape, np.int64)
+            for r in range(m):
+                at[r] = np.searchsorted(h[r * n:(r + 1) * n], window[r])
+            i = (np.minimum(at, n - 1) + np.arange(m, dtype=np.int64)[:, None] * n).ravel()
+            found = h[i] == window.ravel()
+            turned = lambda a, dt: np.ascontiguousarray(a.reshape(window.shape).T, dt)
+            place0, many0 = turned(np.where(found, starts[i], n), np.int32), turned(np.where(found, lengths[i], 0), np.int32)
+            rest0, uniform = turned(np.where(found, 0, window.ravel()), np.int32), turned(~found, np.int32)
+            model.in0[n:n + len(uniform), :m] = uniform == 0
+        x = column[k, :m]
+        c, w2, w1, u0, ue = model.predict(m)
+        right = c == x
+        begin = w2 + w1
+        if u0 is None:
+            begin += x.astype(np.int32) * ue
+            size = ue
+        else:
+            j = k - n
+            begin += place0[j, :m] * u0
+            begin += rest0[j, :m] * ue
+            size = many0[j, :m] * u0
+            size += uniform[j, :m] * ue
+        one = right[1] & ~right[0]
+        np.copyto(begin, w2, where=one)
+        np.copyto(size, w1, where=one)
+        begin[right[0]] = 0
+        np.copyto(size, w2, where=right[0])
+        model.update(k, m, x, right)
         lo, ra = low[:m], rng[:m]
+        unit = ra >> U(TOTAL)
         lo += begin.astype(U) * unit
-        np.multiply(width_of.astype(U), unit, out=ra)
-        i = np.flatnonzero((((lo ^ (lo + ra)) >> U(48)) == 0) | (ra <= LOW32))
+        np.multiply(size.astype(U), unit, out=ra)
+        # a first word for every block that can give one, further ones for the few
+        ready = ((lo ^ (lo + ra)) < TOP)
+        out[pos[:m]] = lo >> U(48)
+        pos[:m] += ready
+        by = ready.astype(U) << U(4)
+        lo <<= by
+        ra <<= by
+        i = np.flatnonzero((ra <= LOW32) | ((lo ^ (lo + ra)) < TOP))
         while len(i):
             li, ri = lo[i], ra[i]
-            forced = ((li ^ (li + ri)) >> U(48)) != 0
+            forced = (li ^ (li + ri)) >= TOP
             ri = np.where(forced, (~li + U(1)) & LOW32, ri)
-            out[i, pos[i]] = (li >> U(48)).astype(np.uint16)
+            out[pos[i]] = li >> U(48)
             pos[i] += 1
             li, ri = li << U(16), ri << U(16)
             lo[i], ra[i] = li, ri
-            i = i[(((li ^ (li + ri)) >> U(48)) == 0) | (ri <= LOW32)]
+            i = i[(ri <= LOW32) | ((li ^ (li + ri)) < TOP)]
     for s in (48, 32, 16, 0):
-        out[np.arange(lanes), pos] = ((low >> U(s)) & U(0xFFFF)).astype(np.uint16)
+        out[pos] = (low >> U(s)) & U(0xFFFF)
         pos += 1
-    return [out[j, :pos[j]].astype("<u2").tobytes() for j in range(lanes)]
+    return [out[j * room:e].astype("<u2").tobytes() for j, e in enumerate(pos.tolist())]
 
 
 def _decode_lanes(codes: list[bytes], sizes: np.ndarray, id_bits: int) -> np.ndarray:
     lanes, width = len(codes), int(sizes[0])
-    model = _Model(lanes, id_bits)
-    words = np.zeros((lanes, max(len(c) for c in codes) // 2 + 8), np.uint16)
+    model = _Model(lanes, width, id_bits)
+    room = max(len(c) for c in codes) // 2 + 8
+    words = np.zeros((lanes, room), np.uint16)
     for j, c in enumerate(codes):
         words[j, :len(c) // 2] = np.frombuffer(c, "<u2")
     code = np.zeros(lanes, U)
     for s in range(4):
         code = (code << U(16)) | words[:, s].astype(U)
-    low, rng, pos = np.zeros(lanes, U), np.full(lanes, ~U(0)), np.full(lanes, 4, np.int64)
-    ids = np.zeros((lanes, width), np.uint32)
-    active = lanes - np.searchsorted(sizes[::-1], np.arange(1, width + 1))
-    due, n = set(_refreshes(width)), 0
-    keys = starts = lengths = None
-    mask = (1 << id_bits) - 1
-    for k in range(width):
-        m = int(active[k])
-        if m == 0:
-            break
+    words = words.ravel()
+    low, rng, pos = np.zeros(lanes, U), np.full(lanes, ~U(0)), np.arange(lanes, dtype=np.int64) * room + 4
+    column = np.zeros((width, lanes), np.uint32)
+    due, last = _refreshes(width), np.int32((1 << id_bits) - 1)
+    h = starts = lengths = lane_at = None
+    for k, m in enumerate(_active(sizes, width)):
         if k in due:
+            model.learn(k, m)
             n = k
-            model.log_n = n.bit_length() - 1
-            keys, starts, lengths = _history(ids[:m, :n], id_bits)
+            h, starts, lengths = _history(np.ascontiguousarray(column[:n, :m].T))
             lane_at = np.arange(m, dtype=np.int64) * n
-        w2, w1, u0, ue = model.predict(m)
+        c, w2, w1, u0, ue = model.predict(m)
         lo, ra, co = low[:m], rng[:m], code[:m]
         unit = ra >> U(TOTAL)
-        t = np.minimum((co - lo) // unit, U((1 << TOTAL) - 1)).astype(np.int64)
-        hit2 = t < w2
-        over = t - w2
-        hit1 = (over < w1) & ~hit2
-        over -= w1
-        begin, hit0 = w2 + w1, None
-        if u0 is not None:
-            area = u0 << model.log_n
-            hit0 = (over < area) & ~hit2 & ~hit1
-            place = np.where(hit0, over, 0) // np.maximum(u0, 1) + lane_at[:m]
-            over = over - area
-            x = np.clip(over // ue, 0, mask)
-            begin0, x0 = begin + starts[place] * u0, keys[place] & mask
-            begin, width_of = np.where(hit0, begin0, begin + area + x * ue), np.where(hit0, lengths[place] * u0, ue)
-            x = np.where(hit0, x0, x)
+        t = np.minimum((co - lo) // unit, U((1 << TOTAL) - 1)).astype(np.int32)
+        two = t < w2
+        begin = w2 + w1
+        one = (t < begin) & ~two
+        over = np.maximum(t - begin, 0)
+        if u0 is None:
+            x = np.minimum(over // ue, last)
+            begin += x * ue
+            size = ue
         else:
-            x = np.clip(over // ue, 0, mask)
-            begin, width_of = begin + x * ue, ue
-        x = np.where(hit2, model.c[1], np.where(hit1, model.c[0], x)).astype(np.uint32)
-        begin, width_of = np.where(hit1, w2, begin), np.where(hit1, w1, width_of)
-        begin, width_of = np.where(hit2, 0, begin), np.where(hit2, w2, width_of)
-        ids[:m, k] = x
-        if hit0 is not None:
-            # the encoder marks every id that the history holds
-            hit0 = hit0 | hit1 | hit2
-        model.update(m, x, hit2, hit1, hit0)
+            area = u0 << model.log_n
+            old = over < area
+            at = np.minimum(over // u0, np.int32(n - 1)) + lane_at[:m]
+            far = np.clip((over - area) // ue, 0, last)
+            x = np.where(old, h.take(at), far.astype(np.uint32))
+            begin += np.where(old, starts.take(at) * u0, area + far * ue)
+            size = np.where(old, lengths.take(at) * u0, ue)
+            model.in0[k, :m] = old
+        x = x.astype(np.uint32, copy=False)
+        np.copyto(x, c[1], where=one)
+        np.copyto(x, c[0], where=two)
+        np.copyto(begin, w2, where=one)
+        np.copyto(size, w1, where=one)
+        begin[two] = 0
+        np.copyto(size, w2, where=two)
+        column[k, :m] = x
+        model.update(k, m, x, c == x)
         lo += begin.astype(U) * unit
-        np.multiply(width_of.astype(U), unit, out=ra)
-        i = np.flatnonzero((((lo ^ (lo + ra)) >> U(48)) == 0) | (ra <= LOW32))
+        np.multiply(size.astype(U), unit, out=ra)
+        ready = ((lo ^ (lo + ra)) < TOP)
+        by = ready.astype(U) << U(4)
+        # a block that is not ready shifts by nothing and takes nothing
+        co <<= by
+        co |= words.take(pos[:m]) * ready
+        pos[:m] += ready
+        lo <<= by
+        ra <<= by
+        i = np.flatnonzero((ra <= LOW32) | ((lo ^ (lo + ra)) < TOP))
         while len(i):
             li, ri = lo[i], ra[i]
-            forced = ((li ^ (li + ri)) >> U(48)) != 0
+            forced = (li ^ (li + ri)) >= TOP
             ri = np.where(forced, (~li + U(1)) & LOW32, ri)
-            co[i] = (co[i] << U(16)) | words[i, pos[i]].astype(U)
+            co[i] = (co[i] << U(16)) | words[pos[i]].astype(U)
             pos[i] += 1
             li, ri = li << U(16), ri << U(16)
             lo[i], ra[i] = li, ri
-            i = i[(((li ^ (li + ri)) >> U(48)) == 0) | (ri <= LOW32)]
-    return ids
+            i = i[(ri <= LOW32) | ((li ^ (li + ri)) < TOP)]
+    return np.ascontiguousarray(column.T)
 
 
 # ------------------------------------------------------------- frames
