@@ -1,16 +1,6 @@
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
-
-CLASHES = ("id", "n", "h", "t", "key", "norm", "w", "cap", "tokens", "domain", "component", "piece", "start",
-           "length", "sequence_id", "kept", "score", "lang_pred", "n_words", "copies", "c")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def make(spark, rows, clashes=True):
-    """Rows of documents, with columns whose names the operators use inside."""
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    return df.withColumns({c: F.lit(f"<{c}>") for c in CLASHES}) if clashes else df
+from llm_rows import make
 
 
 @pytest.fixture(scope="session")

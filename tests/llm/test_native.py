@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import brute
-from conftest import make
+from llm_rows import make
 
 from rankmix.llm import exact_dedup, line_dedup, mixing, pii
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
-from conftest import make
+from llm_rows import make
 from pyspark.sql import functions as F
 
 from rankmix.llm import langid, near_dedup, quality

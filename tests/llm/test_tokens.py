@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import make
+from llm_rows import make
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
