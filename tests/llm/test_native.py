@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import brute
-from llm_rows import make
+from llm_rows import awkward, awkward_rows, byte_bpe, empty, make, word_bpe  # noqa: F401
 
 from rankmix.llm import exact_dedup, line_dedup, mixing, pii
 

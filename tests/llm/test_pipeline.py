@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, and the entry contract."""
 
 import brute
+from llm_rows import byte_bpe  # noqa: F401
 from tokenizers import Tokenizer
 
 import __spark_entry__

@@ -6,7 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
-from llm_rows import make
+from llm_rows import awkward, awkward_rows, byte_bpe, empty, make, word_bpe  # noqa: F401
 from pyspark.sql import functions as F
 
 from rankmix.llm import langid, near_dedup, quality

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_rows import make
+from llm_rows import awkward, awkward_rows, byte_bpe, empty, make, word_bpe  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
