@@ -43,26 +43,27 @@ def pick(values: list[Column], largest: bool = True, tol: float = TOL) -> Column
 
     NULL values are ignored; all NULL gives NULL.
     """
-    if len(values) == 1:
-        return F.when(values[0].isNotNull(), F.lit(0))
-    best = F.greatest(*values) if largest else F.least(*values)
-    out = None
-    for k, v in enumerate(values):
-        cond = (v >= best - F.lit(tol)) if largest else (v <= best + F.lit(tol))
-        out = F.when(cond, F.lit(k)) if out is None else out.when(cond, F.lit(k))
-    return out
+    return array_pick(F.array(*values), largest=largest, tol=tol)
 
 
-def array_pick(arr: Column, n: int, largest: bool = True) -> Column:
-    return pick(elements(arr, n), largest)
+def array_pick(arr: Column, n: int | None = None, largest: bool = True, tol: float = TOL) -> Column:
+    """``pick`` over an array: the plan does not grow with the class count and
+    the best value is found once.  A class of value NULL is never picked."""
+    near = (lambda v, b: v >= b - F.lit(tol)) if largest else (lambda v, b: v <= b + F.lit(tol))
+    best = F.array_max if largest else F.array_min
+    return let(arr, lambda a: let(best(a), lambda b: F.nullif(
+        F.array_position(F.transform(a, lambda v: near(v, b)), True), F.lit(0)).cast("int") - 1))
 
 
 def avg_rank_desc(arr: Column) -> Column:
-    """Average ranks, 1 = highest score; ties share the mean of their ranks."""
-    return F.transform(
-        arr,
-        lambda v: (F.lit(1.0) + F.size(F.filter(arr, lambda x: x > v))
-                   + (F.size(F.filter(arr, lambda x: x == v)) - F.lit(1)) / F.lit(2.0)))
+    """Average ranks, 1 = highest score; ties share the mean of their ranks,
+    i.e. the middle between their first and last place in sorted order.  A
+    NULL has no rank."""
+    def ranks(up, down):
+        twice = lambda v: (F.size(up) + 1) - F.array_position(up, v) + F.array_position(down, v)
+        return F.transform(arr, lambda v: F.when(v.isNotNull(), twice(v) / F.lit(2.0)))
+    return let(F.array_sort(F.filter(arr, lambda x: x.isNotNull())),
+               lambda up: let(F.reverse(up), lambda down: ranks(up, down)))
 
 
 def ordinal_rank_desc(arr: Column) -> Column:

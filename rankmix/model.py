@@ -37,6 +37,8 @@ class ScoreSet:
     batch_size: int | None = None
     # accuracy (percent) of each model, when known; used by the WCP scheme
     accuracies: tuple[float, ...] | None = field(default=None)
+    # the table that holds the rows, when ``materialize`` wrote one
+    table: str | None = None
 
     @property
     def n_models(self) -> int:

@@ -20,14 +20,12 @@ from rankmix.model import FusedSpec, ScoreSet, r_col, s_col
 from rankmix.operators.weights import Weights
 
 SC, RC = "SC", "RC"
-MAX_MODELS = 12
 
 
 def subsets(n: int, full_set_only: bool = False, max_size: int | None = None) -> list[tuple]:
-    """Subsets of range(n) with >= 2 members, by size then lexicographic."""
-    if n > MAX_MODELS and max_size is None:
-        raise ValueError(f"{n} models give {2 ** n} subsets; pass max_size")
-    sizes = [n] if full_set_only else range(2, (max_size or n) + 1)
+    """Subsets of range(n) with >= 2 members, by size then lexicographic:
+    2^n - n - 1 of them; ``max_size`` bounds the size."""
+    sizes = [n] if full_set_only else range(2, min(max_size or n, n) + 1)
     return [c for k in sizes for c in _combinations(range(n), k)]
 
 
@@ -37,7 +35,7 @@ def fused_specs(models, schemes, include_base: bool = True, full_set_only: bool
     specs = []
     if include_base:
         specs += [FusedSpec(m, (i,), None) for i, m in enumerate(models)]
-    combos = subsets(len(models), full_set_only, max_size)
+    combos = subsets(len(models), full_set_only, max_size) if schemes else []
     for s in schemes:
         for c in combos:
             specs.append(FusedSpec("".join(models[i] for i in c) + "_" + s, c, s))
@@ -150,15 +148,20 @@ def output_frame(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
 
 
 def layout_frame(spark, layout) -> DataFrame:
-    """Metadata table ``(j, kind, fusion_model, scheme, size)`` of a layout."""
-    data = [(j, kind, spec.name, spec.scheme, spec.size) for j, (kind, spec) in enumerate(layout)]
+    """Metadata table ``(j, kind, fusion_model, scheme, size, output)`` of a
+    layout; ``output`` numbers the pairs (members, scheme), so it tells outputs
+    of one display name apart and is the same for SC and RC."""
+    number: dict = {}
+    data = [(j, kind, spec.name, spec.scheme, spec.size, number.setdefault((spec.members, spec.scheme), len(number)))
+            for j, (kind, spec) in enumerate(layout)]
     return spark.createDataFrame(
-        data, "j int, kind string, fusion_model string, scheme string, size int")
+        data, "j int, kind string, fusion_model string, scheme string, size int, output int")
 
 
 def fused_matrices(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
                    kinds=(SC, RC), normalize: bool = True) -> DataFrame:
-    """Long matrices ``(item_id, batch_id, kind, fusion_model, values)``.
+    """Long matrices ``(item_id, batch_id, j, kind, fusion_model, values)``; ``j``
+    is the output's place in the layout (names need not be unique).
 
     SC values (base models included) are min-max scaled over the whole batch
     of that output model; RC values are weighted mean ranks, unscaled.  The
@@ -170,7 +173,7 @@ def fused_matrices(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec]
     of, layout = output_frame(ss, weights, specs, kinds, keep=keep)
     n = ss.n_classes
     vs = [F.col(f"v{k}") for k in range(n)]
-    if normalize:
+    if normalize and SC in kinds:                 # RC values are not scaled: no sort for them alone
         w = Window.partitionBy("batch_id", "j")
         lo = F.min(F.least(*vs) if n > 1 else vs[0]).over(w)
         hi = F.max(F.greatest(*vs) if n > 1 else vs[0]).over(w)
@@ -179,5 +182,5 @@ def fused_matrices(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec]
         vs = [F.when(F.col("kind_id") == 0, F.try_divide(v - lo, hi - lo)).otherwise(v) for v in vs]
     names = _meta_array([spec.name for _, spec in layout], "string")
     kinds_a = _meta_array([kind for kind, _ in layout], "string")
-    return of.select("item_id", "batch_id", kinds_a[F.col("j")].alias("kind"),
+    return of.select("item_id", "batch_id", "j", kinds_a[F.col("j")].alias("kind"),
                      names[F.col("j")].alias("fusion_model"), F.array(*vs).alias("values"))

@@ -12,29 +12,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmix.functions import pick
+from rankmix.functions import array_pick
 from rankmix.model import FusedSpec, ScoreSet
 from rankmix.operators.combine import RC, SC, fused_specs, layout_frame, output_frame
 from rankmix.operators.weights import Weights
 
 
 def pick_frame(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
-               kinds=(SC, RC), keep: list[str] | None = None) -> tuple[DataFrame, list]:
+               kinds=(SC, RC), keep: list[str] | None = None,
+               largest_rank: bool = False) -> tuple[DataFrame, list]:
     """One row per (item, output j) with ``pred`` = picked class (argmax for
-    SC, argmin for RC; the lowest class wins ties)."""
+    SC, argmin for RC, or argmax with ``largest_rank``; the lowest class wins
+    ties)."""
     keep = keep if keep is not None else ss.key_cols()
     of, layout = output_frame(ss, weights, specs, kinds, keep=keep)
-    signed = [F.when(F.col("kind_id") == 0, F.col(f"v{k}")).otherwise(-F.col(f"v{k}"))
-              for k in range(ss.n_classes)]
-    staged = of.select(*keep, "j", *[c.alias(f"e{k}") for k, c in enumerate(signed)])
-    pred = pick([F.col(f"e{k}") for k in range(ss.n_classes)], largest=True)
-    return staged.select(*keep, "j", pred.alias("pred")), layout
+    sign = F.when((F.col("kind_id") == 0) | F.lit(largest_rank), F.lit(1.0)).otherwise(F.lit(-1.0))
+    pred = array_pick(F.array(*[F.col(f"v{k}") * sign for k in range(ss.n_classes)]))
+    return of.select(*keep, "j", pred.alias("pred")), layout
 
 
 def _named(df: DataFrame, layout) -> DataFrame:
     """Attach kind / fusion_model / ord to rows keyed by ``j`` (metadata join)."""
     meta = layout_frame(df.sparkSession, layout).select(
-        "j", "kind", "fusion_model", F.col("j").alias("ord"))
+        "j", "kind", "fusion_model", "scheme", "size", "output", F.col("j").alias("ord"))
     return df.join(F.broadcast(meta), on="j", how="inner").drop("j")
 
 
@@ -42,12 +42,13 @@ def labels_long(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
                 kinds=(SC, RC)) -> DataFrame:
     """``(item_id, kind, fusion_model, pred)`` — one row per item and output."""
     pf, layout = pick_frame(ss, weights, specs, kinds, keep=["item_id"])
-    return _named(pf, layout).drop("ord")
+    return _named(pf, layout).drop("ord", "scheme", "size", "output")
 
 
 def accuracy(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
              kinds=(SC, RC)) -> DataFrame:
-    """``(kind, fusion_model, ord, correct, total, accuracy)``; percent.
+    """``(kind, fusion_model, scheme, size, output, ord, correct, total,
+    accuracy)``; percent of the items that have a label.
 
     Rows are (item, output) pairs produced inside each task; the grouped sum
     on ``j`` is partially aggregated per task, so the shuffle moves
@@ -57,9 +58,9 @@ def accuracy(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
     pf, layout = pick_frame(ss, weights, specs, kinds, keep=["label"])
     agg = pf.groupBy("j").agg(
         F.sum(F.when(F.col("pred") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
-        F.count(F.lit(1)).alias("total"))
+        F.count("label").alias("total"))
     out = _named(agg, layout)
-    return out.select("kind", "fusion_model", "ord", "correct", "total",
+    return out.select("kind", "fusion_model", "scheme", "size", "output", "ord", "correct", "total",
                       (F.col("correct") / F.col("total") * F.lit(100.0)).alias("accuracy"))
 
 
@@ -92,35 +93,63 @@ def per_class_accuracy(ss: ScoreSet, weights: Weights | None, specs: list[FusedS
     long = wide.select("j", "cls", F.coalesce(got.getField("c"), F.lit(0)).alias("correct"),
                        F.coalesce(got.getField("n"), F.lit(0)).alias("count"))
     out = _named(long, layout)
-    return out.select("kind", "fusion_model", "cls", "correct", "count",
+    return out.select("kind", "fusion_model", "scheme", "cls", "correct", "count",
                       F.try_divide(F.col("correct").cast("double"),
                                    F.col("count").cast("double")).alias("class_accuracy"))
 
 
 def performance_table(acc: DataFrame) -> DataFrame:
-    """SC and RC accuracy side by side, joined on the model (not by position)."""
-    sc = acc.filter(F.col("kind") == SC).select("fusion_model", F.col("accuracy").alias("sc"),
-                                               F.col("ord"))
-    rc = acc.filter(F.col("kind") == RC).select("fusion_model", F.col("accuracy").alias("rc"))
-    return sc.join(rc, on="fusion_model", how="left")
-
-
-def top_k(acc: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Outputs strictly above ``threshold``, best first, ties by layer order."""
-    return (acc.filter(F.col("accuracy") > F.lit(threshold))
-            .orderBy(F.col("accuracy").desc(), F.col("ord").asc()).limit(k))
-
-
-def best_model(acc: DataFrame) -> DataFrame:
-    """Highest accuracy; the first in layer order wins ties."""
-    return acc.agg(F.max_by(F.struct("fusion_model", "kind", "accuracy"),
-                            F.struct(F.col("accuracy"), -F.col("ord"))).alias("b")).select("b.*")
+    """SC and RC accuracy side by side, joined on members and scheme: neither
+    the position nor the display name identifies an output."""
+    sc = acc.filter(F.col("kind") == SC).select("fusion_model", "scheme", "size", "output",
+                                               F.col("accuracy").alias("sc"), "ord")
+    rc = acc.filter(F.col("kind") == RC).select("output", F.col("accuracy").alias("rc"))
+    return sc.join(rc, on="output", how="left")
+
+
+def sorted_accuracies(acc: DataFrame) -> DataFrame:
+    """Every output's place in its kind from the least accurate up, ties
+    in layer order (the table has a row for each output: metadata)."""
+    w = Window.partitionBy("kind").orderBy(F.col("accuracy"), F.col("ord"))
+    return acc.withColumn("position", F.row_number().over(w))
 
 
-def rank_within(acc: DataFrame) -> DataFrame:
-    """Row number of every output inside its kind, best first (small table)."""
-    w = Window.partitionBy("kind").orderBy(F.col("accuracy").desc(), F.col("ord"))
-    return acc.withColumn("position", F.row_number().over(w))
+def best_outputs(acc: DataFrame) -> DataFrame:
+    """Best SC and RC output, best base model and the improvement over
+    it in points; the first in layer order wins ties."""
+    key = F.struct(F.col("accuracy"), -F.col("ord"))
+    is_base = (F.col("kind") == SC) & F.col("scheme").isNull()
+    aggs = []
+    for name, cond in (("sc", F.col("kind") == SC), ("rc", F.col("kind") == RC), ("base", is_base)):
+        aggs.append(F.max_by(F.col("fusion_model"), F.when(cond, key)).alias(f"best_{name}_model"))
+        aggs.append(F.max(F.when(cond, F.col("accuracy"))).alias(f"best_{name}"))
+    return acc.agg(*aggs).withColumn("improvement", F.greatest("best_sc", "best_rc") - F.col("best_base"))
+
+
+def short_names(models) -> list[str]:
+    """A, B, ... Z, A1, B1, ... for the base models in their order."""
+    return [chr(65 + i % 26) + (str(i // 26) if i >= 26 else "") for i in range(len(models))]
+
+
+def performance_series(acc: DataFrame, schemes, short: dict[int, str] | None = None) -> DataFrame:
+    """Per scheme the base models, then the subsets by size and inside
+    a size by RC (layer order on ties); base rows take RC := SC; the best base
+    SC and the axis floor (least SC - 10) ride along.  ``short`` replaces
+    labels by output number.  All tables are metadata: a row for each output."""
+    t = performance_table(acc)
+    label = F.col("fusion_model")
+    if short:
+        names = F.create_map(*[x for k, v in short.items() for x in (F.lit(k), F.lit(v))])
+        label = F.coalesce(F.try_element_at(names, F.col("output")), label)
+    t = t.select("scheme", label.alias("label"), "size", "ord", "sc",
+                 F.when(F.col("scheme").isNull(), F.col("sc")).otherwise(F.col("rc")).alias("rc"))
+    base = t.filter(F.col("scheme").isNull()).withColumn(
+        "scheme", F.explode(F.array(*[F.lit(s) for s in schemes])))
+    rows = base.unionByName(t.filter(F.col("scheme").isin(list(schemes))))
+    w, everything = Window.partitionBy("scheme").orderBy("size", "rc", "ord"), Window.partitionBy()
+    return rows.select("scheme", "size", F.row_number().over(w).alias("position"), "label", "sc", "rc",
+                       F.max(F.when(F.col("size") == 1, F.col("sc"))).over(everything).alias("best_base"),
+                       (F.min("sc").over(everything) - 10).alias("floor"))
 
 
 def check_score_set(ss: ScoreSet) -> dict:

@@ -8,27 +8,35 @@ cardinality, never by the row count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmix.operators.ranks import global_rank
+
 
 def factorize(df: DataFrame, col: str, order_by: str, out: str | None = None) -> DataFrame:
     """Integer codes by first appearance (the row order is ``order_by``).
 
     Distinct values with their first position come from a grouped aggregate
-    (partial aggregation); the code is the rank of that first position among
-    the distinct values — a window over the small distinct-value table.
+    (partial aggregation); the code is that position's place among them, a
+    global rank (range partitions and offsets, no single task).  The optimizer
+    broadcasts the codes when they are small; else the join shuffles.  A NULL
+    is no category and gets -1.
     """
     out = out or f"{col}_code"
-    firsts = df.groupBy(col).agg(F.min(order_by).alias("_first"))
-    # one row per category: the window runs over the category table only
-    codes = firsts.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
-    return df.join(F.broadcast(codes), on=col, how="left")
+    firsts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_by).alias("_first"))
+    ranked = global_rank(firsts.withColumn("_all", F.lit(0)), "_all", ["_first", col], out)
+    codes = ranked.select(col, (F.col(out) - 1).cast("int").alias(out))
+    return df.join(codes, on=col, how="left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
-def categories(df: DataFrame, col: str) -> list:
-    """Sorted distinct non-null values (one small action; cardinality-sized)."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+def categories(df: DataFrame, col: str, at_most: int = 1000) -> list:
+    """Sorted distinct non-null values.  They become columns, so a column of
+    more than ``at_most`` values raises instead of being collected."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"{col} has more than {at_most} values; pass those to encode")
+    return sorted(r[0] for r in rows)
 
 
 def one_hot(df: DataFrame, col: str, values: list | None = None, drop_first: bool = True,
@@ -54,8 +62,9 @@ def impute_mean(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
 def hash_split(df: DataFrame, key: str, test_percent: int = 20, seed: int = 42,
                out: str = "is_test") -> DataFrame:
     """Deterministic train/test flag from a hash of the key: the same rows
-    whatever the partitioning (a random split depends on it)."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < test_percent)
+    whatever the partitioning and the engine (a random split depends on it)."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
+    return df.withColumn(out, F.conv(digits, 16, 10).cast("long") % 100 < test_percent)
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -84,5 +93,23 @@ def rename_positional(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def attach_target(df: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Join a target by key; rows without one get NULL."""
+    return df.join(target, on=key, how="left")
+
+
+def detach_target(df: DataFrame, target: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The features without the target, and ``(key, target)``."""
+    return df.drop(target), df.select(key, target)
+
+
+def cast_labels(col) -> Column:
+    return (F.col(col) if isinstance(col, str) else col).cast("int")
+
+
+def suffix_or_member(df: DataFrame, col: str, suffix: str, members: list) -> DataFrame:
+    return df.filter(F.col(col).endswith(suffix) | F.col(col).isin(members))
+
+
 def split_by_value(df: DataFrame, col: str, value) -> DataFrame:
     return df.filter(F.col(col) == F.lit(value))

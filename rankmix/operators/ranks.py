@@ -61,36 +61,39 @@ def item_ranks(ss: ScoreSet, ordinal: bool = False) -> DataFrame:
 
 
 def item_rsc(ss: ScoreSet, of_ranks: bool = False) -> DataFrame:
-    """Long ``(item_id, model, position, value)``: every item's rank-score
-    characteristic (row min-max scaled, sorted best first; position 1 = best).
-    ``of_ranks`` applies it to the item's average-rank values instead (the
-    rank-side curve)."""
+    """Long ``(item_id, model, position, rank, value)``: every item's rank-score
+    characteristic (row min-max scaled, sorted best first; position 1 = best)
+    against its sorted average ranks.  ``of_ranks`` applies both to the item's
+    average-rank values instead (the rank-side curve)."""
     src = [avg_rank_desc(F.col(s_col(i))) if of_ranks else F.col(s_col(i)) for i in range(ss.n_models)]
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), rsc_desc(src[i]).alias("f"))
-        for i, m in enumerate(ss.models)]))
-    df = ss.df.select("item_id", rows.alias("x"))
-    return df.select("item_id", "x.model", F.posexplode("x.f")).select(
-        "item_id", "model", (F.col("pos") + 1).alias("position"), F.col("col").alias("value"))
-
-
-def mean_rsc(ss: ScoreSet) -> DataFrame:
-    """``(model, cls, mean_score, value, rank)``: the class means over all
-    items (partial aggregation), then their RSC and average ranks."""
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), src[i].alias("a"))
+                               for i, m in enumerate(ss.models)]))
+    df = ss.df.select("item_id", rows.alias("x")).select(
+        "item_id", "x.model", rsc_desc(F.col("x.a")).alias("f"), F.array_sort(avg_rank_desc(F.col("x.a"))).alias("r"))
+    return df.select("item_id", "model", F.posexplode(F.arrays_zip("f", "r"))).select(
+        "item_id", "model", (F.col("pos") + 1).alias("position"), F.col("col.r").alias("rank"),
+        F.col("col.f").alias("value"))
+
+
+def mean_rsc(ss: ScoreSet, of_ranks: bool = False) -> DataFrame:
+    """``(model, position, rank, value)``, the rank-score characteristic of
+    a model's class means over all items (``of_ranks``: means of its average
+    ranks).  Both axes are sorted: the k-th value of the scaled means from the
+    highest down stands beside the k-th of the means' average ranks."""
+    # one row per (item, model, class) inside the task, summed map-side: the
+    # plan does not grow with the class count
+    src = [avg_rank_desc(F.col(s_col(i))) if of_ranks else F.col(s_col(i)) for i in range(ss.n_models)]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("mi"), src[i].alias("a")) for i in range(ss.n_models)]))
+    long = ss.df.select(rows.alias("x")).select("x.mi", F.posexplode("x.a").alias("cls", "v"))
     # means are rounded to 9 decimals before ranking: an average's last bits
     # depend on the summation order, which is not fixed across partitions
-    aggs = [F.round(F.avg(F.col(s_col(i)).getItem(k)), 9).alias(f"m{i}_{k}")
-            for i in range(ss.n_models) for k in range(ss.n_classes)]
-    means = ss.df.agg(*aggs)
-    rows = []
-    for i, m in enumerate(ss.models):
-        arr = F.array(*[F.col(f"m{i}_{k}") for k in range(ss.n_classes)])
-        rows.append(F.struct(F.lit(m).alias("model"), arr.alias("a")))
-    long = means.select(F.explode(F.array(*rows)).alias("x")).select("x.model", "x.a")
-    long = long.select("model", "a", rsc_desc(F.col("a")).alias("f"), avg_rank_desc(F.col("a")).alias("r"))
-    return long.select("model", F.posexplode(F.arrays_zip("a", "f", "r"))).select(
-        "model", F.col("pos").alias("cls"), F.col("col.a").alias("mean_score"),
-        F.col("col.f").alias("rsc_value"), F.col("col.r").alias("rank"))
+    means = long.groupBy("mi", "cls").agg(F.round(F.avg("v"), 9).alias("mean"))
+    per = means.groupBy("mi").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "mean"))),
+                                              lambda p: p["mean"]).alias("a"))
+    per = per.select("mi", rsc_desc(F.col("a")).alias("f"), F.array_sort(avg_rank_desc(F.col("a"))).alias("r"))
+    names = F.array(*[F.lit(m) for m in ss.models])
+    return per.select(names[F.col("mi")].alias("model"), F.posexplode(F.arrays_zip("f", "r"))).select(
+        "model", (F.col("pos") + 1).alias("position"), F.col("col.r").alias("rank"), F.col("col.f").alias("value"))
 
 
 def tie_counts(ss: ScoreSet) -> DataFrame:

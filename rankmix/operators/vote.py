@@ -15,10 +15,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import json_literal, lsum
+from rankmix.functions import json_literal, let, lsum
 from rankmix.session import ensure_checkpoint_dir
 
-# Number of best subsets kept as voters between rounds.
+# Fixed value: number of best subsets kept as voters between rounds, by default.
 VOTERS_PER_ROUND = 5
 
 
@@ -36,11 +36,12 @@ def vote_of(preds: list[Column], members: list[Column] | None, n_labels: int) ->
             hit = F.when(p == lab, F.lit(1)).otherwise(F.lit(0))
             terms.append(hit if members is None else F.when(members[i], hit).otherwise(F.lit(0)))
         counts.append(lsum(terms))
-    best = F.greatest(*counts) if n_labels > 1 else counts[0]
-    out = None
-    for lab, c in enumerate(counts):
-        out = F.when(c == best, F.lit(lab)) if out is None else out.when(c == best, F.lit(lab))
-    return out
+    return _most(counts)
+
+
+def _most(counts: list[Column]) -> Column:
+    """Position of the largest count; the lowest wins ties."""
+    return let(F.array(*counts), lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("int"))
 
 
 def majority_vote(wide: DataFrame, n_voters: int, n_labels: int, keep=("item_id",)) -> DataFrame:
@@ -87,10 +88,11 @@ def wide_predictions(preds_long: DataFrame, voters: list[str], truth: DataFrame
 
 
 def recursive_vote(wide: DataFrame, voters: list[str], n_labels: int, full_set_only: bool = False,
-                   max_rounds: int = 50) -> list[dict]:
+                   keep: int = VOTERS_PER_ROUND) -> list[dict]:
     """Iterated voting with ground truth: every round evaluates all subsets of
-    the current voters, keeps the best five subsets' votes as the next voters,
-    and stops when the best accuracy does not improve or no subset is left.
+    the current voters, makes the votes of the best ``keep`` subsets the next
+    voters, and stops when the best accuracy does not improve (accuracies are
+    finitely many, so it does stop) or no subset is left.
 
     Returns one dict per evaluated round (best accuracy, best subset, kept).
     Each round's voters are checkpointed to the shared checkpoint folder, so
@@ -100,14 +102,16 @@ def recursive_vote(wide: DataFrame, voters: list[str], n_labels: int, full_set_o
     names = list(voters)
     cur = wide.select("item_id", "label", *[f"p{i}" for i in range(len(names))])
     history, best = [], None
-    for rnd in range(1, max_rounds + 1):
+    rnd = 0
+    while True:
+        rnd += 1
         n = len(names)
         subsets = vote_subsets(n, full_set_only) if n >= 2 else []
         if not subsets:
             break
         acc = subset_accuracy(cur, n, n_labels, subsets, names).orderBy(
             F.col("accuracy").desc(), F.col("combo").asc())
-        top = acc.limit(VOTERS_PER_ROUND).collect()
+        top = acc.limit(keep).collect()
         if rnd > 1 and top[0]["accuracy"] <= best:
             history.append({"round": rnd, "best_accuracy": top[0]["accuracy"], "stopped": True,
                             "best_members": top[0]["members"], "kept": []})
@@ -134,8 +138,4 @@ def vote_rows(pick_rows: DataFrame, n_labels: int) -> DataFrame:
     counts = pick_rows.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("pred") == lab, 1).otherwise(0)).alias(f"n{lab}") for lab in range(n_labels)])
     cs = [F.col(f"n{lab}") for lab in range(n_labels)]
-    best = F.greatest(*cs) if n_labels > 1 else cs[0]
-    out = None
-    for lab, c in enumerate(cs):
-        out = F.when(c == best, F.lit(lab)) if out is None else out.when(c == best, F.lit(lab))
-    return counts.select(*keys, out.alias("vote"))
+    return counts.select(*keys, _most(cs).alias("vote"))

@@ -15,7 +15,8 @@ from rankmix.functions import array_pick
 from rankmix.operators import ranks as K
 from rankmix.operators import vote as V
 from rankmix.operators.combine import RC, SC, fused_specs
-from rankmix.operators.evaluate import base_accuracy as _base_accuracy, pick_frame
+from rankmix.operators.evaluate import base_accuracy as _base_accuracy, best_outputs, pick_frame
+from rankmix.operators.evaluate import performance_series as _series, sorted_accuracies
 from rankmix.operators.weights import batch_weights, pairwise, strengths, weights_long
 from rankmix.plans import layer as L
 from rankmix.plans import regression as R
@@ -25,7 +26,7 @@ from rankmix.sources.frames import to_long
 BATCH = 2048
 ALL4 = ("AC", "WC-CDS", "WC-KDS", "WCP")
 SEARCH_SCHEMES = ("AC", "WC-CDS", "WCP")
-MATRIX_SCHEMES = ("AC", "WC-CDS")
+UNSUPERVISED = ("AC", "WC-CDS")
 
 
 def r6(c):
@@ -63,13 +64,17 @@ def ordinal_rank(spark, sf_dir):
 
 def rsc_item(spark, sf_dir):
     return K.item_rsc(ford_wide(spark, sf_dir)).select(
-        "item_id", "model", "position", r6("value").alias("value"))
+        "item_id", "model", "position", "rank", r6("value").alias("value"))
 
 
 def rsc_mean(spark, sf_dir):
-    return K.mean_rsc(ford_wide(spark, sf_dir)).select(
-        "model", "cls", r6("mean_score").alias("mean_score"), r6("rsc_value").alias("rsc_value"),
-        "rank")
+    return K.mean_rsc(ford_wide(spark, sf_dir)).select("model", "position", "rank", r6("value").alias("value"))
+
+
+def rsc_mean_ranks(spark, sf_dir):
+    """K10, rank side: the same of the class means of the average ranks."""
+    return K.mean_rsc(ford_wide(spark, sf_dir), of_ranks=True).select(
+        "model", "position", "rank", r6("value").alias("value"))
 
 
 def diversity_pairs(spark, sf_dir):
@@ -106,8 +111,8 @@ def layer_report(spark, sf_dir):
 
 
 def _matrices(spark, sf_dir, kind):
-    ss = _ss(spark, sf_dir, MATRIX_SCHEMES)
-    m = L.layer_matrices(ss, MATRIX_SCHEMES, kinds=(kind,))
+    ss = _ss(spark, sf_dir, ALL4)
+    m = L.layer_matrices(ss, ALL4, kinds=(kind,))
     # IEEE rounding (floor(x * 1e6 + 0.5) / 1e6): millions of values, and the
     # same bits in every engine
     return m.select("item_id", "fusion_model",
@@ -124,19 +129,24 @@ def rank_combination(spark, sf_dir):
 
 
 def per_class_accuracy(spark, sf_dir):
-    ss = _ss(spark, sf_dir, MATRIX_SCHEMES)
-    return L.class_accuracy(ss, MATRIX_SCHEMES).select(
+    ss = _ss(spark, sf_dir, ALL4)
+    return L.class_accuracy(ss, ALL4).select(
         "kind", "fusion_model", "cls", "correct", "count", r6("class_accuracy").alias("class_accuracy"))
 
 
 def mean_class_accuracy(spark, sf_dir):
-    ss = _ss(spark, sf_dir, MATRIX_SCHEMES)
-    out = L.mean_class_accuracy(L.class_accuracy(ss, MATRIX_SCHEMES), ss.models)
+    ss = _ss(spark, sf_dir, ALL4)
+    out = L.mean_class_accuracy(L.class_accuracy(ss, ALL4))
     return out.select("cls", *[r6(c).alias(c) for c in ("base", "sc", "rc", "fused")])
 
 
 def unsupervised_labels(spark, sf_dir):
-    return L.unsupervised_labels(_ss(spark, sf_dir), MATRIX_SCHEMES)
+    return L.unsupervised_labels(_ss(spark, sf_dir), UNSUPERVISED)
+
+
+def unsupervised_labels_max(spark, sf_dir):
+    """The same with the largest rank picked, as the original script does."""
+    return L.unsupervised_labels(_ss(spark, sf_dir), UNSUPERVISED, kinds=(RC,), rank_pick="max")
 
 
 def _fused_votes(spark, sf_dir):
@@ -216,7 +226,7 @@ def reg_rsc(spark, sf_dir):
     return ranked.select("model", "rank", r6("value").alias("value"), r6("value_max").alias("value_max"))
 
 
-def _reg_fused(spark, sf_dir):
+def _reg_fused(spark, sf_dir, kinds=("SC", "RC")):
     from rankmix.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # derived once (three group means per order) and read by every branch
@@ -224,7 +234,8 @@ def _reg_fused(spark, sf_dir):
     long = R.to_long(wide, FREG_MODELS)
     ranked = R.vector_ranks(long)  # one global ordering for ranks and RSCs
     weights = R.regression_weights(long, FREG_MODELS, R.REGRESSION_SCHEMES, ranked)
-    return wide, R.fuse(R.with_vector_ranks(wide, FREG_MODELS, ranked), FREG_MODELS, weights)
+    rows = R.with_vector_ranks(wide, FREG_MODELS, ranked) if "RC" in kinds else wide
+    return wide, R.fuse(rows, FREG_MODELS, weights, kinds)
 
 
 def reg_fusion(spark, sf_dir):
@@ -233,7 +244,7 @@ def reg_fusion(spark, sf_dir):
 
 
 def reg_report(spark, sf_dir):
-    wide, fused = _reg_fused(spark, sf_dir)
+    wide, fused = _reg_fused(spark, sf_dir, ("SC",))
     mean_y = float(wide.agg(F.avg("target")).first()[0])
     rep = R.report(fused, mean_y, FREG_MODELS)
     return rep.select("model", r6("r2").alias("r2"), round4("rmse").alias("rmse"))
@@ -242,6 +253,7 @@ def reg_report(spark, sf_dir):
 QUERIES = {
     "ord_scores": ord_scores, "base_accuracy": base_accuracy, "avg_rank": avg_rank,
     "ordinal_rank": ordinal_rank, "rsc_item": rsc_item, "rsc_mean": rsc_mean,
+    "rsc_mean_ranks": rsc_mean_ranks, "unsupervised_labels_max": unsupervised_labels_max,
     "diversity_pairs": diversity_pairs, "diversity_strength": diversity_strength,
     "ksi_strength": ksi_strength, "weights_all": weights_all, "layer_accuracy": layer_accuracy,
     "layer_report": layer_report, "score_combination": score_combination,
@@ -295,8 +307,9 @@ QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
 
 def ml_scorers(spark, sf_dir):
     """Fit the scorer suite (random forest, tree, perceptron, linear SVM,
-    AdaBoost) on the 80% training share of ``embeddings`` and report each
-    model's test accuracy (no SQL equivalent: model training)."""
+    AdaBoost) on the 80% training share of ``embeddings`` and report what holds
+    for any trained model: scored items and classes, probabilities that sum to
+    1 and lie in [0, 1].  Accuracies are held by the tests."""
     from rankmix.operators import scorers as M
     from rankmix.operators.prep import hash_split
     from rankmix.sources.fixtures import table
@@ -307,10 +320,13 @@ def ml_scorers(spark, sf_dir):
     n_classes = int(emb.agg(F.max("label")).first()[0]) + 1
     scores = (M.fit_and_score(train, test, M.default_suite(64, n_classes))
               .unionByName(M.svm_scores(train, test))
-              .unionByName(M.adaboost_scores(train, test, n_classes, rounds=10)))
-    truth = test.select("item_id", F.col("label").cast("int").alias("label"))
-    return M.accuracy_of(M.predictions(scores), truth).select(
-        "model", "correct", "total", r6("accuracy").alias("accuracy"))
+              .unionByName(M.adaboost_scores(train, test, n_classes)))
+    per_item = scores.groupBy("model", "item_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    ok = (F.abs(F.col("s") - 1) < 1e-6) & (F.col("lo") >= 0) & (F.col("hi") <= 1 + 1e-9)
+    return per_item.groupBy("model").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("n").alias("scores"),
+        F.sum(F.when(ok, 0).otherwise(1)).cast("long").alias("invalid"))
 
 
 def vote_recursive(spark, sf_dir):
@@ -346,51 +362,29 @@ def diversity_log(spark, sf_dir):
 
 
 def layer_best(spark, sf_dir):
-    """Best SC and RC output, best base model and the improvement (points);
-    one aggregate with conditional max_by (layer order breaks ties)."""
-    acc = _layer_acc(spark, sf_dir, ALL4)
-    is_base = (F.col("kind") == SC) & F.col("fusion_model").isin(list(FORD_MODELS))
-    key = F.struct(F.col("accuracy"), -F.col("ord"))
-    aggs = []
-    for name, cond in (("sc", F.col("kind") == SC), ("rc", F.col("kind") == RC), ("base", is_base)):
-        aggs.append(F.max_by(F.col("fusion_model"), F.when(cond, key)).alias(f"best_{name}_model"))
-        aggs.append(F.max(F.when(cond, F.col("accuracy"))).alias(f"best_{name}"))
-    one = acc.agg(*aggs)
+    """Best SC and RC output, best base model and the improvement (points)."""
+    one = best_outputs(_layer_acc(spark, sf_dir, ALL4))
     return one.select("best_sc_model", r6("best_sc").alias("best_sc"), "best_rc_model",
                       r6("best_rc").alias("best_rc"), "best_base_model", r6("best_base").alias("best_base"),
-                      r6(F.greatest("best_sc", "best_rc") - F.col("best_base")).alias("improvement"))
+                      r6("improvement").alias("improvement"))
 
 
 def performance_series(spark, sf_dir):
-    """Per scheme the chart series: base models then subsets by size, inside
-    a size ordered by RC (layer order on ties); base rows take RC := SC; the
-    best base SC and the axis floor (lowest SC - 10) ride along."""
-    acc = _layer_acc(spark, sf_dir, ALL4)
-    sc = acc.filter(F.col("kind") == SC).select("fusion_model", "ord", F.col("accuracy").alias("sc"))
-    rc = acc.filter(F.col("kind") == RC).select("fusion_model", F.col("accuracy").alias("rc"))
-    t = sc.join(rc, on="fusion_model")
-    base = t.filter(F.col("fusion_model").isin(list(FORD_MODELS)))
-    rows = []
-    for s in ALL4:
-        fused = t.filter(F.col("fusion_model").endswith("_" + s)).select(
-            F.lit(s).alias("scheme"), F.split("fusion_model", "_").getItem(0).alias("label"),
-            F.length(F.split("fusion_model", "_").getItem(0)).alias("size"), "ord", "sc", "rc")
-        bases = base.select(F.lit(s).alias("scheme"), F.col("fusion_model").alias("label"),
-                            F.lit(1).alias("size"), "ord", "sc", F.col("sc").alias("rc"))
-        rows.append(bases.unionByName(fused))
-    allr = rows[0]
-    for r in rows[1:]:
-        allr = allr.unionByName(r)
-    # schemes x outputs rows (metadata sized): the windows stay tiny
-    w = Window.partitionBy("scheme").orderBy("size", "rc", "ord")
-    everything = Window.partitionBy()
-    out = allr.select("*", F.row_number().over(w).alias("position"),
-                      F.max(F.when(F.col("size") == 1, F.col("sc"))).over(everything).alias("best_base"),
-                      (F.min("sc").over(everything) - 10).alias("floor"))
-    return out.select("scheme", "size", "position", "label", r6("sc").alias("sc"), r6("rc").alias("rc"),
+    """Per scheme the chart series with the best base SC and the axis floor."""
+    out = _series(_layer_acc(spark, sf_dir, ALL4), ALL4)
+    # F-ORD names have no underscore: the label is the part before the scheme
+    label = F.when(F.col("size") == 1, F.col("label")).otherwise(F.split("label", "_").getItem(0))
+    return out.select("scheme", "size", "position", label.alias("label"), r6("sc").alias("sc"), r6("rc").alias("rc"),
                       r6("best_base").alias("best_base"), r6("floor").alias("floor"))
 
 
+def accuracy_sorted(spark, sf_dir):
+    """All outputs of the layer by rising accuracy."""
+    return sorted_accuracies(_layer_acc(spark, sf_dir, ALL4)).select(
+        "kind", "position", "fusion_model", r6("accuracy").alias("accuracy"))
+
+
+QUERIES.update({"accuracy_sorted": accuracy_sorted})
 QUERIES.update({"tie_counts": tie_counts, "diversity_log": diversity_log, "layer_best": layer_best,
                 "performance_series": performance_series})
 
@@ -423,7 +417,7 @@ def output_validity(spark, sf_dir):
     """which layer outputs (all four schemes) hold an invalid value."""
     from rankmix.plans.search import output_validity as validity
     ss = _ss(spark, sf_dir, ALL4)
-    return validity(ss, batch_weights(ss, ALL4), fused_specs(ss.models, ALL4))
+    return validity(ss, batch_weights(ss, ALL4), fused_specs(ss.models, ALL4)).drop("ord")
 
 
 QUERIES.update({"output_validity": output_validity})
@@ -432,7 +426,7 @@ QUERIES.update({"output_validity": output_validity})
 def rsc_item_ranks(spark, sf_dir):
     """K9, rank side: the RSC of every item's average-rank values."""
     return K.item_rsc(ford_wide(spark, sf_dir), of_ranks=True).select(
-        "item_id", "model", "position", r6("value").alias("value"))
+        "item_id", "model", "position", "rank", r6("value").alias("value"))
 
 
 QUERIES.update({"rsc_item_ranks": rsc_item_ranks})
@@ -441,10 +435,35 @@ QUERIES.update({"rsc_item_ranks": rsc_item_ranks})
 def reg_report_rc(spark, sf_dir):
     """C6 with the rank combinations: R^2 / RMSE of the RC outputs (base
     models' rank vectors included, labelled Base_<m>)."""
-    wide, fused = _reg_fused(spark, sf_dir)
+    wide, fused = _reg_fused(spark, sf_dir, ("RC",))
     mean_y = float(wide.agg(F.avg("target")).first()[0])
     rep = R.report(fused, mean_y, FREG_MODELS, kinds=("RC",))
     return rep.select("model", r6("r2").alias("r2"), round4("rmse").alias("rmse"))
 
 
 QUERIES.update({"reg_report_rc": reg_report_rc})
+
+
+def prep_columns(spark, sf_dir):
+    """P2, P3, P5, P6, P10 to P14 in one frame over ``part`` and ``events``:
+    attach a target, split by value, drop rows with nulls and trailing columns,
+    cast, shift and one-hot encode labels, rename by position, filter by
+    suffix or membership."""
+    from rankmix.operators import prep as P
+    from rankmix.sources.fixtures import table
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    target = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("p_partkey")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.max("event_type").alias("last_type"))
+    rows = P.attach_target(P.drop_trailing(part, 1), target.drop("last_type"), "p_partkey")
+    rows = P.drop_null_rows(rows.withColumn("p_size", F.when(F.col("p_size") != 7, F.col("p_size"))))
+    rows = P.suffix_or_member(rows, "p_brand", "3", ["Brand#11", "Brand#22"])
+    rows = rows.withColumn("label", P.shift_labels("p_size"))
+    rows = rows.withColumn("code", P.cast_labels(F.substring("p_brand", 7, 1)))
+    rows = rows.withColumn("hot", F.array_join(P.label_one_hot("code", 6), ""))
+    features, y = P.detach_target(rows, "n_events", "p_partkey")
+    rows = P.attach_target(features, y, "p_partkey").drop("p_name", "p_size")
+    rows = P.rename_positional(rows, ["part", "brand", "label", "code", "hot", "target"])
+    return P.split_by_value(rows.withColumn("odd", F.col("part") % 2), "odd", 1).drop("odd")
+
+
+QUERIES.update({"prep_columns": prep_columns})

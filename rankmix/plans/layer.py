@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankmix.model import ScoreSet
 from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs
 from rankmix.operators.evaluate import (accuracy, labels_long, per_class_accuracy,
-                                        performance_table, with_base_accuracies)
+                                        performance_table, pick_frame, with_base_accuracies)
 from rankmix.operators.weights import (WCP, batch_weights, strengths, validate_schemes)
 from rankmix.session import ensure_checkpoint_dir, tune_session
 from rankmix.sources.frames import materialize as materialize_set, with_batches, with_ranks
@@ -49,8 +49,8 @@ def prepare(ss: ScoreSet, batch_size: int = 2048, schemes=(), partitions: int |
 
 def layer_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC), full_set_only: bool = False,
                    max_size: int | None = None) -> DataFrame:
-    """Accuracy of every output; ``max_size`` bounds the subset size (needed
-    above 12 models, where 2^M subsets would be enumerated)."""
+    """Accuracy of every output; ``max_size`` bounds the subset size (all 2^M
+    subsets are enumerated otherwise)."""
     schemes = validate_schemes(schemes, ss.has_label)
     specs = fused_specs(ss.models, schemes, full_set_only=full_set_only, max_size=max_size)
     return accuracy(ss, batch_weights(ss, schemes), specs, kinds)
@@ -58,7 +58,7 @@ def layer_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC), full_set_only: bool =
 
 def layer_report(acc: DataFrame) -> DataFrame:
     """``(fusion_model, sc, rc)``: the performance table, joined by model."""
-    return performance_table(acc).select("fusion_model", "sc", "rc", "ord")
+    return performance_table(acc).select("fusion_model", "sc", "rc", "ord", "output")
 
 
 def layer_matrices(ss: ScoreSet, schemes, kinds=(SC, RC), normalize: bool = True,
@@ -75,32 +75,40 @@ def layer_labels(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | None = N
     return labels_long(ss, batch_weights(ss, schemes), specs, kinds)
 
 
-def unsupervised_labels(ss: ScoreSet, schemes, kinds=(SC, RC)) -> DataFrame:
-    """Wide 1-based labels: ``item_id, SC_<model>..., RC_<model>...``.
+def unsupervised_labels(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | None = None,
+                        rank_pick: str = "min") -> DataFrame:
+    """Wide 1-based labels: ``item_id, SC_<model>..., RC_<model>...``; outputs
+    of one display name are told apart by their place, ``name#j``.
 
-    Labels of the rank outputs use argmin (the best rank); the pivot values
-    are given, so Spark does not scan for them.
+    Labels of the rank outputs use the best (least) rank; ``rank_pick="max"``
+    takes the largest instead.  An item's outputs are folded back into its row
+    on ``(batch_id, item_id)``: rows are clustered by ``batch_id``, so nothing
+    is shuffled.
     """
+    if rank_pick not in ("min", "max"):
+        raise ValueError("rank_pick is 'min' or 'max'")
     schemes = validate_schemes(schemes, supervised=False)
-    specs = fused_specs(ss.models, schemes)
-    long = labels_long(ss, batch_weights(ss, schemes), specs, kinds)
-    names = [f"{k}_{s.name}" for k in kinds for s in specs]
-    keyed = long.select("item_id", F.concat_ws("_", "kind", "fusion_model").alias("col"),
-                        (F.col("pred") + 1).alias("label"))
-    return keyed.groupBy("item_id").pivot("col", names).agg(F.first("label"))
+    specs = fused_specs(ss.models, schemes, max_size=max_size)
+    pf, layout = pick_frame(ss, batch_weights(ss, schemes), specs, kinds, keep=["batch_id", "item_id"],
+                            largest_rank=rank_pick == "max")
+    names = [f"{k}_{s.name}" for k, s in layout]
+    names = [n if names.count(n) == 1 else f"{n}#{j}" for j, n in enumerate(names)]
+    folded = pf.groupBy("batch_id", "item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("j", F.col("pred") + 1))).alias("m"))
+    return folded.select("item_id", *[F.try_element_at("m", F.lit(j)).alias(n) for j, n in enumerate(names)])
 
 
-def class_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC)) -> DataFrame:
+def class_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | None = None) -> DataFrame:
     schemes = validate_schemes(schemes, ss.has_label)
-    specs = fused_specs(ss.models, schemes)
+    specs = fused_specs(ss.models, schemes, max_size=max_size)
     return per_class_accuracy(ss, batch_weights(ss, schemes), specs, kinds)
 
 
-def mean_class_accuracy(pca: DataFrame, base_models) -> DataFrame:
+def mean_class_accuracy(pca: DataFrame) -> DataFrame:
     """Mean per-class accuracy over the models of each group:
     ``(cls, base, sc, rc, fused)`` where ``fused = (sc + rc) / 2``; the base
     group is the base models' SC rows, SC / RC the fused ones."""
-    is_base = F.col("fusion_model").isin(list(base_models))
+    is_base = F.col("scheme").isNull()
     grp = (F.when(is_base & (F.col("kind") == SC), F.lit("base"))
            .when(~is_base & (F.col("kind") == SC), F.lit("sc"))
            .when(~is_base & (F.col("kind") == RC), F.lit("rc")))
@@ -113,7 +121,3 @@ def diversity_log(ss: ScoreSet, corr: str = "CD") -> DataFrame:
     """One row per batch, one column per model: the diversity strengths."""
     return strengths(ss, corr).groupBy("batch_id").pivot("model", list(ss.models)).agg(
         F.first("strength"))
-
-
-def weights_for(ss: ScoreSet, schemes):
-    return batch_weights(ss, validate_schemes(schemes, ss.has_label))

@@ -146,7 +146,7 @@ def _with(*parts) -> str:
 
 ALL4 = ("AC", "WC-CDS", "WC-KDS", "WCP")
 SEARCH_SCHEMES = ("AC", "WC-CDS", "WCP")
-MATRIX_SCHEMES = ("AC", "WC-CDS")
+UNSUPERVISED = ("AC", "WC-CDS")
 
 
 def ord_scores() -> str:
@@ -170,32 +170,32 @@ select item_id, model, cls, round(score, 6) as score,
 from scores"""
 
 
+def _curve(source: str, keys: str, value: str) -> str:
+    """Both axes of a rank-score characteristic, each sorted by itself: the
+    scaled values from the highest down and the average ranks from 1 up."""
+    return f""",
+nv AS (select {keys}, {value} as x,
+              ({value} - min({value}) over (partition by {keys}))
+              / nullif(max({value}) over (partition by {keys}) - min({value}) over (partition by {keys}), 0) as v,
+              cast(rank() over (partition by {keys} order by {value} desc) as double)
+                + (count(*) over (partition by {keys}, {value}) - 1) / 2.0 as r from {source}),
+ax AS (select {keys}, v, row_number() over (partition by {keys} order by v desc nulls last) as position from nv),
+ay AS (select {keys}, r, row_number() over (partition by {keys} order by r) as position from nv)
+select {keys}, position, ay.r as rank, round(ax.v, 6) as value from ax join ay using ({keys}, position)"""
+
+
 def rsc_item() -> str:
-    return _with(FORD) + """,
-nv AS (select item_id, model, cls,
-              (score - min(score) over (partition by item_id, model))
-              / nullif(max(score) over (partition by item_id, model)
-                       - min(score) over (partition by item_id, model), 0) as v from scores)
-select item_id, model,
-       row_number() over (partition by item_id, model order by v desc nulls last, cls) as position,
-       round(v, 6) as value
-from nv"""
+    return _with(FORD) + _curve("scores", "item_id, model", "score")
 
 
 def rsc_mean() -> str:
     return _with(FORD) + """,
-mean AS (select model, cls, round(avg(score), 9) as ms from scores group by model, cls),
-nm AS (select model, cls, ms,
-              (ms - min(ms) over (partition by model))
-              / nullif(max(ms) over (partition by model) - min(ms) over (partition by model), 0) as v
-       from mean),
-srt AS (select model, v, row_number() over (partition by model order by v desc nulls last, cls) - 1 as pos
-        from nm),
-rk AS (select model, cls, ms,
-              cast(rank() over (partition by model order by ms desc) as double)
-                + (count(*) over (partition by model, ms) - 1) / 2.0 as r from nm)
-select rk.model, rk.cls, round(rk.ms, 6) as mean_score, round(srt.v, 6) as rsc_value, rk.r as rank
-from rk join srt on rk.model = srt.model and rk.cls = srt.pos"""
+mean AS (select model, cls, round(avg(score), 9) as m from scores group by model, cls)""" + _curve("mean", "model", "m")
+
+
+def rsc_mean_ranks() -> str:
+    return _with(FORD) + """,
+mean AS (select model, cls, round(avg(rnk), 9) as m from ranks group by model, cls)""" + _curve("mean", "model", "m")
 
 
 def diversity_pairs() -> str:
@@ -246,8 +246,8 @@ nv AS (select fv.item_id, fv.j, fv.cls, {val} as val
     else:
         extra = """,
 nv AS (select item_id, j, cls, v as val from fv)"""
-    return (_with(FORD, BASE_ACC, FIRSTS, weights_cte(MATRIX_SCHEMES),
-                  outs_cte(MATRIX_SCHEMES, (kind,)), FUSED) + extra + f"""
+    return (_with(FORD, BASE_ACC, FIRSTS, weights_cte(ALL4),
+                  outs_cte(ALL4, (kind,)), FUSED) + extra + f"""
 select nv.item_id, outn.fusion_model, {cols}
 from nv join outn on nv.j = outn.j group by nv.item_id, outn.fusion_model""")
 
@@ -261,8 +261,8 @@ def rank_combination() -> str:
 
 
 def per_class_accuracy() -> str:
-    return _with(FORD, BASE_ACC, FIRSTS, weights_cte(MATRIX_SCHEMES),
-                 outs_cte(MATRIX_SCHEMES), FUSED) + """,
+    return _with(FORD, BASE_ACC, FIRSTS, weights_cte(ALL4),
+                 outs_cte(ALL4), FUSED) + """,
 pc AS (select pk.j, c.cls, sum(case when truth.label = c.cls and pk.pred = truth.label then 1 else 0 end) as correct,
               sum(case when truth.label = c.cls then 1 else 0 end) as cnt
        from pk join truth on pk.item_id = truth.item_id cross join classes c group by pk.j, c.cls)
@@ -273,8 +273,8 @@ from pc join outn on pc.j = outn.j"""
 
 def mean_class_accuracy() -> str:
     base_list = ", ".join(f"'{m}'" for m in MODELS)
-    return _with(FORD, BASE_ACC, FIRSTS, weights_cte(MATRIX_SCHEMES),
-                 outs_cte(MATRIX_SCHEMES), FUSED) + f""",
+    return _with(FORD, BASE_ACC, FIRSTS, weights_cte(ALL4),
+                 outs_cte(ALL4), FUSED) + f""",
 pc AS (select pk.j, c.cls,
               cast(sum(case when truth.label = c.cls and pk.pred = truth.label then 1 else 0 end) as double)
               / nullif(sum(case when truth.label = c.cls then 1 else 0 end), 0) as ca
@@ -292,13 +292,24 @@ select cls, round(base, 6) as base, round(sc, 6) as sc, round(rc, 6) as rc,
 
 
 def unsupervised_labels() -> str:
-    lay = layout(MATRIX_SCHEMES)
+    lay = layout(UNSUPERVISED)
     cols = ", ".join(f"max(case when pk.j = {j} then pk.pred + 1 end) as \"{kind}_{name}\""
                      for j, (kind, name, _, _) in enumerate(lay))
-    return (_with(FORD, BASE_ACC, FIRSTS, weights_cte(MATRIX_SCHEMES), outs_cte(MATRIX_SCHEMES), FUSED)
+    return (_with(FORD, BASE_ACC, FIRSTS, weights_cte(UNSUPERVISED), outs_cte(UNSUPERVISED), FUSED)
             + f"\nselect pk.item_id, {cols} from pk group by pk.item_id")
 
 
+def unsupervised_labels_max() -> str:
+    lay = layout(UNSUPERVISED, ("RC",))
+    cols = ", ".join(f"max(case when pm.j = {j} then pm.pred + 1 end) as \"{kind}_{name}\""
+                     for j, (kind, name, _, _) in enumerate(lay))
+    return _with(FORD, BASE_ACC, FIRSTS, weights_cte(UNSUPERVISED), outs_cte(UNSUPERVISED, ("RC",)), FUSED) + f""",
+pm AS (select fv.item_id, fv.j, min(fv.cls) as pred
+       from fv join ext on fv.item_id = ext.item_id and fv.j = ext.j
+       where fv.v >= ext.mx - {TOL} group by fv.item_id, fv.j)
+select pm.item_id, {cols} from pm group by pm.item_id"""
+
+
 def _vote_fused_cte() -> str:
     return """
 vc AS (select item_id, pred, count(*) as n from pk group by item_id, pred),
@@ -392,8 +403,15 @@ rv AS (select f.model, (f.score - st.lo) / nullif(st.hi - st.lo, 0) as v,
        from freg f join st on f.model = st.model),
 rcd AS (select a.model as ma, b.model as mb, sqrt(sum((a.v - b.v) * (a.v - b.v)) / count(*)) as d
         from rv a join rv b on a.rnk = b.rnk and a.model <> b.model group by a.model, b.model),
+rkt AS (select a.model as ma, b.model as mb, b.v as bv,
+               row_number() over (partition by a.model, b.model order by a.v, a.rnk) as t
+        from rv a join rv b on a.rnk = b.rnk and a.model <> b.model),
+rkr AS (select *, row_number() over (partition by ma, mb order by bv, t) as r from rkt),
+rkl AS (select *, lag(r) over (partition by ma, mb order by t) as prv from rkr),
+rxi AS (select ma, mb, 3.0 * sum(abs(r - prv)) / (count(*) * count(*) - 1) as d from rkl group by ma, mb),
 rw AS (select 'AC' as scheme, model, 1.0 as w from (select distinct model from freg) m
-       union all select 'WC-CDS', mb, avg(d) from rcd group by mb)"""
+       union all select 'WC-CDS', mb, avg(d) from rcd group by mb
+       union all select 'WC-KDS', mb, avg(d) from rxi group by mb)"""
 
 
 def _reg_fused() -> str:
@@ -403,7 +421,7 @@ def _reg_fused() -> str:
         for m in REG_MODELS:
             rows.append(f"({j}, '{kind}', '{m}', NULL, '{m}')")
             j += 1
-        for s in ("AC", "WC-CDS"):
+        for s in ("AC", "WC-CDS", "WC-KDS"):
             for k in range(2, len(REG_MODELS) + 1):
                 for c in combinations(REG_MODELS, k):
                     for m in c:
@@ -442,6 +460,7 @@ group by rfv.kind, rfv.fusion_model"""
 QUERIES = {
     "ord_scores": ord_scores, "base_accuracy": base_accuracy, "avg_rank": avg_rank,
     "ordinal_rank": ordinal_rank, "rsc_item": rsc_item, "rsc_mean": rsc_mean,
+    "rsc_mean_ranks": rsc_mean_ranks, "unsupervised_labels_max": unsupervised_labels_max,
     "diversity_pairs": diversity_pairs, "diversity_strength": diversity_strength,
     "ksi_strength": ksi_strength, "weights_all": weights_all, "layer_accuracy": layer_accuracy,
     "layer_report": layer_report, "score_combination": score_combination,
@@ -589,15 +608,7 @@ QUERIES.update({"output_validity": output_validity})
 
 
 def rsc_item_ranks() -> str:
-    return _with(FORD) + """,
-nv AS (select item_id, model, cls,
-              (rnk - min(rnk) over (partition by item_id, model))
-              / nullif(max(rnk) over (partition by item_id, model)
-                       - min(rnk) over (partition by item_id, model), 0) as v from ranks)
-select item_id, model,
-       row_number() over (partition by item_id, model order by v desc nulls last, cls) as position,
-       round(v, 6) as value
-from nv"""
+    return _with(FORD) + _curve("ranks", "item_id, model", "rnk")
 
 
 QUERIES.update({"rsc_item_ranks": rsc_item_ranks})
@@ -608,3 +619,38 @@ def reg_report_rc() -> str:
 
 
 QUERIES.update({"reg_report_rc": reg_report_rc})
+
+
+def accuracy_sorted() -> str:
+    return _layer(ALL4) + """
+select kind, row_number() over (partition by kind order by accuracy, j) as position, fusion_model,
+       round(accuracy, 6) as accuracy from layer"""
+
+
+def _is_test(key: str) -> str:
+    return f"cast('0x' || substr(md5('42:' || cast({key} as varchar)), 1, 8) as bigint) % 100 < 20"
+
+
+def prep_split() -> str:
+    return f"select c_custkey, {_is_test('c_custkey')} as is_test from customer"
+
+
+def ml_scorers() -> str:
+    return f"""with t as (select count(*) as n from embeddings where {_is_test('vec_id')}),
+c as (select max(label) + 1 as k from embeddings),
+m(model) as (values ('random_forest'), ('decision_tree'), ('mlp'), ('svm'), ('adaboost'))
+select m.model, t.n as items, t.n * c.k as scores, cast(0 as bigint) as invalid from m, t, c"""
+
+
+def prep_columns() -> str:
+    return """with n as (select user_id, count(*) as n_events from events group by user_id)
+select p.p_partkey as part, p.p_brand as brand, cast(p.p_size - 1 as int) as label,
+       cast(substr(p.p_brand, 7, 1) as int) as code,
+       array_to_string([case when i = cast(substr(p.p_brand, 7, 1) as int) then 1 else 0 end for i in range(6)], '') as hot,
+       n.n_events as target
+from part p join n on p.p_partkey = n.user_id
+where p.p_size <> 7 and (p.p_brand like '%3' or p.p_brand in ('Brand#11', 'Brand#22')) and p.p_partkey % 2 = 1"""
+
+
+QUERIES.update({"accuracy_sorted": accuracy_sorted, "prep_split": prep_split, "ml_scorers": ml_scorers,
+                "prep_columns": prep_columns})

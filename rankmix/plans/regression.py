@@ -26,7 +26,7 @@ from rankmix.functions import lsum
 from rankmix.operators.ranks import global_rank
 from rankmix.operators.weights import AC, WCCDS, WCKDS, canonical_scheme
 
-REGRESSION_SCHEMES = (AC, WCCDS)
+REGRESSION_SCHEMES = (AC, WCCDS, WCKDS)
 
 
 def to_long(wide: DataFrame, models) -> DataFrame:
@@ -92,9 +92,10 @@ def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None,
     For every ordered pair (A, B): positions ordered by A's value ascending
     (ties by position) give the sequence of B's values; its ordinal ranks
     (ties by sequence order) r_t give S = sum |r_t+1 - r_t| and
-    xi = 3 S / (N^2 - 1).  Both orders are distributed global ranks over all
-    pairs at once (pair id is the partition key of the rank); the steps come
-    from an equi-join of t with t+1.  Strength of B = mean over A != B.
+    xi = 3 S / (N^2 - 1).  The first order depends on A alone: M vectors are
+    ranked for it; the second, whose ties depend on the pair, is one global rank
+    over all pairs (pair id is its partition key).  The steps come from an
+    equi-join of t with t+1.  Strength of B = mean over A != B.
     """
     rsc = vector_rsc(long, partitions=partitions, ranked=ranked).select(
         "model", F.col("rank").alias("pos"), "value")
@@ -103,11 +104,11 @@ def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None,
     # ordered model pairs are metadata (M^2 rows): broadcast
     pair_df = long.sparkSession.createDataFrame(
         [(k, models[a], models[b]) for k, (a, b) in enumerate(pairs)], "pair int, ma string, mb string")
-    av = rsc.join(F.broadcast(pair_df), rsc.model == pair_df.ma).select("pair", "pos", F.col("value").alias("av"))
+    order = global_rank(rsc, "model", ["value", "pos"], "t", partitions)
+    av = order.join(F.broadcast(pair_df), order.model == pair_df.ma).select("pair", "pos", "t")
     bv = rsc.join(F.broadcast(pair_df), rsc.model == pair_df.mb).select("pair", "pos", F.col("value").alias("bv"))
     both = av.join(bv, on=["pair", "pos"])
-    t = global_rank(both, "pair", ["av", "pos"], "t", partitions)
-    r = global_rank(t.select("pair", "t", "bv"), "pair", ["bv", "t"], "r", partitions)
+    r = global_rank(both.select("pair", "t", "bv"), "pair", ["bv", "t"], "r", partitions)
     nxt = r.select("pair", (F.col("t") - 1).alias("t"), F.col("r").alias("r_next"))
     steps = r.join(nxt, on=["pair", "t"]).groupBy("pair").agg(
         F.sum(F.abs(F.col("r_next") - F.col("r"))).alias("s"))

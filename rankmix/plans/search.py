@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from rankmix.functions import ordinal_rank_desc
 from rankmix.model import FusedSpec, ScoreSet, r_col, s_col
 from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs, output_frame
-from rankmix.operators.evaluate import accuracy
+from rankmix.operators.evaluate import accuracy, pick_frame, with_base_accuracies
+from rankmix.operators.vote import vote_rows
 from rankmix.operators.weights import batch_weights, validate_schemes
 from rankmix.session import ensure_checkpoint_dir
 from rankmix.sources.frames import materialize
@@ -35,7 +36,7 @@ MAX_ROUNDS = 15
 
 
 def output_validity(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> DataFrame:
-    """``(kind, fusion_model, valid)``: an output is invalid (F12) when any of
+    """``(kind, fusion_model, ord, valid)``: an output is invalid (F12) when any of
     its values is NULL (no weight, NULL weight) or, for SC, some batch is
     constant (the min-max scaling divides by zero).  One grouped pass on
     (batch_id, j) over rows clustered by batch_id, then per output."""
@@ -53,13 +54,13 @@ def output_validity(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> DataFrame:
     per_j = per.groupBy("j").agg(F.max(F.when(bad, 1).otherwise(0)).alias("bad"))
     meta = layout_frame(ss.df.sparkSession, layout).select("j", "kind", "fusion_model")
     return per_j.join(F.broadcast(meta), on="j").select(
-        "kind", "fusion_model", (F.col("bad") == 0).alias("valid"))
+        "kind", "fusion_model", F.col("j").alias("ord"), (F.col("bad") == 0).alias("valid"))
 
 
 def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
-    """``{(kind, name)}`` of invalid outputs (a small collect of metadata)."""
+    """Places in the layout of invalid outputs (a small collect of metadata)."""
     rows = output_validity(ss, weights, specs, kinds).filter(~F.col("valid")).collect()
-    return {(r["kind"], r["fusion_model"]) for r in rows}
+    return {r["ord"] for r in rows}
 
 
 def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
@@ -69,22 +70,22 @@ def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
         if spec not in specs:
             specs.append(spec)
     mats = fused_matrices(ss, weights, specs, kinds=(SC, RC), normalize=True)
+    # places in the layout of these outputs: all SC ones, then all RC ones
+    at = [specs.index(spec) + (len(specs) if kind == RC else 0) for kind, spec, _ in chosen]
     keys = [(kind, spec.name) for kind, spec, _ in chosen]
-    want = F.struct(F.col("kind"), F.col("fusion_model"))
-    mats = mats.filter(want.isin([F.struct(F.lit(k), F.lit(n)) for k, n in keys]))
+    mats = mats.filter(F.col("j").isin(at))
     # inverted ranks need the max rank of each chosen RC output over all items
-    rc_keys = [n for k, n in keys if k == RC]
     top = {}
-    if rc_keys:
-        rows = (mats.filter(F.col("kind") == RC).groupBy("fusion_model")
+    if any(k == RC for k, _ in keys):
+        rows = (mats.filter(F.col("kind") == RC).groupBy("j")
                 .agg(F.max(F.array_max("values")).alias("mx")).collect())
-        top = {r["fusion_model"]: float(r["mx"]) for r in rows}
+        top = {r["j"]: float(r["mx"]) for r in rows}
     aggs = []
-    for i, (kind, name) in enumerate(keys):
-        sel = (F.col("kind") == kind) & (F.col("fusion_model") == name)
+    for i, (kind, _) in enumerate(keys):
+        sel = F.col("j") == at[i]
         vals = F.col("values")
         if kind == RC:
-            mx = F.lit(top[name])
+            mx = F.lit(top[at[i]])
             vals = F.transform(vals, lambda r, mx=mx: F.lit(1.0) - F.try_divide(r - 1, mx - 1))
         aggs.append(F.first(F.when(sel, vals), ignorenulls=True).alias(s_col(i)))
     # rows are still clustered by batch_id: grouping on (batch_id, item_id) adds no exchange
@@ -102,10 +103,14 @@ def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
     return materialize(nxt)
 
 
-def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS) -> list[dict]:
+def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS,
+           max_size: int | None = None) -> list[dict]:
     """Run the search; returns one record per round with the pooled outputs.
+    The last record says how it ended: ``empty`` when nothing beat the
+    thresholds, ``limit`` when ``max_rounds`` was reached before that.
 
-    ``ss`` must be prepared (batches, ranks, base accuracies).  Thresholds
+    ``ss`` must be prepared (batches, ranks); base accuracies are measured here
+    when it has none.  ``max_size`` bounds the first layer's subsets.  Thresholds
     follow the layer's bookkeeping: both start at the best base accuracy;
     the SC threshold then becomes the best of the pooled SC and RC lists,
     the RC threshold the best of the RC list.
@@ -114,17 +119,18 @@ def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS)
         raise ValueError("the search needs ground truth")
     ensure_checkpoint_dir(ss.df.sparkSession)
     schemes = validate_schemes(schemes, True)
+    if ss.accuracies is None:
+        ss = with_base_accuracies(ss)
     best_base = max(ss.accuracies)
     max_s = max_r = best_base
     cur = ss
-    specs = fused_specs(cur.models, schemes)
+    specs = fused_specs(cur.models, schemes, max_size=max_size)
     weights = batch_weights(cur, schemes)
     dropped: set = set()
     history = []
     for rnd in range(1, max_rounds + 1):
         acc = accuracy(cur, weights, specs).collect()
-        acc = [r for r in acc if (r["kind"], r["fusion_model"]) not in dropped]
-        by_spec = {s.name: s for s in specs}
+        acc = [r for r in acc if r["ord"] not in dropped]
 
         def top(kind, thr):
             rows = [r for r in acc if r["kind"] == kind and r["accuracy"] > thr]
@@ -134,17 +140,19 @@ def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS)
         top_sc, top_rc = top(SC, max_s), top(RC, max_r)
         pooled = sorted(top_sc + top_rc, key=lambda r: -r["accuracy"])[:k]
         if not pooled:
-            history.append({"round": rnd, "pooled": [], "empty": True})
+            history.append({"round": rnd, "pooled": [], "empty": True, "limit": False})
             break
         if top_sc or top_rc:
             max_s = max(r["accuracy"] for r in top_sc + top_rc)
         if top_rc:
             max_r = max(r["accuracy"] for r in top_rc)
-        history.append({"round": rnd, "empty": False,
+        history.append({"round": rnd, "empty": False, "limit": rnd == max_rounds,
                         "pooled": [(r["kind"], r["fusion_model"], r["correct"], r["accuracy"])
                                    for r in pooled],
                         "sc_threshold": max_s, "rc_threshold": max_r})
-        chosen = [(r["kind"], by_spec[r["fusion_model"]], r["accuracy"]) for r in pooled]
+        if rnd == max_rounds:
+            break
+        chosen = [(r["kind"], specs[r["ord"] % len(specs)], r["accuracy"]) for r in pooled]
         cur = _next_base(cur, weights, chosen)
         specs = fused_specs(cur.models, schemes)
         weights = batch_weights(cur, schemes)
@@ -152,6 +160,35 @@ def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS)
     return history
 
 
+def search_summary(ss: ScoreSet, history: list[dict]) -> dict:
+    """Best model of a search, its accuracy and its gain over the best base
+    model in points (the base model itself when nothing beat it)."""
+    base = ss.accuracies or with_base_accuracies(ss).accuracies
+    best = max(range(len(base)), key=lambda i: (base[i], -i))
+    out = {"model": ss.models[best], "accuracy": base[best], "round": 0}
+    for h in history:
+        for _, name, _, a in h["pooled"]:
+            if a > out["accuracy"]:
+                out = {"model": name, "accuracy": a, "round": h["round"]}
+    return out | {"best_base": base[best], "gain": out["accuracy"] - base[best],
+                  "ended_by_limit": bool(history and history[-1]["limit"])}
+
+
+def select_outputs(ss: ScoreSet, schemes, method: str = "ER-Algorithm", **options):
+    """The selection switch.  ``ER-Algorithm`` runs the search and returns
+    its history; ``Majority Vote`` votes over all outputs of one layer and
+    returns ``(item_id, [label,] vote)``."""
+    if method == "ER-Algorithm":
+        return search(ss, schemes, **options)
+    if method == "Majority Vote":
+        schemes = validate_schemes(schemes, ss.has_label)
+        specs = fused_specs(ss.models, schemes, max_size=options.get("max_size"))
+        keep = ["batch_id", "item_id"] + (["label"] if ss.has_label else [])
+        rows, _ = pick_frame(ss, batch_weights(ss, schemes), specs, (SC, RC), keep=keep)
+        return vote_rows(rows, ss.n_classes)
+    raise ValueError("method is 'ER-Algorithm' or 'Majority Vote'")
+
+
 def search_table(spark, history: list[dict]) -> DataFrame:
     """``(round, position, kind, fusion_model, correct, accuracy)`` of a run."""
     rows = [(h["round"], p + 1, kind, name, int(correct), float(a))
@@ -160,4 +197,4 @@ def search_table(spark, history: list[dict]) -> DataFrame:
         rows, "round int, position int, kind string, fusion_model string, correct long, accuracy double")
 
 
-__all__ = ["search", "search_table", "invalid_outputs", "FusedSpec"]
+__all__ = ["search", "search_table", "search_summary", "select_outputs", "invalid_outputs", "FusedSpec"]

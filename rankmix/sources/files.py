@@ -9,7 +9,7 @@ number of models and items is read in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCORES_SUFFIX = "_scores.csv"
@@ -22,16 +22,20 @@ def read_score_dir(spark: SparkSession, path: str, prefix_only: bool = False) ->
     ``prefix_only`` it is the text before the first ``_`` (the original
     naming, where ``random_forest`` becomes ``random``).
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("pathGlobFilter", f"*{SCORES_SUFFIX}").csv(path))
-    index_col, class_cols = raw.columns[0], raw.columns[1:]
-    fname = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    # read as lines: each file has as many classes as its own lines have cells
+    raw = (spark.read.option("pathGlobFilter", f"*{SCORES_SUFFIX}").option("recursiveFileLookup", True).text(path)
+           .select(F.split(F.regexp_replace("value", '[\r"]', ""), ",").alias("cells"),
+                   F.input_file_name().alias("file")))
+    fname = F.regexp_extract("file", r"([^/]+)$", 1)
     model = (F.regexp_extract(fname, r"^([^_]+)_", 1) if prefix_only
              else F.regexp_extract(fname, r"^(.*)_scores\.csv$", 1))
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("cls"), F.col(f"`{c}`").cast("double").alias("score"))
-                                for k, c in enumerate(class_cols)]))
-    return raw.select(F.col(f"`{index_col}`").cast("long").alias("item_id"), model.alias("model"),
-                      cells.alias("x")).select("item_id", "model", "x.cls", "x.score")
+    # the header has the class positions after the index column's name
+    header = F.slice(F.col("cells"), 2, F.size("cells")) == F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("cells") - 2, F.lit(0))), lambda k: k.cast("string"))
+    rows = raw.filter(~header & (F.size("cells") > 1)).select(
+        F.col("cells")[0].cast("long").alias("item_id"), model.alias("model"),
+        F.posexplode(F.slice(F.col("cells"), 2, F.size("cells"))).alias("cls", "s"))
+    return rows.select("item_id", "model", "cls", F.nullif(F.trim("s"), F.lit("")).cast("double").alias("score"))
 
 
 def read_truth(spark: SparkSession, path: str, by_position: bool = False,
@@ -43,10 +47,17 @@ def read_truth(spark: SparkSession, path: str, by_position: bool = False,
     value = F.col(f"`{raw.columns[1]}`").cast(value_type).alias("label")
     if not by_position:
         return raw.select(F.col(f"`{raw.columns[0]}`").cast("long").alias("item_id"), value)
-    # file order -> position: zipWithIndex counts per partition, then offsets
-    vals = raw.select(value)
-    return vals.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF(
-        f"item_id long, label {value_type}")
+    if len(raw.inputFiles()) != 1:
+        raise ValueError("positions are defined within one file")
+    # place in the file: splits are dealt by size, so their order comes from
+    # the blocks' offsets; ids within a split rise with the lines
+    at = F.monotonically_increasing_id()
+    numbered = raw.select(F.col("_metadata.file_block_start").alias("block"), at.alias("at"), value)
+    blocks = numbered.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)   # a row for each split
+    blocks = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return numbered.join(F.broadcast(blocks), "block").select(
+        (F.col("ahead") + F.col("at") - F.col("first")).alias("item_id"), "label")
 
 
 def read_parquet_many(spark: SparkSession, *paths: str) -> DataFrame:
@@ -70,12 +81,20 @@ def write_scores(scores_long: DataFrame, path: str, fmt: str = "parquet", mode:
 
 def write_wide_scores_csv(scores_long: DataFrame, n_classes: int, path: str, mode: str = "overwrite") -> None:
     """Score matrices in the per-model CSV layout (index, 0..C-1), one folder
-    per model."""
+    ``model=<name>`` per model; ``read_written_scores`` reads them back."""
     wide = scores_long.groupBy("item_id", "model").agg(*[
         F.max(F.when(F.col("cls") == k, F.col("score"))).alias(str(k)) for k in range(n_classes)])
     wide.write.mode(mode).partitionBy("model").option("header", True).csv(path)
 
 
+def read_written_scores(spark: SparkSession, path: str) -> DataFrame:
+    """``(item_id, model, cls, score)`` from what ``write_wide_scores_csv`` wrote."""
+    raw = spark.read.option("header", True).csv(path)
+    names = [c for c in raw.columns if c not in ("item_id", "model")]
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in sorted(names, key=int)]))
+    return raw.select(F.col("item_id").cast("long"), F.col("model").cast("string"), cells.alias("cls", "score"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """Reports (performance table, diversity log, labels, truth)."""
     df.write.mode(mode).format(fmt).option("header", True).save(path)

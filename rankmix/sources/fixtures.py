@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmix.model import ScoreSet, s_col
+from rankmix.session import ensure_checkpoint_dir
 
 # Names of the F-ORD scorers and their number of classes.
 FORD_MODELS = ("A", "B", "C", "D", "E")
@@ -68,9 +69,10 @@ def ford_wide(spark: SparkSession, sf_dir: str) -> ScoreSet:
     """F-ORD as a score set: one row per order with s0..s4 score arrays."""
     items = ford_items(spark, sf_dir)
     # one row per (model, feature value): bounded by the TPC-H feature domains.
-    # Kept in memory so the five per-model broadcasts read one aggregate
-    # (a per-model filter would otherwise be pushed below it, five times).
-    lookups = _share_lookups(items, len(FORD_MODELS), FORD_CLASSES).persist()
+    # Checkpointed so the five per-model broadcasts read one aggregate (a
+    # per-model filter would otherwise be pushed below it, five times).
+    ensure_checkpoint_dir(spark)
+    lookups = _share_lookups(items, len(FORD_MODELS), FORD_CLASSES).checkpoint(eager=True)
     df = items
     for i in range(len(FORD_MODELS)):
         # bounded feature domains (see module doc) -> broadcast is safe; the
@@ -82,12 +84,6 @@ def ford_wide(spark: SparkSession, sf_dir: str) -> ScoreSet:
     return ScoreSet(df=df, models=FORD_MODELS, n_classes=FORD_CLASSES)
 
 
-def ford_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-ORD in long form: (item_id, model, cls, score)."""
-    from rankmix.sources.frames import to_long
-    return to_long(ford_wide(spark, sf_dir))
-
-
 def freg_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: item_id, target and the three grouping features."""
     orders = table(spark, sf_dir, "orders").select(
@@ -120,12 +116,3 @@ def freg_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = df.join(lookup, on=f, how="inner")
     return df.select("item_id", "target", *[f"v{i}" for i in range(len(FREG_MODELS))])
 
-
-def freg_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-REG in long form: (item_id, model, score)."""
-    w = freg_wide(spark, sf_dir)
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(f"v{i}").alias("score"))
-        for i, m in enumerate(FREG_MODELS)]))
-    return w.select("item_id", stacked.alias("x")).select(
-        "item_id", F.col("x.model").alias("model"), F.col("x.score").alias("score"))

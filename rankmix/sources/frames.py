@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmix.functions import avg_rank_desc
 from rankmix.model import ScoreSet, r_col, s_col
-from rankmix.session import default_partitions
+from rankmix.session import default_partitions, scratch_dir
 
 
 def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None,
@@ -43,19 +45,19 @@ def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None
         keys = ["batch_id", "item_id"]
     n = partitions or default_partitions(spark)
     df = df.repartition(n, keys[0])
-    # position k of the array = class k; assembled from (cls, score) pairs
+    # position k of the array = class k, whichever rows are there: a missing
+    # score is NULL in its place, a duplicate raises
     aggs = []
     for i in range(len(models)):
-        pairs = F.collect_list(F.when(F.col("mi") == i, F.struct("cls", "score")))
-        aggs.append(F.transform(F.array_sort(pairs), lambda p: p.getField("score")).alias(s_col(i)))
+        entries = F.collect_list(F.when(F.col("mi") == i, F.struct("cls", "score")))
+        place = F.map_from_entries(entries)
+        aggs.append(F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
+                                lambda k, place=place: F.try_element_at(place, k)).alias(s_col(i)))
     if has_label:
         aggs.append(F.max(F.when(F.col("mi") == -1, F.col("score"))).cast("int").alias("label"))
+    # no item is dropped: without scores its arrays hold NULLs, without truth
+    # its label is NULL (check_score_set counts both)
     wide = df.groupBy(*keys).agg(*aggs)
-    # items scored by no model (truth only) or, with truth, without a label are dropped
-    keep = F.size(F.col(s_col(0))) > 0
-    if has_label:
-        keep = keep & F.col("label").isNotNull()
-    wide = wide.filter(keep)
     return ScoreSet(df=wide, models=models, n_classes=n_classes, has_label=has_label,
                     batch_size=batch_size)
 
@@ -110,13 +112,21 @@ def materialize(ss: ScoreSet, partitions: int | None = None, name: str | None =
     branches read the same files (no recomputation of the input), and a lost
     executor re-reads files instead of replaying the lineage.
     """
-    import uuid
-
-    from rankmix.session import scratch_dir
     spark = ss.df.sparkSession
     n = partitions or default_partitions(spark)
     tag = name or uuid.uuid4().hex[:12]
     table = f"rankmix_scores_{tag}"
     (ss.df.write.mode("overwrite").bucketBy(n, "batch_id").format("parquet")
      .option("path", scratch_dir(spark, table)).saveAsTable(table))
-    return ss.with_df(spark.table(table))
+    return ss.with_df(spark.table(table), table=table)
+
+
+def release(ss: ScoreSet) -> None:
+    """Drop the table that ``materialize`` wrote for this score set, and its
+    files; frames derived from it cannot be executed any more."""
+    if ss.table is None:
+        return
+    spark = ss.df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {ss.table} PURGE")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, ss.table))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
