@@ -66,7 +66,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     """``(id, t, drops)``: sorted dropped positions of documents that lose
     lines; with ``keep_first`` a line's first occurrence stays."""
     rows = written(line_rows(docs, id_col, text_col, min_chars), "lines")
-    hit = rows.join(frequent_lines(rows, min_docs, salts), "h")
+    # written, so that the optimizer knows its size, and can split a hot line's rows if it must shuffle
+    hit = rows.join(written(frequent_lines(rows, min_docs, salts), "frequent-lines"), "h")
     if keep_first:
         hit = hit.filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     return hit.groupBy("id", "t").agg(F.sort_array(F.collect_set("pos")).alias("drops"))

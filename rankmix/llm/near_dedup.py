@@ -13,8 +13,11 @@
 * Within a key's bucket not all pairs are made.  Each member is first held
   against the bucket's smallest member; pairs that are confirmed make
   components, and only members of *different* components are then paired, so
-  thousands of near copies of one text cost one comparison each.  Pairs need
-  sizes and signature distances that the threshold allows.
+  thousands of near copies of one text cost one comparison each.  What is left
+  are buckets of texts that resemble each other without being near.  There the
+  shingles that no other text of these buckets has are counted -- exact, and
+  linear in the texts -- and a pair is made only where sizes and shared shingles
+  leave room for the similarity, once, at the first key that it shares.
 * Candidates are confirmed on their full shingle sets.
 
 Nulls and texts without words have an empty set and are linked with nothing;
@@ -128,7 +131,11 @@ def document_signatures(docs: DataFrame, shape: Shape, id_col: str = "doc_id", t
 # ------------------------------------------------------------- candidates
 
 def _keys(reps: DataFrame, shape: Shape) -> DataFrame:
-    """``(key, id, n)``: a key for each symbol left out of its chunk."""
+    """``(key, k, id, n)``: key number ``k`` for each symbol left out of its chunk."""
+    return reps.select(F.posexplode(_key_array(shape)).alias("k", "key"), "id", "n")
+
+
+def _key_array(shape: Shape) -> Column:
     keys = []
     for c in range(shape.chunks):
         for v in range(shape.chunk):
@@ -136,7 +143,7 @@ def _keys(reps: DataFrame, shape: Shape) -> DataFrame:
             rest = F.concat(F.substring("sig", at + 1, 2 * v),
                             F.substring("sig", at + 2 * v + 3, 2 * (shape.chunk - 1 - v)))
             keys.append(F.xxhash64(F.lit(c * shape.chunk + v), rest))
-    return reps.select(F.explode(F.array(*keys)).alias("key"), "id", "n")
+    return F.array(*keys)
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -166,12 +173,8 @@ def rows_of(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity; ``docs`` has
-    ``id`` and ``text``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = written(ids, "near-ids")
-
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, s)``: the sorted shingle hashes of the documents with these ids."""
     def sets(batches):
         for b in batches:
             for a, z, h, n in _chunks(b, 1):
@@ -180,9 +183,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(packed, pa.binary())],
                                                  names=["id", "s"])
 
+    kind = ids.schema["id"].dataType.simpleString()
+    return rows_of(docs, ids, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, s binary")
+
+
+def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, own)``: how many shingles of each of these documents no other
+    one of them has (documents without any are left out).  A shingle that many
+    share is counted map-side."""
+    def spread(batches):
+        for b in batches:
+            for key, s in zip(b.column(0), b.column(1)):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(key, len(h))], names=["h", "id"])
+
+    kind = ids.schema["id"].dataType.simpleString()
+    rows = _sets_of(ids, docs).mapInArrow(spread, f"h long, id {kind}")
+    one = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    return one.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _room_left(percent: int) -> Column:
+    """Whether a pair's sizes and its shared shingles ``u`` allow the
+    similarity: the intersection has at most ``least(u)`` shingles."""
+    most = F.least("ua", "ub")
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets reach the similarity; ``docs`` has
+    ``id`` and ``text``."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = written(_sets_of(written(ids, "near-ids"), docs), "near-sets")
     kind = pairs.schema["a"].dataType.simpleString()
-    rows = rows_of(docs, ids, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, s binary")
-    rows = written(rows, "near-sets")
     both = (pairs.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
 
@@ -236,7 +269,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     reps = classes.filter(F.col("id").isNotNull()).select("id", "n", "sig")
     keys = _keys(reps, shape)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("first")).filter("m > 1")
-    members = written(keys.join(shared.drop("m"), "key"), "near-members")
+    # written, so that the join's sides are plain exchanges and a hot bucket can be split
+    members = written(keys.join(written(shared.drop("m"), "near-buckets"), "key"), "near-members")
     star = (members.filter((F.col("id") != F.col("first.id")) & _sizes_fit(F.col("n"), F.col("first.n"), percent))
             .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
     star = written(_near_enough(star, reps, shape), "near-star")
@@ -244,13 +278,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     found = components(links)
 
     # buckets in which components meet: pairs between them, but those held against each other above
-    named = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = members.join(found, "id", "left").select("key", "k", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    named = written(named.join(mixed, "key"), "near-mixed")
-    x, y = (named.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c")]) for s in "ab")
-    rest = (x.join(y, "key").filter((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
-                                    & _sizes_fit(F.col("na"), F.col("nb"), percent))
-            .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
+    named = written(named.join(written(mixed, "near-buckets"), "key"), "near-mixed")
+    own = _own_shingles(written(named.select("id").distinct(), "near-ids"), texts)
+    able = (reps.select("id", "n", _key_array(shape).alias("keys")).join(own, "id", "left")
+            .withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).filter(100 * F.col("u") >= percent * F.col("n")))
+    named = written(named.join(able.select("id", "u", "keys"), "id"), "near-able")
+    x, y = (named.select("key", "k", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "u", "keys")]) for s in "ab")
+    first_shared = F.array_position(F.zip_with("keysa", "keysb", lambda p, q: p == q), True) == x["k"] + 1
+    rest = (x.join(y.drop("k"), "key").filter(
+        (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
+        & _sizes_fit(F.col("na"), F.col("nb"), percent) & _room_left(percent) & first_shared)
+        .select(F.col("ida").alias("a"), F.col("idb").alias("b")))
     rest = written(_near_enough(rest.join(star, ["a", "b"], "left_anti"), reps, shape), "near-rest")
     more = written(confirmed(rest, texts, percent), "near-links")
     if not more.isEmpty():
