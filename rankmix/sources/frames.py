@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmix.functions import avg_rank_desc
@@ -12,6 +12,10 @@ from rankmix.model import ScoreSet, r_col, s_col
 from rankmix.session import default_partitions, scratch_dir
 
 
+def _by_class(place: Column, n_classes: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.try_element_at(place, k))
+
+
 def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None,
             n_classes: int | None = None, truth: DataFrame | None = None,
             batch_size: int | None = None, partitions: int | None = None) -> ScoreSet:
@@ -50,9 +54,7 @@ def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None
     aggs = []
     for i in range(len(models)):
         entries = F.collect_list(F.when(F.col("mi") == i, F.struct("cls", "score")))
-        place = F.map_from_entries(entries)
-        aggs.append(F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
-                                lambda k, place=place: F.try_element_at(place, k)).alias(s_col(i)))
+        aggs.append(_by_class(F.map_from_entries(entries), n_classes).alias(s_col(i)))
     if has_label:
         aggs.append(F.max(F.when(F.col("mi") == -1, F.col("score"))).cast("int").alias("label"))
     # no item is dropped: without scores its arrays hold NULLs, without truth

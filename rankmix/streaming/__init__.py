@@ -1,5 +1,3 @@
-"""Fusion of score streams (micro-batch, ``foreachBatch``)."""
-
-from rankmix.streaming.fuse_stream import fuse_stream
-
-__all__ = ["fuse_stream"]
+"""Nothing here: a layer's weights depend on whole batches of items, so fusing
+micro-batches as they come would give other results than the layer.  Streams
+are collected to complete batches first and fused as tables."""
