@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.llm.common import slices, string_buffers, written
+from rankmix.llm.common import slices, small_batches, string_buffers, written
 from rankmix.llm.words import window_hashes, word_hashes, word_spans
 
 MAX_SYMBOLS = 50
@@ -173,6 +173,10 @@ def rows_of(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows_of(docs, ids, "id", "left_semi").select("id", "text")
+
+
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """``(id, s)``: the sorted shingle hashes of the documents with these ids."""
     def sets(batches):
@@ -184,7 +188,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
                                                  names=["id", "s"])
 
     kind = ids.schema["id"].dataType.simpleString()
-    return rows_of(docs, ids, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, s binary")
+    return _texts_of(ids, docs).mapInArrow(sets, f"id {kind}, s binary")
 
 
 def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -193,12 +197,13 @@ def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
     share is counted map-side."""
     def spread(batches):
         for b in batches:
-            for key, s in zip(b.column(0), b.column(1)):
-                h = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(key, len(h))], names=["h", "id"])
+            for a, z, h, n in _chunks(b, 1):
+                where = pa.array(np.repeat(np.arange(a, z), n))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(where)],
+                                                 names=["h", "id"])
 
     kind = ids.schema["id"].dataType.simpleString()
-    rows = _sets_of(ids, docs).mapInArrow(spread, f"h long, id {kind}")
+    rows = _texts_of(ids, docs).mapInArrow(spread, f"h long, id {kind}")
     one = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
     return one.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
@@ -260,6 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
                     text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     shape = Shape.of(percent)
     sigs = written(document_signatures(docs, shape, id_col, text_col), "near-signatures")
     some = sigs.filter("n > 0")
