@@ -654,3 +654,37 @@ where p.p_size <> 7 and (p.p_brand like '%3' or p.p_brand in ('Brand#11', 'Brand
 
 QUERIES.update({"accuracy_sorted": accuracy_sorted, "prep_split": prep_split, "ml_scorers": ml_scorers,
                 "prep_columns": prep_columns})
+
+
+def vote_recursive(rounds: int = 8) -> str:
+    """The rounds unrolled: a round without gain keeps no voters, so those
+    after it are empty (F-ORD stops long before the last one here)."""
+    combos = [c for k in range(2, len(MODELS) + 1) for c in combinations(range(len(MODELS)), k)]
+    cm = ", ".join(f"({j}, {i})" for j, c in enumerate(combos) for i in c)
+    names = ", ".join(f"('{m}', {i})" for i, m in enumerate(MODELS))
+    parts = [f"cm(combo, i) AS (VALUES {cm})", f"nm(model, i) AS (VALUES {names})",
+             "v0 AS MATERIALIZED (select bpk.item_id, nm.i, nm.model as name, bpk.pred from bpk join nm on bpk.model = nm.model)"]
+    for r in range(1, rounds + 1):
+        gain = "" if r == 1 else f" where (select max(correct) from acc{r}) > (select max(correct) from top{r - 1})"
+        parts.append(f"""vote{r} AS MATERIALIZED (
+  select item_id, combo, pred from (
+    select v.item_id, cm.combo, v.pred,
+           row_number() over (partition by v.item_id, cm.combo order by count(*) desc, v.pred) as rn
+    from v{r - 1} v join cm on v.i = cm.i group by v.item_id, cm.combo, v.pred) where rn = 1),
+mem{r} AS (select cm.combo, string_agg(d.name, '' order by cm.i) as members
+           from (select distinct i, name from v{r - 1}) d join cm on d.i = cm.i group by cm.combo),
+acc{r} AS (select t.combo, mem{r}.members, t.correct from (
+             select combo, sum(case when pred = truth.label then 1 else 0 end) as correct
+             from vote{r} join truth on vote{r}.item_id = truth.item_id group by combo) t
+           join mem{r} on t.combo = mem{r}.combo),
+top{r} AS MATERIALIZED (
+  select * from (select combo, members, correct, row_number() over (order by correct desc, combo) as position
+                 from acc{r}{gain}) where position <= 5),
+v{r} AS MATERIALIZED (
+  select vote{r}.item_id, top{r}.position - 1 as i, 'C{r}(' || top{r}.members || ')' as name, vote{r}.pred
+  from vote{r} join top{r} on vote{r}.combo = top{r}.combo)""")
+    out = " union all ".join(f"select {r} as round, position, members, correct from top{r}" for r in range(1, rounds + 1))
+    return _with(FORD, BASE_ACC, *parts) + "\n" + out
+
+
+QUERIES.update({"vote_recursive": vote_recursive})
