@@ -77,3 +77,42 @@ select k.doc_id, count(*) as n_lines, count(hot.key) as n_dropped,
 from k left join hot on k.key = hot.key group by k.doc_id
 """
 
+
+# The kinds' expressions as the contract has them, and the added kind's.
+_KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+          ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+          ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+          ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+          ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"))
+
+
+def op10() -> str:
+    found = " union all ".join(
+        f"select doc_id, {no} as no, '{k}' as kind, regexp_extract_all(t, '{p}') as ms, "
+        f"regexp_split_to_array(t, '{p}') as gs from d" for no, (k, p) in enumerate(_KINDS))
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k, _ in _KINDS[:4])
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+  f as ({found}),
+  e as (select doc_id, no, kind, unnest(ms) as m, unnest(gs[1:len(ms)]) as g, generate_subscripts(ms, 1) as i
+        from f where len(ms) > 0),
+  p as (select *, regexp_replace(m, '[^0-9]', '', 'g') as digits, replace(m, ' ', '') as plain,
+               sum(length(g) + length(m)) over (partition by doc_id, no order by i) as stop from e),
+  q as (select doc_id, no, kind, stop - length(m) as start, stop, case kind
+          when 'email' then true
+          when 'ip' then not regexp_matches(m, '(^|[.])0*([1-9][0-9]{{3}}|[3-9][0-9]{{2}}|2[6-9][0-9]|25[6-9])')
+          when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(range(length(digits)),
+            lambda k: case when (length(digits) - k) % 2 = 1 then cast(digits[k + 1] as int)
+                 else cast(digits[k + 1] as int) * 2 - case when cast(digits[k + 1] as int) > 4 then 9 else 0 end end)) % 10 = 0
+          when 'phone' then length(digits) between 10 and 15
+          else length(plain) between 15 and 34 and list_reduce(list_prepend(0, list_transform(
+            string_split(plain[5:] || plain[:4], ''), lambda c: case when c <= '9' then ord(c) - 48 else ord(c) - 55 end)),
+            lambda a, x: (a * case when x > 9 then 100 else 10 end + x) % 97) = 1 end as ok from p),
+  s as (select doc_id, {counts},
+               string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) filter (where no < 4) as base,
+               string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) as spans
+        from q where ok group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k, _ in _KINDS[:4])},
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join s on d.doc_id = s.doc_id
+"""

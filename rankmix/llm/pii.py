@@ -29,7 +29,7 @@ PATTERNS = {
     IP: r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     CARD: r"[0-9](?:[\x20-]?[0-9])++",
     PHONE: r"\+[0-9][\x20().0-9-]+[0-9]",
-    IBAN: r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    IBAN: r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
 }
 TRIGGERS = {
     EMAIL: r"@[A-Za-z0-9-]",

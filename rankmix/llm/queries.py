@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankmix.llm import (exact_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality,
                          token_counts, token_files)
 from rankmix.llm.common import documents
-from rankmix.llm.oracle import OP3, OP8, op6
+from rankmix.llm.oracle import OP3, OP8, op6, op10
 from rankmix.session import scratch_dir
 
 
@@ -71,4 +71,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_files, op3_exact_dedup, op4_language_id, op5_near_dedup, op6_mix_sources, op7_quality_rules,
      op8_line_dedup, op9_token_counts, op10_pii)}
-ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8}
+ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8,
+              "op10_pii": op10()}
