@@ -1,7 +1,8 @@
 """Benchmark: headline fusion queries on $BENCH_SF_DIR with local[$BENCH_CPUS].
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf"}.
-Each query is fully executed into Spark's no-op sink (no collect).
+Each query is fully executed into Spark's no-op sink (no collect).  The JVM is
+warm (one small query runs first); caches are cleared before every query.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ def main() -> None:
     catalog.QUERIES["base_accuracy"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
+        spark.catalog.clearCache()
         t0 = time.time()
         df = catalog.QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
