@@ -64,6 +64,11 @@ def accuracy_of(preds: DataFrame, truth: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ AdaBoost (SAMME)
 
+def _with_vote(alpha: float):
+    """The class votes with ``alpha`` more for the predicted class."""
+    return F.transform("votes", lambda v, k: v + F.when(F.col("prediction") == k, alpha).otherwise(0.0))
+
+
 def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: int = 100,
                     learning_rate: float = 0.3845, max_depth: int = 1, seed: int = 42, name: str = "adaboost",
                     id_col: str = "item_id", label_col: str = "label") -> DataFrame:
@@ -71,8 +76,8 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
 
     Each round fits one tree with ``weightCol`` (distributed), measures the
     weighted error with one aggregate, and re-weights the rows with the
-    round's weight times ``learning_rate``; each round's rows are persisted
-    and the last round's released, and every 10 rounds they are checkpointed.
+    round's weight times ``learning_rate``; each round's rows are persisted,
+    and every 10 rounds they are checkpointed and the persisted ones released.
     The test rows are scored once at the end by all trees.  Scores are
     ``sum_t alpha_t [pred_t = k] / sum_t alpha_t`` per class.
     """
@@ -83,7 +88,7 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
     cur = train.select(id_col, "features", F.col(label_col).cast("double").alias("label"),
                        F.lit(1.0).alias("w"))
     scored = test.select(id_col, "features", F.array(*[F.lit(0.0)] * n_classes).alias("votes"))
-    total_alpha, fitted, held = 0.0, 0, None
+    total_alpha, fitted, held = 0.0, 0, []
     for t in range(rounds):
         tree = DecisionTreeClassifier(maxDepth=max_depth, weightCol="w", seed=seed + t,
                                       featuresCol="features", labelCol="label").fit(cur)
@@ -96,24 +101,21 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
         err = max(err, 1e-12)
         alpha = learning_rate * (math.log((1.0 - err) / err) + math.log(n_classes - 1))
         total_alpha, fitted = total_alpha + alpha, fitted + 1
-        scored = tree.transform(scored).select(id_col, "features", F.transform(
-            "votes", lambda v, k, alpha=alpha: v + F.when(F.col("prediction") == k, alpha).otherwise(0.0)).alias("votes"))
+        scored = tree.transform(scored).select(id_col, "features", _with_vote(alpha).alias("votes"))
         new = pred.select(id_col, "features", "label",
                           (F.col("w") * F.exp(F.when(F.col("prediction") != F.col("label"), F.lit(alpha))
                                               .otherwise(F.lit(0.0)))).alias("w"))
         if (t + 1) % 10 == 0:
-            new, scored = new.checkpoint(eager=True), scored.checkpoint(eager=True)
+            cur, scored = new.checkpoint(eager=True), scored.checkpoint(eager=True)
+            while held:
+                held.pop().unpersist()
         else:
-            new = new.persist()
-        cur = new
-        if held is not None:
-            new.count()
-            held.unpersist()
-        held = new
+            cur = new.persist()
+            held.append(cur)
         if err <= 1e-12:
             break
-    if held is not None:
-        held.unpersist()
+    while held:
+        held.pop().unpersist()
     if not fitted:
         raise ValueError("no useful AdaBoost round (error too high)")
     return scored.select(F.col(id_col).alias("item_id"), F.lit(name).alias("model"),

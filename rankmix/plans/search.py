@@ -63,6 +63,12 @@ def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
     return {r["ord"] for r in rows}
 
 
+def _inverted(ranks, worst: float):
+    """K5: ranks as scores (a default argument would become a second lambda
+    variable, so ``worst`` comes from here)."""
+    return F.transform(ranks, lambda r: F.lit(1.0) - F.try_divide(r - 1, F.lit(worst - 1)))
+
+
 def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
     """Materialise the chosen outputs as the next round's base models."""
     specs = []
@@ -85,8 +91,7 @@ def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
         sel = F.col("j") == at[i]
         vals = F.col("values")
         if kind == RC:
-            mx = F.lit(top[at[i]])
-            vals = F.transform(vals, lambda r, mx=mx: F.lit(1.0) - F.try_divide(r - 1, mx - 1))
+            vals = _inverted(vals, top[at[i]])
         aggs.append(F.first(F.when(sel, vals), ignorenulls=True).alias(s_col(i)))
     # rows are still clustered by batch_id: grouping on (batch_id, item_id) adds no exchange
     wide = mats.groupBy("batch_id", "item_id").agg(*aggs)
