@@ -15,9 +15,10 @@
   components, and only members of *different* components are then paired, so
   thousands of near copies of one text cost one comparison each.  What is left
   are buckets of texts that resemble each other without being near.  There the
-  shingles that no other text of these buckets has are counted -- exact, and
-  linear in the texts -- and a pair is made only where sizes and shared shingles
-  leave room for the similarity, once, at the first key that it shares.
+  shingles that no other text of these buckets has are counted, and every
+  text's shingles in bins by hash -- exact, and linear in the texts.  A pair is
+  made only where sizes, shared shingles and bins leave room for the similarity,
+  once, at the first key that it shares.
 * Candidates are confirmed on their full shingle sets.
 
 Nulls and texts without words have an empty set and are linked with nothing;
@@ -42,6 +43,7 @@ from rankmix.llm.words import window_hashes, word_hashes, word_spans
 
 MAX_SYMBOLS = 50
 MISSED = 1e-5
+BINS = 256
 CHUNK_BYTES = 1 << 20
 PERCENT = 85
 BROADCAST_IDS = 1_000_000      # ids of at most 16 bytes: 16 MB
@@ -191,23 +193,46 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return _texts_of(ids, docs).mapInArrow(sets, f"id {kind}, s binary")
 
 
-def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _own_shingles(sets: DataFrame) -> DataFrame:
     """``(id, own)``: how many shingles of each of these documents no other
     one of them has (documents without any are left out).  A shingle that many
     share is counted map-side."""
     def spread(batches):
         for b in batches:
-            for a, z, h, n in _chunks(b, 1):
-                where = pa.array(np.repeat(np.arange(a, z), n))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(where)],
-                                                 names=["h", "id"])
+            for key, s in zip(b.column(0), b.column(1)):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(key, len(h))], names=["h", "id"])
 
-    kind = ids.schema["id"].dataType.simpleString()
-    rows = _texts_of(ids, docs).mapInArrow(spread, f"h long, id {kind}")
+    kind = sets.schema["id"].dataType.simpleString()
+    rows = sets.select("id", "s").mapInArrow(spread, f"h long, id {kind}")
     one = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
     return one.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _bins(sets: DataFrame) -> DataFrame:
+    """``(id, bins)``: a document's shingles counted by hash in BINS bins (null
+    where a count passes what its type holds)."""
+    def count(batches):
+        for b in batches:
+            rows = []
+            for s in b.column(1):
+                n = np.bincount((np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(BINS)).astype(np.int64),
+                                minlength=BINS)
+                rows.append(n.astype(np.int16) if n.max() < 1 << 15 else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int16()))], names=["id", "bins"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "s").mapInArrow(count, f"id {kind}, bins array<smallint>")
+
+
+def _bins_meet(percent: int) -> Column:
+    """Whether the bins allow the similarity: two sets share at most the lesser
+    count of every bin.  Edits of one text mostly fall in other bins than those
+    of the other, so the bound is close to the true intersection."""
+    most = F.aggregate(F.zip_with("binsa", "binsb", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(100 * most >= percent * (F.col("na") + F.col("nb") - most), F.lit(True))
+
+
 def _room_left(percent: int) -> Column:
     """Whether a pair's sizes and its shared shingles ``u`` allow the
     similarity: the intersection has at most ``least(u)`` shingles."""
@@ -218,7 +243,7 @@ def _room_left(percent: int) -> Column:
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the similarity; ``docs`` has
     ``id`` and ``text``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     rows = written(_sets_of(written(ids, "near-ids"), docs), "near-sets")
     kind = pairs.schema["a"].dataType.simpleString()
     both = (pairs.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -287,15 +312,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     named = members.join(found, "id", "left").select("key", "k", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
     named = written(named.join(written(mixed, "near-buckets"), "key"), "near-mixed")
-    own = _own_shingles(written(named.select("id").distinct(), "near-ids"), texts)
-    able = (reps.select("id", "n", _key_array(shape).alias("keys")).join(own, "id", "left")
+    sets = written(_sets_of(written(named.select("id").distinct(), "near-ids"), texts), "near-sets")
+    own, bins = _own_shingles(sets), written(_bins(sets), "near-bins")
+    able = (reps.select("id", "n", _key_array(shape).alias("keys")).join(own, "id", "left").join(bins, "id")
             .withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).filter(100 * F.col("u") >= percent * F.col("n")))
-    named = written(named.join(able.select("id", "u", "keys"), "id"), "near-able")
-    x, y = (named.select("key", "k", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "u", "keys")]) for s in "ab")
+    named = written(named.join(able.select("id", "u", "keys", "bins"), "id"), "near-able")
+    x, y = (named.select("key", "k", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "u", "keys", "bins")])
+            for s in "ab")
     first_shared = F.array_position(F.zip_with("keysa", "keysb", lambda p, q: p == q), True) == x["k"] + 1
     rest = (x.join(y.drop("k"), "key").filter(
         (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
-        & _sizes_fit(F.col("na"), F.col("nb"), percent) & _room_left(percent) & first_shared)
+        & _sizes_fit(F.col("na"), F.col("nb"), percent) & _room_left(percent) & first_shared & _bins_meet(percent))
         .select(F.col("ida").alias("a"), F.col("idb").alias("b")))
     rest = written(_near_enough(rest.join(star, ["a", "b"], "left_anti"), reps, shape), "near-rest")
     more = written(confirmed(rest, texts, percent), "near-links")
