@@ -6,9 +6,13 @@ starts after it.  Text of the sample's language falls into few long phrases, so
 the language with the least ``phrases * log2(sample length) / text length`` --
 bits for each character -- wins.
 
-The samples are bounded: per language at most ``SAMPLE_DOCS`` labelled texts of
-``DOC_BYTES`` bytes at most, up to ``SAMPLE_BYTES`` of normalised text.  They are
-all that is collected; automata are built from them once in each worker.  Texts
+The samples are bounded, the texts they come from are not: any labelled text with
+a letter counts, however short or long.  Per language, texts are taken in the
+order of a hash until ``SAMPLE_BYTES`` of normalised text are there, each counting
+for ``SAMPLE_BYTES / SAMPLE_DOCS`` (512) bytes at most -- so ``SAMPLE_DOCS`` long
+ones or as many short ones as it takes.  Of each the first ``DOC_CHARS``
+characters from its first letter on are collected, and all give the same share,
+or all they have.  Automata are built from the samples once in each worker.  Texts
 are parsed whole, many side by side: one array step advances every text of a
 chunk by a character in all automata.
 
@@ -30,12 +34,14 @@ from pyspark.sql import functions as F
 
 from rankmix.llm.common import slices, string_buffers
 
-SAMPLE_DOCS, DOC_BYTES, SAMPLE_BYTES = 64, 20_000, 32_768
+SAMPLE_DOCS, DOC_CHARS, SAMPLE_BYTES = 64, 20_000, 32_768
 CHUNK_BYTES = 1 << 22
 FOLDS = 5
 # Bits a character above which a text counts as no learned language: its phrases average two letters.
 MAX_COST = 7.5
 
+LETTER = r"A-Za-z\x{80}-\x{10FFFF}"          # what normalising keeps
+
 # letters a-z as they are, other ASCII as a space, bytes of longer characters as they are
 FOLD = np.full(256, 32, np.uint8)
 FOLD[97:123] = np.arange(97, 123)
@@ -100,7 +106,8 @@ class CrossParser:
         self.symbol = np.full(256, len(used), np.uint8)     # the last symbol is in no sample
         self.symbol[used] = np.arange(len(used))
         self.width = len(used) + 1
-        self.bits = np.array([np.log2(max(2, len(text))) for _, text in samples])
+        # a phrase costs a byte at least: a tiny sample is not cheap for texts it knows nothing of
+        self.bits = np.array([np.log2(max(256, len(text))) for _, text in samples])
         tables, self.root, base = [], [], 0
         for _, text in samples:
             nxt = SuffixAutomaton(text).next
@@ -157,25 +164,54 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``(lang, piece, h, level, n)`` of the texts to learn from: the piece, a
+    hash, how rare the hash is (half of the rows in each further level) and the
+    bytes the piece counts for."""
+    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
+    piece = F.regexp_extract(F.col(text_col), rf"(?s)[{LETTER}].{{0,{DOC_CHARS - 1}}}", 0)
+    rows = docs.filter(F.col(lang_col).isNotNull() & (fold != 0)).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), piece.alias("piece")).filter("piece != ''")
+    low = F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(1 << 32))
+    size = F.octet_length(F.regexp_replace("piece", f"[^{LETTER}]+", " "))
+    return rows.withColumn("h", F.xxhash64("id", "piece")).select(
+        "lang", "piece", "h", F.bit_count(low.bitwiseXOR(low - 1)).alias("level"),
+        F.least(size, F.lit(SAMPLE_BYTES // SAMPLE_DOCS)).alias("n"))
+
+
+def _share(sizes: list[int], room: int) -> int:
+    """The most bytes each text may give so that all fit into the room."""
+    left = room
+    for k, size in zip(range(len(sizes), 0, -1), sorted(sizes)):
+        if size * k > left:
+            return left // k
+        left -= size
+    return max(sizes)
+
+
 def language_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """Normalised sample text of every labelled language, sorted by name."""
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
-        F.col("lang").isNotNull() & (fold != 0) & F.octet_length("text").between(200, DOC_BYTES))
-    # ids only are ranked; the limit is pushed below the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = [r["id"] for r in rows.select("id", "lang").withColumn("r", rank).filter(F.col("r") <= SAMPLE_DOCS)
-           .select("id").collect()]
+    rows = _labelled(docs, id_col, text_col, lang_col)
+    # the rarest levels that hold enough: what is then ranked is about twice the sample
+    least: dict[str, tuple[int, int]] = {}
+    for r in rows.groupBy("lang", "level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        level, have = least.get(r["lang"], (0, 0))
+        if have < SAMPLE_BYTES:
+            least[r["lang"]] = r["level"], have + r["n"]
+    if not least:
+        return []
+    levels = docs.sparkSession.createDataFrame([(lang, k) for lang, (k, _) in least.items()], "lang string, least int")
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "piece").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = (rows.join(F.broadcast(levels), "lang").filter(F.col("level") >= F.col("least"))
+              .withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SAMPLE_BYTES))
     texts: dict[str, list] = {}
-    for r in rows.filter(F.col("id").isin(ids)).select("id", "lang", "text").orderBy("id").collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    out = []
-    for lang in sorted(texts):
-        raw = " ".join(texts[lang]).encode()
+    for r in chosen.select("lang", "piece").orderBy("h", "piece").collect():
+        raw = r["piece"].encode()
         data, _ = normalised(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        out.append((lang, data[:SAMPLE_BYTES].tobytes()))
-    return out
+        texts.setdefault(r["lang"], []).append(data.tobytes().rstrip() + b" ")
+    return [(lang, b"".join(t[:_share([len(x) for x in parts], SAMPLE_BYTES)] for t in parts))
+            for lang, parts in sorted(texts.items())]
 
 
 def predict(samples, raw: np.ndarray, offsets: np.ndarray):

@@ -72,6 +72,36 @@ def test_prediction_reads_the_text_only(spark):
     assert {r.doc_id: r.lang_pred for r in langid.language_id(other).filter("held_out").collect()} == first
 
 
+def test_language_of_only_short_or_only_long_texts(spark):
+    """50-byte texts and texts far above 20,000 bytes are learned from alike."""
+    rnd = random.Random(5)
+    words = {lang: ["".join(rnd.choice(a) for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+             for lang, a in (("short", "abcdefgh"), ("long", "efghijkl"), ("usual", "ijklmnop"), ("few", "opqrstuv"))}
+    size = {"short": 50, "long": 60_000, "usual": 2_000, "few": 50}
+
+    def text(lang):
+        out = "1234567890 " * 3_000 if lang == "long" else ""
+        while len(out) < size[lang]:
+            out += rnd.choice(words[lang]) + " "
+        return out[:size[lang]]
+
+    many = [lang for lang in ("short", "long", "usual") for _ in range(40)] + ["few"] * 4
+    rows = [(i, text(lang), lang, "s", 0) for i, lang in enumerate(many)]
+    frame = make(spark, rows, clashes=False)
+    samples = dict(langid.language_samples(frame))
+    assert sorted(samples) == sorted(words) and max(map(len, samples.values())) <= langid.SAMPLE_BYTES
+    assert len(samples["long"]) > 0.9 * langid.SAMPLE_BYTES and len(samples["short"]) > 1000
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(frame).collect()}
+    assert [got[i] for i, _, lang, *_ in rows if lang != "few"] == [lang for _, _, lang, *_ in rows if lang != "few"]
+    assert langid.with_language(frame).filter("lang != 'few'").count() == 120
+
+
+def test_short_texts_fill_the_sample(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8] * (i % 40 + 1)} text of a few words", "en", "s", 0) for i in range(3_000)]
+    (_, sample), = langid.language_samples(make(spark, rows, clashes=False))
+    assert 0.9 * langid.SAMPLE_BYTES < len(sample) <= langid.SAMPLE_BYTES
+
+
 # ------------------------------------------------------------- near-dedup
 
 def _check_components(frame, rows, percent):
