@@ -29,9 +29,10 @@ def read_score_dir(spark: SparkSession, path: str, prefix_only: bool = False) ->
     fname = F.regexp_extract("file", r"([^/]+)$", 1)
     model = (F.regexp_extract(fname, r"^([^_]+)_", 1) if prefix_only
              else F.regexp_extract(fname, r"^(.*)_scores\.csv$", 1))
-    # the header has the class positions after the index column's name
-    header = F.slice(F.col("cells"), 2, F.size("cells")) == F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("cells") - 2, F.lit(0))), lambda k: k.cast("string"))
+    # the header has the class positions after the index column's name, which is no number
+    # (a data row of whole scores may read 5,0,1)
+    header = F.trim(F.col("cells")[0]).try_cast("double").isNull() & (F.slice(F.col("cells"), 2, F.size("cells")) == F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("cells") - 2, F.lit(0))), lambda k: k.cast("string")))
     rows = raw.filter(~header & (F.size("cells") > 1)).select(
         F.col("cells")[0].cast("long").alias("item_id"), model.alias("model"),
         F.posexplode(F.slice(F.col("cells"), 2, F.size("cells"))).alias("cls", "s"))

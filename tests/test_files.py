@@ -27,6 +27,17 @@ def test_read_dir_and_accuracy(spark, tmp_path):
     assert sorted(tuple(r) for r in pos.collect()) == [(0, 0), (1, 1)]
 
 
+def test_whole_scores_are_not_a_header(spark, tmp_path):
+    """Rows of hard 0/1 scores, and of score 0 in a one-column file, stay."""
+    two, one = [[1, 0], [0, 1], [0, 1], [1, 0]], [[0], [1], [0]]
+    pd.DataFrame(two, index=[4, 5, 6, 7]).to_csv(tmp_path / "hard_scores.csv")
+    pd.DataFrame(one, index=[5, 6, 7]).rename_axis("item_id").to_csv(tmp_path / "single_scores.csv")
+    got = {(r.model, r.item_id, r.cls): r.score for r in read_score_dir(spark, str(tmp_path)).collect()}
+    want = {("hard", 4 + i, k): float(v) for i, row in enumerate(two) for k, v in enumerate(row)}
+    want |= {("single", 5 + i, 0): float(v) for i, (v,) in enumerate(one)}
+    assert got == want
+
+
 def test_prefix_names_and_sink(spark, tmp_path):
     _write_dir(tmp_path)
     long = read_score_dir(spark, str(tmp_path), prefix_only=True)
