@@ -4,7 +4,10 @@ words nearby adjust the score.  DataFrame functions only.
 A text is cut by a kind's expression into gaps and matches; the running sum of
 their lengths gives code-point offsets.  Proposals that fail their validator
 (Luhn for cards, mod 97 for IBANs, part and digit limits for ip and phone) are
-dropped without a retry.  Expressions use possessive forms that match what the
+dropped without a retry.  An IBAN of a known country is proposed with that
+country's length, so upper-case words and numbers that follow or precede it are
+not taken into it; with other codes, or where that length does not end a word, the
+longest run of groups is proposed.  Expressions use possessive forms that match what the
 plain ones do but in linear time and without recursion, so texts of any length
 are safe; a text that lacks a kind's trigger is not searched for it.
 
@@ -21,6 +24,26 @@ EMAIL, IP, CARD, PHONE, IBAN = "email", "ip", "card", "phone", "iban"
 KINDS = (EMAIL, IP, CARD, PHONE, IBAN)        # order of kinds with one start
 BASE_KINDS = KINDS[:4]
 
+# Characters of an IBAN by country: the registry's, and those in use without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE IM ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    def body(length: int) -> str:
+        groups, rest = divmod(length - 4, 4)
+        return rf"(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    exact = "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}{body(n)}" for n, names in IBAN_LENGTHS.items())
+    exact = rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{exact})\b"
+    other = rf"(?!\x20{exact})\x20?[A-Z0-9]"          # no group of a run begins an IBAN of a known country
+    return rf"\b(?:{exact}|[A-Z]{{2}}[0-9]{{2}}(?:{other}{{4}}){{2,7}}(?:{other}{{1,3}})?\b)"
+
+
 _LOCAL = "A-Za-z0-9._%+-"
 # A match may begin at a run's first character or where the last match ended;
 # from inside a run it could not succeed where the run's start failed.
@@ -29,7 +52,7 @@ PATTERNS = {
     IP: r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     CARD: r"[0-9](?:[\x20-]?[0-9])++",
     PHONE: r"\+[0-9][\x20().0-9-]+[0-9]",
-    IBAN: r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    IBAN: _iban(),
 }
 TRIGGERS = {
     EMAIL: r"@[A-Za-z0-9-]",

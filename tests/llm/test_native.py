@@ -110,6 +110,32 @@ def test_pii_iban_and_context(spark):
     assert [s.kind_no for s in row.base] == [3]
 
 
+def test_pii_iban_beside_words_and_numbers(spark):
+    """IBANs of 15 to 28 characters, with blanks and without, followed or
+    preceded by capital words, numbers and each other."""
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332",
+             "CZ65 0800 0000 1920 0014 5399", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947",
+             "DE89 3704 0044 0532 0130 00"]
+    ibans += [i.replace(" ", "") for i in ibans]
+    texts, want = [], []
+    for i in ibans:
+        for before in ("", "to ", "REF AB12 ", "to XY99 1234 "):
+            for after in ("", " BIC", " EUR", " IN", " 500", " 2024", " BANK", " 1234 5678", " INVOICE", ", ok"):
+                texts.append(f"{before}{i}{after}")
+                want.append([i])
+    texts += [f"{i} {k}" for i, k in zip(ibans, ibans[1:])]
+    want += [[i, k] for i, k in zip(ibans, ibans[1:])]
+    texts += ["ES92 2100 0418 4502 0005 1332 BIC", "ES9121000418450200051332EUR"]    # wrong check digits; one word
+    want += [[], []]
+    rows = pii.pii_spans(make(spark, [(k, t, "de", "s", 0) for k, t in enumerate(texts)])).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        got = [text[x.start:x.end] for x in r.found if x.kind_no == pii.KINDS.index(pii.IBAN)]
+        assert got == want[r.doc_id], text
+        assert r.n_iban == len(got)
+
+
 def _supply(rows):
     return sum((len((t or "").encode()) + 3) // 4 for _, t, *_ in rows)
 
