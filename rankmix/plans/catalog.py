@@ -305,11 +305,10 @@ QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
 
 # ---------------------------------------------------------------- scorers, loops
 
-def ml_scorers(spark, sf_dir):
-    """Fit the scorer suite (random forest, tree, perceptron, linear SVM,
-    AdaBoost) on the 80% training share of ``embeddings`` and report what holds
-    for any trained model: scored items and classes, probabilities that sum to
-    1 and lie in [0, 1].  Accuracies are held by the tests."""
+def _ml_scores(spark, sf_dir):
+    """Scores of the suite (random forest, tree, perceptron, linear SVM,
+    AdaBoost), fitted on the 80% training share of ``embeddings``, on the test
+    rows; and these."""
     from rankmix.operators import scorers as M
     from rankmix.operators.prep import hash_split
     from rankmix.sources.fixtures import table
@@ -321,6 +320,14 @@ def ml_scorers(spark, sf_dir):
     scores = (M.fit_and_score(train, test, M.default_suite(64, n_classes))
               .unionByName(M.svm_scores(train, test))
               .unionByName(M.adaboost_scores(train, test, n_classes)))
+    return scores, test
+
+
+def ml_scorers(spark, sf_dir):
+    """What holds for any trained model of the suite: scored items and classes,
+    probabilities that sum to 1 and lie in [0, 1].  ``ml_accuracy`` has the
+    accuracies."""
+    scores, _ = _ml_scores(spark, sf_dir)
     per_item = scores.groupBy("model", "item_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.min("score").alias("lo"), F.max("score").alias("hi"))
     ok = (F.abs(F.col("s") - 1) < 1e-6) & (F.col("lo") >= 0) & (F.col("hi") <= 1 + 1e-9)
@@ -329,6 +336,14 @@ def ml_scorers(spark, sf_dir):
         F.sum(F.when(ok, 0).otherwise(1)).cast("long").alias("invalid"))
 
 
+def ml_accuracy(spark, sf_dir):
+    """M8: correct, total and accuracy of each model of the suite on the test
+    rows (trained models: no SQL, the tests hold bounds)."""
+    from rankmix.operators import scorers as M
+    scores, test = _ml_scores(spark, sf_dir)
+    return M.accuracy_of(M.predictions(scores), test).select("model", "correct", "total", r6("accuracy").alias("accuracy"))
+
+
 def vote_recursive(spark, sf_dir):
     """Iterated majority voting over the five F-ORD base models' picks."""
     ss = ford_wide(spark, sf_dir)
@@ -346,7 +361,7 @@ def search_rounds(spark, sf_dir):
         "round", "position", "kind", "fusion_model", "correct", r6("accuracy").alias("accuracy"))
 
 
-QUERIES.update({"ml_scorers": ml_scorers, "vote_recursive": vote_recursive,
+QUERIES.update({"ml_scorers": ml_scorers, "ml_accuracy": ml_accuracy, "vote_recursive": vote_recursive,
                 "search_rounds": search_rounds})
 
 

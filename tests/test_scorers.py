@@ -35,6 +35,41 @@ def test_svm(split):
     _check(M.svm_scores(train, test), test.count(), 10)
 
 
+@pytest.fixture(scope="module")
+def blobs(spark):
+    """Three classes around their own centres, split like the embeddings."""
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rnd.normal(0, 0.6, 4) + 2.5 * np.eye(4)[i % 3]], float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "item_id long, v array<double>, label double").coalesce(1)
+    df = hash_split(M.as_features(df, "v"), "item_id").persist()
+    yield df.filter(~F.col("is_test")), df.filter(F.col("is_test"))
+    df.unpersist()
+
+
+@pytest.mark.parametrize("model", ["random_forest", "decision_tree", "mlp", "svm", "adaboost"])
+def test_held_out_accuracy(blobs, model):
+    """A constant scorer has about 33 %; every trained one has to learn the centres."""
+    train, test = blobs
+    if model == "svm":
+        scores = M.svm_scores(train, test)
+    elif model == "adaboost":
+        scores = M.adaboost_scores(train, test, 3, rounds=20)
+    else:
+        scores = M.fit_and_score(train, test, {model: M.default_suite(4, 3)[model]})
+    _check(scores, test.count(), 3)
+    (row,) = M.accuracy_of(M.predictions(scores), test).collect()
+    assert row.model == model and row.total == test.count() and row.accuracy >= 85.0
+
+
+def test_accuracy_is_a_registered_query(spark, monkeypatch, blobs):
+    from rankmix.plans import catalog
+    train, test = blobs
+    suite = {"decision_tree": M.default_suite(4, 3)["decision_tree"]}
+    monkeypatch.setattr(catalog, "_ml_scores", lambda spark, sf_dir: (M.fit_and_score(train, test, suite), test))
+    (row,) = catalog.QUERIES["ml_accuracy"](spark, SF).collect()
+    assert row.total == test.count() and row.accuracy == round(100.0 * row.correct / row.total, 6) >= 85.0
+
+
 def test_score_with_user_model(split):
     _, test = split
     flat = test.select("item_id", *[F.col("embedding")[i].alias(f"f{i}") for i in range(4)])
