@@ -22,8 +22,9 @@
 * Candidates are confirmed on their full shingle sets.
 
 Nulls and texts without words have an empty set and are linked with nothing;
-one to four words count as one shingle.  A null id is never a representative:
-its row gets the component of its class, or null.  Rows of one id are one node;
+one to four words count as one shingle.  A row without an id is linked by a key
+made of its text, like any other; it represents its component only where no row
+has an id (one of them is kept then, the component is null).  Rows of one id are one node;
 repeated rows repeat.  An empty table gives no rows; other columns are ignored.
 """
 
@@ -46,6 +47,7 @@ MISSED = 1e-5
 BINS = 256
 CHUNK_BYTES = 1 << 20
 PERCENT = 85
+ROW_KEY = "__near_key"
 BROADCAST_IDS = 1_000_000      # ids of at most 16 bytes: 16 MB
 _RNG = np.random.default_rng(20240607)
 MULT = _RNG.integers(0, 1 << 63, MAX_SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,10 +288,50 @@ def components(links: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- the operator
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column | None:
+    """A key for every row with words, if some of them have no id (else None:
+    the ids serve)."""
+    c, text = F.col(id_col), F.col(text_col)
+    words = text.rlike(r"[^\x20\x09-\x0D]")
+    if docs.filter(c.isNull() & words).isEmpty():
+        return None
+    return F.when(c.isNull(), F.when(words, F.concat(F.lit("n"), F.sha2(text.cast("binary"), 256)))).otherwise(
+        F.concat(F.lit("i"), c.cast("string")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key = _row_key(docs, id_col, text_col)
+    return _near_duplicates(docs, percent, id_col, text_col, key).drop("key")
+
+
+def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str, key: Column | None) -> DataFrame:
+    """The rows of ``near_duplicates``; those found by a key have it too."""
+    if key is None:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        return _grouped(texts, texts, percent).select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+            F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    texts = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    named = F.col("id").startswith("i")
+    # equal texts without ids have one key: one row of them is enough where texts are compared
+    nodes = texts.filter(named).union(texts.filter(F.col("id").startswith("n")).dropDuplicates(["id"]))
+    own = F.when(named, F.substr("id", F.lit(2)).cast(docs.schema[id_col].dataType))
+    rows = written(_grouped(texts, nodes, percent).select(
+        "id", "n", "component", own.alias("own"), F.monotonically_increasing_id().alias("row")), "near-rows")
+    least = rows.groupBy("component").agg(F.min("own").alias("least"), F.min("row").alias("first"))
+    kept = F.when(F.col("n") == 0, True).when(F.col("least").isNull(), F.col("row") == F.col("first")).otherwise(
+        F.col("own").eqNullSafe(F.col("least")))
+    return rows.join(least, "component", "left").select(
+        F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"),
+        kept.alias("kept"), F.col("id").alias("key"))
+
+
+def _grouped(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``(id, n, component)`` of the rows ``(id, text)``; ``texts`` has the same
+    ids and serves where the texts of some are compared."""
+    id_col, text_col = "id", "text"
     small_batches(docs.sparkSession)
     shape = Shape.of(percent)
     sigs = written(document_signatures(docs, shape, id_col, text_col), "near-signatures")
@@ -333,12 +375,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
                 .select("fp", F.col("n").alias("class_n"), F.coalesce("component", "id").alias("class_component")))
     rows = sigs.join(of_class, (sigs["fp"] == of_class["fp"]) & (sigs["n"] == of_class["class_n"]), "left")
     component = F.when(F.col("n") > 0, F.col("class_component")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       F.col("id").eqNullSafe(component).alias("kept"))
+    return rows.select("id", "n", component.alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that represent their component, with all columns."""
-    gone = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(id_col).distinct()
-    return rows_of(docs, written(gone, "near-gone"), id_col, "left_anti")
+    key = _row_key(docs, id_col, text_col)
+    rows = _near_duplicates(docs, percent, id_col, text_col, key)
+    if key is None:
+        gone = rows.filter("not kept").select(id_col).distinct()
+        return rows_of(docs, written(gone, "near-gone"), id_col, "left_anti")
+    gone = rows.filter("key is not null").groupBy("key").agg(F.max("kept").alias("kept")).filter("not kept")
+    left = rows_of(docs.withColumn(ROW_KEY, key), written(gone.select(F.col("key").alias(ROW_KEY)), "near-gone"),
+                   ROW_KEY, "left_anti")
+    equal = F.coalesce(F.col(ROW_KEY).startswith("n"), F.lit(False))
+    return left.filter(~equal).unionByName(left.filter(equal).dropDuplicates([ROW_KEY])).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -154,6 +154,27 @@ def test_near_duplicates_awkward(awkward, awkward_rows, empty):
     assert left.columns == awkward.columns
 
 
+def test_near_copies_without_ids(spark):
+    """Rows without ids are linked and dropped like others; of a group without
+    any id one row stays."""
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randrange(10_000)}" for _ in range(120)] for _ in range(4)]
+    copy = lambda b, k: " ".join(b + [f"x{k}"])
+    texts = [(10, copy(base[0], 0)), (None, copy(base[0], 1)), (9, copy(base[0], 2)), (None, copy(base[0], 1))]
+    texts += [(None, copy(base[1], k)) for k in (0, 1, 1, 2)]
+    texts += [(None, " ".join(base[2])), (7, " ".join(base[3])), (None, ""), (None, ""), (None, None), (8, " ")]
+    frame = make(spark, [(i, t, "en", "s", 0) for i, t in texts], clashes=False)
+    rows = near_dedup.near_duplicates(frame).collect()
+    assert Counter((r.component_id, r.kept) for r in rows if r.n_shingles) == Counter({
+        (9, True): 1, (9, False): 3, (7, True): 1, (None, True): 2, (None, False): 3})
+    assert all(r.kept and r.component_id == r.doc_id for r in rows if not r.n_shingles)
+    left = near_dedup.drop_near_duplicates(frame)
+    assert left.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert len(got) == 8 and Counter(i for i, _ in got) == Counter({9: 1, 7: 1, 8: 1, None: 5})
+    assert sum((t or "").startswith(" ".join(base[1])) for _, t in got) == 1
+
+
 def test_signature_shapes_miss_few_pairs():
     for percent in (75, 80, 85, 90, 95):
         s, j = near_dedup.Shape.of(percent), percent / 100
