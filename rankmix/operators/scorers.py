@@ -125,9 +125,10 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
 # ------------------------------------------------------------ SVM
 
 def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float = 0.01,
-               max_iter: int = 50, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+               max_iter: int = 1000, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
     """Linear SVM, one-vs-rest; class scores are the softmax of the margins
-    (a probability-like normalisation; the linear kernel only)."""
+    (a probability-like normalisation; the linear kernel only).  ``max_iter`` is
+    a guard: the solver's tolerance (1e-6) ends each fit."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
     # the per-class fits are independent jobs: run up to 8 at a time
     ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol="features",

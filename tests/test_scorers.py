@@ -35,6 +35,18 @@ def test_svm(split):
     _check(M.svm_scores(train, test), test.count(), 10)
 
 
+def test_svm_ends_by_its_tolerance(spark):
+    """More iterations than the default change nothing; 50 are not enough."""
+    rnd = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rnd.normal(size=30)], float(i % 2)) for i in range(120)]
+    df = M.as_features(spark.createDataFrame(rows, "item_id long, v array<double>, label double").coalesce(1), "v").persist()
+    got = [M.svm_scores(df, df, **more).orderBy("item_id", "cls").toPandas()["score"].to_numpy()
+           for more in ({}, {"max_iter": 3000}, {"max_iter": 50})]
+    df.unpersist()
+    assert np.array_equal(got[0], got[1])
+    assert np.abs(got[0] - got[2]).max() > 1e-6
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     """Three classes around their own centres, split like the embeddings."""
