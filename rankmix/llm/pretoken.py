@@ -52,33 +52,6 @@ BEYOND = re.compile(f"[{chr(KNOWN)}-\U0010ffff]")
 ODD = frozenset(chr(c) for c in range(1, KNOWN) if not LOWERED[c])
 
 
-def _inverse(a: int) -> int:
-    x = a
-    for _ in range(6):
-        x = x * (2 - a * x) % 2 ** 64
-    return x
-
-
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2^64, grown when needed."""
-
-    def __init__(self):
-        self.n = 0
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def to(self, n: int):
-        if n > self.n:
-            self.n = max(n, 2 * self.n, CHUNK_CHARS)
-            one = np.ones(1, np.uint64)
-            for name, base in (("up", BASE), ("down", np.uint64(_inverse(int(BASE))))):
-                p = np.full(self.n, base, np.uint64)
-                setattr(self, name, np.concatenate([one, np.cumprod(p)[:-1]]))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = _Powers()
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -88,11 +61,25 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``values[starts:ends]`` for each span (never 0)."""
-    up, down = POWERS.to(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
+    """A 64-bit hash (never 0) of ``values[starts:ends]`` for each of these
+    spans, which lie one after another.  Every value is mixed with its place in
+    the span before they are added up: no factor is shared by two places, so
+    words that cancel out in a polynomial (two letters and their exchange) don't
+    cancel out here."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    begin, end = int(starts[0]), int(ends[-1])
+    place = np.arange(1, end - begin + 1, dtype=np.uint64)
+    place -= np.repeat((starts - begin).astype(np.uint64), np.diff(np.append(starts, end)))
+    place *= BASE
+    place += values[begin:end]
+    place *= np.uint64(0xBF58476D1CE4E5B9)
+    place ^= place >> np.uint64(32)
+    place *= np.uint64(0x94D049BB133111EB)
+    place ^= place >> np.uint64(29)
+    total = np.zeros(end - begin + 1, np.uint64)
+    np.cumsum(place, out=total[1:])
+    h = total[ends - begin] - total[starts - begin]
     h = mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     h[h == 0] = 1
     return h
