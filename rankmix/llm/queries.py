@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmix.llm import (exact_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality,
-                         token_counts, token_files)
+                         substring_dedup, token_counts, token_files)
 from rankmix.llm.common import documents
 from rankmix.llm.oracle import OP3, OP8, op6, op10
 from rankmix.session import scratch_dir
@@ -68,8 +68,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(documents(spark, sf_dir), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_files, op3_exact_dedup, op4_language_id, op5_near_dedup, op6_mix_sources, op7_quality_rules,
-     op8_line_dedup, op9_token_counts, op10_pii)}
+     op8_line_dedup, op9_token_counts, op10_pii, op11_substring_dedup)}
 ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8,
               "op10_pii": op10()}

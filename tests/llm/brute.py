@@ -83,3 +83,22 @@ def quality(text):
     n = len(words)
     return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(places),
             n < 10 or 100 * len(places) > 20 * n)
+
+
+def substrings(rows, window):
+    """{row number: (n_words, n_removed, kept text)} of rows (doc_id, text)."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    least = {}
+    for (i, _), ws in zip(rows, words):
+        for j in range(len(ws) - window + 1):
+            if i is not None:
+                key = tuple(ws[j:j + window])
+                least[key] = min(least.get(key, i), i)
+    out = []
+    for (i, _), ws in zip(rows, words):
+        gone = set()
+        for j in range(len(ws) - window + 1):
+            if i is not None and least[tuple(ws[j:j + window])] < i:
+                gone |= set(range(j, j + window))
+        out.append((i, len(ws), len(gone), " ".join(w for j, w in enumerate(ws) if j not in gone)))
+    return out
