@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = ("email", "ip", "card", "phone")
@@ -102,3 +103,34 @@ def substrings(rows, window):
                 gone |= set(range(j, j + window))
         out.append((i, len(ws), len(gone), " ".join(w for j, w in enumerate(ws) if j not in gone)))
     return out
+
+
+def trie(rows, group=5, spread=9):
+    """Nodes of rows (conv_id, turn, role, text), by walking a tree; ``spread``
+    0 leaves conversations as they are."""
+    import zlib
+    convs = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [(r, t) for *_, r, t in sorted(v, key=lambda x: x[:2])] for c, v in convs.items()}
+    rebuilt = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % spread if spread else 0
+        rebuilt[c] = turns.get(c - c % group, [])[:h] + own[h:]
+    members = {}
+    for c, seq in rebuilt.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(tuple(seq[:d]), []).append(c)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for p, m in members.items():
+        if p:
+            children[p[:-1]] += 1
+    for p, m in members.items():
+        worth = (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += p not in children
+            saved[p[:d]] += worth
+    sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p],
+             sha(c for c in m if len(rebuilt[c]) == len(p))) for p, m in members.items()]
