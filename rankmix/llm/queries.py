@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmix.llm import (conversation_trie, exact_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality,
-                         substring_dedup, token_counts, token_files)
+                         substring_dedup, token_counts, token_files, whitening)
 from rankmix.llm.common import documents
 from rankmix.llm.oracle import OP3, OP8, op6, op10
 from rankmix.session import scratch_dir
@@ -78,8 +78,13 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(conversation_trie.shared_heads(turns, group=5, spread=9))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4, scale=256)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_files, op3_exact_dedup, op4_language_id, op5_near_dedup, op6_mix_sources, op7_quality_rules,
-     op8_line_dedup, op9_token_counts, op10_pii, op11_substring_dedup, op12_conversation_trie)}
+    op8_line_dedup, op9_token_counts, op10_pii, op11_substring_dedup, op12_conversation_trie,
+    op13_embedding_whitening)}
 ORACLE_SQL = {"op3_exact_dedup": OP3, "op6_mix_sources": op6(**MIX), "op8_line_dedup": OP8,
               "op10_pii": op10()}
