@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,45 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of an action; the caller's comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared checkpoint folder and read
-    it back, so later stages re-read files after a lost executor."""
+    it back, so later stages re-read files after a lost executor.  The write's
+    shuffle files, which nothing reads again, go when it ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark, 'rankmix_llm')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with session_setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        path = _PATHS.pop(t, None)
+        if path:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.llm.common import slices, string_buffers, written
+from rankmix.llm.common import removed, slices, string_buffers, written
 from rankmix.llm.fm_index import FMIndex
 from rankmix.llm.pretoken import mix64
 from rankmix.llm.words import IS_SPACE, word_hashes, word_spans
@@ -252,6 +252,18 @@ def _collapsed(passages: DataFrame) -> DataFrame:
         F.first("words").alias("words"))
 
 
+def _dealt_anew(passages: DataFrame, distinct: DataFrame, hot: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the passages of hot seeds cut into single windows,
+    whose seeds are hashes of all their words."""
+    single = written(_single_windows(passages.join(hot, "seed", "left_semi").select(passages.columns), window),
+                     "substring-windows")
+    cold, few = (t.join(hot, "seed", "left_anti").select(t.columns) for t in (passages, distinct))
+    both = written(cold.union(single), "substring-passages"), written(
+        few.union(_collapsed(single).select(few.columns)), "substring-distinct")
+    removed(single, passages, distinct)
+    return both
+
+
 # ------------------------------------------------------------- the operator
 
 def _cover(rows: DataFrame, window: int) -> DataFrame:
@@ -331,25 +343,24 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     seeds = written(_seeds(rows, window), "substring-seeds")
     shared = seeds.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed")
-    lists = seeds.join(shared, "seed", "left_semi").groupBy("id", "th").agg(
-        F.collect_set(F.struct("start", "n", "seed")).alias("list"))
-    texts = rows.join(lists, ["id", "th"]).select("id", "th", "text", "list")
-    passages = written(_extract(texts, window), "substring-passages")
+    lists = written(seeds.join(shared, "seed", "left_semi").groupBy("id", "th").agg(
+        F.collect_set(F.struct("start", "n", "seed")).alias("list")), "substring-lists")
+    removed(seeds)
+    passages = written(_extract(rows.join(lists, ["id", "th"]).select("id", "th", "text", "list"), window), "substring-passages")
+    removed(lists)
     distinct = written(_collapsed(passages), "substring-distinct")
-    hot = distinct.groupBy("seed").agg(F.sum(F.col("n") + window).alias("w")).filter(F.col("w") > HOT_WORDS).select("seed")
-    hot = written(hot, "substring-hot")
+    words = distinct.groupBy("seed").agg(F.sum(F.col("n") + window).alias("w"))
+    hot = written(words.filter(F.col("w") > HOT_WORDS).select("seed"), "substring-hot")
     if not hot.isEmpty():
-        single = written(_single_windows(passages.join(hot, "seed", "left_semi").select(passages.columns), window),
-                         "substring-windows")
-        passages = passages.join(hot, "seed", "left_anti").select(passages.columns).union(single)
-        distinct = distinct.join(hot, "seed", "left_anti").select(distinct.columns).union(
-            _collapsed(single).select(distinct.columns))
+        passages, distinct = _dealt_anew(passages, distinct, hot, window)
     found = written(_search(distinct, window), "substring-found")
+    removed(distinct, hot)
     powers = F.array(*[F.lit(1 << i).cast("long") for i in range(window - SEED_WORDS + 1)])
     late = F.transform("least", lambda v, i: F.when(v < F.col("id"), F.get(powers, i)).otherwise(F.lit(0).cast("long")))
     bits = F.aggregate(late, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    marks = (passages.select("digest", "id", "th", "start").join(found, "digest")
-             .select("id", "th", "start", bits.alias("bits")).filter("bits != 0")
-             .groupBy("id", "th").agg(F.collect_set(F.struct("start", "bits")).alias("marks")))
+    marks = written(passages.select("digest", "id", "th", "start").join(found, "digest")
+                    .select("id", "th", "start", bits.alias("bits")).filter("bits != 0")
+                    .groupBy("id", "th").agg(F.collect_set(F.struct("start", "bits")).alias("marks")), "substring-marks")
+    removed(passages, found)
     out = _cover(rows.join(marks, ["id", "th"], "left").select("id", "text", "marks"), window)
     return out.withColumnRenamed("id", id_col)
