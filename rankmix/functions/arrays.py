@@ -1,11 +1,10 @@
 """Column-expression builders over per-item class arrays.
 
-Everything here returns a ``Column`` evaluated inside the JVM.  Where the
-class count ``C`` is known on the driver the expressions are generated flat
-(``s[0]``, ``s[1]`` ...) so whole-stage codegen compiles them; array
-higher-order functions are used where the work is data dependent (ranking,
-sorting) and for the per-batch diversity matrices, with intermediates bound
-to lambda variables (``let``) so nothing is evaluated twice.
+Everything here returns a ``Column`` evaluated inside the JVM: array functions
+for ranks and curves, and for the per-batch diversity matrices, with
+intermediates bound to lambda variables (``let``) so nothing is evaluated twice.
+Their plans and costs do not grow with more than C log C of the class count.
+Fused outputs, picks and votes are made elsewhere (``operators.lattice``).
 """
 
 from __future__ import annotations
@@ -66,12 +65,19 @@ def avg_rank_desc(arr: Column) -> Column:
                lambda up: let(F.reverse(up), lambda down: ranks(up, down)))
 
 
+def _places(order: Column) -> Column:
+    """Places (from 1) of a permutation's values: sorting it once more, with
+    each value's place beside it, writes the places back in order of the values."""
+    return F.transform(F.array_sort(F.transform(order, lambda p, t: F.struct(p.alias("p"), (t + 1).alias("t")))),
+                       lambda s: s.getField("t"))
+
+
 def ordinal_rank_desc(arr: Column) -> Column:
-    """Ordinal ranks, 1 = highest score; ties go to the lower class index."""
-    return F.transform(
-        arr,
-        lambda v, k: (F.lit(1) + F.size(F.filter(
-            arr, lambda x, j: (x > v) | ((x == v) & (j < k))))).cast("double"))
+    """Ordinal ranks, 1 = highest score; ties go to the lower class index.  A
+    NULL has no rank."""
+    order = F.transform(F.array_sort(F.transform(arr, lambda v, k: F.struct(v.isNull().alias("u"), (-v).alias("v"), k.alias("k")))),
+                        lambda s: s.getField("k"))
+    return F.zip_with(arr, _places(order), lambda v, r: F.when(v.isNotNull(), r.cast("double")))
 
 
 def minmax_row(arr: Column) -> Column:
@@ -112,15 +118,11 @@ def ksi_of(order_a: Column, a: Column, b: Column, n: int) -> Column:
     if n < 2:
         return F.lit(None).cast("double")
 
-    def ranks(x):
-        return F.transform(x, lambda v, t: F.lit(1) + F.size(F.filter(
-            x, lambda u, q: (u < v) | ((u == v) & (q < t)))))
-
     def steps(r):
         return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0),
                            lambda acc, t: acc + F.abs(F.get(r, t) - F.get(r, t - 1)))
 
-    total = let(let(F.transform(order_a, lambda p: F.get(b, p)), ranks), steps)
+    total = let(let(F.transform(order_a, lambda p: F.get(b, p)), lambda x: _places(order_of(x))), steps)
     has_null = F.exists(a, lambda x: x.isNull()) | F.exists(b, lambda x: x.isNull())
     return F.when(~has_null, F.lit(3.0) * total / F.lit(float(n * n - 1)))
 

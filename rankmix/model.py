@@ -39,6 +39,10 @@ class ScoreSet:
     accuracies: tuple[float, ...] | None = field(default=None)
     # the table that holds the rows, when ``materialize`` wrote one
     table: str | None = None
+    # the item ids alone, where they can be had without making the scores
+    ids: DataFrame | None = None
+    # layers raise on an item without some class's score unless this is set
+    allow_missing: bool = False
 
     @property
     def n_models(self) -> int:

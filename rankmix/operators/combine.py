@@ -1,25 +1,23 @@
 """Combinatorial fusion: every subset of >= 2 models, by weighted score
 (SC) and weighted rank (RC), under every weighting scheme.
 
-The subsets are driver-side metadata (2^M - M - 1 of them).  Each item row
-fans out, inside its task, to one row per output model; one generic
-weighted formula over the item's M score (or rank) arrays evaluates every
-output, so the plan size does not grow with the number of subsets and no
-join per subset is needed.
+The subsets are driver-side metadata (2^M - M - 1 of them); ``lattice`` evaluates
+them inside the tasks that hold the item rows.
 """
 
 from __future__ import annotations
 
 from itertools import combinations as _combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import json_literal, lsum
-from rankmix.model import FusedSpec, ScoreSet, r_col, s_col
+from rankmix.functions import json_literal
+from rankmix.model import FusedSpec, ScoreSet
+from rankmix.operators.lattice import RC, SC, Layer, matrices
 from rankmix.operators.weights import Weights
 
-SC, RC = "SC", "RC"
+__all__ = ["RC", "SC", "subsets", "fused_specs", "layer_of", "layout_frame", "fused_matrices"]
 
 
 def subsets(n: int, full_set_only: bool = False, max_size: int | None = None) -> list[tuple]:
@@ -46,105 +44,9 @@ def _meta_array(values, dtype: str) -> Column:
     return json_literal(list(values), f"array<{dtype}>")
 
 
-def _coef_literal(kind: str, spec: FusedSpec, weights: Weights | None, n_models: int) -> list:
-    """Coefficients of one output when all its weights are constants."""
-    out = []
-    for i in range(n_models):
-        if i not in spec.members:
-            out.append(0.0)
-        elif spec.is_base:
-            out.append(1.0)
-        else:
-            w = weights.literal(spec.scheme, i)
-            out.append(0.0 if w == 0.0 else (w if kind == SC else 1.0 / w))
-    return out
-
-
-def coefficient_frame(ss: ScoreSet, weights: Weights | None, layout) -> tuple[DataFrame | None, Column]:
-    """Per batch the output x model coefficient matrix ``coef[j][i]``.
-
-    ``c = w`` (SC) or ``1/w`` (RC) for members with non-zero weight, ``1`` for
-    a base output's own model, else ``0``.  When every weight is a constant
-    the matrix is a literal and no per-batch frame is needed; otherwise it is
-    evaluated once per batch row (J x M values) from the weight columns.
-    """
-    m = ss.n_models
-    per_batch = weights is not None and weights.frame is not None
-    if not per_batch:
-        lit = [_coef_literal(kind, spec, weights, m) for kind, spec in layout]
-        return None, json_literal([[float(x) for x in row] for row in lit], "array<array<double>>")
-    schemes = weights.schemes
-    sid_of = {sc: k for k, sc in enumerate(schemes)}
-    # one row per (batch, output j): a generator, so the per-batch weight
-    # expressions below it are evaluated once per batch, not once per j
-    meta = json_literal([{"j": j, "kind": 0 if kind == SC else 1,
-                          "sid": -1 if spec.is_base else sid_of[spec.scheme],
-                          "mem": [i in spec.members for i in range(m)]}
-                         for j, (kind, spec) in enumerate(layout)],
-                        "array<struct<j:int,kind:int,sid:int,mem:array<boolean>>>")
-    wcols = [c for c in weights.frame.columns if c != "batch_id"]
-    wmat = F.array(*[F.array(*[weights.column(sc, i).cast("double") for i in range(m)])
-                     for sc in schemes]).alias("_w")
-    per_batch_rows = weights.frame.select("batch_id", wmat, F.explode(meta).alias("o"))
-    o = F.col("o")
-
-    def one(i):
-        w = F.get(F.get(F.col("_w"), o.getField("sid")), i)
-        fused = F.when(w == 0, F.lit(0.0)).when(o.getField("kind") == 0, w).otherwise(F.lit(1.0) / w)
-        return (F.when(~o.getField("mem")[i], F.lit(0.0))
-                .when(o.getField("sid") < 0, F.lit(1.0)).otherwise(fused))
-
-    coef_rows = per_batch_rows.select(
-        "batch_id", o.getField("j").alias("j"), F.array(*[one(i) for i in range(m)]).alias("c"))
-    frame = coef_rows.groupBy("batch_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))),
-                    lambda x: x.getField("c")).alias("_coef"))
-    del wcols
-    return frame, F.col("_coef")
-
-
-def output_frame(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
-                 kinds=(SC, RC), keep: list[str] | None = None) -> tuple[DataFrame, list]:
-    """One row per (item, output model): ``j`` and the class values ``v0..``.
-
-    Each item row fans out, inside its task, to one row per output ``j``;
-    every row evaluates one generic formula over the M models,
-    ``sum_i c_i * x_i[k] / sum_i c_i`` with the coefficients ``c`` of output
-    ``j`` taken from the per-batch coefficient matrix (see
-    ``coefficient_frame``) and ``x`` = scores (SC) or ranks (RC).  The plan
-    has M x C terms whatever the number of subsets, and adding the exact
-    zeros of non-members leaves every sum equal to summing the members in
-    order.  SC values are raw (not yet min-max scaled).
-    """
-    keep = keep if keep is not None else ss.key_cols()
-    layout = [(kind, spec) for kind in kinds for spec in specs]
-    if not layout:
-        raise ValueError("no output models")
-    m, n = ss.n_models, ss.n_classes
-    frame, coef = coefficient_frame(ss, weights, layout)
-    base = ss.df
-    if frame is not None:
-        # both sides clustered by batch_id (the weights come from the same
-        # rows): no exchange; the one-row-per-batch side is the hash build side
-        base = base.join(frame.hint("shuffle_hash"), on="batch_id", how="inner")
-    need_ranks = RC in kinds
-    kind_a = _meta_array([0 if kind == SC else 1 for kind, _ in layout], "int")
-    j = F.col("j")
-    # posexplode hands each output row only its own coefficient row
-    fanned = base.select(*keep, *[s_col(i) for i in range(m)],
-                         *([r_col(i) for i in range(m)] if need_ranks else []),
-                         F.posexplode(coef if frame is None else F.col("_coef")).alias("j", "_cr"))
-    kind = kind_a[j]
-    xs = [F.when(kind == 0, F.col(s_col(i))).otherwise(F.col(r_col(i))) if need_ranks
-          else F.col(s_col(i)) for i in range(m)]
-    row = fanned.select(*keep, "j", kind.alias("kind_id"),
-                        *[x.alias(f"_x{i}") for i, x in enumerate(xs)],
-                        *[F.col("_cr")[i].alias(f"_c{i}") for i in range(m)])
-    cs = [F.col(f"_c{i}") for i in range(m)]
-    den = lsum(cs)
-    vals = [F.try_divide(lsum([cs[i] * F.col(f"_x{i}")[k] for i in range(m)]), den).alias(f"v{k}")
-            for k in range(n)]
-    return row.select(*keep, "j", "kind_id", *vals), layout
+def layer_of(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec], kinds=(SC, RC)) -> Layer:
+    """The layer whose outputs are ``specs``, of each kind in turn."""
+    return Layer(ss, weights, [(kind, spec) for kind in kinds for spec in specs])
 
 
 def layout_frame(spark, layout) -> DataFrame:
@@ -164,23 +66,12 @@ def fused_matrices(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec]
     is the output's place in the layout (names need not be unique).
 
     SC values (base models included) are min-max scaled over the whole batch
-    of that output model; RC values are weighted mean ranks, unscaled.  The
-    per-(batch, output) min/max is a window over ``(batch_id, j)``: the rows
-    are already clustered by ``batch_id``, so it costs an in-partition sort
-    and no exchange, and the fan-out is evaluated once.
+    of that output model; RC values are weighted mean ranks, unscaled.  Scaled
+    outputs are made a batch at a time (rows are clustered by ``batch_id``: no
+    exchange), unscaled ones in blocks of any rows.
     """
-    keep = ["item_id", "batch_id"]
-    of, layout = output_frame(ss, weights, specs, kinds, keep=keep)
-    n = ss.n_classes
-    vs = [F.col(f"v{k}") for k in range(n)]
-    if normalize and SC in kinds:                 # RC values are not scaled: no sort for them alone
-        w = Window.partitionBy("batch_id", "j")
-        lo = F.min(F.least(*vs) if n > 1 else vs[0]).over(w)
-        hi = F.max(F.greatest(*vs) if n > 1 else vs[0]).over(w)
-        of = of.select(*keep, "j", "kind_id", *vs, lo.alias("_lo"), hi.alias("_hi"))
-        lo, hi = F.col("_lo"), F.col("_hi")
-        vs = [F.when(F.col("kind_id") == 0, F.try_divide(v - lo, hi - lo)).otherwise(v) for v in vs]
-    names = _meta_array([spec.name for _, spec in layout], "string")
-    kinds_a = _meta_array([kind for kind, _ in layout], "string")
-    return of.select("item_id", "batch_id", "j", kinds_a[F.col("j")].alias("kind"),
-                     names[F.col("j")].alias("fusion_model"), F.array(*vs).alias("values"))
+    layer = layer_of(ss, weights, specs, kinds)
+    names = _meta_array([spec.name for _, spec in layer.layout], "string")
+    kinds_a = _meta_array([kind for kind, _ in layer.layout], "string")
+    return matrices(layer, normalize).select(
+        "item_id", "batch_id", "j", kinds_a[F.col("j")].alias("kind"), names[F.col("j")].alias("fusion_model"), "values")

@@ -1,10 +1,9 @@
 """Picks, accuracies and report tables.
 
-``accuracy`` evaluates every output model of a layer in one pass: each
-item row fans out to one row per output model inside the task, the pick and
-the 0/1 hit are flat codegen'd columns, and a grouped sum with partial
-aggregation collects them.  The shuffle carries tasks x outputs counters,
-never items.
+Tasks count, for their own items, how many of each label every output picks
+right (``lattice.label_counts``): item rows never fan out to rows by output, and
+the shuffle carries tasks x outputs x labels counters.  Accuracy, recall by class
+and its means all come from these counts.
 """
 
 from __future__ import annotations
@@ -12,25 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmix.functions import array_pick
 from rankmix.model import FusedSpec, ScoreSet
-from rankmix.operators.combine import RC, SC, fused_specs, layout_frame, output_frame
+from rankmix.operators.combine import RC, SC, fused_specs, layer_of, layout_frame
+from rankmix.operators.lattice import item_picks, label_counts
 from rankmix.operators.weights import Weights
 
 
-def pick_frame(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
-               kinds=(SC, RC), keep: list[str] | None = None,
-               largest_rank: bool = False) -> tuple[DataFrame, list]:
-    """One row per (item, output j) with ``pred`` = picked class (argmax for
-    SC, argmin for RC, or argmax with ``largest_rank``; the lowest class wins
-    ties)."""
-    keep = keep if keep is not None else ss.key_cols()
-    of, layout = output_frame(ss, weights, specs, kinds, keep=keep)
-    sign = F.when((F.col("kind_id") == 0) | F.lit(largest_rank), F.lit(1.0)).otherwise(F.lit(-1.0))
-    pred = array_pick(F.array(*[F.col(f"v{k}") * sign for k in range(ss.n_classes)]))
-    return of.select(*keep, "j", pred.alias("pred")), layout
-
-
 def _named(df: DataFrame, layout) -> DataFrame:
     """Attach kind / fusion_model / ord to rows keyed by ``j`` (metadata join)."""
     meta = layout_frame(df.sparkSession, layout).select(
@@ -41,25 +27,20 @@ def _named(df: DataFrame, layout) -> DataFrame:
 def labels_long(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
                 kinds=(SC, RC)) -> DataFrame:
     """``(item_id, kind, fusion_model, pred)`` — one row per item and output."""
-    pf, layout = pick_frame(ss, weights, specs, kinds, keep=["item_id"])
-    return _named(pf, layout).drop("ord", "scheme", "size", "output")
+    layer = layer_of(ss, weights, specs, kinds)
+    rows = item_picks(layer, ["item_id"]).select("item_id", F.posexplode("picks").alias("j", "pred"))
+    return _named(rows, layer.layout).drop("ord", "scheme", "size", "output")
 
 
 def accuracy(ss: ScoreSet, weights: Weights | None, specs: list[FusedSpec],
              kinds=(SC, RC)) -> DataFrame:
     """``(kind, fusion_model, scheme, size, output, ord, correct, total,
-    accuracy)``; percent of the items that have a label.
-
-    Rows are (item, output) pairs produced inside each task; the grouped sum
-    on ``j`` is partially aggregated per task, so the shuffle moves
-    tasks x outputs counters, never items."""
+    accuracy)``; percent of the items that have a label."""
     if not ss.has_label:
         raise ValueError("accuracy needs ground-truth labels")
-    pf, layout = pick_frame(ss, weights, specs, kinds, keep=["label"])
-    agg = pf.groupBy("j").agg(
-        F.sum(F.when(F.col("pred") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
-        F.count("label").alias("total"))
-    out = _named(agg, layout)
+    layer = layer_of(ss, weights, specs, kinds)
+    agg = label_counts(layer).groupBy("j").agg(F.sum("hits").alias("correct"), F.sum("n").alias("total"))
+    out = _named(agg, layer.layout)
     return out.select("kind", "fusion_model", "scheme", "size", "output", "ord", "correct", "total",
                       (F.col("correct") / F.col("total") * F.lit(100.0)).alias("accuracy"))
 
@@ -80,10 +61,8 @@ def per_class_accuracy(ss: ScoreSet, weights: Weights | None, specs: list[FusedS
                        kinds=(SC, RC)) -> DataFrame:
     """Recall per class: ``(kind, fusion_model, cls, correct, count, class_accuracy)``.
     Every class 0..C-1 appears; a class absent from the truth gives NULL."""
-    pf, layout = pick_frame(ss, weights, specs, kinds, keep=["label"])
-    by = pf.groupBy("j", "label").agg(
-        F.sum(F.when(F.col("pred") == F.col("label"), 1).otherwise(0)).cast("long").alias("c"),
-        F.count(F.lit(1)).alias("n"))
+    layer = layer_of(ss, weights, specs, kinds)
+    by = label_counts(layer).withColumnRenamed("hits", "c")
     # fold the (few) labels of each output into maps, then expand 0..C-1
     per_j = by.groupBy("j").agg(F.map_from_entries(F.collect_list(
         F.struct("label", F.struct("c", "n")))).alias("m"))
@@ -92,7 +71,7 @@ def per_class_accuracy(ss: ScoreSet, weights: Weights | None, specs: list[FusedS
     got = F.col("m")[F.col("cls")]
     long = wide.select("j", "cls", F.coalesce(got.getField("c"), F.lit(0)).alias("correct"),
                        F.coalesce(got.getField("n"), F.lit(0)).alias("count"))
-    out = _named(long, layout)
+    out = _named(long, layer.layout)
     return out.select("kind", "fusion_model", "scheme", "cls", "correct", "count",
                       F.try_divide(F.col("correct").cast("double"),
                                    F.col("count").cast("double")).alias("class_accuracy"))
@@ -153,24 +132,21 @@ def performance_series(acc: DataFrame, schemes, short: dict[int, str] | None = N
 
 
 def check_score_set(ss: ScoreSet) -> dict:
-    """Input checks (C4) in one aggregate pass: every score array has C
-    entries, no NULL scores, labels inside 0..C-1, unique item ids.
-    Returns the counts of offending rows; raises ValueError if any."""
+    """Input checks (C4) in one job: every score array has C entries, no NULL
+    scores, labels inside 0..C-1, unique item ids.  Returns the counts of rows
+    and of offending rows; raises ValueError if any.  Layers check arrays, scores
+    and labels themselves, in the pass that they make anyway."""
     c = ss.n_classes
-    bad_len = [F.sum(F.when(F.size(F.col(f"s{i}")) != c, 1).otherwise(0)).alias(f"len{i}")
-               for i in range(ss.n_models)]
-    bad_null = [F.sum(F.when(F.exists(F.col(f"s{i}"), lambda x: x.isNull()), 1).otherwise(0)).alias(f"nul{i}")
-                for i in range(ss.n_models)]
-    aggs = bad_len + bad_null + [F.count(F.lit(1)).alias("rows"),
-                                 F.approx_count_distinct("item_id").alias("ids")]
+    bad = {f"len{i}": F.coalesce(F.size(F.col(f"s{i}")) != c, F.lit(True)) for i in range(ss.n_models)}
+    bad |= {f"nul{i}": F.exists(F.col(f"s{i}"), lambda x: x.isNull()) for i in range(ss.n_models)}
     if ss.has_label:
-        aggs.append(F.sum(F.when((F.col("label") < 0) | (F.col("label") >= c) | F.col("label").isNull(),
-                                 1).otherwise(0)).alias("bad_label"))
-    row = ss.df.agg(*aggs).first().asDict()
-    problems = {k: v for k, v in row.items() if k not in ("rows", "ids") and v}
-    dupes = ss.df.groupBy("item_id").count().filter("count > 1").limit(1).count()
-    if dupes:
-        problems["duplicate_item_ids"] = dupes
+        bad["bad_label"] = (F.col("label") < 0) | (F.col("label") >= c) | F.col("label").isNull()
+    flags = [F.when(cond, 1).otherwise(0).alias(k) for k, cond in bad.items()]
+    by_id = ss.df.select("item_id", *flags).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(k).alias(k) for k in bad])
+    row = by_id.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("rows", *bad)],
+                    F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicate_item_ids")).first().asDict()
+    problems = {k: v for k, v in row.items() if k != "rows" and v}
     if problems:
         raise ValueError(f"invalid score set: {problems}")
     return row

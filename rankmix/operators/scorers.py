@@ -8,12 +8,16 @@ vector becomes an array with ``vector_to_array`` (JVM side).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import (DecisionTreeClassifier, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmix.functions import json_literal
+
 
 def default_suite(n_features: int, n_classes: int, seed: int = 42) -> dict:
     """The example suite: a random forest of 171 trees (depth 30, the deepest
@@ -81,8 +85,6 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
     The test rows are scored once at the end by all trees.  Scores are
     ``sum_t alpha_t [pred_t = k] / sum_t alpha_t`` per class.
     """
-    import math
-
     from rankmix.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
     cur = train.select(id_col, "features", F.col(label_col).cast("double").alias("label"),
@@ -124,22 +126,111 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
 
 # ------------------------------------------------------------ SVM
 
-def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float = 0.01,
-               max_iter: int = 1000, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
-    """Linear SVM, one-vs-rest; class scores are the softmax of the margins
-    (a probability-like normalisation; the linear kernel only).  ``max_iter`` is
-    a guard: the solver's tolerance (1e-6) ends each fit."""
+def _svm(reg: float, max_iter: int, label_col: str):
     from pyspark.ml.classification import LinearSVC, OneVsRest
     # the per-class fits are independent jobs: run up to 8 at a time
-    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol="features",
-                    labelCol=label_col, parallelism=8).fit(train)
-    raw = ovr.transform(test).select(F.col(id_col).alias("item_id"),
-                                     vector_to_array("rawPrediction").alias("m"))
-    mx = F.array_max("m")
-    ex = F.transform("m", lambda x: F.exp(x - mx))
-    tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    probs = F.transform(ex, lambda x: x / tot)
-    return raw.select("item_id", F.lit(name).alias("model"), F.posexplode(probs).alias("cls", "score"))
+    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol="features",
+                     labelCol=label_col, parallelism=8)
+
+
+def fold_of(id_col: str, folds: int, seed: int = 42) -> Column:
+    """A row's fold from a hash of its id: the same whatever the partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(folds)).cast("int")
+
+
+def out_of_fold_margins(train: DataFrame, folds: int = 5, reg: float = 0.01, max_iter: int = 1000,
+                        id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+    """``(label, m)``: every training row's margins by class, from the machine
+    that was fitted on the other folds.  A fold whose rest lacks a class has
+    margins for the classes below the largest that it saw (the others count as
+    far outside)."""
+    rows = train.withColumn("_fold", fold_of(id_col, folds))
+    n_classes = int(train.agg(F.max(label_col)).first()[0]) + 1
+    out = None
+    for k in range(folds):
+        rest, own = rows.filter(F.col("_fold") != k), rows.filter(F.col("_fold") == k)
+        if own.isEmpty() or rest.select(label_col).distinct().count() < 2:
+            continue
+        m = vector_to_array("rawPrediction")
+        part = _svm(reg, max_iter, label_col).fit(rest).transform(own).select(
+            F.col(label_col).cast("int").alias("label"), m.alias("m"))
+        missing = F.array_repeat(F.lit(-10.0), F.lit(n_classes) - F.size("m"))
+        part = part.select("label", F.concat("m", missing).alias("m"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("too few rows or classes to leave a fold out")
+    return out
+
+
+def fit_sigmoids(margins: DataFrame, n_classes: int, steps: int = 50, tolerance: float = 1e-7) -> list[tuple[float, float]]:
+    """Per class the slope and offset of ``1 / (1 + exp(a m + b))`` that fit the
+    labels best: Newton steps for all classes at once, each one aggregate of loss,
+    gradient and Hessian over the rows.  Targets are drawn in as by Platt (a class
+    with p rows of it and q others aims at (p + 1) / (p + 2) and 1 / (q + 2)), so
+    separable classes have a finite fit; a step that raises a class's loss is
+    halved."""
+    rows = margins.select("label", F.posexplode("m").alias("c", "m"))
+    counts = {r["label"]: r["count"] for r in margins.groupBy("label").count().collect()}
+    total = sum(counts.values())
+    high = [(counts.get(c, 0) + 1.0) / (counts.get(c, 0) + 2.0) for c in range(n_classes)]
+    low = [1.0 / (total - counts.get(c, 0) + 2.0) for c in range(n_classes)]
+    start = [(0.0, math.log((total - counts.get(c, 0) + 1.0) / (counts.get(c, 0) + 1.0))) for c in range(n_classes)]
+
+    def pick(values):
+        return F.element_at(json_literal([float(v) for v in values], "array<double>"), F.col("c") + 1)
+
+    def measured(params):
+        z = pick([a for a, _ in params]) * F.col("m") + pick([b for _, b in params])
+        t = F.when(F.col("label") == F.col("c"), pick(high)).otherwise(pick(low))
+        p = F.when(z >= 0, F.exp(-F.abs(z)) / (1 + F.exp(-F.abs(z)))).otherwise(1 / (1 + F.exp(-F.abs(z))))
+        at = rows.select("c", "m", (t - p).alias("d"), (p * (1 - p)).alias("h"),
+                         (t * z + F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))).alias("loss"))
+        out = at.groupBy("c").agg(F.sum("loss").alias("loss"), F.sum(F.col("m") * F.col("d")).alias("ga"), F.sum("d").alias("gb"),
+                                  F.sum(F.col("m") * F.col("m") * F.col("h")).alias("haa"),
+                                  F.sum(F.col("m") * F.col("h")).alias("hab"), F.sum("h").alias("hbb"))
+        return {r["c"]: r for r in out.collect()}
+
+    params, at = start, measured(start)
+    move = {}
+    for c, r in at.items():
+        move[c] = _newton(r)
+    for _ in range(steps):
+        if all(max(abs(x) for x in m) < tolerance for m in move.values()):
+            break
+        tried = [(a + move[c][0], b + move[c][1]) if c in move else (a, b) for c, (a, b) in enumerate(params)]
+        new = measured(tried)
+        for c, r in new.items():
+            if r["loss"] <= at[c]["loss"] + 1e-12 * abs(at[c]["loss"]):
+                params[c], at[c], move[c] = tried[c], r, _newton(r)
+            else:
+                move[c] = (move[c][0] / 2, move[c][1] / 2)
+    return params
+
+
+def _newton(r) -> tuple[float, float]:
+    """The step from gradient and Hessian of one class (ridge: 1e-12)."""
+    haa, hbb, hab = r["haa"] + 1e-12, r["hbb"] + 1e-12, r["hab"]
+    det = haa * hbb - hab * hab
+    return -(hbb * r["ga"] - hab * r["gb"]) / det, -(haa * r["gb"] - hab * r["ga"]) / det
+
+
+def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float = 0.01,
+               max_iter: int = 1000, folds: int = 5, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+    """Linear SVM, one-vs-rest, with calibrated probabilities: each class's
+    margin goes through its sigmoid, fitted on margins of left-out folds, and the
+    classes are scaled to sum to 1.  ``max_iter`` is a guard: the solver's
+    tolerance (1e-6) ends each fit."""
+    from rankmix.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    margins = out_of_fold_margins(train, folds, reg, max_iter, id_col, label_col).checkpoint(eager=True)
+    n_classes = int(train.agg(F.max(label_col)).first()[0]) + 1
+    sigmoids = json_literal([[a, b] for a, b in fit_sigmoids(margins, n_classes)], "array<array<double>>")
+    raw = _svm(reg, max_iter, label_col).fit(train).transform(test).select(
+        F.col(id_col).alias("item_id"), vector_to_array("rawPrediction").alias("m"))
+    p = raw.select("item_id", F.zip_with("m", sigmoids, lambda m, s: 1 / (1 + F.exp(s[0] * m + s[1]))).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return p.select("item_id", F.lit(name).alias("model"),
+                    F.posexplode(F.transform("p", lambda x: x / total)).alias("cls", "score"))
 
 
 # ------------------------------------------------------------ user models

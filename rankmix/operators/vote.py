@@ -1,21 +1,24 @@
 """Majority voting over model predictions.
 
-Predictions are held wide — one row per item with ``p0..p{V-1}`` — so a vote
-over any subset is a flat count per label inside the row.  Voting over all
-subsets fans each item row out to one row per subset inside its task (the
-subsets are a literal member matrix) and sums hits with partial
-aggregation: no join, no per-subset pass.  The most frequent label wins;
-ties go to the lowest label (``argmax(bincount)``).
+Predictions are held wide — one row per item with ``p0..p{V-1}``.  In a task,
+a block of items becomes one bit set of voters for every label and item; a
+subset's votes for a label are then the bits that the label's voters and the
+subset share, whatever the number of voters.  Accuracies of all subsets are
+counted in the task, so the shuffle carries tasks x subsets counters.  The most
+frequent label wins; ties go to the lowest label (``argmax(bincount)``).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import json_literal, let, lsum
+from rankmix.functions import json_literal
+from rankmix.operators.lattice import schema_of
 from rankmix.session import ensure_checkpoint_dir
 
 # Fixed value: number of best subsets kept as voters between rounds, by default.
@@ -27,51 +30,97 @@ def vote_subsets(n: int, full_set_only: bool = False) -> list[tuple]:
     return [c for k in sizes for c in combinations(range(n), k)]
 
 
-def vote_of(preds: list[Column], members: list[Column] | None, n_labels: int) -> Column:
-    """Most frequent label among ``preds`` (restricted to ``members`` flags)."""
-    counts = []
-    for lab in range(n_labels):
-        terms = []
-        for i, p in enumerate(preds):
-            hit = F.when(p == lab, F.lit(1)).otherwise(F.lit(0))
-            terms.append(hit if members is None else F.when(members[i], hit).otherwise(F.lit(0)))
-        counts.append(lsum(terms))
-    return _most(counts)
+class Ballots:
+    """Bit sets of the voters of a block of items, by label and item; 64 voters
+    to a word."""
 
+    def __init__(self, predictions: list[np.ndarray], n_labels: int):
+        n = len(predictions[0]) if predictions else 0
+        self.words = np.zeros((-(-len(predictions) // 64), n_labels, n), np.uint64)
+        at = np.arange(n)
+        for i, p in enumerate(predictions):
+            ok = (p >= 0) & (p < n_labels)
+            self.words[i // 64, p[ok], at[ok]] |= np.uint64(1 << i % 64)
 
-def _most(counts: list[Column]) -> Column:
-    """Position of the largest count; the lowest wins ties."""
-    return let(F.array(*counts), lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("int"))
+    def vote(self, members) -> np.ndarray:
+        """The label with most votes among ``members``, the lowest on ties."""
+        best = out = None
+        masks = [np.uint64(sum(1 << i % 64 for i in members if i // 64 == w)) for w in range(len(self.words))]
+        for label in range(self.words.shape[1]):
+            votes = sum(np.bitwise_count(word[label] & mask).astype(np.int32) for word, mask in zip(self.words, masks))
+            if best is None:
+                best, out = votes, np.zeros(len(votes), np.int32)
+            else:
+                out[votes > best] = label
+                best = np.maximum(best, votes)
+        return out
 
 
-def majority_vote(wide: DataFrame, n_voters: int, n_labels: int, keep=("item_id",)) -> DataFrame:
-    """``(item_id, vote)`` over all voters ``p0..``."""
-    preds = [F.col(f"p{i}") for i in range(n_voters)]
-    return wide.select(*keep, vote_of(preds, None, n_labels).alias("vote"))
+def _ballots(batch: pa.RecordBatch, first: int, n_voters: int, n_labels: int) -> Ballots:
+    """Ballots of a batch whose voters' columns begin at ``first``."""
+    cols = [batch.column(first + i).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) for i in range(n_voters)]
+    return Ballots(cols, n_labels)
+
+
+def _voters(n: int) -> list[str]:
+    return [f"p{i}" for i in range(n)]
+
+
+def with_votes(wide: DataFrame, n_voters: int, n_labels: int, subsets: list[tuple], names: list[str],
+               keep=("item_id",)) -> DataFrame:
+    """``keep`` and one column for each subset with its vote."""
+    keep = list(keep)
+    rows = wide.select(*keep, *_voters(n_voters))
+
+    def run(batches):
+        for b in batches:
+            ballots = _ballots(b, len(keep), n_voters, n_labels)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))]
+                                             + [pa.array(ballots.vote(s), pa.int32()) for s in subsets], names=[*keep, *names])
 
+    return rows.mapInArrow(run, ", ".join([schema_of(rows, keep), *[f"`{n}` int" for n in names]]))
 
-def _subset_rows(wide: DataFrame, n_voters: int, subsets: list[tuple], keep: list[str]) -> DataFrame:
-    mem = json_literal([[i in s for i in range(n_voters)] for s in subsets], "array<array<boolean>>")
-    return wide.select(*keep, *[f"p{i}" for i in range(n_voters)],
-                       F.posexplode(mem).alias("combo", "_mem"))
+
+def majority_vote(wide: DataFrame, n_voters: int, n_labels: int, keep=("item_id",)) -> DataFrame:
+    """``(item_id, vote)`` over all voters ``p0..``."""
+    return with_votes(wide, n_voters, n_labels, [tuple(range(n_voters))], ["vote"], keep)
 
 
 def subset_votes(wide: DataFrame, n_voters: int, n_labels: int, subsets: list[tuple],
                  keep=("item_id",)) -> DataFrame:
     """``(item_id, combo, vote)`` for every subset (V5: no truth needed)."""
-    rows = _subset_rows(wide, n_voters, subsets, list(keep))
-    preds = [F.col(f"p{i}") for i in range(n_voters)]
-    mem = [F.col("_mem")[i] for i in range(n_voters)]
-    return rows.select(*keep, "combo", vote_of(preds, mem, n_labels).alias("vote"))
+    keep = list(keep)
+    rows = wide.select(*keep, *_voters(n_voters))
+
+    def run(batches):
+        for b in batches:
+            ballots = _ballots(b, len(keep), n_voters, n_labels)
+            for j, s in enumerate(subsets):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(i) for i in range(len(keep))]
+                    + [pa.array(np.full(len(b), j), pa.int32()), pa.array(ballots.vote(s), pa.int32())],
+                    names=[*keep, "combo", "vote"])
+
+    return rows.mapInArrow(run, schema_of(rows, keep) + ", combo int, vote int")
 
 
 def subset_accuracy(wide: DataFrame, n_voters: int, n_labels: int, subsets: list[tuple],
                     names: list[str]) -> DataFrame:
     """``(combo, members, correct, total, accuracy)``; accuracy is a fraction."""
-    votes = subset_votes(wide, n_voters, n_labels, subsets, keep=("label",))
-    agg = votes.groupBy("combo").agg(
-        F.sum(F.when(F.col("vote") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
-        F.count(F.lit(1)).alias("total"))
+    def run(batches):
+        right, total = np.zeros(len(subsets), np.int64), 0
+        for b in batches:
+            ballots = _ballots(b, 1, n_voters, n_labels)
+            label = b.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            total += len(b)
+            right += [np.count_nonzero(ballots.vote(s) == label) for s in subsets]
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(subsets)), pa.int32()), pa.array(right), pa.array(np.full(len(subsets), total))],
+                names=["combo", "correct", "total"])
+
+    counts = wide.select("label", *_voters(n_voters)).mapInArrow(run, "combo int, correct long, total long")
+    agg = counts.groupBy("combo").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
     labels = json_literal(["".join(names[i] for i in s) for s in subsets], "array<string>")
     return agg.select("combo", labels[F.col("combo")].alias("members"), "correct", "total",
                       (F.col("correct") / F.col("total")).alias("accuracy"))
@@ -122,20 +171,6 @@ def recursive_vote(wide: DataFrame, voters: list[str], n_labels: int, full_set_o
                         "best_members": top[0]["members"], "kept": kept,
                         "kept_correct": [r["correct"] for r in top]})
         chosen = [subsets[r["combo"]] for r in top]
-        preds = [F.col(f"p{i}") for i in range(n)]
-        new_cols = [vote_of(preds, [F.lit(i in s) for i in range(n)], n_labels).alias(f"p{k}")
-                    for k, s in enumerate(chosen)]
-        cur = cur.select("item_id", "label", *new_cols).checkpoint(eager=True)
+        cur = with_votes(cur, n, n_labels, chosen, _voters(len(chosen)), ["item_id", "label"]).checkpoint(eager=True)
         names = [f"C{rnd}({m})" for m in kept]
     return history
-
-
-def vote_rows(pick_rows: DataFrame, n_labels: int) -> DataFrame:
-    """Vote over all outputs of a layer: ``pick_rows`` has one row per
-    (item, output) with ``pred``; grouped on (batch_id, item_id) — the rows
-    are still clustered by batch_id, so the grouping needs no exchange."""
-    keys = [c for c in ("batch_id", "item_id", "label") if c in pick_rows.columns]
-    counts = pick_rows.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("pred") == lab, 1).otherwise(0)).alias(f"n{lab}") for lab in range(n_labels)])
-    cs = [F.col(f"n{lab}") for lab in range(n_labels)]
-    return counts.select(*keys, _most(cs).alias("vote"))

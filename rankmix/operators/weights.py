@@ -64,23 +64,35 @@ def validate_schemes(schemes, supervised: bool = True) -> tuple[str, ...]:
 
 # ---------------------------------------------------------------- first items
 
+BROADCAST_BATCHES = 1_000_000      # first ids of at most 8 bytes each: 8 MB
+
+
 def first_items(ss: ScoreSet) -> DataFrame:
     """``(batch_id, s0..)``: the scores of the lowest item id of every batch.
 
-    ``min(item_id)`` per batch is a hash aggregate with partial aggregation;
-    it is joined back on ``batch_id`` alone (both sides clustered by it, the
-    one-row-per-batch side is the hash build side) and the first item is
-    kept by a filter.  The filter is written as a difference so the
-    optimizer keeps it as a condition instead of a second join key, which
-    would re-shuffle the item rows on (item_id, batch_id).
+    The first ids come from the narrow id column alone (a hash aggregate with
+    partial aggregation).  In a table clustered by ``batch_id`` they are joined
+    back on ``batch_id`` (the one-row-per-batch side is the hash build side) and
+    the first item is kept by a filter, written as a difference so that the
+    optimizer keeps it as a condition instead of a second join key, which would
+    shuffle the item rows.  Elsewhere they select the rows by id, as a broadcast
+    list while a count shows that they are few, so that no other item's scores
+    are kept, moved or written.
     """
     if ss.batch_size is None:
         raise ValueError("score set has no batches; call with_batches first")
     cols = [s_col(i) for i in range(ss.n_models)]
-    firsts = ss.df.groupBy("batch_id").agg(F.min("item_id").alias("_first"))
-    rows = ss.df.select("batch_id", "item_id", *cols).join(
-        firsts.hint("shuffle_hash"), on="batch_id", how="inner")
-    return rows.filter((F.col("item_id") - F.col("_first")) == 0).select("batch_id", *cols)
+    if ss.table is not None:
+        firsts = ss.df.groupBy("batch_id").agg(F.min("item_id").alias("_first"))
+        rows = ss.df.select("batch_id", "item_id", *cols).join(
+            firsts.hint("shuffle_hash"), on="batch_id", how="inner")
+        return rows.filter((F.col("item_id") - F.col("_first")) == 0).select("batch_id", *cols)
+    ids = ss.ids if ss.ids is not None else ss.df.select("item_id")
+    firsts = ids.groupBy(F.floor(F.col("item_id") / F.lit(ss.batch_size)).alias("batch_id")).agg(
+        F.min("item_id").alias("item_id"))
+    few = firsts.count() <= BROADCAST_BATCHES
+    rows = ss.df.select("item_id", *cols)
+    return rows.join(F.broadcast(firsts) if few else firsts, "item_id").select("batch_id", *cols)
 
 
 def pairwise_matrix(rsc: Column, n_classes: int, corr: str = "CD", order: Column | None = None) -> Column:

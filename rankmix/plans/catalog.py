@@ -10,18 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankmix.model import s_col
-from rankmix.functions import array_pick
 from rankmix.operators import ranks as K
 from rankmix.operators import vote as V
-from rankmix.operators.combine import RC, SC, fused_specs
-from rankmix.operators.evaluate import base_accuracy as _base_accuracy, best_outputs, pick_frame
+from rankmix.operators.combine import RC, SC, fused_specs, layer_of
+from rankmix.operators.evaluate import base_accuracy as _base_accuracy, best_outputs, with_base_accuracies
 from rankmix.operators.evaluate import performance_series as _series, sorted_accuracies
+from rankmix.operators.lattice import item_picks
 from rankmix.operators.weights import batch_weights, pairwise, strengths, weights_long
 from rankmix.plans import layer as L
 from rankmix.plans import regression as R
 from rankmix.sources.fixtures import FORD_MODELS, FREG_MODELS, ford_wide, freg_wide
-from rankmix.sources.frames import to_long
+from rankmix.sources.frames import to_long, with_batch_ids
 
 BATCH = 2048
 ALL4 = ("AC", "WC-CDS", "WC-KDS", "WCP")
@@ -42,6 +41,11 @@ def _ss(spark, sf_dir, schemes=()):
     return L.prepare(ford_wide(spark, sf_dir), BATCH, schemes)
 
 
+def _first_ss(spark, sf_dir):
+    """For what needs the first items of batches only: nothing is written."""
+    return with_batch_ids(ford_wide(spark, sf_dir), BATCH)
+
+
 def ord_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = to_long(ford_wide(spark, sf_dir))
     return long.select("item_id", "model", "cls", r6("score").alias("score"))
@@ -78,20 +82,20 @@ def rsc_mean_ranks(spark, sf_dir):
 
 
 def diversity_pairs(spark, sf_dir):
-    return pairwise(_ss(spark, sf_dir), "CD").select(
+    return pairwise(_first_ss(spark, sf_dir), "CD").select(
         "batch_id", "model_a", "model_b", r6("value").alias("value"))
 
 
 def diversity_strength(spark, sf_dir):
-    return strengths(_ss(spark, sf_dir), "CD").select("batch_id", "model", r6("strength").alias("strength"))
+    return strengths(_first_ss(spark, sf_dir), "CD").select("batch_id", "model", r6("strength").alias("strength"))
 
 
 def ksi_strength(spark, sf_dir):
-    return strengths(_ss(spark, sf_dir), "KSI").select("batch_id", "model", r6("strength").alias("strength"))
+    return strengths(_first_ss(spark, sf_dir), "KSI").select("batch_id", "model", r6("strength").alias("strength"))
 
 
 def weights_all(spark, sf_dir):
-    ss = _ss(spark, sf_dir, ALL4)
+    ss = with_base_accuracies(_first_ss(spark, sf_dir))
     return weights_long(ss, ALL4).select("batch_id", "scheme", "model", r6("weight").alias("weight"))
 
 
@@ -150,28 +154,24 @@ def unsupervised_labels_max(spark, sf_dir):
 
 
 def _fused_votes(spark, sf_dir):
-    ss = _ss(spark, sf_dir, SEARCH_SCHEMES)
-    specs = fused_specs(ss.models, SEARCH_SCHEMES)
-    pf, _ = pick_frame(ss, batch_weights(ss, SEARCH_SCHEMES), specs, (SC, RC),
-                       keep=["batch_id", "item_id", "label"])
-    return ss, V.vote_rows(pf, ss.n_classes)
+    return L.fused_votes(_ss(spark, sf_dir, SEARCH_SCHEMES), SEARCH_SCHEMES)
 
 
 def vote_fused(spark, sf_dir):
-    return _fused_votes(spark, sf_dir)[1].select("item_id", "vote")
+    return _fused_votes(spark, sf_dir).select("item_id", "vote")
 
 
 def vote_fused_accuracy(spark, sf_dir):
-    votes = _fused_votes(spark, sf_dir)[1]
-    agg = votes.agg(F.sum(F.when(F.col("vote") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
-                    F.count(F.lit(1)).alias("total"))
+    agg = _fused_votes(spark, sf_dir).agg(
+        F.sum(F.when(F.col("vote") == F.col("label"), 1).otherwise(0)).cast("long").alias("correct"),
+        F.count(F.lit(1)).alias("total"))
     return agg.select("correct", "total", r6(F.col("correct") / F.col("total")).alias("accuracy"))
 
 
 def base_picks_wide(ss):
     """``item_id, label, p0..`` — each base model's argmax pick."""
-    return ss.df.select("item_id", "label", *[array_pick(F.col(s_col(i)), ss.n_classes).alias(f"p{i}")
-                                             for i in range(ss.n_models)])
+    picks = item_picks(layer_of(ss, None, fused_specs(ss.models, []), (SC,)), ["item_id", "label"])
+    return picks.select("item_id", "label", *[F.col("picks")[i].alias(f"p{i}") for i in range(ss.n_models)])
 
 
 def vote_combinations(spark, sf_dir):
@@ -372,7 +372,7 @@ def tie_counts(spark, sf_dir):
 
 
 def diversity_log(spark, sf_dir):
-    out = L.diversity_log(_ss(spark, sf_dir), "CD")
+    out = L.diversity_log(_first_ss(spark, sf_dir), "CD")
     return out.select("batch_id", *[r6(m).alias(m) for m in FORD_MODELS])
 
 

@@ -18,27 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmix.model import ScoreSet
-from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs
+from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs, layer_of
 from rankmix.operators.evaluate import (accuracy, labels_long, per_class_accuracy,
-                                        performance_table, pick_frame, with_base_accuracies)
+                                        performance_table, with_base_accuracies)
+from rankmix.operators.lattice import item_picks, item_votes
 from rankmix.operators.weights import (WCP, batch_weights, strengths, validate_schemes)
 from rankmix.session import ensure_checkpoint_dir, tune_session
-from rankmix.sources.frames import materialize as materialize_set, with_batches, with_ranks
+from rankmix.sources.frames import materialize as materialize_set, with_batches
 
 
 def prepare(ss: ScoreSet, batch_size: int = 2048, schemes=(), partitions: int | None = None,
             materialize: bool = True) -> ScoreSet:
-    """Batch, rank and (when WCP is asked for) measure the base models.
-
-    With ``materialize`` the batched, ranked rows are written once, as a
-    table bucketed by ``batch_id`` in the shared checkpoint folder: every
-    later branch of a layer (first items, weights, fan-out, base accuracies)
-    reads it instead of recomputing the input, the bucketed scan keeps the
-    hash partitioning on ``batch_id`` (no further exchange of item rows), and
-    a lost executor re-reads files instead of replaying lineage.
+    """Batch and (when WCP is asked for) measure the base models.
+
+    With ``materialize`` the batched rows are written once, as a table
+    bucketed by ``batch_id`` in the shared checkpoint folder: every later
+    branch of a layer (first items, weights, outputs, base accuracies) reads
+    it instead of recomputing the input, the bucketed scan keeps the hash
+    partitioning on ``batch_id`` (no further exchange of item rows), and a
+    lost executor re-reads files instead of replaying lineage.  Average ranks
+    are made where outputs need them, beside the scores in the task.
     """
     tune_session(ss.df.sparkSession)
-    ss = with_ranks(with_batches(ss, batch_size, partitions))
+    ss = with_batches(ss, batch_size, partitions)
     if materialize:
         ensure_checkpoint_dir(ss.df.sparkSession)
         ss = materialize_set(ss, partitions)
@@ -81,21 +83,26 @@ def unsupervised_labels(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | N
     of one display name are told apart by their place, ``name#j``.
 
     Labels of the rank outputs use the best (least) rank; ``rank_pick="max"``
-    takes the largest instead.  An item's outputs are folded back into its row
-    on ``(batch_id, item_id)``: rows are clustered by ``batch_id``, so nothing
-    is shuffled.
+    takes the largest instead.  All picks of an item are made in its row.
     """
     if rank_pick not in ("min", "max"):
         raise ValueError("rank_pick is 'min' or 'max'")
     schemes = validate_schemes(schemes, supervised=False)
     specs = fused_specs(ss.models, schemes, max_size=max_size)
-    pf, layout = pick_frame(ss, batch_weights(ss, schemes), specs, kinds, keep=["batch_id", "item_id"],
-                            largest_rank=rank_pick == "max")
-    names = [f"{k}_{s.name}" for k, s in layout]
+    layer = layer_of(ss, batch_weights(ss, schemes), specs, kinds)
+    names = [f"{k}_{s.name}" for k, s in layer.layout]
     names = [n if names.count(n) == 1 else f"{n}#{j}" for j, n in enumerate(names)]
-    folded = pf.groupBy("batch_id", "item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("j", F.col("pred") + 1))).alias("m"))
-    return folded.select("item_id", *[F.try_element_at("m", F.lit(j)).alias(n) for j, n in enumerate(names)])
+    picks = item_picks(layer, ["item_id"], largest_rank=rank_pick == "max")
+    return picks.select("item_id", *[(F.col("picks")[j] + 1).alias(n) for j, n in enumerate(names)])
+
+
+def fused_votes(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | None = None) -> DataFrame:
+    """``(item_id, [label,] vote)``: majority vote over all outputs of a layer,
+    counted in the item's row."""
+    schemes = validate_schemes(schemes, ss.has_label)
+    specs = fused_specs(ss.models, schemes, max_size=max_size)
+    layer = layer_of(ss, batch_weights(ss, schemes), specs, kinds)
+    return item_votes(layer, ["item_id"] + (["label"] if ss.has_label else []))
 
 
 def class_accuracy(ss: ScoreSet, schemes, kinds=(SC, RC), max_size: int | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ Input: one row per item with ``target`` and one prediction column per model
 * rank-score characteristic (K7/K8): the whole vector min-max (or max) scaled
   and sorted best first;
 * weights (F14): AC = 1; WC-CDS = mean cognitive diversity between the
-  models' vector RSCs (aligned by rank: one shuffle on the rank); WC-KDS =
-  mean xi dissimilarity of the vector RSCs (distributed global ranks);
+  models' vector RSCs; WC-KDS = mean xi dissimilarity of the vector RSCs; both
+  from one row by position (one shuffle), each model sorted once;
 * fusion (F13): per subset and scheme the weighted mean of the vectors (SC)
   and of the ranks with inverse weights (RC); zero when no member has weight;
 * report (C5/C6): R^2 = 1 - SSE/SST and RMSE per output.
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,85 +64,131 @@ def vector_rsc(long: DataFrame, scale: str = "minmax", partitions: int | None =
     return joined.select("model", (F.col("_n") + 1 - F.col("rank")).alias("rank"), val.alias("value"))
 
 
-def cd_strengths(long: DataFrame, models, ranked: DataFrame | None = None) -> dict:
-    """Diversity strength per model from the vector RSCs (one small action)."""
-    rsc = vector_rsc(long, ranked=ranked)
+def _by_position(long: DataFrame, models, partitions: int | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """One row for every position of the RSCs: ``pos`` and for each model i its
+    value ``v{i}``, the first and last position with that value ``l{i}, h{i}``,
+    and those of the next position ``nl{i}, nh{i}`` (NULL at the end)."""
+    rsc = vector_rsc(long, partitions=partitions, ranked=ranked)
+    index = F.element_at(F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i))]), F.col("model"))
+    rsc = rsc.select(index.alias("i"), F.col("rank").alias("pos"), "value")
+    ties = rsc.groupBy("i", "value").agg(F.min("pos").alias("l"), F.max("pos").alias("h"))
+    # a NULL value (a constant model) ties with itself
+    rows = rsc.alias("r").join(ties.alias("t"), (F.col("r.i") == F.col("t.i")) & F.col("r.value").eqNullSafe(F.col("t.value")))
+    rows = rows.select("r.i", "r.value", "l", "h", F.explode(F.array(
+        F.struct(F.col("r.pos").alias("pos"), F.lit(0).alias("d")),
+        F.struct((F.col("r.pos") - 1).alias("pos"), F.lit(1).alias("d")))).alias("at")).filter("at.pos > 0")
+    aggs = []
+    for i in range(len(models)):
+        here, nxt = (F.col("i") == i) & (F.col("at.d") == 0), (F.col("i") == i) & (F.col("at.d") == 1)
+        aggs += [F.max(F.when(here, F.col("value"))).alias(f"v{i}"), F.max(F.when(here, F.col("l"))).alias(f"l{i}"),
+                 F.max(F.when(here, F.col("h"))).alias(f"h{i}"), F.max(F.when(nxt, F.col("l"))).alias(f"nl{i}"),
+                 F.max(F.when(nxt, F.col("h"))).alias(f"nh{i}")]
+    return rows.groupBy(F.col("at.pos").alias("pos")).agg(*aggs)
+
+
+def _pair_sums(rows: DataFrame, m: int, n: int) -> DataFrame:
+    """``(a, b, squares, steps)`` for ordered pairs of models.
+
+    ``squares`` is the sum of squared differences of the two curves.  ``steps``
+    is the sum of |r(t + 1) - r(t)|, where t orders the positions by A's value
+    upward (ties by position) and r ranks B's values upward (ties by t).  Both
+    curves fall with the position, so t runs through A's tie groups from the last
+    position to the first, and r has a closed form: with A's group l .. h and B's
+    group bl .. bh around a position,
+
+        r = n - bh  +  max(0, bh - h)  +  position - max(l, bl) + 1,
+
+    the smaller values, those of B's group that A puts earlier, and those of both
+    groups up to here.  Only where one of A's groups ends and the next begins do
+    the two ranks lie in different rows; they meet by the position between them.
+    """
+    def rank(pos, low, high, b_low, b_high):
+        return n - b_high + np.maximum(0, b_high - high) + pos - np.maximum(low, b_low) + 1
+
+    def run(batches):
+        squares, steps = np.zeros((m, m)), np.zeros((m, m), np.int64)
+        for batch in batches:
+            col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+            ints = {k: c.fill_null(0).to_numpy(zero_copy_only=False) for k, c in col.items() if not k.startswith("v")}
+            pos = ints["pos"]
+            values = [col[f"v{i}"].to_numpy(zero_copy_only=False) for i in range(m)]
+            more = pos < n
+            for a in range(m):
+                low, high, n_low, n_high = (ints[f"{k}{a}"] for k in ("l", "h", "nl", "nh"))
+                end = high == pos
+                alone, next_alone = end & (low == pos), n_high == pos + 1
+                near = more & (~end | (alone & next_alone))
+                ups = [(more & end & ~(alone & next_alone) & next_alone, pos, 1), (end & (low < pos) & (low > 1), low - 1, 0)]
+                downs = [(more & alone & ~next_alone, pos, 0), ((low == pos) & (high > pos) & (high < n), high, 0)]
+                for b in range(m):
+                    if a == b:
+                        continue
+                    d = values[a] - values[b]
+                    squares[a, b] += np.nansum(d * d)
+                    r0 = rank(pos, low, high, ints[f"l{b}"], ints[f"h{b}"])
+                    r1 = rank(pos + 1, n_low, n_high, ints[f"nl{b}"], ints[f"nh{b}"])
+                    steps[a, b] += np.abs(r1 - r0)[near].sum()
+                    for name, parts in (("up", ups), ("down", downs)):
+                        for on, key, nxt in parts:
+                            if on.any():
+                                k = int(np.count_nonzero(on))
+                                yield _pair_rows(a, b, k, key[on], **{name: (r1 if nxt else r0)[on]})
+        for a in range(m):
+            for b in range(m):
+                if a != b:
+                    yield _pair_rows(a, b, 1, np.zeros(1, np.int64), squares=squares[a, b:b + 1], steps=steps[a, b:b + 1])
+
+    parts = rows.mapInArrow(run, "a int, b int, key long, up long, down long, squares double, steps long")
+    met = parts.groupBy("a", "b", "key").agg(F.max("up").alias("up"), F.max("down").alias("down"),
+                                             F.sum("squares").alias("squares"), F.sum("steps").alias("steps"))
+    return met.groupBy("a", "b").agg(
+        F.sum("squares").alias("squares"),
+        (F.sum(F.coalesce(F.abs(F.col("up") - F.col("down")), F.lit(0))) + F.sum(F.coalesce("steps", F.lit(0)))).alias("steps"))
+
+
+def _pair_rows(a: int, b: int, k: int, key, up=None, down=None, squares=None, steps=None) -> pa.RecordBatch:
+    cols = [pa.array(np.full(k, a), pa.int32()), pa.array(np.full(k, b), pa.int32()), pa.array(key, pa.int64())]
+    for x, kind in ((up, pa.int64()), (down, pa.int64()), (squares, pa.float64()), (steps, pa.int64())):
+        cols.append(pa.nulls(k, kind) if x is None else pa.array(x, kind))
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "up", "down", "squares", "steps"])
+
+
+def vector_strengths(long: DataFrame, models, partitions: int | None = None,
+                     ranked: DataFrame | None = None) -> tuple[dict, dict]:
+    """Diversity strength of every model by cognitive diversity and by xi
+    (3 S / (N^2 - 1), mean over the other models as A), both from one pass over
+    the models' RSCs (X5: whole vectors); each model is sorted once.  NULL for a
+    single model, and for xi below two items."""
+    ranked = ranked if ranked is not None else vector_ranks(long, partitions)
     m = len(models)
-    wide = rsc.groupBy("rank").pivot("model", list(models)).agg(F.first("value"))
-    sq = {}
-    for a in range(m):
-        for b in range(a + 1, m):
-            d = F.col(models[a]) - F.col(models[b])
-            sq[(a, b)] = F.sum(d * d).alias(f"q{a}_{b}")
-    row = wide.agg(F.count(F.lit(1)).alias("n"), *sq.values()).first()
-    n = row["n"]
-    cd = {}
-    for (a, b) in sq:
-        v = (row[f"q{a}_{b}"] / n) ** 0.5 if row[f"q{a}_{b}"] is not None else None
-        cd[(a, b)] = cd[(b, a)] = v
-    out = {}
-    for j in range(m):
-        vals = [cd[(i, j)] for i in range(m) if i != j and cd[(i, j)] is not None]
-        out[models[j]] = sum(vals) / len(vals) if vals else None
-    return out
+    n = int(ranked.agg(F.max("rank")).first()[0] or 0)
+    constant = {r["model"] for r in ranked.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+                .filter(F.coalesce(F.col("lo") == F.col("hi"), F.lit(True))).collect()}
+    cd, xi = {j: [] for j in range(m)}, {j: [] for j in range(m)}
+    for r in _pair_sums(_by_position(long, models, partitions, ranked), m, n).collect() if m > 1 and n else []:
+        if not constant & {models[r["a"]], models[r["b"]]}:        # a constant model has no curve
+            cd[r["b"]].append((r["squares"] / n) ** 0.5)
+        if n > 1:
+            xi[r["b"]].append(3.0 * r["steps"] / (n * n - 1))
+    return tuple({models[j]: sum(v) / len(v) if v else None for j, v in out.items()} for out in (cd, xi))
 
 
 def ksi_strength_frame(long: DataFrame, models, partitions: int | None = None,
                        ranked: DataFrame | None = None) -> DataFrame:
-    """xi diversity strength per model from the vector RSCs (X5: whole vectors).
-
-    For every ordered pair (A, B): positions ordered by A's value ascending
-    (ties by position) give the sequence of B's values; its ordinal ranks
-    (ties by sequence order) r_t give S = sum |r_t+1 - r_t| and
-    xi = 3 S / (N^2 - 1).  The first order depends on A alone: M vectors are
-    ranked for it; the second, whose ties depend on the pair, is one global rank
-    over all pairs (pair id is its partition key).  The steps come from an
-    equi-join of t with t+1.  Strength of B = mean over A != B.
-    """
-    rsc = vector_rsc(long, partitions=partitions, ranked=ranked).select(
-        "model", F.col("rank").alias("pos"), "value")
-    m = len(models)
-    pairs = [(a, b) for a in range(m) for b in range(m) if a != b]
-    # ordered model pairs are metadata (M^2 rows): broadcast
-    pair_df = long.sparkSession.createDataFrame(
-        [(k, models[a], models[b]) for k, (a, b) in enumerate(pairs)], "pair int, ma string, mb string")
-    order = global_rank(rsc, "model", ["value", "pos"], "t", partitions)
-    av = order.join(F.broadcast(pair_df), order.model == pair_df.ma).select("pair", "pos", "t")
-    bv = rsc.join(F.broadcast(pair_df), rsc.model == pair_df.mb).select("pair", "pos", F.col("value").alias("bv"))
-    both = av.join(bv, on=["pair", "pos"])
-    r = global_rank(both.select("pair", "t", "bv"), "pair", ["bv", "t"], "r", partitions)
-    nxt = r.select("pair", (F.col("t") - 1).alias("t"), F.col("r").alias("r_next"))
-    steps = r.join(nxt, on=["pair", "t"]).groupBy("pair").agg(
-        F.sum(F.abs(F.col("r_next") - F.col("r"))).alias("s"))
-    sizes = rsc.groupBy("model").agg(F.max("pos").alias("n"))  # one row per model
-    xi = (steps.join(F.broadcast(pair_df), on="pair")
-          .join(F.broadcast(sizes), F.col("mb") == sizes.model)
-          .select("mb", (F.lit(3.0) * F.col("s") / (F.col("n") * F.col("n") - 1).cast("double")).alias("d")))
-    return xi.groupBy("mb").agg(F.avg("d").alias("strength")).withColumnRenamed("mb", "model")
-
-
-def ksi_strengths(long: DataFrame, models, partitions: int | None = None,
-                  ranked: DataFrame | None = None) -> dict:
-    rows = ksi_strength_frame(long, models, partitions, ranked).collect()
-    got = {r["model"]: r["strength"] for r in rows}
-    return {m: got.get(m) for m in models}
+    """``(model, strength)``: xi diversity strength over whole vectors."""
+    _, xi = vector_strengths(long, models, partitions, ranked)
+    return long.sparkSession.createDataFrame([(m, xi[m]) for m in models], "model string, strength double")
 
 
 def regression_weights(long: DataFrame, models, schemes=REGRESSION_SCHEMES,
                        ranked: DataFrame | None = None) -> dict:
     schemes = [canonical_scheme(s) for s in schemes]
-    out = {}
-    for s in schemes:
-        if s == AC:
-            out[s] = {m: 1.0 for m in models}
-        elif s == WCCDS:
-            out[s] = cd_strengths(long, models, ranked)
-        elif s == WCKDS:
-            out[s] = ksi_strengths(long, models, ranked=ranked)
-        else:
-            raise ValueError(f"scheme {s} is not available for regression (needs accuracies "
-                             f"or per-item class scores)")
-    return out
+    unknown = [s for s in schemes if s not in REGRESSION_SCHEMES]
+    if unknown:
+        raise ValueError(f"scheme {unknown[0]} is not available for regression (needs accuracies "
+                         f"or per-item class scores)")
+    cd, xi = vector_strengths(long, models, ranked=ranked) if {WCCDS, WCKDS} & set(schemes) else ({}, {})
+    return {s: {AC: dict.fromkeys(models, 1.0), WCCDS: cd, WCKDS: xi}[s] for s in schemes}
 
 
 def fuse(wide_ranked: DataFrame, models, weights: dict, kinds=("SC", "RC")) -> DataFrame:

@@ -1,8 +1,8 @@
 """Iterative expansion-reduction search over fusion layers.
 
-Round r evaluates every output of the current layer (one accuracy job),
-pools the best K score- and rank-combination outputs above their running
-thresholds, turns them into the next round's base models — the min-max
+Round r measures every output of the current layer (accuracy, validity and
+largest rank, in one job over the items), pools the best K score- and
+rank-combination outputs above their running thresholds, turns them into the next round's base models — the min-max
 scaled SC matrix, or the inverted RC matrix ``1 - (r-1)/(max r - 1)`` —
 ranks them ordinally per item, and fuses them again.  Outputs whose
 matrices contain an invalid value (constant batch, no weight) are dropped.
@@ -21,12 +21,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import ordinal_rank_desc
-from rankmix.model import FusedSpec, ScoreSet, r_col, s_col
-from rankmix.operators.combine import RC, SC, fused_matrices, fused_specs, output_frame
-from rankmix.operators.evaluate import accuracy, pick_frame, with_base_accuracies
-from rankmix.operators.vote import vote_rows
+from rankmix.model import FusedSpec, ScoreSet
+from rankmix.operators.combine import RC, SC, fused_specs, layer_of, layout_frame
+from rankmix.operators.evaluate import with_base_accuracies
+from rankmix.operators.lattice import Layer, chosen_scores, round_counts
 from rankmix.operators.weights import batch_weights, validate_schemes
+from rankmix.plans.layer import fused_votes
 from rankmix.session import ensure_checkpoint_dir
 from rankmix.sources.frames import materialize
 
@@ -37,23 +37,11 @@ MAX_ROUNDS = 15
 
 def output_validity(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> DataFrame:
     """``(kind, fusion_model, ord, valid)``: an output is invalid (F12) when any of
-    its values is NULL (no weight, NULL weight) or, for SC, some batch is
-    constant (the min-max scaling divides by zero).  One grouped pass on
-    (batch_id, j) over rows clustered by batch_id, then per output."""
-    from rankmix.operators.combine import layout_frame
-    of, layout = output_frame(ss, weights, specs, kinds, keep=["batch_id"])
-    n = ss.n_classes
-    vals = [F.col(f"v{k}") for k in range(n)]
-    any_null = F.greatest(*[F.when(v.isNull(), 1).otherwise(0) for v in vals]) if n > 1 else \
-        F.when(vals[0].isNull(), 1).otherwise(0)
-    per = of.groupBy("batch_id", "j").agg(
-        F.max(any_null).alias("nul"), F.min(F.least(*vals) if n > 1 else vals[0]).alias("lo"),
-        F.max(F.greatest(*vals) if n > 1 else vals[0]).alias("hi"),
-        F.first("kind_id").alias("kind_id"))
-    bad = (F.col("nul") == 1) | ((F.col("kind_id") == 0) & (F.col("hi") == F.col("lo")))
-    per_j = per.groupBy("j").agg(F.max(F.when(bad, 1).otherwise(0)).alias("bad"))
-    meta = layout_frame(ss.df.sparkSession, layout).select("j", "kind", "fusion_model")
-    return per_j.join(F.broadcast(meta), on="j").select(
+    its values is missing (no weight, NULL weight) or, for SC, some batch is
+    constant (the min-max scaling divides by zero)."""
+    layer = layer_of(ss, weights, specs, kinds)
+    meta = layout_frame(ss.df.sparkSession, layer.layout).select("j", "kind", "fusion_model")
+    return round_counts(layer).join(F.broadcast(meta), on="j").select(
         "kind", "fusion_model", F.col("j").alias("ord"), (F.col("bad") == 0).alias("valid"))
 
 
@@ -63,51 +51,27 @@ def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
     return {r["ord"] for r in rows}
 
 
-def _inverted(ranks, worst: float):
-    """K5: ranks as scores (a default argument would become a second lambda
-    variable, so ``worst`` comes from here)."""
-    return F.transform(ranks, lambda r: F.lit(1.0) - F.try_divide(r - 1, F.lit(worst - 1)))
-
-
-def _next_base(ss: ScoreSet, weights, chosen: list) -> ScoreSet:
-    """Materialise the chosen outputs as the next round's base models."""
-    specs = []
-    for _, spec, _ in chosen:
-        if spec not in specs:
-            specs.append(spec)
-    mats = fused_matrices(ss, weights, specs, kinds=(SC, RC), normalize=True)
-    # places in the layout of these outputs: all SC ones, then all RC ones
-    at = [specs.index(spec) + (len(specs) if kind == RC else 0) for kind, spec, _ in chosen]
-    keys = [(kind, spec.name) for kind, spec, _ in chosen]
-    mats = mats.filter(F.col("j").isin(at))
-    # inverted ranks need the max rank of each chosen RC output over all items
-    top = {}
-    if any(k == RC for k, _ in keys):
-        rows = (mats.filter(F.col("kind") == RC).groupBy("j")
-                .agg(F.max(F.array_max("values")).alias("mx")).collect())
-        top = {r["j"]: float(r["mx"]) for r in rows}
-    aggs = []
-    for i, (kind, _) in enumerate(keys):
-        sel = F.col("j") == at[i]
-        vals = F.col("values")
-        if kind == RC:
-            vals = _inverted(vals, top[at[i]])
-        aggs.append(F.first(F.when(sel, vals), ignorenulls=True).alias(s_col(i)))
-    # rows are still clustered by batch_id: grouping on (batch_id, item_id) adds no exchange
-    wide = mats.groupBy("batch_id", "item_id").agg(*aggs)
-    if ss.has_label:
-        wide = wide.join(ss.df.select("batch_id", "item_id", "label"), on=["batch_id", "item_id"])
-    wide = wide.select("item_id", "batch_id", *(["label"] if ss.has_label else []),
-                       *[s_col(i) for i in range(len(keys))],
-                       *[ordinal_rank_desc(F.col(s_col(i))).alias(r_col(i)) for i in range(len(keys))])
-    names = tuple(f"({k}_{n})" for k, n in keys)
-    nxt = replace(ss, df=wide.repartition("batch_id"), models=names, has_ranks=True,
-                  accuracies=tuple(float(a) for _, _, a in chosen))
-    # written once, bucketed by batch_id: the next round reads it without
-    # an exchange and its lineage starts here
+def _next_base(ss: ScoreSet, layer: Layer, pooled: list[dict]) -> ScoreSet:
+    """The pooled outputs as the next round's base models, written once and
+    bucketed by batch_id: the next round reads them without an exchange and its
+    lineage starts here."""
+    wide = chosen_scores(layer, [(r["j"], r["top"]) for r in pooled])
+    names = tuple(f"({r['kind']}_{r['fusion_model']})" for r in pooled)
+    nxt = replace(ss, df=wide.repartition("batch_id"), models=names, has_ranks=True, ids=None, allow_missing=True,
+                  accuracies=tuple(float(r["accuracy"]) for r in pooled))
     return materialize(nxt)
 
 
+def _measured(layer: Layer) -> list[dict]:
+    """One job over the items: every output's correct, total, validity and top."""
+    out = []
+    for r in round_counts(layer).collect():
+        kind, spec = layer.layout[r["j"]]
+        out.append(r.asDict() | {"kind": kind, "fusion_model": spec.name,
+                                 "accuracy": r["correct"] / r["total"] * 100.0 if r["total"] else None})
+    return [r for r in out if r["accuracy"] is not None]
+
+
 def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS,
            max_size: int | None = None) -> list[dict]:
     """Run the search; returns one record per round with the pooled outputs.
@@ -129,17 +93,15 @@ def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS,
     best_base = max(ss.accuracies)
     max_s = max_r = best_base
     cur = ss
-    specs = fused_specs(cur.models, schemes, max_size=max_size)
-    weights = batch_weights(cur, schemes)
-    dropped: set = set()
+    layer = layer_of(cur, batch_weights(cur, schemes), fused_specs(cur.models, schemes, max_size=max_size))
     history = []
     for rnd in range(1, max_rounds + 1):
-        acc = accuracy(cur, weights, specs).collect()
-        acc = [r for r in acc if r["ord"] not in dropped]
+        # the first layer's outputs are taken as they are, later ones only if valid
+        acc = [r for r in _measured(layer) if rnd == 1 or not r["bad"]]
 
         def top(kind, thr):
             rows = [r for r in acc if r["kind"] == kind and r["accuracy"] > thr]
-            rows.sort(key=lambda r: (-r["accuracy"], r["ord"]))
+            rows.sort(key=lambda r: (-r["accuracy"], r["j"]))
             return rows[:k]
 
         top_sc, top_rc = top(SC, max_s), top(RC, max_r)
@@ -157,11 +119,8 @@ def search(ss: ScoreSet, schemes, k: int = POOL_K, max_rounds: int = MAX_ROUNDS,
                         "sc_threshold": max_s, "rc_threshold": max_r})
         if rnd == max_rounds:
             break
-        chosen = [(r["kind"], specs[r["ord"] % len(specs)], r["accuracy"]) for r in pooled]
-        cur = _next_base(cur, weights, chosen)
-        specs = fused_specs(cur.models, schemes)
-        weights = batch_weights(cur, schemes)
-        dropped = invalid_outputs(cur, weights, specs)
+        cur = _next_base(cur, layer, pooled)
+        layer = layer_of(cur, batch_weights(cur, schemes), fused_specs(cur.models, schemes))
     return history
 
 
@@ -186,11 +145,7 @@ def select_outputs(ss: ScoreSet, schemes, method: str = "ER-Algorithm", **option
     if method == "ER-Algorithm":
         return search(ss, schemes, **options)
     if method == "Majority Vote":
-        schemes = validate_schemes(schemes, ss.has_label)
-        specs = fused_specs(ss.models, schemes, max_size=options.get("max_size"))
-        keep = ["batch_id", "item_id"] + (["label"] if ss.has_label else [])
-        rows, _ = pick_frame(ss, batch_weights(ss, schemes), specs, (SC, RC), keep=keep)
-        return vote_rows(rows, ss.n_classes)
+        return fused_votes(ss, schemes, max_size=options.get("max_size"))
     raise ValueError("method is 'ER-Algorithm' or 'Majority Vote'")
 
 

@@ -81,7 +81,7 @@ def ford_wide(spark: SparkSession, sf_dir: str) -> ScoreSet:
             F.col("f").alias(f"f{i}"), F.col("shares").alias(s_col(i))))
         df = df.join(lookup, on=f"f{i}", how="inner")
     df = df.select("item_id", "label", *[s_col(i) for i in range(len(FORD_MODELS))])
-    return ScoreSet(df=df, models=FORD_MODELS, n_classes=FORD_CLASSES)
+    return ScoreSet(df=df, models=FORD_MODELS, n_classes=FORD_CLASSES, ids=items.select("item_id"))
 
 
 def freg_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,14 @@ def with_batches(ss: ScoreSet, batch_size: int, partitions: int | None = None) -
     return ss.with_df(df, batch_size=batch_size)
 
 
+def with_batch_ids(ss: ScoreSet, batch_size: int) -> ScoreSet:
+    """``with_batches`` without clustering the rows: enough for what needs the
+    first items of batches only."""
+    if ss.batch_size == batch_size:
+        return ss
+    return ss.with_df(ss.df.withColumn("batch_id", F.floor(F.col("item_id") / F.lit(batch_size))), batch_size=batch_size)
+
+
 def with_ranks(ss: ScoreSet) -> ScoreSet:
     """Average ranks (1 = best, ties averaged) next to every score array."""
     if ss.has_ranks:
