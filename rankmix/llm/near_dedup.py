@@ -46,6 +46,8 @@ MAX_SYMBOLS = 50
 MISSED = 1e-5
 BINS = 256
 CHUNK_BYTES = 1 << 20
+TILE = 1024
+PAIRS = 1 << 20
 PERCENT = 85
 ROW_KEY = "__near_key"
 BROADCAST_IDS = 1_000_000      # ids of at most 16 bytes: 16 MB
@@ -212,34 +214,117 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
 
 
 def _bins(sets: DataFrame) -> DataFrame:
-    """``(id, bins)``: a document's shingles counted by hash in BINS bins (null
-    where a count passes what its type holds)."""
+    """``(id, bins)``: a document's shingles counted by hash in BINS bins, as
+    16-bit numbers (empty where a count passes what they hold)."""
     def count(batches):
         for b in batches:
             rows = []
             for s in b.column(1):
                 n = np.bincount((np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(BINS)).astype(np.int64),
                                 minlength=BINS)
-                rows.append(n.astype(np.int16) if n.max() < 1 << 15 else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int16()))], names=["id", "bins"])
+                rows.append(n.astype(np.int16).tobytes() if n.max() < 1 << 15 else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "bins"])
 
     kind = sets.schema["id"].dataType.simpleString()
-    return sets.select("id", "s").mapInArrow(count, f"id {kind}, bins array<smallint>")
-
-
-def _bins_meet(percent: int) -> Column:
-    """Whether the bins allow the similarity: two sets share at most the lesser
-    count of every bin.  Edits of one text mostly fall in other bins than those
-    of the other, so the bound is close to the true intersection."""
-    most = F.aggregate(F.zip_with("binsa", "binsb", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda s, x: s + x)
-    return F.coalesce(100 * most >= percent * (F.col("na") + F.col("nb") - most), F.lit(True))
+    return sets.select("id", "s").mapInArrow(count, f"id {kind}, bins binary")
+
+
+def _tiles(named: DataFrame) -> DataFrame:
+    """Rows of mixed buckets dealt into tiles of pairs: a bucket of more than
+    TILE members is cut into T parts by the ids' hashes, and each member goes to
+    the T tiles that pair its part with another or itself.  So no task gets more
+    than two parts of a bucket at once, however large it is."""
+    large = named.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > TILE)
+    parts = F.coalesce(F.ceil(F.col("m") / TILE), F.lit(1)).cast("int")
+    rows = named.join(large, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+
+
+def _groups(batches, columns: int):
+    """Record batches that hold whole tiles, from rows that come by tile; the
+    squares of their sizes add up to about PAIRS at most."""
+    held, last = [], None
+    for b in batches:
+        if not len(b):
+            continue
+        tile = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        new = np.zeros(len(b), bool)
+        new[0] = last is None or any(t[0] != x for t, x in zip(tile, last))
+        for t in tile:
+            new[1:] |= t[1:] != t[:-1]
+        cuts, last = np.flatnonzero(new), [t[-1] for t in tile]
+        if not len(cuts):
+            held.append(b)
+            continue
+        before = held + ([b.slice(0, int(cuts[0]))] if cuts[0] else [])
+        if before:
+            yield pa.Table.from_batches(before).combine_chunks().to_batches()[0]
+        sizes = np.diff(cuts)
+        for x, y in slices(sizes * sizes, PAIRS):
+            yield b.slice(int(cuts[x]), int(cuts[y] - cuts[x]))
+        held = [b.slice(int(cuts[-1]))]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _pairs_by_tile(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows within consecutive groups of these sizes."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(len(ends))
+    more = ends - at - 1
+    a = np.repeat(at, more)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(more) - more, more)
+
+
+def _cross_pairs(named: DataFrame, shape: Shape, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one bucket and different components that
+    nothing rules out: sizes, shared shingles ``u`` (the intersection has at most
+    ``least(u)``), signatures (at most ``shape.far`` symbols differ) and bins (two
+    sets share at most the lesser count of every bin) leave room for the
+    similarity.  Each is made once, at the first key that both have; those with a
+    bucket's first member were held against it before."""
+    def test(b):
+        key, lo, hi, k, n, u, part = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 3, 5, 7, 10))
+        component = b.column(6).dictionary_encode().indices.to_numpy()
+        first = np.asarray(b.column(11).to_numpy(zero_copy_only=False), bool)
+        edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+        x, y = _pairs_by_tile(np.diff(np.concatenate([[0], edge, [len(b)]])))
+        most = np.minimum(u[x], u[y])
+        on = ((component[x] != component[y]) & ~first[x] & ~first[y] & ((lo[x] == hi[x]) | (part[x] != part[y]))
+              & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+              & (100 * most >= percent * (n[x] + n[y] - most)))
+        x, y = x[on], y[on]
+        sig = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint16).reshape(-1, shape.symbols)
+        out = []
+        for at in range(0, len(x), 1 << 16):
+            i, j = x[at:at + (1 << 16)], y[at:at + (1 << 16)]
+            differ = sig[i] != sig[j]
+            near = np.count_nonzero(differ, axis=1) <= shape.far
+            i, j, differ = i[near], j[near], differ[near].reshape(-1, shape.chunks, shape.chunk)
+            wrong, each = np.count_nonzero(differ, axis=2), np.arange(len(i))
+            c = np.argmax(wrong <= 1, axis=1)              # they share a key here, so some chunk has it
+            v = np.where(wrong[each, c] == 0, 0, np.argmax(differ[each, c], axis=1))
+            mine = c * shape.chunk + v == k[i]
+            out.append((i[mine], j[mine]))
+        if out:
+            x, y = (np.concatenate(z) for z in zip(*out))
+        raw, keep = b.column(9), np.ones(len(x), bool)
+        for p, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+            s, t = raw[i].as_buffer(), raw[j].as_buffer()
+            if s.size and t.size:
+                most = int(np.minimum(np.frombuffer(s, np.int16), np.frombuffer(t, np.int16)).sum(dtype=np.int64))
+                keep[p] = 100 * most >= percent * (n[i] + n[j] - most)
+        return x[keep], y[keep]
 
+    def run(batches):
+        for b in _groups(batches, 3):
+            x, y = test(b)
+            yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(x)), b.column(4).take(pa.array(y))], names=["a", "b"])
 
-def _room_left(percent: int) -> Column:
-    """Whether a pair's sizes and its shared shingles ``u`` allow the
-    similarity: the intersection has at most ``least(u)`` shingles."""
-    most = F.least("ua", "ub")
-    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    kind = named.schema["id"].dataType.simpleString()
+    rows = _tiles(named).select("key", "lo", "hi", "k", "id", "n", "c", "u", "sig", "bins", "part", "first")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -351,22 +436,16 @@ def _grouped(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     found = components(links)
 
     # buckets in which components meet: pairs between them, but those held against each other above
-    named = members.join(found, "id", "left").select("key", "k", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = members.join(found, "id", "left").select(
+        "key", "k", "id", "n", F.coalesce("component", "id").alias("c"), (F.col("id") == F.col("first.id")).alias("first"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
     named = written(named.join(written(mixed, "near-buckets"), "key"), "near-mixed")
     sets = written(_sets_of(written(named.select("id").distinct(), "near-ids"), texts), "near-sets")
-    own, bins = _own_shingles(sets), written(_bins(sets), "near-bins")
-    able = (reps.select("id", "n", _key_array(shape).alias("keys")).join(own, "id", "left").join(bins, "id")
-            .withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).filter(100 * F.col("u") >= percent * F.col("n")))
-    named = written(named.join(able.select("id", "u", "keys", "bins"), "id"), "near-able")
-    x, y = (named.select("key", "k", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "u", "keys", "bins")])
-            for s in "ab")
-    first_shared = F.array_position(F.zip_with("keysa", "keysb", lambda p, q: p == q), True) == x["k"] + 1
-    rest = (x.join(y.drop("k"), "key").filter(
-        (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
-        & _sizes_fit(F.col("na"), F.col("nb"), percent) & _room_left(percent) & first_shared & _bins_meet(percent))
-        .select(F.col("ida").alias("a"), F.col("idb").alias("b")))
-    rest = written(_near_enough(rest.join(star, ["a", "b"], "left_anti"), reps, shape), "near-rest")
+    own, bins = _own_shingles(sets), _bins(sets)
+    able = (reps.join(own, "id", "left").join(bins, "id").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0)))
+            .filter(100 * F.col("u") >= percent * F.col("n")))
+    named = written(named.join(able.select("id", "u", "sig", "bins"), "id"), "near-able")
+    rest = written(_cross_pairs(named, shape, percent), "near-rest")
     more = written(confirmed(rest, texts, percent), "near-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
