@@ -76,41 +76,60 @@ class WaveletTree:
         return out
 
     def rank(self, symbols: np.ndarray, i: np.ndarray) -> np.ndarray:
-        c, i = self.place[symbols], i.astype(np.int64)
-        out, of = np.empty(len(i), np.int64), np.arange(len(i))
+        return self.ranks(symbols, i, i)[0]
+
+    def ranks(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols' ranks at two places each."""
+        c, at = self.place[symbols], np.stack([low, high]).astype(np.int64)
+        out, of = np.empty_like(at), np.arange(len(c))
         for level, (vector, start, ones_before, bit) in enumerate(self.levels):
             more = self.bits[c] > level
             if not more.all():
-                out[of[~more]] = i[~more]
-                c, i, of = c[more], i[more], of[more]
+                done = ~more
+                out[:, of[done]] = at[:, done]
+                c, at, of = c[more], at[:, more], of[more]
             if not len(c):
-                return out
-            ones = vector.rank(start[c] + i) - ones_before[c]
-            i = np.where(bit[c], ones, i - ones)
-        out[of] = i
-        return out
+                return out[0], out[1]
+            ones = vector.rank(at + start[c]) - ones_before[c]
+            at = np.where(bit[c], ones, at - ones)
+        out[:, of] = at
+        return out[0], out[1]
 
     def size_in_bits(self) -> int:
         return sum(64 * len(v.words) for v, *_ in self.levels)
 
 
+def _after(values: np.ndarray, k: int) -> np.ndarray:
+    """What stands k places further on, plus 1; 0 beyond the end."""
+    out = np.zeros(len(values), np.int64)
+    out[:max(len(values) - k, 0)] = values[k:] + 1
+    return out
+
+
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys and their ranks from 0, equal ones alike."""
+    order = np.argsort(key)
+    ranks = np.empty(len(key), np.int64)
+    ranks[order] = np.cumsum(np.concatenate([[False], np.diff(key[order]) != 0]))
+    return order, ranks
+
+
 def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffix array of a text whose equal suffixes end within ``depth`` symbols
-    (prefix doubling), and the ranks by first 1, 2, 4 ... symbols."""
-    n, k, by_depth = len(text), 1, {}
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    """Suffix array of a text of symbols below its length whose equal suffixes
+    end within ``depth`` symbols, and the ranks by the first 1, 3, 6, 12 ...
+    symbols (the first three in one sort while they fit 63 bits, then doubling)."""
+    n = len(text)
+    by_depth, k, key = {1: text}, 3, None
+    if (n + 1) ** 3 < 1 << 63:
+        key = (text * (n + 1) + _after(text, 1)) * (n + 1) + _after(text, 2)
+    else:
+        k, key = 2, text * (n + 1) + _after(text, 1)
     while True:
+        order, rank = _dense(key)
         by_depth[k] = rank
-        nxt = np.zeros(n, np.int64)
-        nxt[:-k or None] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[False], np.diff(key[order]) != 0]))
-        rank, k = new, 2 * k
         if k >= depth or rank[order[-1]] == n - 1:
-            by_depth[k] = rank
             return order, by_depth
+        key, k = rank * (n + 1) + _after(rank, k), 2 * k
 
 
 class FMIndex:
@@ -146,6 +165,8 @@ class FMIndex:
         if depth == 0:
             return np.zeros(n, np.int64), np.full(n, n)
         k = max(x for x in ranks if x <= depth)
+        if 2 * k < depth:          # the ranks end early where all suffixes differ
+            return np.arange(n), np.arange(1, n + 1)
         head = ranks[k][order]
         tail = ranks[k][np.minimum(order + depth - k, n - 1)]
         new = np.ones(n, bool)
@@ -157,7 +178,8 @@ class FMIndex:
     def step(self, symbols, low, high):
         """Ranges of the matches with one more symbol on their left."""
         c = symbols + 1
-        return self.smaller[c] + self.tree.rank(c, low), self.smaller[c] + self.tree.rank(c, high)
+        low, high = self.tree.ranks(c, low, high)
+        return self.smaller[c] + low, self.smaller[c] + high
 
     def windows(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range of the suffix array for every window of these passages, in

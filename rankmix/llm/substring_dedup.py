@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.llm.common import removed, slices, string_buffers, written
+from rankmix.llm.common import removed, session_setting, slices, string_buffers, written
 from rankmix.llm.fm_index import FMIndex
 from rankmix.llm.pretoken import mix64
 from rankmix.llm.words import IS_SPACE, word_hashes, word_spans
@@ -343,8 +343,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     seeds = written(_seeds(rows, window), "substring-seeds")
     shared = seeds.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed")
-    lists = written(seeds.join(shared, "seed", "left_semi").groupBy("id", "th").agg(
-        F.collect_set(F.struct("start", "n", "seed")).alias("list")), "substring-lists")
+    # no sort of the seeds where a shuffled part of the shared ones is seen to be small
+    with session_setting(rows.sparkSession, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"):
+        lists = written(seeds.join(shared, "seed", "left_semi").groupBy("id", "th").agg(
+            F.collect_set(F.struct("start", "n", "seed")).alias("list")), "substring-lists")
     removed(seeds)
     passages = written(_extract(rows.join(lists, ["id", "th"]).select("id", "th", "text", "list"), window), "substring-passages")
     removed(lists)
