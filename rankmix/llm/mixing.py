@@ -14,9 +14,9 @@ up, and documents are only sorted within their bucket.  A source that holds a
 third of all rows is spread like any other.  Budgets are integers throughout.
 
 Nulls: a null text has no tokens, a null language or source is a leaf value
-'none', a null id orders by the word null.  Documents without tokens of a leaf
-with a target are part of its epochs.  Repeated rows count each.  An empty
-table gives no rows; other columns are ignored, whatever their names.
+'none', a null id orders by the word null and the text's hash.  Documents without
+tokens of a leaf with a target are part of its epochs.  Repeated rows count each.
+An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,19 +94,19 @@ def leaf_targets(docs: DataFrame, budget: Column, weights: dict[str, dict[str, i
                     (F.col("alloc") % F.greatest("supply", F.lit(1).cast("long"))).alias("rest"))
 
 
-def mix(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int = 2,
-        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        source_col: str = "source", domain_of=numbered_domain, tokens_of=byte_tokens) -> DataFrame:
-    """``(doc_id, domain, lang, source, n_tokens, copies)`` of the chosen
-    documents: ``copies`` epochs of each.  The budget is ``budget_percent`` of
-    the corpus in tokens."""
+def _chosen(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int, seed: int,
+            id_col: str, text_col: str, lang_col: str, source_col: str, domain_of, tokens_of) -> DataFrame:
+    """``(id, th, domain, lang, source, tokens, copies)``, a row for each chosen
+    row; ``th`` is the text's hash."""
     none = F.lit("none")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), none).alias("lang"),
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
+                       F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("order_text"),
+                       F.coalesce(F.col(lang_col), none).alias("lang"),
                        F.coalesce(F.col(source_col), none).alias("source"), tokens_of(F.col(text_col)).alias("tokens"))
     rows = rows.withColumn("domain", domain_of(F.col("source")))
     targets = leaf_targets(rows, F.expr(f"(total * {int(budget_percent)}) div 100"), weights, max_epochs)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("epochs") + 1).cast("string"),
-                            F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+                            F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null"), "order_text"))))
     keyed = rows.join(targets.filter("target > 0"), list(LEAF)).withColumn("key", key)
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = keyed.groupBy(*LEAF, "bucket").agg(F.sum("tokens").alias("held"))
@@ -116,16 +116,40 @@ def mix(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]]
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = keyed.join(sums, [*LEAF, "bucket"]).withColumn("upto", F.col("ahead") + F.sum("tokens").over(run))
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("upto") <= F.col("rest")), 1).otherwise(0)
-    return placed.select(F.col("id").alias(id_col), *LEAF, F.col("tokens").alias("n_tokens"),
-                         copies.cast("long").alias("copies")).filter("copies > 0")
+    return placed.select("id", "th", *LEAF, "tokens", copies.cast("long").alias("copies")).filter("copies > 0")
+
+
+def mix(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int = 2,
+        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        source_col: str = "source", domain_of=numbered_domain, tokens_of=byte_tokens) -> DataFrame:
+    """``(doc_id, domain, lang, source, n_tokens, copies)`` of the chosen
+    documents: ``copies`` epochs of each.  The budget is ``budget_percent`` of
+    the corpus in tokens."""
+    rows = _chosen(docs, budget_percent, weights, max_epochs, seed, id_col, text_col, lang_col, source_col, domain_of, tokens_of)
+    return rows.select(F.col("id").alias(id_col), *LEAF, F.col("tokens").alias("n_tokens"), "copies")
 
 
 def mixed_documents(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int = 2,
-                    seed: int = 42, id_col: str = "doc_id", **names) -> DataFrame:
+                    seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    source_col: str = "source", domain_of=numbered_domain, tokens_of=byte_tokens) -> DataFrame:
     """The mixture itself: rows of ``docs`` with all their columns, one for
-    each epoch that holds the document (rows of one id share the largest)."""
-    chosen = mix(docs, budget_percent, weights, max_epochs, seed, id_col, **names)
-    chosen = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    both = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__id"]))
-    return both.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(
-        *[docs[c] for c in docs.columns])
+    each epoch that holds the document.
+
+    Rows are found again by id, text, language and source, so rows without an id
+    and rows of one id are told apart.  Rows alike in all four are one document:
+    it comes as often as they were chosen together, by one of them."""
+    rows = _chosen(docs, budget_percent, weights, max_epochs, seed, id_col, text_col, lang_col, source_col, domain_of, tokens_of)
+    chosen = rows.groupBy("id", "th", "lang", "source").agg(F.sum("copies").alias("times")).select(
+        F.struct("id", "th", "lang", "source").alias("__row"), F.col("times").alias("__times"))
+    none = F.lit("none")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
+                   F.coalesce(F.col(lang_col), none).alias("lang"), F.coalesce(F.col(source_col), none).alias("source"))
+    named = docs.withColumn("__row", key)
+    # rows that repeat are few or none: only they are brought together
+    repeated = named.groupBy("__row").count().filter("count > 1").select("__row")
+    same = lambda a, b: a["__row"].eqNullSafe(b["__row"])
+    single = named.join(repeated, same(named, repeated), "left_anti")
+    one = named.join(repeated, same(named, repeated), "left_semi").dropDuplicates(["__row"])
+    rows = single.unionByName(one)
+    both = rows.join(chosen, same(rows, chosen)).select(*[rows[c] for c in rows.columns if c != "__row"], "__times")
+    return both.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__epoch", "__times")

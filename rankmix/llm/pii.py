@@ -63,7 +63,7 @@ TRIGGERS = {
 }
 SCORES = {EMAIL: 0.9, IP: 0.6, CARD: 0.8, PHONE: 0.6, IBAN: 0.9}
 BOOST, CONTEXT = 0.1, 40
-# Words that speak for a kind, or against it, in the characters before a span.
+# Words that speak for a kind, or against it, in the characters before or behind a span.
 FOR = {
     EMAIL: r"(?i)\b(?:e-?mail|mail|contact|write)\b",
     IP: r"(?i)\b(?:ip|server|host|address|login|client)\b",
@@ -111,28 +111,48 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(False)
 
 
+def _after(pairs: Column, rest: Column) -> Column:
+    """For every match the CONTEXT characters behind it, found from the text's
+    end backward; ``rest`` is what follows the last match."""
+    start = F.struct(F.left(rest, F.lit(CONTEXT)).alias("near"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        near = F.left(F.concat(x["gap_head"], F.left(x["match"], F.lit(CONTEXT)), acc["near"]), F.lit(CONTEXT))
+        return F.struct(near.alias("near"), F.concat(acc["out"], F.array(acc["near"])).alias("out"))
+
+    return F.reverse(F.aggregate(F.reverse(pairs), start, step, lambda acc: acc["out"]))
+
+
 def found(text: Column, kind: str) -> Column:
-    """``array<struct<start, kind_no, end, score>>`` of one kind's spans."""
+    """``array<struct<start, kind_no, end, score>>`` of one kind's spans.  The
+    words that adjust the score are those in the CONTEXT characters before and
+    in those behind the span, other spans' included."""
     pattern = F.lit(PATTERNS[kind])
     gaps = F.split(text, PATTERNS[kind], -1)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(
-        F.char_length(g).alias("gap"), F.char_length(m).alias("len"), confirmed(kind, m).alias("ok"),
-        F.right(g, F.lit(CONTEXT)).alias("near")))
+        F.char_length(g).alias("gap"), m.alias("match"), F.left(g, F.lit(CONTEXT)).alias("gap_head"),
+        F.right(g, F.lit(CONTEXT)).alias("gap_tail"), confirmed(kind, m).alias("ok")))
+    pairs = F.zip_with(pairs, _after(pairs, F.element_at(gaps, -1)), lambda x, after: F.struct(
+        x["gap"].alias("gap"), x["match"].alias("match"), x["gap_tail"].alias("gap_tail"), x["ok"].alias("ok"), after.alias("after")))
     span_type = "array<struct<start:int,kind_no:int,end:int,score:double>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(span_type).alias("spans"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("near"), F.array().cast(span_type).alias("spans"))
 
-    def score(near):
-        s = F.lit(SCORES[kind]) + F.when(near.rlike(FOR[kind]), BOOST).otherwise(0.0)
+    def score(before, after):
+        says = lambda words: before.rlike(words) | after.rlike(words)
+        s = F.lit(SCORES[kind]) + F.when(says(FOR[kind]), BOOST).otherwise(0.0)
         if kind in AGAINST:
-            s = s - F.when(near.rlike(AGAINST[kind]), 2 * BOOST).otherwise(0.0)
+            s = s - F.when(says(AGAINST[kind]), 2 * BOOST).otherwise(0.0)
         return F.round(s, 3)
 
     def step(acc, x):
         at = acc["pos"] + x["gap"]
-        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"),
-                        (at + x["len"]).alias("end"), score(x["near"]).alias("score"))
-        return F.struct((at + x["len"]).alias("pos"),
+        end = at + F.char_length(x["match"])
+        before = F.right(F.concat(acc["near"], x["gap_tail"]), F.lit(CONTEXT))
+        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"),
+                        score(before, x["after"]).alias("score"))
+        return F.struct(end.alias("pos"),
+                        F.right(F.concat(before, F.right(x["match"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("near"),
                         F.when(x["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
@@ -156,7 +176,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts by base kind, the base spans' hash, all spans and, in their order,
+    the spans' scores in percent."""
     rows = pii_spans(docs, id_col, text_col)
     return rows.select(id_col, "n_email", "n_ip", "n_card", "n_phone",
                        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-                       _joined(F.col("found")).alias("spans"))
+                       _joined(F.col("found")).alias("spans"),
+                       F.array_join(F.transform("found", lambda s: F.round(100 * s["score"]).cast("int").cast("string")), ",").alias(
+                           "scores"))

@@ -175,3 +175,46 @@ def test_mixing_zero_weight_and_seed(spark):
     assert {r.source for r in only} == {"src0"}
     a, b = ({r.doc_id for r in mixing.mix(frame, 30, {}, seed=s).collect()} for s in (1, 2))
     assert a != b and len(a) == len(b)
+
+
+def test_mixing_holds_budgets_without_ids_and_with_repeated_ones(spark):
+    """A hundred rows without an id, equal texts or not; ten ids ten times each."""
+    text = lambda i: f"{i:04d}" + "x" * 36
+    for rows in ([(None, text(0), "en", "src0", 0)] * 100, [(None, text(i), "en", "src0", 0) for i in range(100)],
+                 [(i % 10, text(i), "en", "src0", 0) for i in range(100)], [(i % 10, text(0), "en", "src0", 0) for i in range(100)],
+                 [(1, text(0), "en", "src0", 0), (1, text(1), "en", "src0", 0), (1, text(0), "de", "src0", 0)] * 20):
+        frame = make(spark, rows)
+        chosen = mixing.mix(frame, 50, {}, max_epochs=2)
+        n = sum(r.copies for r in chosen.collect())
+        got = mixing.mixed_documents(frame, 50, {}, max_epochs=2).collect()
+        assert 0 < len(got) == n and 10 * n <= _supply(rows) / 2
+        assert {(r.doc_id, r.text, r.lang) for r in got} <= {x[:3] for x in rows}
+
+
+def test_pii_scores_read_both_sides(spark):
+    texts = ["call 555 +49 30 1234567 or +49 30 7654321", "+49 30 1234567 is my phone", "+49 30 1234567, " + "x" * 40 + " phone",
+             "see version 10.0.0.1 and 10.0.0.2", "10.0.0.1 10.0.0.2 10.0.0.3 10.0.0.4 10.0.0.5 10.0.0.6 server"]
+    rows = pii.pii_digest(make(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()
+    got = {r.doc_id: r.scores for r in rows}
+    assert got == {0: "70,70", 1: "70", 2: "60", 3: "40,40", 4: "60,60,70,70,70,70"}
+
+
+def test_pii_reference_sql_agrees(spark, awkward_rows):
+    """The query's SQL on the texts of the tests above: IBANs beside words,
+    context on both sides, awkward rows."""
+    import duckdb
+
+    from rankmix.llm import oracle
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947",
+             "DE89370400440532013000"]
+    texts = [f"{b}{i}{a}" for i in ibans for b in ("", "IBAN ", "to XY99 1234 ", "REF AB12 ") for a in (" BIC", " 500", ", bank", " XK12 1234")]
+    texts += ["call 555 +49 30 1234567 or +49 30 7654321", "10.0.0.1 10.0.0.2 10.0.0.3 10.0.0.4 server", "a@b.de 4111 1111 1111 1111 visa"]
+    texts += [t for _, t, *_ in awkward_rows if t and len(t) < 1000]
+    rows = [(k, t, "de", "s", 0) for k, t in enumerate(texts)]
+    got = pii.pii_digest(make(spark, rows)).toPandas()
+    con = duckdb.connect()
+    con.execute("create table x (doc_id bigint, text varchar)")
+    con.executemany("insert into x values (?, ?)", [r[:2] for r in rows])
+    want = con.execute(oracle.op10("x")).df()[list(got.columns)]
+    assert got.sort_values("doc_id").values.tolist() == want.sort_values("doc_id").values.tolist()
+    assert (want.spans != "").sum() > 60
