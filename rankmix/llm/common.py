@@ -32,16 +32,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand texts to Python workers in smaller batches than Spark's default,
-    which bounds their memory; a caller's own setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 @contextmanager
@@ -61,10 +54,12 @@ def session_setting(spark: SparkSession, key: str, value: str):
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared checkpoint folder and read
     it back, so later stages re-read files after a lost executor.  The write's
-    shuffle files, which nothing reads again, go when it ends."""
+    shuffle files, which nothing reads again, go when it ends; texts reach Python
+    workers in batches of BATCH_ROWS at most, which bounds their memory."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark, 'rankmix_llm')}/{name}-{uuid.uuid4().hex[:12]}"
-    with session_setting(spark, _CLEANUP, "true"):
+    rows = int(spark.conf.get(_BATCH))
+    with session_setting(spark, _CLEANUP, "true"), session_setting(spark, _BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path

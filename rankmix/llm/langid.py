@@ -239,22 +239,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``carry`` the columns of ``docs`` follow, prefixed by nothing."""
     samples = docs.sparkSession.sparkContext.broadcast(tuple(language_samples(docs, id_col, text_col, lang_col)))
     fields = docs.schema.fields if carry else [docs.schema[id_col]]
-    rows = docs.select(F.col(text_col).alias("__text"), held_out(id_col).alias("__held_out"),
-                       *[F.col(f"`{f.name}`") for f in fields])
+    columns = [f"`{f.name}`" for f in fields] + ([] if carry else [f"`{text_col}`"])
+    text_at = 1 + (docs.columns.index(text_col) if carry else len(fields))
+    rows = docs.select(held_out(id_col).alias("__held_out"), *[F.col(c) for c in columns])
     names = ["__held_out", "__lang_pred", "__score", "__cost", *[f.name for f in fields]]
 
     def run(batches):
         known = samples.value
         langs = [lang for lang, _ in known]
         for b in batches:
-            raw, off = string_buffers(b.column(0))
-            parts = [predict(known, raw[off[a]:off[z]], off[a:z + 1] - off[a])
-                     for a, z in slices(np.diff(off), CHUNK_BYTES)]
-            best, score, cost = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(3))
-            pred = [langs[int(i)] if i >= 0 else "und" for i in best]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64()),
-                 *b.columns[2:]], names=names)
+            raw, off = string_buffers(b.column(text_at))
+            for a, z in slices(np.diff(off), CHUNK_BYTES):
+                best, score, cost = predict(known, raw[off[a]:off[z]], off[a:z + 1] - off[a])
+                pred = [langs[int(i)] if i >= 0 else "und" for i in best]
+                part = b.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64()),
+                     *part.columns[1:1 + len(fields)]], names=names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return rows.mapInArrow(run, f"__held_out boolean, __lang_pred string, __score double, __cost double, {kinds}")

@@ -31,6 +31,7 @@ from rankmix.llm.common import written
 
 CAPACITY = 1024
 GROUP_SIZE = 20_000
+TEXTS = 512             # encoded at once
 
 
 # ------------------------------------------------------------- one group
@@ -195,24 +196,20 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` of every document."""
     def run(batches):
         tok = pretoken.load(path)
-        for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0)
-            where, rows = [], []
-            payload = []
-            for a in range(0, len(texts), 512):
-                ids, n = tok.encode(texts[a:a + 512])
-                pos = 0
-                for k, m in enumerate(n.tolist(), a):
-                    own = np.append(ids[pos:pos + m], np.uint32(end_id)).astype("<u4")
-                    pos += m
-                    for p, (s, ln) in enumerate(cut(m + 1, capacity)):
-                        raw = own[s:s + ln].tobytes()
-                        where.append(k)
-                        rows.append((p, s, ln, zlib.crc32(raw)))
-                        if with_ids:
-                            payload.append(raw)
+        for b in (b.slice(a, TEXTS) for b in batches for a in range(0, len(b), TEXTS)):
+            ids, n = tok.encode(b.column(1).to_pylist())
+            where, rows, payload, pos = [], [], [], 0
+            for k, m in enumerate(n.tolist()):
+                own = np.append(ids[pos:pos + m], np.uint32(end_id)).astype("<u4")
+                pos += m
+                for p, (s, ln) in enumerate(cut(m + 1, capacity)):
+                    raw = own[s:s + ln].tobytes()
+                    where.append(k)
+                    rows.append((p, s, ln, zlib.crc32(raw)))
+                    if with_ids:
+                        payload.append(raw)
             cols = list(zip(*rows)) or [(), (), (), ()]
-            out = [keys.take(pa.array(where, pa.int64())), pa.array(cols[0], pa.int32()),
+            out = [b.column(0).take(pa.array(where, pa.int64())), pa.array(cols[0], pa.int32()),
                    *[pa.array(c, pa.int64()) for c in cols[1:]]]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
             if with_ids:

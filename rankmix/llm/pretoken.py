@@ -137,7 +137,7 @@ class HashIndex:
 class PieceIds:
     """Bounded cache: hash of a pre-token -> its ids."""
 
-    def __init__(self, max_entries: int = 1 << 21):
+    def __init__(self, max_entries: int = 1 << 20):
         self.max_entries = max_entries
         self.reset()
 
@@ -233,7 +233,7 @@ class CachedTokenizer:
     """``encode(texts) -> (ids, lengths)`` equal to the library's
     ``encode(text, add_special_tokens=False)`` of every text."""
 
-    def __init__(self, path: str, max_entries: int = 1 << 21):
+    def __init__(self, path: str, max_entries: int = 1 << 20):
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
