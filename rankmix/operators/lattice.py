@@ -382,9 +382,10 @@ def chosen_scores(layer: Layer, chosen: list[tuple[int, float | None]]) -> DataF
                 values = 1.0 - (values - 1.0) / (top - 1.0) if top != 1 else np.full(values.shape, np.nan)
             new.append(values)
         names = items.batch.schema.names
+        # equal values that differ in their last bits tie, as picks have it
         yield pa.RecordBatch.from_arrays(
             [items.batch.column(names.index(k)) for k in keep] + [_list_column(v) for v in new]
-            + [_list_column(ordinal_ranks(v)) for v in new],
+            + [_list_column(ordinal_ranks(np.round(v, 9))) for v in new],
             names=[*keep, *[s_col(i) for i in range(n)], *[r_col(i) for i in range(n)]])
 
     return whole_batches(layer, keep, per_batch, schema)

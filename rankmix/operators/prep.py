@@ -111,5 +111,7 @@ def suffix_or_member(df: DataFrame, col: str, suffix: str, members: list) -> Dat
     return df.filter(F.col(col).endswith(suffix) | F.col(col).isin(members))
 
 
-def split_by_value(df: DataFrame, col: str, value) -> DataFrame:
-    return df.filter(F.col(col) == F.lit(value))
+def split_by_value(df: DataFrame, col: str, value) -> tuple[DataFrame, DataFrame]:
+    """The rows with that value and all others (NULL among them)."""
+    same = F.col(col).eqNullSafe(F.lit(value))
+    return df.filter(same), df.filter(~same)

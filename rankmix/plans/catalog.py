@@ -7,6 +7,8 @@ emitted doubles the way ``rankmix.plans.oracle`` does.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from rankmix.operators.lattice import item_picks
 from rankmix.operators.weights import batch_weights, pairwise, strengths, weights_long
 from rankmix.plans import layer as L
 from rankmix.plans import regression as R
+from rankmix.session import scratch_dir
 from rankmix.sources.fixtures import FORD_MODELS, FREG_MODELS, ford_wide, freg_wide
 from rankmix.sources.frames import to_long, with_batch_ids
 
@@ -305,22 +308,52 @@ QUERIES.update({"prep_factorize": prep_factorize, "prep_onehot": prep_onehot,
 
 # ---------------------------------------------------------------- scorers, loops
 
-def _ml_scores(spark, sf_dir):
-    """Scores of the suite (random forest, tree, perceptron, linear SVM,
-    AdaBoost), fitted on the 80% training share of ``embeddings``, on the test
-    rows; and these."""
+_FITTED: dict = {}
+
+
+def _ml_rows(spark, sf_dir):
+    """The 80% training share of ``embeddings`` and the test rows."""
     from rankmix.operators import scorers as M
     from rankmix.operators.prep import hash_split
     from rankmix.sources.fixtures import table
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding",
                                                     F.col("label").cast("double").alias("label"))
     emb = hash_split(M.as_features(emb, "embedding"), "item_id")
-    train, test = emb.filter(~F.col("is_test")), emb.filter(F.col("is_test"))
-    n_classes = int(emb.agg(F.max("label")).first()[0]) + 1
-    scores = (M.fit_and_score(train, test, M.default_suite(64, n_classes))
-              .unionByName(M.svm_scores(train, test))
-              .unionByName(M.adaboost_scores(train, test, n_classes)))
-    return scores, test
+    return emb.filter(~F.col("is_test")), emb.filter(F.col("is_test"))
+
+
+def _ml_scores(spark, sf_dir):
+    """Scores of the suite (random forest, tree, perceptron, linear SVM,
+    AdaBoost), fitted on the training share of ``embeddings``, on the test rows;
+    and these.  The fits of a session and folder are made once: their scores are
+    written to the scratch folder."""
+    from rankmix.operators import scorers as M
+    train, test = _ml_rows(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        n_classes = int(train.agg(F.max("label")).first()[0]) + 1
+        scores = (M.fit_and_score(train, test, M.default_suite(64, n_classes))
+                  .unionByName(M.svm_scores(train, test))
+                  .unionByName(M.adaboost_scores(train, test, n_classes)))
+        path = f"{scratch_dir(spark, 'rankmix_ml')}/{uuid.uuid4().hex[:12]}"
+        scores.write.parquet(path)
+        _FITTED[key] = path
+    return spark.read.parquet(_FITTED[key]), test
+
+
+def ml_stump(spark, sf_dir):
+    """M3 where every step is exact: a gini tree of depth 1 on eight entries of
+    ``embeddings``, cut to eighths (so all their midpoints are candidates while
+    there are at most 10,000 training rows, beyond which the candidates come from
+    a sample); the class shares of the test rows' leaves."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.functions import array_to_vector
+    from rankmix.operators import scorers as M
+    coarse = array_to_vector(F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 8).cast("double")))
+    train, test = (rows.withColumn("features", coarse) for rows in _ml_rows(spark, sf_dir))
+    tree = DecisionTreeClassifier(impurity="gini", maxDepth=1, seed=42)
+    scores = M.fit_and_score(train, test, {"stump": tree})
+    return scores.select("item_id", "model", "cls", r6("score").alias("score"))
 
 
 def ml_scorers(spark, sf_dir):
@@ -361,7 +394,16 @@ def search_rounds(spark, sf_dir):
         "round", "position", "kind", "fusion_model", "correct", r6("accuracy").alias("accuracy"))
 
 
-QUERIES.update({"ml_scorers": ml_scorers, "ml_accuracy": ml_accuracy, "vote_recursive": vote_recursive,
+def search_two_rounds(spark, sf_dir):
+    """The search's first two rounds: the second fuses the first one's pooled
+    matrices (scaled scores, inverted ranks) under their own weights."""
+    from rankmix.plans.search import search, search_table
+    ss = _ss(spark, sf_dir, SEARCH_SCHEMES)
+    return search_table(spark, search(ss, SEARCH_SCHEMES, max_rounds=2)).select(
+        "round", "position", "kind", "fusion_model", "correct", r6("accuracy").alias("accuracy"))
+
+
+QUERIES.update({"search_two_rounds": search_two_rounds, "ml_scorers": ml_scorers, "ml_stump": ml_stump, "ml_accuracy": ml_accuracy, "vote_recursive": vote_recursive,
                 "search_rounds": search_rounds})
 
 
@@ -461,24 +503,84 @@ QUERIES.update({"reg_report_rc": reg_report_rc})
 
 def prep_columns(spark, sf_dir):
     """P2, P3, P5, P6, P10 to P14 in one frame over ``part`` and ``events``:
-    attach a target, split by value, drop rows with nulls and trailing columns,
-    cast, shift and one-hot encode labels, rename by position, filter by
-    suffix or membership."""
+    attach a target, drop rows with nulls (parts without events) and trailing
+    columns, cast, shift and one-hot encode labels, rename by position, filter by
+    suffix or membership; and both sides of a split by the brand."""
     from rankmix.operators import prep as P
     from rankmix.sources.fixtures import table
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
     target = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("p_partkey")).agg(
         F.count(F.lit(1)).alias("n_events"), F.max("event_type").alias("last_type"))
     rows = P.attach_target(P.drop_trailing(part, 1), target.drop("last_type"), "p_partkey")
-    rows = P.drop_null_rows(rows.withColumn("p_size", F.when(F.col("p_size") != 7, F.col("p_size"))))
-    rows = P.suffix_or_member(rows, "p_brand", "3", ["Brand#11", "Brand#22"])
+    rows = P.suffix_or_member(P.drop_null_rows(rows), "p_brand", "3", ["Brand#11", "Brand#22"])
     rows = rows.withColumn("label", P.shift_labels("p_size"))
     rows = rows.withColumn("code", P.cast_labels(F.substring("p_brand", 7, 1)))
     rows = rows.withColumn("hot", F.array_join(P.label_one_hot("code", 6), ""))
     features, y = P.detach_target(rows, "n_events", "p_partkey")
     rows = P.attach_target(features, y, "p_partkey").drop("p_name", "p_size")
     rows = P.rename_positional(rows, ["part", "brand", "label", "code", "hot", "target"])
-    return P.split_by_value(rows.withColumn("odd", F.col("part") % 2), "odd", 1).drop("odd")
+    same, rest = P.split_by_value(rows, "brand", "Brand#13")
+    return same.withColumn("side", F.lit("same")).unionByName(rest.withColumn("side", F.lit("rest")))
 
 
 QUERIES.update({"prep_columns": prep_columns})
+
+
+# ---------------------------------------------------------------- files
+
+def _written_dir(spark, name):
+    return f"{scratch_dir(spark, 'rankmix_files')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def files_layer(spark, sf_dir):
+    """The F-ORD scores and labels as a score directory, read
+    back and fused (AC); the performance table written and read again."""
+    from rankmix.sources import files
+    from rankmix.sources.frames import to_wide
+    ss, path = ford_wide(spark, sf_dir), _written_dir(spark, "scores")
+    files.write_score_dir(to_long(ss), ss.models, ss.n_classes, path)
+    files.write_table(ss.df.select("item_id", F.col("label").alias("0")), f"{path}/ground_truths.csv")
+    truth = files.read_truth(spark, f"{path}/ground_truths.csv")
+    back = to_wide(files.read_score_folders(spark, path), truth=truth, batch_size=BATCH)
+    report = L.layer_report(L.layer_accuracy(L.prepare(back, BATCH, ("AC",)), ("AC",)))
+    files.write_table(report.select("fusion_model", "sc", "rc"), f"{path}/performance.csv")
+    rows = files.read_delimited(spark, f"{path}/performance.csv", sep=",", schema="fusion_model string, sc double, rc double")
+    return rows.select("fusion_model", r6("sc").alias("sc"), r6("rc").alias("rc"))
+
+
+def files_regression(spark, sf_dir):
+    """Regression from a score directory of one-column files: the F-REG vectors
+    written, read back with their truth, fused and reported (SC)."""
+    from rankmix.sources import files
+    wide, path = freg_wide(spark, sf_dir), _written_dir(spark, "vectors")
+    long = R.to_long(wide, FREG_MODELS).withColumn("cls", F.lit(0))
+    files.write_score_dir(long, FREG_MODELS, 1, path)
+    files.write_table(wide.select("item_id", F.col("target").alias("0")), f"{path}/ground_truths.csv")
+    truth = files.read_truth(spark, f"{path}/ground_truths.csv", value_type="double")
+    back, models = R.from_scores(files.read_score_folders(spark, path), truth)
+    back = back.checkpoint(eager=True)
+    weights = R.regression_weights(R.to_long(back, models), models)
+    mean_y = float(back.agg(F.avg("target")).first()[0])
+    rep = R.report(R.fuse(back, models, weights, ("SC",)), mean_y, models)
+    return rep.select("model", r6("r2").alias("r2"), round4("rmse").alias("rmse"))
+
+
+def files_tables(spark, sf_dir):
+    """A table of several Parquet folders read as one, joined with a
+    table in delimited text."""
+    from rankmix.sources import files
+    from rankmix.sources.fixtures import table
+    path = _written_dir(spark, "tables")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    low, high = supplier.filter("s_nationkey < 12"), supplier.filter("s_nationkey >= 12")
+    files.write_table(low, f"{path}/low", fmt="parquet")
+    files.write_table(high, f"{path}/high", fmt="parquet")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nation.write.option("header", True).option("sep", ";").csv(f"{path}/nation.csv")
+    names = files.read_delimited(spark, f"{path}/nation.csv")
+    rows = files.read_parquet_many(spark, f"{path}/low", f"{path}/high")
+    return rows.join(names, rows.s_nationkey == names.n_nationkey).groupBy("n_name").agg(
+        F.count(F.lit(1)).alias("suppliers"), F.min("s_suppkey").alias("first_key"))
+
+
+QUERIES.update({"files_layer": files_layer, "files_regression": files_regression, "files_tables": files_tables})

@@ -106,12 +106,12 @@ def layout(schemes, kinds=("SC", "RC"), models=MODELS, full_set_only=False):
     return [(kind, name, mem, s) for kind in kinds for (name, mem, s) in outs]
 
 
-def outs_cte(schemes, kinds=("SC", "RC"), full_set_only=False) -> str:
+def outs_cte(schemes, kinds=("SC", "RC"), full_set_only=False, models=MODELS) -> str:
     rows = []
-    for j, (kind, name, mem, s) in enumerate(layout(schemes, kinds, full_set_only=full_set_only)):
+    for j, (kind, name, mem, s) in enumerate(layout(schemes, kinds, models, full_set_only)):
         for i in mem:
             sch = "NULL" if s is None else f"'{s}'"
-            rows.append(f"({j}, '{kind}', '{name}', {sch}, '{MODELS[i]}')")
+            rows.append(f"({j}, '{kind}', '{name}', {sch}, '{models[i]}')")
     return ("outs(j, kind, fusion_model, scheme, model) AS (VALUES " + ", ".join(rows) + "),\n"
             "outn AS (select distinct j, kind, fusion_model from outs)")
 
@@ -642,16 +642,51 @@ m(model) as (values ('random_forest'), ('decision_tree'), ('mlp'), ('svm'), ('ad
 select m.model, t.n as items, t.n * c.k as scores, cast(0 as bigint) as invalid from m, t, c"""
 
 
+def ml_stump() -> str:
+    entries = ", ".join(f"({i}, {i + 1})" for i in range(8))
+    return f"""with e as (select vec_id, label, {_is_test('vec_id')} as test, embedding from embeddings),
+x as (select e.vec_id, e.label, e.test, f.i, floor(cast(e.embedding[f.slot] as double) * 8) as v
+      from e cross join (values {entries}) f(i, slot)),
+val as (select distinct i, v from x where not test),
+cut as (select i, v, (v + lead(v) over (partition by i order by v)) / 2 as thr from val),
+side as (select c.i, c.thr, x.v <= c.thr as low, x.label, count(*) as n
+         from cut c join x on x.i = c.i and not x.test where c.thr is not null group by all),
+leaf as (select i, thr, low, sum(n) as n, 1 - sum(cast(n as double) * n) / (cast(sum(n) as double) * sum(n)) as gini
+         from side group by i, thr, low),
+best as (select i, thr from leaf group by i, thr
+         order by round(sum(n * gini) / sum(n), 12), i, thr limit 1),
+shares as (select s.low, s.label, s.n, sum(s.n) over (partition by s.low) as total
+           from side s join best b on s.i = b.i and s.thr = b.thr),
+cls as (select unnest(range(0, (select max(label) + 1 from e where not test))) as cls)
+select x.vec_id as item_id, 'stump' as model, cast(cls.cls as int) as cls,
+       round(coalesce(cast(sh.n as double) / sh.total, 0.0), 6) as score
+from x join best b on x.i = b.i and x.test cross join cls
+left join shares sh on sh.low = (x.v <= b.thr) and sh.label = cls.cls"""
+
+
 def prep_columns() -> str:
     return """with n as (select user_id, count(*) as n_events from events group by user_id)
 select p.p_partkey as part, p.p_brand as brand, cast(p.p_size - 1 as int) as label,
        cast(substr(p.p_brand, 7, 1) as int) as code,
        array_to_string([case when i = cast(substr(p.p_brand, 7, 1) as int) then 1 else 0 end for i in range(6)], '') as hot,
-       n.n_events as target
+       n.n_events as target, case when p.p_brand = 'Brand#13' then 'same' else 'rest' end as side
 from part p join n on p.p_partkey = n.user_id
-where p.p_size <> 7 and (p.p_brand like '%3' or p.p_brand in ('Brand#11', 'Brand#22')) and p.p_partkey % 2 = 1"""
+where p.p_name is not null and p.p_size is not null and (p.p_brand like '%3' or p.p_brand in ('Brand#11', 'Brand#22'))"""
+
+
+def files_layer() -> str:
+    return _layer(("AC",)) + """
+select s.fusion_model, round(s.accuracy, 6) as sc, round(r.accuracy, 6) as rc
+from layer s left join layer r on s.fusion_model = r.fusion_model and r.kind = 'RC'
+where s.kind = 'SC'"""
+
+
+def files_tables() -> str:
+    return """select n_name, count(*) as suppliers, min(s_suppkey) as first_key
+from supplier join nation on s_nationkey = n_nationkey group by n_name"""
 
 
+QUERIES.update({"ml_stump": ml_stump, "files_layer": files_layer, "files_regression": reg_report, "files_tables": files_tables})
 QUERIES.update({"accuracy_sorted": accuracy_sorted, "prep_split": prep_split, "ml_scorers": ml_scorers,
                 "prep_columns": prep_columns})
 
@@ -688,3 +723,55 @@ v{r} AS MATERIALIZED (
 
 
 QUERIES.update({"vote_recursive": vote_recursive})
+
+
+def _pooled(rnd: int, layer: str, sc_above: str, rc_above: str) -> str:
+    """The four best outputs of a round above the thresholds, the score list's
+    and the rank list's first four each."""
+    lists = ",\n".join(f"""{k.lower()}{rnd} AS (select {src} as src, *, row_number() over (order by accuracy desc, j) as rn
+  from {layer} where kind = '{k}' and accuracy > {above} qualify rn <= 4)"""
+                       for src, (k, above) in enumerate((("SC", sc_above), ("RC", rc_above))))
+    return f"""{lists},
+both{rnd} AS (select * from sc{rnd} union all select * from rc{rnd}),
+pool{rnd} AS (select *, row_number() over (order by accuracy desc, src, rn) as position from both{rnd} qualify position <= 4)"""
+
+
+def search_two_rounds() -> str:
+    """Round 2 is a layer over the pooled matrices: the same tables, read from
+    ``scores2`` inside a statement of their own."""
+    outs = outs_cte(SEARCH_SCHEMES, models=("1", "2", "3", "4")).split(",\noutn AS")[0].replace("outs(j", "outs0(j", 1)
+    second = ",\n".join(p.strip() for p in (
+        "scores AS (select * from scores2)",
+        """ranks AS (select item_id, model, cls, score, cast(row_number() over (
+             partition by item_id, model order by round(score, 9) desc, cls) as double) as rnk from scores)""",
+        "bacc AS (select cast(position as varchar) as model, correct, total from pool1)",
+        FIRSTS, weights_cte(SEARCH_SCHEMES), outs,
+        """outs AS (select * from outs0 where j not in (
+             select j from outs0 where model not in (select cast(position as varchar) from pool1)))""",
+        """outn AS (select o.j, o.kind, string_agg('(' || p.kind || '_' || p.fusion_model || ')', '' order by o.model)
+               || coalesce('_' || any_value(o.scheme), '') as fusion_model
+             from outs o join pool1 p on o.model = cast(p.position as varchar) group by o.j, o.kind)""",
+        FUSED, LAYER_ACC,
+        f"""bad AS (select distinct j from (select j, kind, max(case when v is null then 1 else 0 end) as nul, min(v) as lo, max(v) as hi
+             from fv group by j, kind, floor(item_id / {BATCH})) where nul = 1 or (kind = 'SC' and lo = hi))"""))
+    return _layer(SEARCH_SCHEMES) + f""",
+thr AS (select max(cast(correct as double) / total * 100.0) as t from bacc),
+{_pooled(1, "layer", "(select t from thr)", "(select t from thr)")},
+above AS (select max(accuracy) as s, coalesce(max(case when src = 1 then accuracy end), (select t from thr)) as r from both1),
+span AS (select floor(item_id / {BATCH}) as batch_id, j, min(v) as lo, max(v) as hi from fv
+         where j in (select j from pool1) group by 1, 2),
+top AS (select j, max(hi) as hi from span group by j),
+scores2 AS MATERIALIZED (
+  select fv.item_id, cast(p.position as varchar) as model, fv.cls,
+         case when p.kind = 'SC' then (fv.v - span.lo) / nullif(span.hi - span.lo, 0)
+              else 1.0 - (fv.v - 1.0) / nullif(top.hi - 1.0, 0) end as score
+  from fv join pool1 p on fv.j = p.j join top on top.j = fv.j
+  join span on span.j = fv.j and span.batch_id = floor(fv.item_id / {BATCH})),
+layer2 AS MATERIALIZED (WITH {second}
+  select layer.* from layer where j not in (select j from bad)),
+{_pooled(2, "layer2", "(select s from above)", "(select r from above)")}
+select 1 as round, position, kind, fusion_model, correct, round(accuracy, 6) as accuracy from pool1 union all
+select 2, position, kind, fusion_model, correct, round(accuracy, 6) from pool2"""
+
+
+QUERIES.update({"search_two_rounds": search_two_rounds})

@@ -37,6 +37,25 @@ def to_long(wide: DataFrame, models) -> DataFrame:
     return wide.select("item_id", rows.alias("x")).select("item_id", "x.model", "x.score")
 
 
+def from_scores(scores: DataFrame, truth: DataFrame, models=None) -> tuple[DataFrame, tuple[str, ...]]:
+    """Regression input from a score directory's rows ``(item_id, model, cls,
+    score)``, whose files hold one value each, and the truth ``(item_id, label)``:
+    ``item_id, target, v0..`` and the models' names in order.  Items without a
+    truth or without some model's value raise when read."""
+    if models is None:
+        models = tuple(scores.agg(F.sort_array(F.collect_set("model")).alias("m")).first()["m"])
+    values = [F.max(F.when((F.col("model") == m) & (F.col("cls") == 0), F.col("score"))).alias(f"v{i}")
+              for i, m in enumerate(models)]
+    rows = scores.select("item_id", "model", "cls", "score").unionByName(
+        truth.select("item_id", F.lit(None).cast("string").alias("model"), F.lit(-1).alias("cls"),
+                     F.col("label").cast("double").alias("score")))
+    wide = rows.groupBy("item_id").agg(F.max(F.when(F.col("cls") == -1, F.col("score"))).alias("target"), *values)
+    gaps = [F.when(F.col(c).isNull(), F.raise_error(F.concat(
+        F.lit(f"no {n} for item "), F.col("item_id").cast("string")))).otherwise(F.col(c)).alias(c)
+        for c, n in (("target", "truth"), *[(f"v{i}", f"value of {m}") for i, m in enumerate(models)])]
+    return wide.select("item_id", *gaps), tuple(models)
+
+
 def vector_ranks(long: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(item_id, model, score, rank)``: ascending ordinal ranks per model."""
     return global_rank(long.select("item_id", "model", "score"), "model", ["score", "item_id"],

@@ -22,13 +22,23 @@ def read_score_dir(spark: SparkSession, path: str, prefix_only: bool = False) ->
     ``prefix_only`` it is the text before the first ``_`` (the original
     naming, where ``random_forest`` becomes ``random``).
     """
-    # read as lines: each file has as many classes as its own lines have cells
-    raw = (spark.read.option("pathGlobFilter", f"*{SCORES_SUFFIX}").option("recursiveFileLookup", True).text(path)
-           .select(F.split(F.regexp_replace("value", '[\r"]', ""), ",").alias("cells"),
-                   F.input_file_name().alias("file")))
-    fname = F.regexp_extract("file", r"([^/]+)$", 1)
-    model = (F.regexp_extract(fname, r"^([^_]+)_", 1) if prefix_only
-             else F.regexp_extract(fname, r"^(.*)_scores\.csv$", 1))
+    raw = spark.read.option("pathGlobFilter", f"*{SCORES_SUFFIX}").option("recursiveFileLookup", True).text(path)
+    return _score_rows(raw, r"([^/]+)_scores\.csv$", prefix_only)
+
+
+def read_score_folders(spark: SparkSession, path: str, prefix_only: bool = False) -> DataFrame:
+    """The same from folders ``<model>_scores.csv`` with any number of files
+    each, as ``write_score_dir`` leaves them (plain files of that name too)."""
+    return _score_rows(spark.read.text(f"{path}/*{SCORES_SUFFIX}"), r"([^/]+)_scores\.csv(?:/[^/]+)?$", prefix_only)
+
+
+def _score_rows(raw: DataFrame, name: str, prefix_only: bool) -> DataFrame:
+    """Lines as rows: each file has as many classes as its own lines have cells."""
+    raw = raw.select(F.split(F.regexp_replace("value", '[\r"]', ""), ",").alias("cells"), F.input_file_name().alias("file"))
+    # a file's name comes back as a URL
+    model = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), name, 1)
+    if prefix_only:
+        model = F.regexp_extract(model, "^([^_]+)", 1)
     # the header has the class positions after the index column's name, which is no number
     # (a data row of whole scores may read 5,0,1)
     header = F.trim(F.col("cells")[0]).try_cast("double").isNull() & (F.slice(F.col("cells"), 2, F.size("cells")) == F.transform(
@@ -88,6 +98,15 @@ def write_wide_scores_csv(scores_long: DataFrame, n_classes: int, path: str, mod
     wide.write.mode(mode).partitionBy("model").option("header", True).csv(path)
 
 
+def write_score_dir(scores_long: DataFrame, models, n_classes: int, path: str, mode: str = "overwrite") -> None:
+    """A score directory: for each of the models a folder ``<model>_scores.csv``
+    of CSV files (index, 0..C-1), written in parallel."""
+    for m in models:
+        wide = scores_long.filter(F.col("model") == m).groupBy("item_id").agg(*[
+            F.max(F.when(F.col("cls") == k, F.col("score"))).alias(str(k)) for k in range(n_classes)])
+        wide.write.mode(mode).option("header", True).csv(f"{path}/{m}{SCORES_SUFFIX}")
+
+
 def read_written_scores(spark: SparkSession, path: str) -> DataFrame:
     """``(item_id, model, cls, score)`` from what ``write_wide_scores_csv`` wrote."""
     raw = spark.read.option("header", True).csv(path)

@@ -85,3 +85,38 @@ def test_score_directory_to_layer(spark, tmp_path):
            for r in L.layer_accuracy(prepared, ("AC", "WC-CDS", "WCP")).collect()}
     assert acc[("SC", "BCDE_AC")] == 540 and acc[("RC", "BDE_AC")] == 513
     assert acc[("SC", "ABCDE_WCP")] == 534
+
+
+def test_score_folders_of_many_files(spark, tmp_path):
+    """Folders with several files each, plain files and odd model names."""
+    from rankmix.sources.files import read_score_folders, write_score_dir
+    rows = [(i, m, k, (i * 3 + k) / 7 + j) for i in range(20) for j, m in enumerate(["a b", "x+y", "c_d"]) for k in range(3)]
+    long = spark.createDataFrame(rows, "item_id long, model string, cls int, score double").repartition(4)
+    write_score_dir(long, ["a b", "x+y", "c_d"], 3, str(tmp_path / "s"))
+    (tmp_path / "s" / "plain_scores.csv").write_text(",0,1\n4,0.25,0.75\n")
+    back = read_score_folders(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows + [(4, "plain", 0, 0.25), (4, "plain", 1, 0.75)])
+    assert {r.model for r in read_score_folders(spark, str(tmp_path / "s"), prefix_only=True).collect()} == {"a b", "x+y", "c", "plain"}
+
+
+def test_regression_from_a_score_directory(spark, tmp_path):
+    import pytest
+    from rankmix.plans import regression as R
+    for j, m in enumerate(["p", "q"]):
+        (tmp_path / f"{m}_scores.csv").write_text("index,0\n" + "".join(f"{i},{i * 1.5 + j}\n" for i in range(6)))
+    (tmp_path / "ground_truths.csv").write_text("index,0\n" + "".join(f"{i},{i * 1.5 + 0.25}\n" for i in range(6)))
+    truth = read_truth(spark, str(tmp_path / "ground_truths.csv"), value_type="double")
+    wide, models = R.from_scores(read_score_dir(spark, str(tmp_path)), truth)
+    assert models == ("p", "q")
+    assert sorted(map(tuple, wide.collect())) == [(i, i * 1.5 + 0.25, i * 1.5, i * 1.5 + 1) for i in range(6)]
+    rep = {r.model: r.rmse for r in R.report(R.fuse(wide, models, {"AC": dict.fromkeys(models, 1.0)}, ("SC",)), 4.0, models).collect()}
+    assert rep == {"Base_p": 0.25, "Base_q": 0.75, "SC_pq_AC": 0.25}
+    with pytest.raises(Exception, match="no truth for item 5"):
+        R.from_scores(read_score_dir(spark, str(tmp_path)), truth.filter("item_id < 5"))[0].collect()
+
+
+def test_both_sides_of_a_split(spark):
+    from rankmix.operators.prep import split_by_value
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a")], "k long, v string")
+    same, rest = split_by_value(df, "v", "a")
+    assert sorted(r.k for r in same.collect()) == [1, 4] and sorted(r.k for r in rest.collect()) == [2, 3]

@@ -182,7 +182,8 @@ def test_chosen_outputs_become_models(four):
         lo, hi = min(map(min, batch)), max(map(max, batch))
         assert np.allclose(row.s0, [(v - lo) / (hi - lo) for v in want[SC, "AB_AC"][row.item_id][0]])
         assert np.allclose(row.s1, [1 - (v - 1) / 2 for v in want[RC, "AB_AC"][row.item_id][0]])
-        assert row.r0 == [1 + sum(x > v or (x == v and q < k) for q, x in enumerate(row.s0)) for k, v in enumerate(row.s0)]
+        s0 = [round(v, 9) for v in row.s0]
+        assert row.r0 == [1 + sum(x > v or (x == v and q < k) for q, x in enumerate(s0)) for k, v in enumerate(s0)]
 
 
 def test_ordinal_ranks_of_a_thousand_classes(spark):

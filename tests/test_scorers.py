@@ -96,3 +96,97 @@ def test_score_with_user_model(split):
 
     s = M.score_with(flat, load, predict, 3, "user", [f"f{i}" for i in range(4)])
     _check(s, test.count(), 3)
+
+
+# ------------------------------------------------------------- calibration
+
+def _log_loss(scores, test):
+    own = scores.join(test.select("item_id", F.col("label").cast("int").alias("cls")), ["item_id", "cls"])
+    return own.agg(F.avg(-F.log(F.greatest("score", F.lit(1e-15))))).first()[0]
+
+
+def _softmax_scores(train, test):
+    """The margins' softmax, which the machine had before it was calibrated."""
+    from pyspark.ml.functions import vector_to_array
+    raw = M._svm(0.01, 1000, "label").fit(train).transform(test).select("item_id", vector_to_array("rawPrediction").alias("m"))
+    e = F.transform("m", lambda x: F.exp(x - F.array_max("m")))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return raw.select("item_id", F.posexplode(F.transform(e, lambda x: x / total)).alias("cls", "score"))
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Classes that overlap, so that sure margins are wrong ones."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rnd.normal(0, 1.0, 4) + 1.3 * np.eye(4)[i % 3]], float(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "item_id long, v array<double>, label double").coalesce(1)
+    df = hash_split(M.as_features(df, "v"), "item_id").persist()
+    yield df.filter(~F.col("is_test")), df.filter(F.col("is_test"))
+    df.unpersist()
+
+
+def test_calibration_beats_the_softmax_on_held_out_rows(noisy, blobs):
+    for train, test in (noisy, blobs):
+        assert _log_loss(M.svm_scores(train, test), test) < _log_loss(_softmax_scores(train, test), test)
+
+
+def test_sigmoids_are_the_best_fit(noisy):
+    """At the fitted parameters the gradient vanishes and no step lowers the loss."""
+    train, _ = noisy
+    margins = M.out_of_fold_margins(train, 3).persist()
+    rows = [(r.label, r.m) for r in margins.collect()]
+    assert len(rows) == train.count()
+    for c, (a, b) in enumerate(M.fit_sigmoids(margins, 3)):
+        n = sum(label == c for label, _ in rows)
+        high, low = (n + 1) / (n + 2), 1 / (len(rows) - n + 2)
+        t = np.array([high if label == c else low for label, _ in rows])
+        m = np.array([v[c] for _, v in rows])
+
+        def loss(a, b):
+            z = a * m + b
+            return np.sum(t * z + np.maximum(-z, 0) + np.log1p(np.exp(-np.abs(z))))
+        best = loss(a, b)
+        assert a < 0 and all(loss(a + da, b + db) >= best - 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
+        d = t - 1 / (1 + np.exp(a * m + b))
+        assert abs(d.sum()) < 1e-4 and abs((d * m).sum()) < 1e-4
+    margins.unpersist()
+
+
+def test_folds_leave_their_own_rows_out(noisy, monkeypatch):
+    """Every row is scored once, by a machine that has not seen it; classes that
+    a rest lacks count as far outside."""
+    train, _ = noisy
+    seen = []
+    real = M._svm
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rest):
+            seen.append({r.item_id for r in rest.select("item_id").collect()})
+            return self.inner.fit(rest)
+    monkeypatch.setattr(M, "_svm", lambda *a: Spy(real(*a)))
+    few = train.filter("label < 2").unionByName(train.filter("label = 2").limit(1))
+    rows = M.out_of_fold_margins(few, 4).collect()
+    ids = {r.item_id for r in few.collect()}
+    assert len(rows) == len(ids) and len(seen) == 4
+    assert all(sum(i not in s for s in seen) == 1 for i in ids)
+    assert any(r.label == 2 and r.m[2] == -10.0 for r in rows)
+    with pytest.raises(ValueError):
+        M.out_of_fold_margins(train.filter("label = 0"), 4)
+
+
+def test_one_fit_serves_both_queries(spark, monkeypatch):
+    from rankmix.plans import catalog
+    fits = []
+    monkeypatch.setattr(catalog, "_FITTED", {})
+    monkeypatch.setattr(M, "default_suite", lambda *a: {})
+    monkeypatch.setattr(M, "fit_and_score", lambda train, test, suite: fits.append(1) or test.select(
+        "item_id", F.lit("m").alias("model"), F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"), F.lit(0.5).alias("score")))
+    for name in ("svm_scores", "adaboost_scores"):
+        monkeypatch.setattr(M, name, lambda train, test, *a: test.select(
+            "item_id", F.lit("n").alias("model"), F.lit(0).alias("cls"), F.lit(1.0).alias("score")))
+    assert catalog.ml_scorers(spark, SF).filter("model = 'm'").first().invalid == 0
+    catalog.ml_accuracy(spark, SF).collect()
+    assert fits == [1]
