@@ -180,9 +180,10 @@ def vector_strengths(long: DataFrame, models, partitions: int | None = None,
     single model, and for xi below two items."""
     ranked = ranked if ranked is not None else vector_ranks(long, partitions)
     m = len(models)
-    n = int(ranked.agg(F.max("rank")).first()[0] or 0)
-    constant = {r["model"] for r in ranked.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-                .filter(F.coalesce(F.col("lo") == F.col("hi"), F.lit(True))).collect()}
+    # one row a model: metadata
+    sizes = ranked.groupBy("model").agg(F.max("rank").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+    n = max((int(r["n"]) for r in sizes), default=0)
+    constant = {r["model"] for r in sizes if r["lo"] is None or r["lo"] == r["hi"]}
     cd, xi = {j: [] for j in range(m)}, {j: [] for j in range(m)}
     for r in _pair_sums(_by_position(long, models, partitions, ranked), m, n).collect() if m > 1 and n else []:
         if not constant & {models[r["a"]], models[r["b"]]}:        # a constant model has no curve
