@@ -126,10 +126,10 @@ def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: i
 
 # ------------------------------------------------------------ SVM
 
-def _svm(reg: float, max_iter: int, label_col: str):
+def _svm(reg: float, max_iter: int, label_col: str, tolerance: float = 1e-6):
     from pyspark.ml.classification import LinearSVC, OneVsRest
     # the per-class fits are independent jobs: run up to 8 at a time
-    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol="features",
+    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tolerance), featuresCol="features",
                      labelCol=label_col, parallelism=8)
 
 
@@ -138,10 +138,11 @@ def fold_of(id_col: str, folds: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(folds)).cast("int")
 
 
-def out_of_fold_margins(train: DataFrame, folds: int = 5, reg: float = 0.01, max_iter: int = 1000,
-                        id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+def out_of_fold_margins(train: DataFrame, folds: int = 3, reg: float = 0.01, max_iter: int = 1000,
+                        id_col: str = "item_id", label_col: str = "label", tolerance: float = 1e-3) -> DataFrame:
     """``(label, m)``: every training row's margins by class, from the machine
-    that was fitted on the other folds.  A fold whose rest lacks a class has
+    that was fitted on the other folds (to a looser ``tolerance`` than the final
+    one: the margins only place two numbers a class).  A fold whose rest lacks a class has
     margins for the classes below the largest that it saw (the others count as
     far outside)."""
     rows = train.withColumn("_fold", fold_of(id_col, folds))
@@ -152,7 +153,7 @@ def out_of_fold_margins(train: DataFrame, folds: int = 5, reg: float = 0.01, max
         if own.isEmpty() or rest.select(label_col).distinct().count() < 2:
             continue
         m = vector_to_array("rawPrediction")
-        part = _svm(reg, max_iter, label_col).fit(rest).transform(own).select(
+        part = _svm(reg, max_iter, label_col, tolerance).fit(rest).transform(own).select(
             F.col(label_col).cast("int").alias("label"), m.alias("m"))
         missing = F.array_repeat(F.lit(-10.0), F.lit(n_classes) - F.size("m"))
         part = part.select("label", F.concat("m", missing).alias("m"))
@@ -215,7 +216,7 @@ def _newton(r) -> tuple[float, float]:
 
 
 def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float = 0.01,
-               max_iter: int = 1000, folds: int = 5, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
+               max_iter: int = 1000, folds: int = 3, id_col: str = "item_id", label_col: str = "label") -> DataFrame:
     """Linear SVM, one-vs-rest, with calibrated probabilities: each class's
     margin goes through its sigmoid, fitted on margins of left-out folds, and the
     classes are scaled to sum to 1.  ``max_iter`` is a guard: the solver's

@@ -142,7 +142,9 @@ def test_rank_pick_switch_and_no_window_for_ranks(spark):
     assert low != high
     plan = L.layer_matrices(ss, ["AC"], kinds=(RC,))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan
-    assert "Window" in L.layer_matrices(ss, ["AC"], kinds=(SC,))._jdf.queryExecution().executedPlan().toString()
+    # scaled scores come from whole batches, which are clustered already
+    plan = L.layer_matrices(ss, ["AC"], kinds=(SC,))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
     frames.release(ss)
 
 
