@@ -228,3 +228,50 @@ def test_quality_rules(spark, awkward, empty):
     none = quality.quality_rules(awkward, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in none)
     assert quality.quality_rules(empty, labels).collect() == []
+
+
+def test_quality_verdicts_against_exact_sums(spark):
+    """Cutoffs by exact fractions, cell by cell, and every document's verdict."""
+    from fractions import Fraction
+    rnd = random.Random(12)
+    rows = []
+    for i in range(2400):
+        n = rnd.choice([12, 30, 90, 300])
+        words = [rnd.choice(["a", "word", "longer", "#", "%x", "verylongwordindeed" * rnd.choice([1, 1, 3])]) + str(j) for j in range(n)]
+        lines = [" ".join(words[j:j + 7]) for j in range(0, n, 7)]
+        lines += lines[:rnd.choice([0, 0, 0, 1, 2])]
+        rows.append((i, "\n".join(lines), "en", "s", 0))
+    good = {i: rnd.random() < 0.7 for i in range(0, 2400, 2)}
+    labels = spark.createDataFrame([(i, int(q), 0) for i, q in good.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_rules(make(spark, rows), labels, alpha=0.25, delta=0.2).collect()}
+
+    def cells(r):
+        text = dict((x[0], x[1]) for x in rows[r.doc_id:r.doc_id + 1])[r.doc_id]
+        lines, mean = len([x for x in text.split("\n") if x.strip()]), Fraction(r.word_chars, max(r.n_words, 1))
+        ratios = (Fraction(r.n_symbols, max(r.word_chars, 1)), Fraction(r.n_dup_lines, max(lines, 1)),
+                  Fraction(r.n_repeat_words, max(r.n_words, 1)), 1 - min(mean, Fraction(16)) / 16, min(mean, Fraction(64)) / 64)
+        return [min(math.floor(x * quality.GRID), quality.GRID) for x in ratios]
+
+    def stratum(r):
+        return sum(r.n_words >= w for w in quality.STRATA)
+    measures = len(quality.MEASURES)
+    alpha, level = Fraction(1, 4) / measures, Fraction(1, 5) / ((len(quality.STRATA) + 1) * measures)
+
+    def surely_less(k, n):
+        """P(X <= k) <= level for X ~ Binomial(n, alpha), in whole numbers."""
+        p, d = alpha.numerator, alpha.denominator
+        below = sum(math.comb(n, i) * p ** i * (d - p) ** (n - i) for i in range(k + 1))
+        return below * level.denominator <= level.numerator * d ** n
+    cut = {}
+    for s in range(len(quality.STRATA) + 1):
+        for m in range(measures):
+            held = [cells(r)[m] for i, r in got.items() if good.get(i) and not r.base_failed and stratum(r) == s]
+            for c in range(quality.GRID - 1, -1, -1):
+                if not held or not surely_less(sum(x > c for x in held), len(held)):
+                    break
+                cut[s, m] = c
+    assert len(cut) > 5
+    wrong = [i for i, r in got.items() if r.kept != (not r.base_failed and all(
+        x <= cut.get((stratum(r), m), quality.GRID) for m, x in enumerate(cells(r))))]
+    # a ratio on a cell's edge may fall to either side of it in floating point
+    assert len(wrong) <= 5 and 0 < sum(not r.kept for r in got.values()) < 1200
