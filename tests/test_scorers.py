@@ -32,7 +32,7 @@ def test_adaboost(split):
 
 def test_svm(split):
     train, test = split
-    _check(M.svm_scores(train, test), test.count(), 10)
+    _check(M.svm_scores(train, test, folds=2), test.count(), 10)
 
 
 def test_svm_ends_by_its_tolerance(spark):
