@@ -31,8 +31,8 @@ def test_adaboost(split):
 
 
 def test_svm(split):
-    train, test = split
-    _check(M.svm_scores(train, test, folds=2), test.count(), 10)
+    train, test = (rows.filter("label < 3") for rows in split)
+    _check(M.svm_scores(train, test, folds=2), test.count(), 3)
 
 
 def test_svm_ends_by_its_tolerance(spark):
