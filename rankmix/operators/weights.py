@@ -134,10 +134,12 @@ def _pw_col(corr: str) -> str:
 
 
 def strengths(ss: ScoreSet, corr: str = "CD") -> DataFrame:
-    """Long ``(batch_id, model, strength)``."""
+    """Long ``(batch_id, model, strength)``.  The generator is an outer one (no
+    matrix is empty): of a plain one the optimizer infers a filter on the whole
+    matrix and moves it below the join with the first ids, to every item row."""
     st = _staged(ss).select("batch_id", strength_of(F.col(_pw_col(corr))).alias("d"))
     names = F.array(*[F.lit(m) for m in ss.models])
-    return st.select("batch_id", F.posexplode("d").alias("i", "strength")).select(
+    return st.select("batch_id", F.posexplode_outer("d").alias("i", "strength")).select(
         "batch_id", names[F.col("i")].alias("model"), "strength")
 
 
@@ -145,8 +147,8 @@ def pairwise(ss: ScoreSet, corr: str = "CD") -> DataFrame:
     """Long ``(batch_id, model_a, model_b, value)``: the off-diagonal matrix
     (``value`` = diversity of model_a vs model_b)."""
     names = F.array(*[F.lit(m) for m in ss.models])
-    st = _staged(ss).select("batch_id", F.posexplode(_pw_col(corr)).alias("j", "row"))
-    out = st.select("batch_id", "j", F.posexplode("row").alias("i", "value"))
+    st = _staged(ss).select("batch_id", F.posexplode_outer(_pw_col(corr)).alias("j", "row"))
+    out = st.select("batch_id", "j", F.posexplode_outer("row").alias("i", "value"))
     return out.filter(F.col("i") != F.col("j")).select(
         "batch_id", names[F.col("i")].alias("model_a"), names[F.col("j")].alias("model_b"), "value")
 
