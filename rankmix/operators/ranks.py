@@ -11,6 +11,8 @@ count table.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,10 @@ def global_rank(df: DataFrame, part: str, order: list, name: str = "rank",
 def item_ranks(ss: ScoreSet, ordinal: bool = False) -> DataFrame:
     """Long ``(item_id, model, cls, score, rank)``; average (default) or
     ordinal ranks, 1 = highest score of the item."""
-    fn = ordinal_rank_desc if ordinal else avg_rank_desc
+    if not ordinal:
+        return _average_rank_rows(ss)
     rows = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(s_col(i)).alias("s"), fn(F.col(s_col(i))).alias("r"))
+        F.struct(F.lit(m).alias("model"), F.col(s_col(i)).alias("s"), ordinal_rank_desc(F.col(s_col(i))).alias("r"))
         for i, m in enumerate(ss.models)]))
     df = ss.df.select("item_id", rows.alias("x"))
     return df.select("item_id", "x.model", F.posexplode(F.arrays_zip("x.s", "x.r"))).select(
@@ -60,6 +63,37 @@ def item_ranks(ss: ScoreSet, ordinal: bool = False) -> DataFrame:
         F.col("col.r").alias("rank"))
 
 
+def _average_rank_rows(ss: ScoreSet) -> DataFrame:
+    """``item_ranks`` by average ranks, for whole blocks of items in the tasks
+    (``lattice.average_ranks``).  A NULL has no rank, NaN is the highest value."""
+    from rankmix.operators.lattice import average_ranks, schema_of
+    m = ss.n_models
+    wide = ss.df.select("item_id", *[F.col(s_col(i)).cast("array<double>").alias(s_col(i)) for i in range(m)])
+
+    def run(batches):
+        for b in batches:
+            for i in range(m):
+                col = b.column(i + 1)
+                sizes = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                for c in np.unique(sizes[sizes > 0]).tolist():
+                    at = np.flatnonzero(sizes == c)
+                    same = len(at) == len(sizes)
+                    values = (col if same else col.take(pa.array(at))).flatten()
+                    # codes keep the order and the ties of values, NaN on top
+                    codes = np.unique(values.fill_null(0.0).to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.float64)
+                    missing = np.asarray(values.is_null())
+                    codes[missing] = np.nan
+                    ranks = average_ranks(np.ascontiguousarray(codes.reshape(-1, c).T)).T.ravel()
+                    ids = b.column(0).take(pa.array(np.repeat(at, c)))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array(np.full(len(ranks), i, np.int32)), pa.array(np.tile(np.arange(c, dtype=np.int32), len(at))),
+                         values, pa.array(ranks, mask=missing)], names=["item_id", "mi", "cls", "score", "rank"])
+
+    rows = wide.mapInArrow(run, f"{schema_of(wide, ['item_id'])}, mi int, cls int, score double, rank double")
+    names = F.array(*[F.lit(name) for name in ss.models])
+    return rows.select("item_id", names[F.col("mi")].alias("model"), "cls", "score", "rank")
+
+
 def item_rsc(ss: ScoreSet, of_ranks: bool = False) -> DataFrame:
     """Long ``(item_id, model, position, rank, value)``: every item's rank-score
     characteristic (row min-max scaled, sorted best first; position 1 = best)
