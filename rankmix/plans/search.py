@@ -54,10 +54,11 @@ def invalid_outputs(ss: ScoreSet, weights, specs, kinds=(SC, RC)) -> set:
 def _next_base(ss: ScoreSet, layer: Layer, pooled: list[dict]) -> ScoreSet:
     """The pooled outputs as the next round's base models, written once and
     bucketed by batch_id: the next round reads them without an exchange and its
-    lineage starts here."""
+    lineage starts here.  They are made where their batch lies: a task has the rows
+    of one bucket and writes them there, without a shuffle."""
     wide = chosen_scores(layer, [(r["j"], r["top"]) for r in pooled])
     names = tuple(f"({r['kind']}_{r['fusion_model']})" for r in pooled)
-    nxt = replace(ss, df=wide.repartition("batch_id"), models=names, has_ranks=True, ids=None, allow_missing=True,
+    nxt = replace(ss, df=wide, models=names, has_ranks=True, ids=None, allow_missing=True,
                   accuracies=tuple(float(r["accuracy"]) for r in pooled))
     return materialize(nxt)
 
