@@ -21,7 +21,7 @@ from rankmix.operators.lattice import item_picks
 from rankmix.operators.weights import batch_weights, pairwise, strengths, weights_long
 from rankmix.plans import layer as L
 from rankmix.plans import regression as R
-from rankmix.session import scratch_dir
+from rankmix.session import ensure_checkpoint_dir, scratch_dir
 from rankmix.sources.fixtures import FORD_MODELS, FREG_MODELS, ford_wide, freg_wide
 from rankmix.sources.frames import to_long, with_batch_ids
 
@@ -230,7 +230,6 @@ def reg_rsc(spark, sf_dir):
 
 
 def _reg_fused(spark, sf_dir, kinds=("SC", "RC")):
-    from rankmix.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # derived once (three group means per order) and read by every branch
     wide = freg_wide(spark, sf_dir).checkpoint(eager=True)
@@ -537,7 +536,9 @@ def files_layer(spark, sf_dir):
     back and fused (AC); the performance table written and read again."""
     from rankmix.sources import files
     from rankmix.sources.frames import to_wide
+    # read by the matrices and by the truth: made once
     ss, path = ford_wide(spark, sf_dir), _written_dir(spark, "scores")
+    ss = ss.with_df(ss.df.checkpoint(eager=True))
     files.write_score_dir(to_long(ss), ss.models, ss.n_classes, path)
     files.write_table(ss.df.select("item_id", F.col("label").alias("0")), f"{path}/ground_truths.csv")
     truth = files.read_truth(spark, f"{path}/ground_truths.csv")
@@ -553,6 +554,8 @@ def files_regression(spark, sf_dir):
     written, read back with their truth, fused and reported (SC)."""
     from rankmix.sources import files
     wide, path = freg_wide(spark, sf_dir), _written_dir(spark, "vectors")
+    ensure_checkpoint_dir(spark)
+    wide = wide.checkpoint(eager=True)          # read by the vectors and by the truth
     long = R.to_long(wide, FREG_MODELS).withColumn("cls", F.lit(0))
     files.write_score_dir(long, FREG_MODELS, 1, path)
     files.write_table(wide.select("item_id", F.col("target").alias("0")), f"{path}/ground_truths.csv")

@@ -64,6 +64,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tune_session(spark: SparkSession) -> None:
     """Runtime SQL settings the fusion plans rely on, applied only where the
     session still has Spark's defaults (a caller's explicit choice wins)."""

@@ -9,9 +9,14 @@ number of models and items is read in parallel.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankmix.functions import json_literal
+from rankmix.session import remove_folder, scratch_dir
+
 SCORES_SUFFIX = "_scores.csv"
 
 
@@ -34,7 +39,9 @@ def read_score_folders(spark: SparkSession, path: str, prefix_only: bool = False
 
 def _score_rows(raw: DataFrame, name: str, prefix_only: bool) -> DataFrame:
     """Lines as rows: each file has as many classes as its own lines have cells."""
-    raw = raw.select(F.split(F.regexp_replace("value", '[\r"]', ""), ",").alias("cells"), F.input_file_name().alias("file"))
+    # a generated column: conditions on a projected one would be moved below the
+    # projection, each with a copy of its split
+    raw = raw.select(F.explode(F.array(F.split(F.translate("value", '\r"', ""), ","))).alias("cells"), F.input_file_name().alias("file"))
     # a file's name comes back as a URL
     model = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), name, 1)
     if prefix_only:
@@ -100,11 +107,21 @@ def write_wide_scores_csv(scores_long: DataFrame, n_classes: int, path: str, mod
 
 def write_score_dir(scores_long: DataFrame, models, n_classes: int, path: str, mode: str = "overwrite") -> None:
     """A score directory: for each of the models a folder ``<model>_scores.csv``
-    of CSV files (index, 0..C-1), written in parallel."""
+    of CSV files (index, 0..C-1), written in parallel.  The matrices of all
+    models come from one grouping, written once by model; so the rows are made
+    and shuffled once, whatever the number of models."""
+    spark, models = scores_long.sparkSession, list(models)
+    index = F.array_position(json_literal(models, "array<string>"), F.col("model")).cast("int")
+    wide = scores_long.filter(F.col("model").isin(models)).groupBy("item_id", "model").agg(*[
+        F.max(F.when(F.col("cls") == k, F.col("score"))).alias(str(k)) for k in range(n_classes)])
+    wide = wide.select(index.alias("_model"), "item_id", *[F.col(f"`{k}`") for k in range(n_classes)])
+    staged = scratch_dir(spark, f"rankmix_score_dir_{uuid.uuid4().hex[:12]}")
+    wide.write.partitionBy("_model").parquet(staged)
+    rows = spark.read.schema(wide.schema).parquet(staged)
     for m in models:
-        wide = scores_long.filter(F.col("model") == m).groupBy("item_id").agg(*[
-            F.max(F.when(F.col("cls") == k, F.col("score"))).alias(str(k)) for k in range(n_classes)])
-        wide.write.mode(mode).option("header", True).csv(f"{path}/{m}{SCORES_SUFFIX}")
+        own = rows.filter(F.col("_model") == models.index(m) + 1).drop("_model")
+        own.write.mode(mode).option("header", True).csv(f"{path}/{m}{SCORES_SUFFIX}")
+    remove_folder(spark, staged)
 
 
 def read_written_scores(spark: SparkSession, path: str) -> DataFrame:
