@@ -10,10 +10,13 @@
   in turn -- gives as many keys as symbols, and all pairs under the distance share
   one.  ``Shape`` chooses chunks so that even a pair right at the similarity
   shares no key only once in 100,000 (at 0.85: 8 chunks of 6; at 0.8: 9 of 5).
-* Within a key's bucket not all pairs are made.  Each member is first held
-  against the bucket's smallest member; pairs that are confirmed make
+* Within a key's bucket not all pairs are made.  A bucket's first member is the
+  one that meets most others in all its buckets, so the middle of a group rather
+  than its edge.  Each text is held against one first member, then against that
+  of every bucket in which components still meet; pairs that are confirmed make
   components, and only members of *different* components are then paired, so
-  thousands of near copies of one text cost one comparison each.  What is left
+  thousands of near copies of one text cost one comparison each, and one link.
+  What is left
   are buckets of texts that resemble each other without being near.  There the
   shingles that no other text of these buckets has are counted, and every
   text's shingles in bins by hash -- exact, and linear in the texts.  A pair is
@@ -36,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmix.llm.common import slices, string_buffers, written
@@ -371,6 +374,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (components of all linked nodes so far) after more links: these
+    are taken between components, so nothing that is joined grows with the
+    members of a component."""
+    end = lambda e: found.select(F.col("id").alias(e), F.col("component").alias(f"c{e}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(ends.filter("a != b").distinct())
+    top = over.select(F.col("id").alias("of"), F.col("component").alias("top"))
+    old = found.join(top, F.col("component") == F.col("of"), "left").select(
+        "id", F.coalesce("top", "component").alias("component"))
+    new = over.join(found.select("id"), "id", "left_anti")
+    return written(old.unionByName(new), "near-labels")
+
+
 # ------------------------------------------------------------- the operator
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column | None:
@@ -413,6 +431,16 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str,
         kept.alias("kept"), F.col("id").alias("key"))
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets in which components meet, with their component
+    ``c`` (an unlinked text is its own) and their bucket's ``first`` member."""
+    named = members.join(found, "id", "left").select("key", "k", "id", "n", "meets", F.coalesce("component", "id").alias("c"))
+    first = F.max(F.struct("meets", "id", "n", "c"))
+    mixed = (named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first.alias("first"))
+             .filter("lo != hi").select("key", "first"))
+    return written(named.join(written(mixed, "near-buckets"), "key"), "near-mixed")
+
+
 def _grouped(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``(id, n, component)`` of the rows ``(id, text)``; ``texts`` has the same
     ids and serves where the texts of some are compared."""
@@ -425,20 +453,29 @@ def _grouped(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                       "near-classes")
     reps = classes.filter(F.col("id").isNotNull()).select("id", "n", "sig")
     keys = _keys(reps, shape)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("first")).filter("m > 1")
-    # written, so that the join's sides are plain exchanges and a hot bucket can be split
-    members = written(keys.join(written(shared.drop("m"), "near-buckets"), "key"), "near-members")
-    star = (members.filter((F.col("id") != F.col("first.id")) & _sizes_fit(F.col("n"), F.col("first.n"), percent))
-            .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # the member that meets most others: few of its symbols differ from what its group has
+    meets = F.sum("m").over(Window.partitionBy("id"))
+    # written, so that the joins' sides are plain exchanges and a hot bucket can be split
+    members = written(keys.join(written(shared, "near-buckets"), "key").select("key", "k", "id", "n", meets.alias("meets")),
+                      "near-members")
+    buckets = written(members.groupBy("key").agg(F.max(F.struct("meets", "id", "n")).alias("first")), "near-buckets")
+    fits = (F.col("id") != F.col("first.id")) & _sizes_fit(F.col("n"), F.col("first.n"), percent)
+    # one link a text holds most near copies together; more are looked for where components meet
+    star = members.join(buckets, "key").filter(fits).groupBy(F.col("id").alias("b")).agg(F.max("first").alias("first"))
+    star = star.select(F.col("first.id").alias("a"), "b")
     star = written(_near_enough(star, reps, shape), "near-star")
+    found = components(written(confirmed(star, texts, percent), "near-links"))
+    named = _mixed(members, found)
+    star = named.filter(fits & (F.col("c") != F.col("first.c"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    star = written(_near_enough(star.distinct(), reps, shape), "near-star")
     links = written(confirmed(star, texts, percent), "near-links")
-    found = components(links)
+    if not links.isEmpty():
+        found = merged(found, links)
+        named = _mixed(named, found)
 
-    # buckets in which components meet: pairs between them, but those held against each other above
-    named = members.join(found, "id", "left").select(
-        "key", "k", "id", "n", F.coalesce("component", "id").alias("c"), (F.col("id") == F.col("first.id")).alias("first"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    named = written(named.join(written(mixed, "near-buckets"), "key"), "near-mixed")
+    # pairs between the components that meet in buckets, but those held against each other above
+    named = named.withColumn("first", F.col("id") == F.col("first.id"))
     sets = written(_sets_of(written(named.select("id").distinct(), "near-ids"), texts), "near-sets")
     own, bins = _own_shingles(sets), _bins(sets)
     able = (reps.join(own, "id", "left").join(bins, "id").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0)))
@@ -447,7 +484,7 @@ def _grouped(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rest = written(_cross_pairs(named, shape, percent), "near-rest")
     more = written(confirmed(rest, texts, percent), "near-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = merged(found, more)
 
     of_class = (classes.join(found, "id", "left")
                 .select("fp", F.col("n").alias("class_n"), F.coalesce("component", "id").alias("class_component")))

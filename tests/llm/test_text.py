@@ -142,6 +142,24 @@ def test_near_duplicates_link_through_a_third(spark):
     _check_components(make(spark, rows), rows, 85)
 
 
+def test_large_group_makes_few_pairs(spark, monkeypatch):
+    """Pipeline's near_dedup: pairs of a group of near copies, not all near each
+    other, grow with its members and not with their square."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            text[rnd.randrange(200)] = f"c{rnd.randrange(10 ** 6)}"
+        rows.append((i, " ".join(text), "en", "s", 0))
+    pairs, links, confirmed, components = [], [], near_dedup.confirmed, near_dedup.components
+    monkeypatch.setattr(near_dedup, "confirmed", lambda p, *a: pairs.append(p.count()) or confirmed(p, *a))
+    monkeypatch.setattr(near_dedup, "components", lambda e: links.append(e.count()) or components(e))
+    _check_components(make(spark, rows), rows, 80)
+    assert sum(pairs) <= 3 * len(rows) and sum(links) <= 2 * len(rows)
+
+
 def test_near_duplicates_awkward(awkward, awkward_rows, empty):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == len(awkward_rows)
