@@ -461,21 +461,12 @@ def _grouped(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                       "near-members")
     buckets = written(members.groupBy("key").agg(F.max(F.struct("meets", "id", "n")).alias("first")), "near-buckets")
     fits = (F.col("id") != F.col("first.id")) & _sizes_fit(F.col("n"), F.col("first.n"), percent)
-    # one link a text holds most near copies together; more are looked for where components meet
-    star = members.join(buckets, "key").filter(fits).groupBy(F.col("id").alias("b")).agg(F.max("first").alias("first"))
-    star = star.select(F.col("first.id").alias("a"), "b")
+    star = members.join(buckets, "key").filter(fits).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     star = written(_near_enough(star, reps, shape), "near-star")
     found = components(written(confirmed(star, texts, percent), "near-links"))
-    named = _mixed(members, found)
-    star = named.filter(fits & (F.col("c") != F.col("first.c"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    star = written(_near_enough(star.distinct(), reps, shape), "near-star")
-    links = written(confirmed(star, texts, percent), "near-links")
-    if not links.isEmpty():
-        found = merged(found, links)
-        named = _mixed(named, found)
 
     # pairs between the components that meet in buckets, but those held against each other above
-    named = named.withColumn("first", F.col("id") == F.col("first.id"))
+    named = _mixed(members, found).withColumn("first", F.col("id") == F.col("first.id"))
     sets = written(_sets_of(written(named.select("id").distinct(), "near-ids"), texts), "near-sets")
     own, bins = _own_shingles(sets), _bins(sets)
     able = (reps.join(own, "id", "left").join(bins, "id").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0)))
