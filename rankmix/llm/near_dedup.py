@@ -12,11 +12,9 @@
   shares no key only once in 100,000 (at 0.85: 8 chunks of 6; at 0.8: 9 of 5).
 * Within a key's bucket not all pairs are made.  A bucket's first member is the
   one that meets most others in all its buckets, so the middle of a group rather
-  than its edge.  Each text is held against one first member, then against that
-  of every bucket in which components still meet; pairs that are confirmed make
-  components, and only members of *different* components are then paired, so
-  thousands of near copies of one text cost one comparison each, and one link.
-  What is left
+  than its edge.  Each member is held against it first; pairs that are confirmed
+  make components, and only members of *different* components are then paired, so
+  thousands of near copies of one text cost few comparisons each.  What is left
   are buckets of texts that resemble each other without being near.  There the
   shingles that no other text of these buckets has are counted, and every
   text's shingles in bins by hash -- exact, and linear in the texts.  A pair is
