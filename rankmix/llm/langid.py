@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmix.llm.common import slices, string_buffers
+from rankmix.llm.common import per_worker, slices, string_buffers
 
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_BYTES = 64, 20_000, 32_768
 CHUNK_BYTES = 1 << 22
@@ -148,15 +148,8 @@ class CrossParser:
         return np.where(n > 0, bits / np.maximum(n, 1), np.inf)
 
 
-_PARSERS: dict[tuple, CrossParser] = {}
-
-
 def _parser(samples) -> CrossParser:
-    key = tuple(samples)
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(list(samples))
-    return _PARSERS[key]
+    return per_worker(("parser", tuple(samples)), lambda: CrossParser(list(samples)))
 
 
 def held_out(id_col: str) -> Column:

@@ -32,6 +32,7 @@ from rankmix.llm.common import written
 CAPACITY = 1024
 GROUP_SIZE = 20_000
 TEXTS = 512             # encoded at once
+CACHED = 1 << 17        # pre-tokens that a worker keeps
 
 
 # ------------------------------------------------------------- one group
@@ -195,7 +196,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` of every document."""
     def run(batches):
-        tok = pretoken.load(path)
+        tok = pretoken.load(path, CACHED)
         for b in (b.slice(a, TEXTS) for b in batches for a in range(0, len(b), TEXTS)):
             ids, n = tok.encode(b.column(1).to_pylist())
             where, rows, payload, pos = [], [], [], 0

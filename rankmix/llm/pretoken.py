@@ -21,6 +21,8 @@ from itertools import chain
 
 import numpy as np
 
+from rankmix.llm.common import per_worker
+
 KNOWN = 0x300          # below it every code point is NFC-stable and its class is long settled
 CHUNK_CHARS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -418,11 +420,6 @@ class CachedTokenizer:
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), lengths
 
 
-_LOADED: dict[str, CachedTokenizer] = {}
-
-
-def load(path: str) -> CachedTokenizer:
-    """One tokenizer and cache per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = CachedTokenizer(path)
-    return _LOADED[path]
+def load(path: str, max_entries: int = 1 << 20) -> CachedTokenizer:
+    """One tokenizer and cache per worker process, file and size."""
+    return per_worker(("tokenizer", path, max_entries), lambda: CachedTokenizer(path, max_entries))

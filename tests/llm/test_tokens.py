@@ -160,3 +160,17 @@ def test_token_files(spark, awkward, awkward_rows, empty, word_bpe, tmp_path, mo
         pos += len(ids)
     token_files.write_token_files(empty, f"{tmp_path}/e", word_bpe)
     assert token_files.read_documents(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_worker_holds_one_stage_table(byte_bpe):
+    """A worker that went on to packing kept the language automata until it ended."""
+    import gc
+    import weakref
+
+    from rankmix.llm import langid
+    parser = weakref.ref(langid._parser((("de", b"und das "), ("en", b"and the "))))
+    assert parser() is langid._parser((("de", b"und das "), ("en", b"and the ")))
+    tok = pretoken.load(byte_bpe, packing.CACHED)
+    gc.collect()
+    assert parser() is None and tok is pretoken.load(byte_bpe, packing.CACHED)
+    assert tok.cache.max_entries == packing.CACHED < pretoken.load(byte_bpe).cache.max_entries
