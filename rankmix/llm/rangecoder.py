@@ -17,6 +17,11 @@ every id.  The share of the code range that an order gets is the block's own
 frequency with which a candidate of that confidence was right; what higher
 orders leave goes to the lower ones.  These frequencies and those of order 0
 are brought up to date whenever the block's history has doubled.
+
+An id's place in the range and its width are coded as range variants of
+asymmetric numerals: the state of a block, 64 bits wide, gives or takes one word
+of 32 bits at most an id.  Such a code is read in the order opposite to writing,
+so the encoder runs the model over a block first and codes it from its end.
 """
 
 from __future__ import annotations
@@ -28,16 +33,17 @@ import numpy as np
 
 BLOCK = 8192
 LANES = 1024                    # blocks coded side by side at most
-TABLE_BITS = 11                 # slots of a block's order-1 and order-2 tables
+TABLE_BITS = 10                 # slots of a block's order-1 and order-2 tables
 FIRST_HISTORY = 256
 TOTAL = 28                      # the code range is divided into 2^28 units
 FLOOR = 1 << 20                 # units kept for the uniform floor
 REST = (1 << TOTAL) - FLOOR
 CONFS = 16
 PRIOR = 8                       # weight of the first guess at a probability, in ids
-MAGIC = b"IDRC"
+DENSE_BITS = 20                 # ids up to so many bits are looked up by a table
+MAGIC = b"IDR2"
 U = np.uint64
-LOW32, TOP = U(0xFFFFFFFF), U(1 << 48)
+WORD, LOW32 = U(1 << 32), U(0xFFFFFFFF)
 # Confidence after a miss (first half) or hit (second); 0: the candidate is replaced.
 NEXT = np.array([f >> 1 for f in range(CONFS)] + [min(f + 1, CONFS - 1) for f in range(CONFS)], np.uint32)
 NEXT[1] = 0
@@ -52,10 +58,11 @@ class _Model:
     def __init__(self, lanes: int, width: int, id_bits: int):
         size = 1 << TABLE_BITS
         self.id_bits, self.lanes = id_bits, lanes
-        places = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
-        self.base, self.base_p = places * size, places * CONFS
+        places = np.arange(2 * lanes, dtype=np.uint32).reshape(2, lanes)
+        self.base, self.base_p = places * np.uint32(size), places * np.uint32(CONFS)
+        self.base_log = (places * np.uint32(2 * CONFS)).astype(np.int32)
         self.table = np.zeros(2 * lanes * size, np.uint32)          # candidate << 4 | confidence
-        self.tried = np.zeros((2, 2 * lanes * CONFS), np.int64)     # misses, hits by confidence
+        self.tried = np.zeros((2 * lanes, 2, CONFS), np.int64)      # misses, hits by confidence
         self.found = np.zeros((2, lanes), np.int64)                 # neither candidate: in the history or not
         self.prev = [np.zeros(lanes, np.uint32) for _ in range(2)]
         self.hash = np.empty((2, lanes), np.uint32)
@@ -66,20 +73,21 @@ class _Model:
 
     def learn(self, k: int, m: int) -> None:
         """Probabilities from the first ``k`` ids of the first ``m`` blocks."""
-        log, in0 = self.log[self.logged:k, :, :m], self.in0[self.logged:k, :m]
-        if k > self.logged:
-            right, conf = log >> 4, log & 15
-            for hit in range(2):
-                at = (self.base_p[None, :, :m] + conf)[right == hit]
-                self.tried[hit] += np.bincount(at, minlength=self.tried.shape[1])
+        for a in range(self.logged, k, FIRST_HISTORY):
+            log = self.log[a:min(a + FIRST_HISTORY, k), :, :m]
+            at = (self.base_log[None, :, :m] + log).ravel()
+            self.tried += np.bincount(at, minlength=self.tried.size).reshape(self.tried.shape)
             if self.n:
-                open_ = ~right.any(axis=1)
-                self.found[1, :m] += (open_ & in0).sum(axis=0)
-                self.found[0, :m] += (open_ & ~in0).sum(axis=0)
-        hits, all_ = self.tried[1], self.tried.sum(axis=0)
+                in0 = self.in0[a:a + len(log), :m]
+                open_ = (log[:, 0] | log[:, 1]) < CONFS
+                known = (open_ & in0).sum(axis=0)
+                self.found[1, :m] += known
+                self.found[0, :m] += open_.sum(axis=0) - known
+        hits, all_ = self.tried[:, 1].ravel(), self.tried.sum(axis=1).ravel()
         guess = np.tile(GUESS, 2 * self.lanes)
         p = ((hits << 16) + PRIOR * guess) // (all_ + PRIOR)
         self.p = np.clip(p, 32, 65472).astype(np.int32)
+        self.p[:self.lanes * CONFS] *= REST >> 16                   # order 2: already in units
         p0 = ((self.found[1] << 16) + PRIOR * 45000) // (self.found.sum(axis=0) + PRIOR)
         self.p0 = np.clip(p0, 64, 65000).astype(np.int32)
         self.n, self.logged = k, k
@@ -91,20 +99,25 @@ class _Model:
         shift = np.uint32(32 - TABLE_BITS)
         a, h = self.prev[0][:m] * np.uint32(2654435769), self.hash[:, :m]
         np.right_shift(a, shift, out=h[1])
-        b = (a ^ (self.prev[1][:m] * np.uint32(3266489917))) * np.uint32(2246822519)
+        b = self.prev[1][:m] * np.uint32(3266489917)
+        b ^= a
+        b *= np.uint32(2246822519)
         np.right_shift(b, shift, out=h[0])
-        self.slot = self.base[:, :m] + h
+        self.slot = (self.base[:, :m] + h).astype(np.int64)
         self.entry = self.table.take(self.slot)
         self.conf = self.entry & np.uint32(15)
         c = self.entry >> np.uint32(4)
-        p = self.p.take(self.base_p[:, :m] + self.conf)
-        w2 = p[0] * np.int32(REST >> 16)
+        w2, p1 = self.p.take((self.base_p[:, :m] + self.conf).astype(np.int64))
         left = np.int32(REST) - w2
-        w1 = (left >> 16) * p[1]
+        w1 = left >> 16
+        w1 *= p1
         w1 *= c[0] != c[1]
         left -= w1
         if self.n:
-            u0 = np.maximum(((left >> 16) * self.p0[:m]) >> self.log_n, 1)
+            u0 = left >> 16
+            u0 *= self.p0[:m]
+            u0 >>= self.log_n
+            np.maximum(u0, 1, out=u0)
             left -= u0 << self.log_n
         else:
             u0 = None
@@ -113,12 +126,17 @@ class _Model:
         return c, w2, w1, u0, left
 
     def update(self, k: int, m: int, x: np.ndarray, right: np.ndarray) -> None:
-        state = self.conf + (right.astype(np.uint32) << np.uint32(4))
+        state = right.astype(np.uint32)
+        state <<= np.uint32(4)
+        state += self.conf
         self.log[k, :, :m] = state
         conf = NEXT.take(state)
-        entry = (self.entry & np.uint32(0xFFFFFFF0)) | conf
-        np.copyto(entry, (x << np.uint32(4)) | np.uint32(1), where=conf == 0)
-        self.table[self.slot] = entry
+        entry = self.entry
+        entry += conf
+        entry -= self.conf
+        new = x << np.uint32(4)
+        new += np.uint32(1)
+        self.table[self.slot] = np.where(conf == 0, new, entry)
         self.prev = [x, self.prev[0]]
 
 
@@ -130,17 +148,47 @@ def _refreshes(longest: int) -> set[int]:
     return out
 
 
-def _history(ids: np.ndarray):
-    """Sorted first ids of each block (blocks x n), and for each place the
-    start and the length of its id's run."""
+def _runs(ids: np.ndarray):
+    """Equal ids of each block (blocks x n), sorted: the ids, where their runs
+    start (in all blocks) and how long the runs are."""
     lanes, n = ids.shape
     h = np.sort(ids, axis=1)
     new = np.ones((lanes, n), bool)
     new[:, 1:] = h[:, 1:] != h[:, :-1]
     starts = np.flatnonzero(new.ravel())
-    runs = np.cumsum(new.ravel()) - 1
-    length = np.diff(np.append(starts, lanes * n))[runs].astype(np.int32)
-    return h.ravel(), (starts[runs] & (n - 1)).astype(np.int32), length
+    return h.ravel()[starts], starts, np.diff(np.append(starts, lanes * n))
+
+
+def _places(history: np.ndarray, window: np.ndarray, id_bits: int) -> np.ndarray:
+    """For each id of the window (blocks x ids) where its run starts in the
+    block's sorted history, << 16, and the run's length; 0: it has none."""
+    lanes, n = history.shape
+    ids, starts, lengths = _runs(history)
+    value = ((starts & (n - 1)) << 16 | lengths).astype(np.uint32)
+    cut = np.searchsorted(starts, np.arange(lanes + 1) * n).tolist()
+    out = np.empty(window.shape, np.uint32)
+    if id_bits <= DENSE_BITS:
+        table = np.zeros(1 << id_bits, np.uint32)
+        for r in range(lanes):
+            own = ids[cut[r]:cut[r + 1]]
+            table[own] = value[cut[r]:cut[r + 1]]
+            table.take(window[r], out=out[r], mode="clip")
+            table[own] = 0
+    else:
+        for r in range(lanes):
+            own = ids[cut[r]:cut[r + 1]]
+            i = np.minimum(np.searchsorted(own, window[r]), len(own) - 1)
+            out[r] = np.where(own[i] == window[r], value[cut[r]:cut[r + 1]][i], 0)
+    return out
+
+
+def _steps(width: int, lanes: int, dtype, fill=None) -> np.ndarray:
+    """An array by step and block.  Rows a little longer than a power of two lie
+    in different cache sets, which turning the array needs."""
+    out = np.empty((width, lanes + 16), dtype)[:, :lanes]
+    if fill is not None:
+        out[:] = fill
+    return out
 
 
 def _active(sizes: np.ndarray, width: int) -> list[int]:
@@ -151,144 +199,127 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray, id_bits: int) -> list[byte
     """Code of each row of ``ids``; rows are sorted by falling size."""
     lanes, width = ids.shape
     model = _Model(lanes, width, id_bits)
-    column = np.ascontiguousarray(ids.T)
-    low, rng = np.zeros(lanes, U), np.full(lanes, ~U(0))
-    room = 2 * width + 8
-    out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
-    due = _refreshes(width)
-    place0 = many0 = rest0 = uniform = None
-    for k, m in enumerate(_active(sizes, width)):
+    column = _steps(width, lanes, np.uint32, ids.T)
+    begins, widths = _steps(width, lanes, np.int32), _steps(width, lanes, np.int32)
+    due, active = _refreshes(width), _active(sizes, width)
+    places, n = None, 0
+    for k, m in enumerate(active):
         if k in due:
             model.learn(k, m)
             n = k
-            h, starts, lengths = _history(ids[:m, :n])
-            window = ids[:m, n:min(2 * n, width)]
-            at = np.empty(window.shape, np.int64)
-            for r in range(m):
-                at[r] = np.searchsorted(h[r * n:(r + 1) * n], window[r])
-            i = (np.minimum(at, n - 1) + np.arange(m, dtype=np.int64)[:, None] * n).ravel()
-            found = h[i] == window.ravel()
-            turned = lambda a, dt: np.ascontiguousarray(a.reshape(window.shape).T, dt)
-            place0, many0 = turned(np.where(found, starts[i], n), np.int32), turned(np.where(found, lengths[i], 0), np.int32)
-            rest0, uniform = turned(np.where(found, 0, window.ravel()), np.int32), turned(~found, np.int32)
-            model.in0[n:n + len(uniform), :m] = uniform == 0
+            places = _places(ids[:m, :n], ids[:m, n:min(2 * n, width)], id_bits).T
+            places = _steps(*places.shape, np.uint32, places)
+            np.not_equal(places, 0, out=model.in0[n:n + len(places), :m])
         x = column[k, :m]
         c, w2, w1, u0, ue = model.predict(m)
         right = c == x
-        begin = w2 + w1
+        begin, size = begins[k, :m], widths[k, :m]
+        np.add(w2, w1, out=begin)
         if u0 is None:
             begin += x.astype(np.int32) * ue
-            size = ue
+            size[:] = ue
         else:
-            j = k - n
-            begin += place0[j, :m] * u0
-            begin += rest0[j, :m] * ue
-            size = many0[j, :m] * u0
-            size += uniform[j, :m] * ue
-        one = right[1] & ~right[0]
-        np.copyto(begin, w2, where=one)
-        np.copyto(size, w1, where=one)
-        begin[right[0]] = 0
+            place = places[k - n, :m]
+            j = (place == 0).nonzero()[0]
+            size[:] = place & np.uint32(0xFFFF)
+            size *= u0
+            size[j] = ue[j]
+            far = begin[j] + (u0[j] << model.log_n) + x[j].astype(np.int32) * ue[j]
+            at = (place >> np.uint32(16)).view(np.int32)
+            at *= u0
+            begin += at
+            begin[j] = far
+        np.copyto(begin, w2, where=right[1])
+        np.copyto(size, w1, where=right[1])
+        np.copyto(begin, 0, where=right[0])
         np.copyto(size, w2, where=right[0])
         model.update(k, m, x, right)
-        lo, ra = low[:m], rng[:m]
-        unit = ra >> U(TOTAL)
-        lo += begin.astype(U) * unit
-        np.multiply(size.astype(U), unit, out=ra)
-        # a first word for every block that can give one, further ones for the few
-        ready = ((lo ^ (lo + ra)) < TOP)
-        out[pos[:m]] = lo >> U(48)
-        pos[:m] += ready
-        by = ready.astype(U) << U(4)
-        lo <<= by
-        ra <<= by
-        i = np.flatnonzero((ra <= LOW32) | ((lo ^ (lo + ra)) < TOP))
-        while len(i):
-            li, ri = lo[i], ra[i]
-            forced = (li ^ (li + ri)) >= TOP
-            ri = np.where(forced, (~li + U(1)) & LOW32, ri)
-            out[pos[i]] = li >> U(48)
-            pos[i] += 1
-            li, ri = li << U(16), ri << U(16)
-            lo[i], ra[i] = li, ri
-            i = i[(ri <= LOW32) | ((li ^ (li + ri)) < TOP)]
-    for s in (48, 32, 16, 0):
-        out[pos] = (low >> U(s)) & U(0xFFFF)
-        pos += 1
-    return [out[j * room:e].astype("<u2").tobytes() for j, e in enumerate(pos.tolist())]
+    state, words = np.full(lanes, WORD), widths.view(np.uint32)     # a width gives its place to a word
+    given = _steps(width, lanes, bool, False)
+    for k in range(width - 1, -1, -1):
+        m = active[k]
+        x, size = state[:m], widths[k, :m].astype(U)
+        full = np.greater_equal(x, size << U(64 - TOTAL), out=given[k, :m])
+        words[k, :m] = x
+        x >>= full.astype(U) << U(5)
+        q = x // size
+        x -= q * size
+        x += q << U(TOTAL)
+        x += begins[k, :m].view(np.uint32)
+    first = np.stack([state >> U(32), state & LOW32], axis=1).astype("<u4")
+    words, given = np.ascontiguousarray(words.T), np.ascontiguousarray(given.T)
+    return [first[j].tobytes() + words[j][given[j]].astype("<u4").tobytes() for j in range(lanes)]
 
 
 def _decode_lanes(codes: list[bytes], sizes: np.ndarray, id_bits: int) -> np.ndarray:
     lanes, width = len(codes), int(sizes[0])
     model = _Model(lanes, width, id_bits)
-    room = max(len(c) for c in codes) // 2 + 8
-    words = np.zeros((lanes, room), np.uint16)
-    for j, c in enumerate(codes):
-        words[j, :len(c) // 2] = np.frombuffer(c, "<u2")
-    code = np.zeros(lanes, U)
-    for s in range(4):
-        code = (code << U(16)) | words[:, s].astype(U)
-    words = words.ravel()
-    low, rng, pos = np.zeros(lanes, U), np.full(lanes, ~U(0)), np.arange(lanes, dtype=np.int64) * room + 4
-    column = np.zeros((width, lanes), np.uint32)
-    due, last = _refreshes(width), np.int32((1 << id_bits) - 1)
-    h = starts = lengths = lane_at = None
+    words = np.frombuffer(b"".join(codes), "<u4").astype(np.uint32)
+    pos = np.cumsum([0] + [len(c) // 4 for c in codes[:-1]])
+    state = words.take(pos, mode="clip").astype(U) << U(32) | words.take(pos + 1, mode="clip")
+    pos += 2
+    column = _steps(width, lanes, np.uint32, 0)
+    due, last = _refreshes(width), (1 << id_bits) - 1
+    history = lane_at = None
+    n = 0
     for k, m in enumerate(_active(sizes, width)):
         if k in due:
             model.learn(k, m)
             n = k
-            h, starts, lengths = _history(np.ascontiguousarray(column[:n, :m].T))
+            ids, starts, lengths = _runs(np.ascontiguousarray(column[:n, :m].T))
+            history = np.repeat(ids.astype(np.int64) << 32 | (starts & (n - 1)) << 16 | lengths, lengths)
             lane_at = np.arange(m, dtype=np.int64) * n
         c, w2, w1, u0, ue = model.predict(m)
-        lo, ra, co = low[:m], rng[:m], code[:m]
-        unit = ra >> U(TOTAL)
-        t = np.minimum((co - lo) // unit, U((1 << TOTAL) - 1)).astype(np.int32)
+        code = state[:m]
+        t = (code & U((1 << TOTAL) - 1)).astype(np.int32)
         two = t < w2
-        begin = w2 + w1
-        one = (t < begin) & ~two
-        over = np.maximum(t - begin, 0)
+        above = w2 + w1
+        t -= above
+        i = (t >= 0).nonzero()[0]                                  # neither candidate
+        over = t[i]
         if u0 is None:
-            x = np.minimum(over // ue, last)
-            begin += x * ue
-            size = ue
+            unit = ue[i]
+            x0 = np.minimum((over / unit).astype(np.int32), last)
+            begin0, size0 = x0 * unit, unit
         else:
-            area = u0 << model.log_n
-            old = over < area
-            at = np.minimum(over // u0, np.int32(n - 1)) + lane_at[:m]
-            far = np.clip((over - area) // ue, 0, last)
-            x = np.where(old, h.take(at), far.astype(np.uint32))
-            begin += np.where(old, starts.take(at) * u0, area + far * ue)
-            size = np.where(old, lengths.take(at) * u0, ue)
-            model.in0[k, :m] = old
-        x = x.astype(np.uint32, copy=False)
-        np.copyto(x, c[1], where=one)
+            # quotients of integers below 2^53 have the right whole part
+            unit = u0[i]
+            at = (over / unit).astype(np.int64)
+            j = (at >= n).nonzero()[0]
+            np.minimum(at, n - 1, out=at)
+            at += lane_at[i]
+            run = history.take(at)
+            x0 = (run >> 32).astype(np.int32)
+            begin0 = (run >> 16).astype(np.int32)
+            begin0 &= 0xFFFF
+            begin0 *= unit
+            size0 = run.astype(np.int32)
+            size0 &= 0xFFFF
+            size0 *= unit
+            area, floor = unit[j] << model.log_n, ue[i[j]]
+            far = np.minimum(((over[j] - area) / floor).astype(np.int32), last)
+            x0[j], begin0[j], size0[j] = far, area + far * floor, floor
+            model.in0[k, :m] = True
+            model.in0[k, i[j]] = False
+        x = column[k, :m]
+        x[:] = c[1]
         np.copyto(x, c[0], where=two)
-        np.copyto(begin, w2, where=one)
-        np.copyto(size, w1, where=one)
-        begin[two] = 0
+        x[i] = x0
+        # from here on ``t`` is the distance from the interval's begin
+        t += w1
+        size = w1
+        np.copyto(t, t + w2, where=two)
         np.copyto(size, w2, where=two)
-        column[k, :m] = x
+        t[i] = over - begin0
+        size[i] = size0
         model.update(k, m, x, c == x)
-        lo += begin.astype(U) * unit
-        np.multiply(size.astype(U), unit, out=ra)
-        ready = ((lo ^ (lo + ra)) < TOP)
-        by = ready.astype(U) << U(4)
-        # a block that is not ready shifts by nothing and takes nothing
-        co <<= by
-        co |= words.take(pos[:m]) * ready
-        pos[:m] += ready
-        lo <<= by
-        ra <<= by
-        i = np.flatnonzero((ra <= LOW32) | ((lo ^ (lo + ra)) < TOP))
-        while len(i):
-            li, ri = lo[i], ra[i]
-            forced = (li ^ (li + ri)) >= TOP
-            ri = np.where(forced, (~li + U(1)) & LOW32, ri)
-            co[i] = (co[i] << U(16)) | words[pos[i]].astype(U)
-            pos[i] += 1
-            li, ri = li << U(16), ri << U(16)
-            lo[i], ra[i] = li, ri
-            i = i[(ri <= LOW32) | ((li ^ (li + ri)) < TOP)]
+        code >>= U(TOTAL)
+        code *= size.view(np.uint32)
+        code += t.view(np.uint32)
+        i = (code < WORD).nonzero()[0]
+        at = pos[i]
+        code[i] = code[i] << U(32) | words.take(at, mode="clip")
+        pos[i] = at + 1
     return np.ascontiguousarray(column.T)
 
 

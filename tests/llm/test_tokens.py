@@ -174,3 +174,31 @@ def test_worker_holds_one_stage_table(byte_bpe):
     gc.collect()
     assert parser() is None and tok is pretoken.load(byte_bpe, packing.CACHED)
     assert tok.cache.max_entries == packing.CACHED < pretoken.load(byte_bpe).cache.max_entries
+
+
+@pytest.mark.parametrize("bits", [16, 24])
+def test_range_coder_places(bits):
+    """Places in a block's sorted history, by a table and by search."""
+    rng = np.random.default_rng(5)
+    history = rng.integers(0, 40, (3, 256)).astype(np.uint32)
+    window = rng.integers(0, 50, (3, 300)).astype(np.uint32)
+    history[1], history[2, :128] = 7, 65535
+    window[2, ::3] = 65535
+    got = rangecoder._places(history, window, bits)
+    for r in range(3):
+        ordered = sorted(history[r].tolist())
+        for x, p in zip(window[r].tolist(), got[r].tolist()):
+            assert p == (ordered.index(x) << 16 | ordered.count(x) if x in ordered else 0)
+
+
+def test_range_coder_gives_a_word_an_id_at_most():
+    """The least and the most likely ids, blocks of unlike lengths: whole words,
+    one an id at most besides the state."""
+    rng = np.random.default_rng(6)
+    rare = np.concatenate([np.tile(np.arange(3, dtype=np.uint32), 2000), rng.integers(0, 65536, 3000).astype(np.uint32)])
+    for ids in (rare, rare[::-1].copy(), rng.permutation(65536).astype(np.uint32)[:9001], np.array([65535], np.uint32)):
+        frame, = rangecoder.encode_frames([ids])
+        n = -(-len(ids) // rangecoder.BLOCK)
+        table = np.frombuffer(frame, rangecoder.ENTRY, n, rangecoder.HEAD.size)
+        assert (table["bytes"] % 4 == 0).all() and (table["bytes"] <= 8 + 4 * table["ids"]).all()
+        assert (rangecoder.decode_frames([frame])[0] == ids).all()
