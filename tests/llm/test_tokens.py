@@ -10,6 +10,7 @@ import pytest
 from llm_rows import awkward, awkward_rows, byte_bpe, empty, make, word_bpe  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankmix.llm import packing, pretoken, rangecoder, token_counts, token_files
@@ -202,3 +203,32 @@ def test_range_coder_gives_a_word_an_id_at_most():
         table = np.frombuffer(frame, rangecoder.ENTRY, n, rangecoder.HEAD.size)
         assert (table["bytes"] % 4 == 0).all() and (table["bytes"] <= 8 + 4 * table["ids"]).all()
         assert (rangecoder.decode_frames([frame])[0] == ids).all()
+
+
+def test_range_coder_models_whole_stretches(monkeypatch):
+    """op2: the encoder's array steps grow with the most visits of a slot, not with
+    the ids of a block; the decoder still meets every id that the encoder met."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 5000, 3 * rangecoder.BLOCK + 700).astype(np.uint32)
+    ids[9000:9400] = 7
+    steps, predict = [], rangecoder._Model.predict
+    monkeypatch.setattr(rangecoder._Model, "predict", lambda self, *a: steps.append(1) or predict(self, *a))
+    frame, = rangecoder.encode_frames([ids])
+    assert not steps
+    assert (rangecoder.decode_frames([frame])[0] == ids).all()
+    assert len(steps) == rangecoder.BLOCK
+
+
+def test_token_files_read_in_few_calls(spark, word_bpe, tmp_path):
+    """op2: frames of small files are read together."""
+    docs = spark.createDataFrame([(i, f"word {i} of a text") for i in range(40)], "doc_id long, text string")
+    for i in range(8):
+        part = docs.where(f"doc_id div 5 = {i}")
+        token_files._frames(part, word_bpe, 1, 16, "doc_id", "text").withColumn("part", F.lit(i)).write.mode(
+            "append").parquet(str(tmp_path / "files"))
+    rows = token_files.read_documents(spark, str(tmp_path / "files"), with_ids=True)
+    assert "Coalesce" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.ids for r in rows.collect()}
+    want = pretoken.load(word_bpe)
+    for i in range(40):
+        assert got[i] == want.encode([f"word {i} of a text"])[0].tolist() + [1]
