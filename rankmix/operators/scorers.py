@@ -10,22 +10,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import (DecisionTreeClassifier, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmix.functions import json_literal
+from rankmix.operators import machines as svm
+from rankmix.operators.blocks import blocks, matrix, summed
+from rankmix.operators.trees import Cuts, RandomForest, sample_rows, tree_class, weighted_tree
 
 
 def default_suite(n_features: int, n_classes: int, seed: int = 42) -> dict:
-    """The example suite: a random forest of 171 trees (depth 30, the deepest
-    that Spark allows; the original asks for 36), a shallow gini tree (depth 3,
+    """The example suite: a random forest of 171 trees (depth 30; the original
+    asks for 36), a shallow gini tree (depth 3,
     at least 5 rows per leaf) and a perceptron with 50 hidden units and 500
     iterations."""
     return {
-        "random_forest": RandomForestClassifier(numTrees=171, maxDepth=30, seed=seed),
+        "random_forest": RandomForest(trees=171, max_depth=30, seed=seed),
         "decision_tree": DecisionTreeClassifier(impurity="gini", maxDepth=3, minInstancesPerNode=5,
                                                 seed=seed),
         "mlp": MultilayerPerceptronClassifier(layers=[n_features, 50, n_classes], maxIter=500,
@@ -42,10 +46,11 @@ def fit_and_score(train: DataFrame, test: DataFrame, suite: dict, id_col: str =
     """Long scores of every model on the test rows."""
     out = None
     for name, est in suite.items():
-        model = est.setFeaturesCol("features").setLabelCol(label_col).fit(train)
-        probs = model.transform(test).select(
-            F.col(id_col).alias("item_id"), F.lit(name).alias("model"),
-            F.posexplode(vector_to_array("probability")).alias("cls", "score"))
+        if isinstance(est, RandomForest):
+            rows, p = est.scores(train, test, id_col, label_col), F.col("p")
+        else:
+            rows, p = est.setFeaturesCol("features").setLabelCol(label_col).fit(train).transform(test), vector_to_array("probability")
+        probs = rows.select(F.col(id_col).alias("item_id"), F.lit(name).alias("model"), F.posexplode(p).alias("cls", "score"))
         out = probs if out is None else out.unionByName(probs)
     return out
 
@@ -68,60 +73,70 @@ def accuracy_of(preds: DataFrame, truth: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ AdaBoost (SAMME)
 
-def _with_vote(alpha: float):
-    """The class votes with ``alpha`` more for the predicted class."""
-    return F.transform("votes", lambda v, k: v + F.when(F.col("prediction") == k, alpha).otherwise(0.0))
-
-
 def adaboost_scores(train: DataFrame, test: DataFrame, n_classes: int, rounds: int = 100,
                     learning_rate: float = 0.3845, max_depth: int = 1, seed: int = 42, name: str = "adaboost",
                     id_col: str = "item_id", label_col: str = "label") -> DataFrame:
-    """Multi-class AdaBoost (SAMME) built from weighted decision trees.
+    """Multi-class AdaBoost (SAMME) built from weighted gini trees.
 
-    Each round fits one tree with ``weightCol`` (distributed), measures the
-    weighted error with one aggregate, and re-weights the rows with the
-    round's weight times ``learning_rate``; each round's rows are persisted,
-    and every 10 rounds they are checkpointed and the persisted ones released.
-    The test rows are scored once at the end by all trees.  Scores are
+    Each round is one pass over the training rows a level: a task works out its
+    rows' weights from the trees so far and sums them by bin and class, which the new
+    tree and its weighted error follow from.  A round's cuts are the weighted
+    quantiles of the sampled rows (of all, up to 10,000 rows).  Scores are
     ``sum_t alpha_t [pred_t = k] / sum_t alpha_t`` per class.
     """
-    from rankmix.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(train.sparkSession)
-    cur = train.select(id_col, "features", F.col(label_col).cast("double").alias("label"),
-                       F.lit(1.0).alias("w"))
-    scored = test.select(id_col, "features", F.array(*[F.lit(0.0)] * n_classes).alias("votes"))
-    total_alpha, fitted, held = 0.0, 0, []
-    for t in range(rounds):
-        tree = DecisionTreeClassifier(maxDepth=max_depth, weightCol="w", seed=seed + t,
-                                      featuresCol="features", labelCol="label").fit(cur)
-        pred = tree.transform(cur).select(id_col, "features", "label", "w", "prediction")
-        miss = F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(F.lit(0.0))
-        row = pred.agg(F.sum(miss).alias("bad"), F.sum("w").alias("all")).first()
-        err = row["bad"] / row["all"] if row["all"] else 1.0
+    rows = blocks(train, label=label_col)
+    n, x, y = sample_rows(rows, seed)
+    cuts, w, fitted = Cuts(x, n), np.ones(len(x)), []
+    for _ in range(rounds):
+        tree, bad, every = weighted_tree(rows, cuts.at(w), n_classes, lambda x, y: _boosted(fitted, x, y), max_depth)
+        err = bad / every if every else 1.0
         if err >= 1.0 - 1.0 / n_classes:
             break
         err = max(err, 1e-12)
-        alpha = learning_rate * (math.log((1.0 - err) / err) + math.log(n_classes - 1))
-        total_alpha, fitted = total_alpha + alpha, fitted + 1
-        scored = tree.transform(scored).select(id_col, "features", _with_vote(alpha).alias("votes"))
-        new = pred.select(id_col, "features", "label",
-                          (F.col("w") * F.exp(F.when(F.col("prediction") != F.col("label"), F.lit(alpha))
-                                              .otherwise(F.lit(0.0)))).alias("w"))
-        if (t + 1) % 10 == 0:
-            cur, scored = new.checkpoint(eager=True), scored.checkpoint(eager=True)
-            while held:
-                held.pop().unpersist()
-        else:
-            cur = new.persist()
-            held.append(cur)
+        fitted.append((tree, learning_rate * (math.log((1.0 - err) / err) + math.log(n_classes - 1))))
+        w = w * np.where(tree_class(tree, x) != y, math.exp(fitted[-1][1]), 1.0)
         if err <= 1e-12:
             break
-    while held:
-        held.pop().unpersist()
+    rows.unpersist()
     if not fitted:
         raise ValueError("no useful AdaBoost round (error too high)")
-    return scored.select(F.col(id_col).alias("item_id"), F.lit(name).alias("model"),
-                         F.posexplode(F.transform("votes", lambda v: v / F.lit(total_alpha))).alias("cls", "score"))
+
+    def votes(x):
+        out, at = np.zeros((len(x), n_classes)), np.arange(len(x))
+        for tree, alpha in fitted:
+            out[at, tree_class(tree, x)] += alpha
+        return out / sum(alpha for _, alpha in fitted)
+
+    return _exploded(_by_row(test, id_col, votes), name)
+
+
+def _boosted(fitted, x, y) -> np.ndarray:
+    """The rows' weights after the rounds so far."""
+    w = np.ones(len(x))
+    for tree, alpha in fitted:
+        w[tree_class(tree, x) != y] *= math.exp(alpha)
+    return w
+
+
+def _by_row(df: DataFrame, id_col: str, score) -> DataFrame:
+    """``(item_id, p)``: ``score(x)``'s row of numbers for each of the rows."""
+    rows = df.select(F.col(id_col).alias("item_id"), vector_to_array("features").alias("x"))
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                p = score(matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(p)], names=["item_id", "p"])
+
+    return rows.mapInArrow(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, p array<double>")
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
+def _exploded(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("item_id", F.lit(name).alias("model"), F.posexplode("p").alias("cls", "score"))
 
 
 # ------------------------------------------------------------ SVM
@@ -145,51 +160,75 @@ def out_of_fold_margins(train: DataFrame, folds: int = 3, reg: float = 0.01, max
     one: the margins only place two numbers a class).  A fold whose rest lacks a class has
     margins for the classes below the largest that it saw (the others count as
     far outside)."""
-    rows = train.withColumn("_fold", fold_of(id_col, folds))
-    n_classes = int(train.agg(F.max(label_col)).first()[0]) + 1
-    out = None
-    for k in range(folds):
-        rest, own = rows.filter(F.col("_fold") != k), rows.filter(F.col("_fold") == k)
-        if own.isEmpty() or rest.select(label_col).distinct().count() < 2:
-            continue
-        m = vector_to_array("rawPrediction")
-        part = _svm(reg, max_iter, label_col, tolerance).fit(rest).transform(own).select(
-            F.col(label_col).cast("int").alias("label"), m.alias("m"))
-        missing = F.array_repeat(F.lit(-10.0), F.lit(n_classes) - F.size("m"))
-        part = part.select("label", F.concat("m", missing).alias("m"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    rows = blocks(train, label=label_col, fold=fold_of(id_col, folds))
+    try:
+        return _fold_margins(train, rows, folds, reg, max_iter, id_col, label_col, tolerance)
+    finally:
+        rows.unpersist()
+
+
+def _fold_margins(train, rows, folds, reg, max_iter, id_col, label_col, tolerance):
+    n_classes = _classes(rows)
+    counts = summed(rows, lambda b: np.bincount(b[2] * n_classes + b[1], minlength=folds * n_classes)).reshape(folds, n_classes)
+    rest = counts.sum(axis=0) - counts
+    fitted = [k for k in range(folds) if counts[k].any() and np.count_nonzero(rest[k]) > 1]
+    if not fitted:
         raise ValueError("too few rows or classes to leave a fold out")
-    return out
+    own = [svm.Machine(c, k) for k in fitted for c in range(np.flatnonzero(rest[k])[-1] + 1)]
+    u, c = svm.fit(rows, own, folds, reg, max_iter, tolerance)
+    of, cls = np.array([m.left_out for m in own]), np.array([m.cls for m in own])
+
+    def margins(x, fold):
+        out = np.full((len(x), n_classes), -10.0)
+        for k in fitted:
+            mine = fold == k
+            out[np.ix_(mine, cls[of == k])] = x[mine] @ u[:, of == k] + c[of == k]
+        return out
+
+    placed = train.select(F.col(label_col).cast("int").alias("label"), fold_of(id_col, folds).alias("fold"), vector_to_array("features").alias("x"))
+
+    def run(batches):
+        for b in batches:
+            known = pa.compute.is_in(b.column(1), pa.array(fitted, pa.int32()))
+            b = b.filter(known)
+            if len(b):
+                m = margins(matrix(b.column(2)), b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(m)], names=["label", "m"])
+
+    return placed.mapInArrow(run, "label int, m array<double>")
+
+
+def _classes(rows) -> int:
+    return int(rows.map(lambda b: int(b[1].max())).max()) + 1
 
 
 def fit_sigmoids(margins: DataFrame, n_classes: int, steps: int = 50, tolerance: float = 1e-7) -> list[tuple[float, float]]:
     """Per class the slope and offset of ``1 / (1 + exp(a m + b))`` that fit the
-    labels best: Newton steps for all classes at once, each one aggregate of loss,
+    labels best: Newton steps for all classes at once, each one pass for loss,
     gradient and Hessian over the rows.  Targets are drawn in as by Platt (a class
     with p rows of it and q others aims at (p + 1) / (p + 2) and 1 / (q + 2)), so
     separable classes have a finite fit; a step that raises a class's loss is
     halved."""
-    rows = margins.select("label", F.posexplode("m").alias("c", "m"))
-    counts = {r["label"]: r["count"] for r in margins.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    high = [(counts.get(c, 0) + 1.0) / (counts.get(c, 0) + 2.0) for c in range(n_classes)]
-    low = [1.0 / (total - counts.get(c, 0) + 2.0) for c in range(n_classes)]
-    start = [(0.0, math.log((total - counts.get(c, 0) + 1.0) / (counts.get(c, 0) + 1.0))) for c in range(n_classes)]
-
-    def pick(values):
-        return F.element_at(json_literal([float(v) for v in values], "array<double>"), F.col("c") + 1)
+    rows = blocks(margins, features="m", label="label")
+    counts = summed(rows, lambda b: np.bincount(b[1], minlength=n_classes))
+    high, low = (counts + 1.0) / (counts + 2.0), 1.0 / (counts.sum() - counts + 2.0)
+    start = [(0.0, math.log((counts.sum() - n + 1.0) / (n + 1.0))) for n in counts.tolist()]
 
     def measured(params):
-        z = pick([a for a, _ in params]) * F.col("m") + pick([b for _, b in params])
-        t = F.when(F.col("label") == F.col("c"), pick(high)).otherwise(pick(low))
-        p = F.when(z >= 0, F.exp(-F.abs(z)) / (1 + F.exp(-F.abs(z)))).otherwise(1 / (1 + F.exp(-F.abs(z))))
-        at = rows.select("c", "m", (t - p).alias("d"), (p * (1 - p)).alias("h"),
-                         (t * z + F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))).alias("loss"))
-        out = at.groupBy("c").agg(F.sum("loss").alias("loss"), F.sum(F.col("m") * F.col("d")).alias("ga"), F.sum("d").alias("gb"),
-                                  F.sum(F.col("m") * F.col("m") * F.col("h")).alias("haa"),
-                                  F.sum(F.col("m") * F.col("h")).alias("hab"), F.sum("h").alias("hbb"))
-        return {r["c"]: r for r in out.collect()}
+        slope, offset = np.array(params).T
+
+        def sums(b):
+            m, label, *_ = b
+            z = m * slope + offset
+            small = np.exp(-np.abs(z))
+            t = np.where(label[:, None] == np.arange(n_classes), high, low)
+            p = np.where(z >= 0, small, 1.0) / (1 + small)
+            d, h = t - p, p * (1 - p)
+            loss = t * z + np.maximum(-z, 0.0) + np.log1p(small)
+            return np.stack([v.sum(axis=0) for v in (loss, m * d, d, m * m * h, m * h, h)])
+
+        names = ("loss", "ga", "gb", "haa", "hab", "hbb")
+        return {c: dict(zip(names, v)) for c, v in enumerate(summed(rows, sums).T.tolist())}
 
     params, at = start, measured(start)
     move = {}
@@ -205,6 +244,7 @@ def fit_sigmoids(margins: DataFrame, n_classes: int, steps: int = 50, tolerance:
                 params[c], at[c], move[c] = tried[c], r, _newton(r)
             else:
                 move[c] = (move[c][0] / 2, move[c][1] / 2)
+    rows.unpersist()
     return params
 
 
@@ -224,14 +264,18 @@ def svm_scores(train: DataFrame, test: DataFrame, name: str = "svm", reg: float
     from rankmix.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
     margins = out_of_fold_margins(train, folds, reg, max_iter, id_col, label_col).checkpoint(eager=True)
-    n_classes = int(train.agg(F.max(label_col)).first()[0]) + 1
-    sigmoids = json_literal([[a, b] for a, b in fit_sigmoids(margins, n_classes)], "array<array<double>>")
-    raw = _svm(reg, max_iter, label_col).fit(train).transform(test).select(
-        F.col(id_col).alias("item_id"), vector_to_array("rawPrediction").alias("m"))
-    p = raw.select("item_id", F.zip_with("m", sigmoids, lambda m, s: 1 / (1 + F.exp(s[0] * m + s[1]))).alias("p"))
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    return p.select("item_id", F.lit(name).alias("model"),
-                    F.posexplode(F.transform("p", lambda x: x / total)).alias("cls", "score"))
+    rows = blocks(train, label=label_col, fold=F.lit(0))
+    n_classes = _classes(rows)
+    sigmoids = np.array(fit_sigmoids(margins, n_classes))
+    u, c = svm.fit(rows, [svm.Machine(k) for k in range(n_classes)], 1, reg, max_iter, 1e-6)
+    rows.unpersist()
+
+    def probabilities(x):
+        with np.errstate(over="ignore"):
+            p = 1 / (1 + np.exp((x @ u + c) * sigmoids[:, 0] + sigmoids[:, 1]))
+        return p / p.sum(axis=1, keepdims=True)
+
+    return _exploded(_by_row(test, id_col, probabilities), name)
 
 
 # ------------------------------------------------------------ user models

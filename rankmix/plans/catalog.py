@@ -7,7 +7,9 @@ emitted doubles the way ``rankmix.plans.oracle`` does.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -331,9 +333,11 @@ def _ml_scores(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
         n_classes = int(train.agg(F.max("label")).first()[0]) + 1
-        scores = (M.fit_and_score(train, test, M.default_suite(64, n_classes))
-                  .unionByName(M.svm_scores(train, test))
-                  .unionByName(M.adaboost_scores(train, test, n_classes)))
+        # mostly many small jobs one after another: side by side they fill the cores
+        with ThreadPoolExecutor(3) as side:
+            fits = [side.submit(f, train, test, *more) for f, *more in (
+                (M.fit_and_score, M.default_suite(64, n_classes)), (M.svm_scores,), (M.adaboost_scores, n_classes))]
+            scores = functools.reduce(DataFrame.unionByName, [f.result() for f in fits])
         path = f"{scratch_dir(spark, 'rankmix_ml')}/{uuid.uuid4().hex[:12]}"
         scores.write.parquet(path)
         _FITTED[key] = path
