@@ -546,7 +546,7 @@ def files_layer(spark, sf_dir):
     files.write_score_dir(to_long(ss), ss.models, ss.n_classes, path)
     files.write_table(ss.df.select("item_id", F.col("label").alias("0")), f"{path}/ground_truths.csv")
     truth = files.read_truth(spark, f"{path}/ground_truths.csv")
-    back = to_wide(files.read_score_folders(spark, path), truth=truth, batch_size=BATCH)
+    back = to_wide(files.read_score_folders(spark, path, by_line=True), truth=truth, batch_size=BATCH)
     report = L.layer_report(L.layer_accuracy(L.prepare(back, BATCH, ("AC",)), ("AC",)))
     files.write_table(report.select("fusion_model", "sc", "rc"), f"{path}/performance.csv")
     rows = files.read_delimited(spark, f"{path}/performance.csv", sep=",", schema="fusion_model string, sc double, rc double")

@@ -9,8 +9,13 @@ number of models and items is read in parallel.
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,32 +33,63 @@ def read_score_dir(spark: SparkSession, path: str, prefix_only: bool = False) ->
     naming, where ``random_forest`` becomes ``random``).
     """
     raw = spark.read.option("pathGlobFilter", f"*{SCORES_SUFFIX}").option("recursiveFileLookup", True).text(path)
-    return _score_rows(raw, r"([^/]+)_scores\.csv$", prefix_only)
+    return _score_rows(_score_lines(raw, r"([^/]+)_scores\.csv$", prefix_only))
 
 
-def read_score_folders(spark: SparkSession, path: str, prefix_only: bool = False) -> DataFrame:
+def read_score_folders(spark: SparkSession, path: str, prefix_only: bool = False, by_line: bool = False) -> DataFrame:
     """The same from folders ``<model>_scores.csv`` with any number of files
-    each, as ``write_score_dir`` leaves them (plain files of that name too)."""
-    return _score_rows(spark.read.text(f"{path}/*{SCORES_SUFFIX}"), r"([^/]+)_scores\.csv(?:/[^/]+)?$", prefix_only)
-
-
-def _score_rows(raw: DataFrame, name: str, prefix_only: bool) -> DataFrame:
-    """Lines as rows: each file has as many classes as its own lines have cells."""
-    # a generated column: conditions on a projected one would be moved below the
-    # projection, each with a copy of its split
-    raw = raw.select(F.explode(F.array(F.split(F.translate("value", '\r"', ""), ","))).alias("cells"), F.input_file_name().alias("file"))
-    # a file's name comes back as a URL
-    model = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), name, 1)
-    if prefix_only:
-        model = F.regexp_extract(model, "^([^_]+)", 1)
-    # the header has the class positions after the index column's name, which is no number
-    # (a data row of whole scores may read 5,0,1)
-    header = F.trim(F.col("cells")[0]).try_cast("double").isNull() & (F.slice(F.col("cells"), 2, F.size("cells")) == F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("cells") - 2, F.lit(0))), lambda k: k.cast("string")))
-    rows = raw.filter(~header & (F.size("cells") > 1)).select(
-        F.col("cells")[0].cast("long").alias("item_id"), model.alias("model"),
-        F.posexplode(F.slice(F.col("cells"), 2, F.size("cells"))).alias("cls", "s"))
-    return rows.select("item_id", "model", "cls", F.nullif(F.trim("s"), F.lit("")).cast("double").alias("score"))
+    each, as ``write_score_dir`` leaves them (plain files of that name too).
+    ``by_line`` keeps a line's scores together: ``(item_id, model, scores)``."""
+    lines = _score_lines(spark.read.text(f"{path}/*{SCORES_SUFFIX}"), r"([^/]+)_scores\.csv(?:/[^/]+)?$", prefix_only)
+    return lines if by_line else _score_rows(lines)
+
+
+def _score_rows(lines: DataFrame) -> DataFrame:
+    return lines.select("item_id", "model", F.posexplode("scores").alias("cls", "score"))
+
+
+def _score_lines(raw: DataFrame, name: str, prefix_only: bool) -> DataFrame:
+    """``(item_id, model, scores)``: each file has as many classes as its own lines
+    have cells; an empty cell is NULL.  A batch of lines is split at once, and its
+    files' names are read once each."""
+    def model_of(file: str) -> str:
+        # a file's name comes back as a URL
+        found = re.search(name, unquote(file))
+        model = found[1] if found else ""
+        return re.match("[^_]*", model)[0] if prefix_only else model
+
+    def split(batches):
+        for b in batches:
+            file = b.column(1).dictionary_encode()
+            models = pa.array([model_of(f) for f in file.dictionary.to_pylist()], pa.string())
+            cells = pc.split_pattern(pc.replace_substring_regex(b.column(0), '[\r"]', ""), ",")
+            flat, ends = cells.flatten(), cells.offsets.to_numpy()
+            rest = np.ones(len(flat), bool)
+            rest[ends[:-1]] = False                   # a line has one cell at least, its item
+            item, own = flat.take(pa.array(ends[:-1])), flat.filter(pa.array(rest))
+            offsets = (ends - np.arange(len(ends))).astype(np.int32)
+            # lines like the header: the class positions after the index column's name
+            positions = np.zeros(len(b), bool)
+            for i in np.flatnonzero(~pc.match_substring_regex(item, "^[0-9]+$").to_numpy(zero_copy_only=False)):
+                got = own.slice(offsets[i], offsets[i + 1] - offsets[i]).to_pylist()
+                positions[i] = got == [str(k) for k in range(len(got))]
+            blank = pc.match_substring_regex(own, "^ *$")
+            if pc.any(blank).as_py():
+                own = pc.if_else(blank, None, own)
+            try:
+                scores, cells = pa.ListArray.from_arrays(pa.array(offsets), pc.cast(own, pa.float64())), pa.nulls(len(b), pa.list_(pa.string()))
+            except pa.ArrowInvalid:                   # numbers that only Spark reads, or none
+                scores, cells = pa.nulls(len(b), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(offsets), own)
+            yield pa.RecordBatch.from_arrays([models.take(file.indices), item, pa.array(positions), scores, cells],
+                                             names=["model", "item", "positions", "scores", "cells"])
+
+    lines = raw.select("value", F.input_file_name().alias("file")).mapInArrow(
+        split, "model string, item string, positions boolean, scores array<double>, cells array<string>")
+    # the index column's name is no number (a data row of whole scores may read 5,0,1)
+    header = F.col("positions") & F.trim("item").try_cast("double").isNull()
+    rows = lines.filter(~header).select(
+        F.col("item").cast("long").alias("item_id"), "model", F.coalesce("scores", F.col("cells").cast("array<double>")).alias("scores"))
+    return rows.filter(F.size("scores") > 0)
 
 
 def read_truth(spark: SparkSession, path: str, by_position: bool = False,

@@ -21,7 +21,8 @@ BLOCK_ITEMS = 2048
 def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None,
             n_classes: int | None = None, truth: DataFrame | None = None,
             batch_size: int | None = None, partitions: int | None = None) -> ScoreSet:
-    """Long ``(item_id, model, cls, score)`` -> one row per item.
+    """Long ``(item_id, model, cls, score)``, or ``(item_id, model, scores)`` with the
+    classes' scores in order, -> one row per item.
 
     One shuffle: rows (and the truth, as a pseudo-model) are clustered by
     ``batch_id`` (blocks of ids when no ``batch_size`` is given); the per-item
@@ -29,26 +30,31 @@ def to_wide(scores: DataFrame, models: list[str] | tuple[str, ...] | None = None
     read with one small aggregate (distinct models, max class).
     """
     spark = scores.sparkSession
+    by_line = "scores" in scores.columns
     if models is None or n_classes is None:
-        meta = scores.groupBy("model").agg(F.max("cls").alias("c")).collect()      # a row for each model
+        top = F.max(F.size("scores") - 1 if by_line else "cls").alias("c")
+        meta = scores.groupBy("model").agg(top).collect()      # a row for each model
         models = models or tuple(sorted(r["model"] for r in meta if r["model"] is not None))
         n_classes = n_classes or max(r["c"] for r in meta if r["c"] is not None) + 1
     models = tuple(models)
-    df = scores.select("item_id", _model_index(models).alias("mi"), F.col("cls").cast("int").alias("cls"),
-                       F.col("score").cast("double").alias("score"))
+    mi = _model_index(models).alias("mi")
+    if by_line:
+        places = F.sequence(F.lit(0), F.size("scores") - 1)
+        packed = scores.filter(F.size("scores") > 0).select("item_id", mi, places.alias("cls"), F.col("scores").cast("array<double>").alias("score"))
+    else:
+        packed = _packed(scores.select("item_id", mi, F.col("cls").cast("int").alias("cls"), F.col("score").cast("double").alias("score")))
     has_label = truth is not None
     if has_label:
         # the truth rides along as model -1 through the same shuffle: the
         # label is picked up by the grouping below, no join on item_id
-        df = df.unionByName(truth.select("item_id", F.lit(-1).alias("mi"), F.lit(-1).alias("cls"),
-                                         F.col("label").cast("double").alias("score")))
+        packed = packed.unionByName(truth.select("item_id", F.lit(-1).alias("mi"), F.array(F.lit(-1)).alias("cls"),
+                                                 F.array(F.col("label").cast("double")).alias("score")))
     keys = ["item_id"] if batch_size is None else ["batch_id", "item_id"]
-    packed = _packed(df)
     block = F.floor(F.col("item_id") / F.lit(batch_size or BLOCK_ITEMS))
     packed = packed.select(block.alias("batch_id"), "item_id", "mi", "cls", "score")
     packed = packed.repartition(partitions or default_partitions(spark), "batch_id")
     names = [*keys, *[s_col(i) for i in range(len(models))], *(["label"] if has_label else [])]
-    id_type = df.schema["item_id"].dataType.simpleString()
+    id_type = packed.schema["item_id"].dataType.simpleString()
     schema = ", ".join([f"batch_id {packed.schema['batch_id'].dataType.simpleString()}"] * (batch_size is not None)
                        + [f"item_id {id_type}"] + [f"{s_col(i)} array<double>" for i in range(len(models))]
                        + ["label int"] * has_label)

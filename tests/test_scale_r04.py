@@ -1,4 +1,4 @@
-"""The trained scorers at more rows: passes and jobs that do not grow with nodes,
+"""Score directories read by line; the trained scorers at more rows: passes and jobs that do not grow with nodes,
 machines or steps, and the same machines and trees as Spark's."""
 import uuid
 
@@ -163,3 +163,45 @@ def test_repeated_ids_are_rows_of_their_own(spark, noisy):
     twice = noisy.unionByName(noisy.filter("item_id < 50"))
     assert T.RandomForest(3, 5, 1).scores(noisy, twice).count() == 650
     assert M.adaboost_scores(noisy, twice, 3, rounds=3).count() == 1950
+
+
+# ------------------------------------------------------------ score directories
+
+def test_lines_are_read_as_cells_were(spark, tmp_path):
+    """Blanks around cells, empty cells, quotes, numbers that only Spark reads, a
+    header and names that need decoding: by line and by cell."""
+    import math
+    from rankmix.sources import files
+    from rankmix.sources.frames import to_wide
+    for name, text in {"a+b c": 'index,0,1,2\r\n"0",0.5,"0.25",\r\n1, 1e-3 ,NaN,0.1\n', "m%d_x": ',0,1,2\n 0 ,+1.5,2d,-Infinity\n1,0,1,2\n',
+                       "short": "i,0,1\n0,0.5,0.5\n1,,\n"}.items():
+        (tmp_path / f"{name}_scores.csv").write_bytes(text.encode())
+    want = {("a+b c", 0): [0.5, 0.25, None], ("a+b c", 1): [0.001, math.nan, 0.1], ("m%d_x", 0): [1.5, 2.0, -math.inf],
+            ("m%d_x", 1): [0.0, 1.0, 2.0], ("short", 0): [0.5, 0.5], ("short", 1): [None, None]}
+    lines = files.read_score_folders(spark, str(tmp_path), by_line=True)
+    got = {(r.model, r.item_id): r.scores for r in lines.collect()}
+    assert got.keys() == want.keys() and all(repr(got[k]) == repr(want[k]) for k in want)
+    for rows in (files.read_score_folders(spark, str(tmp_path)), files.read_score_dir(spark, str(tmp_path))):
+        cells = {(r.model, r.item_id, r.cls): r.score for r in rows.collect()}
+        assert repr(sorted(cells.items(), key=str)) == repr(sorted(
+            [((*k, i), v) for k, vs in want.items() for i, v in enumerate(vs)], key=str))
+    # a score set from lines is the one from cells
+    a, b = (to_wide(x, batch_size=1) for x in (lines, files.read_score_folders(spark, str(tmp_path))))
+    assert (a.models, a.n_classes) == (b.models, b.n_classes) == (("a+b c", "m%d_x", "short"), 3)
+    assert repr(sorted(a.df.collect())) == repr(sorted(b.df.collect()))
+
+
+def test_a_files_name_is_read_once_a_batch(spark, tmp_path):
+    """Names were decoded for every cell, most of the query's time."""
+    from rankmix.sources import files
+    (tmp_path / "m_scores.csv").write_text("i,0,1\n" + "".join(f"{i},0.5,0.5\n" for i in range(5000)))
+    plan = files.read_score_folders(spark, str(tmp_path), by_line=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "url_decode" not in plan and "UrlDecode" not in plan and "UrlCodec" not in plan and "regexp_extract" not in plan and "Generate" not in plan
+
+
+def test_a_line_twice_is_an_error(spark, tmp_path):
+    from rankmix.sources import files
+    from rankmix.sources.frames import to_wide
+    (tmp_path / "m_scores.csv").write_text("i,0,1\n0,0.5,0.5\n0,0.5,0.5\n")
+    with pytest.raises(Exception, match="two scores"):
+        to_wide(files.read_score_folders(spark, str(tmp_path), by_line=True), batch_size=4).df.collect()
