@@ -195,7 +195,8 @@ class RandomForest:
         theirs = theirs.persist(StorageLevel.MEMORY_AND_DISK)
         tested = theirs.map(lambda b: len(b[1])).sum()
         mine.count()
-        raw.unpersist()
+        for read in (raw, asked):
+            read.unpersist()
         seed, depth = self.seed, self.max_depth
 
         def times(key, tree, rows):
@@ -226,13 +227,13 @@ class RandomForest:
                     # in an order of their own, whichever came first
                     a = sorted((p for p in parts if p[0] is None), key=lambda p: (len(p[3]), p[1].tobytes()[:4096]))
                     b = [p for p in parts if p[0] is not None]
-                    if not a or not b:
-                        if b:
-                            raise ValueError("a tree's node has no training rows")
+                    if not b:
                         continue
                     rng = np.random.default_rng([seed, 1 << 20, t, node])
-                    p = grow(np.concatenate([x[1] for x in a]), np.concatenate([x[2] for x in a]), np.concatenate([x[3] for x in a]),
-                             np.concatenate([x[1] for x in b]), n_classes, depth, rng, _depth(tops[t], node))
+                    size = sum(len(x[2]) for x in b)
+                    # a tree whose bootstrap is empty has no say
+                    p = grow(*(np.concatenate([x[i] for x in a]) for i in (1, 2, 3)), np.concatenate([x[1] for x in b]),
+                             n_classes, depth, rng, _depth(tops[t], node)) if a else np.zeros((size, n_classes))
                     ends = np.cumsum([len(x[2]) for x in b])[:-1]
                     for (key, _, places, size), own in zip(b, np.split(p, ends)):
                         if key not in out:
@@ -252,7 +253,7 @@ class RandomForest:
         trees = self.trees
         total = spark.sparkContext.union(done).reduceByKey(np.add, parts)
         rows = theirs.map(lambda b: (b[0], b[2])).join(total, parts).flatMap(
-            lambda r: ((i, (p / p.sum()).tolist()) for i, p in zip(r[1][0], r[1][1] / trees)))
+            lambda r: ((i, (p / (p.sum() or 1.0)).tolist()) for i, p in zip(r[1][0], r[1][1] / trees)))
         out = spark.createDataFrame(rows, f"`{id_col}` {test.schema[id_col].dataType.simpleString()}, p array<double>")
         mine.unpersist()
         return out

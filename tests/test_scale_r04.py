@@ -153,6 +153,12 @@ def test_forest_split_over_tasks(spark, noisy, monkeypatch, at_once):
     assert np.allclose(p, again)
 
 
+def test_a_forest_of_one_row(spark, noisy):
+    """About a third of the bootstraps are empty."""
+    p = T.RandomForest(30, 5, 2).scores(noisy.filter("item_id = 4"), noisy.filter("item_id < 9")).toPandas()
+    assert len(p) == 9 and all(list(x) == [0.0, 1.0] for x in p["p"])
+
+
 def test_forest_takes_jobs_by_batches_not_by_nodes(spark, noisy):
     scores, jobs = _jobs(spark, lambda: M.fit_and_score(noisy, noisy, {"random_forest": M.default_suite(8, 3)["random_forest"]}))
     assert jobs < 20
